@@ -218,3 +218,18 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3, lower: bool
 def hex_fingerprint(fp: str = "fp"):
     """The fingerprint as 16 lowercase hexadecimal digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def one_of_each(docs: DataFrame, words: int = 3, most: int = 3, lower: bool = True) -> DataFrame:
+    """``docs`` with one document of each component: the smallest doc_id's first row.
+
+    Rows with a null doc_id cannot be told apart and all stay.
+    """
+    found = near_duplicates(docs.select("doc_id", "text"), words, most, lower).filter("doc_id is not null")
+    kept = written(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")), "kept")
+    named = kept.withColumnRenamed("doc_id", "_kept")
+    stay = docs.join(named, F.col("doc_id").cast("long") == F.col("_kept"))
+    out = stay.filter("_rows = 1").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    if kept.filter("_rows > 1").limit(1).count():
+        out = out.unionByName(stay.filter("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id"]))
+    return out
