@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.quality.checks import require
+
 #: Fixed value: the grid of regularisation strengths.
 LAMBDAS = (1e-4, 1e-3, 0.01, 0.1, 1.0, 10.0)
 
@@ -57,8 +59,9 @@ def loeo_one_feature(df: DataFrame, keys: list[str], group: str, x: str, y: str,
     # one row of z meets (groups - 1) x lambdas lines of its group: a broadcast of groups^2 lines
     scores = z.select(*keys, F.col(group).alias("inner_group"), "_x", "_y").join(F.broadcast(tuned), [*keys, "inner_group"]).groupBy(*keys, "outer_group", "lambda", "inner_group").agg(F.avg(error).alias("mae"))
     score = scores.groupBy(*keys, "outer_group", "lambda").agg(F.avg("mae").alias("score"))
-    best = score.groupBy(*keys, "outer_group").agg(F.min("score").alias("best"))
-    chosen = score.join(best, [*keys, "outer_group"]).filter(F.col("score") <= F.col("best") + 1e-12).groupBy(*keys, "outer_group").agg(F.max("lambda").alias("lambda"))
+    listed = score.groupBy(*keys, "outer_group").agg(F.min("score").alias("best"), F.collect_list(F.struct("lambda", "score")).alias("all"))
+    near = F.filter("all", lambda t: t["score"] <= F.col("best") + 1e-12)
+    chosen = listed.select(*keys, "outer_group", F.array_max(F.transform(near, lambda t: t["lambda"])).alias("lambda"))
     slope, intercept = line(lambda c: F.col(f"f_{c}"), F.col("lambda"))
     lines = folds.join(chosen, [*keys, "outer_group"]).select(*keys, F.col("outer_group").alias(group), "lambda", slope.alias("_slope"), intercept.alias("_intercept"))
     out = z.join(F.broadcast(lines), [*keys, group])
@@ -216,9 +219,14 @@ def nested_loeo(
     return joined.groupBy(*keys, "model", "_fold").applyInPandas(solve, schema)
 
 
-def paired_comparison(predictions: DataFrame, keys: list[str], row_id: str, group: str, base: str, added: str) -> DataFrame:
-    """(keys, group, total, count): sums of |error of added| - |error of base|, the statistics of a paired bootstrap."""
-    e = predictions.filter(F.col("model").isin(base, added)).groupBy(*keys, group, row_id).agg(
-        F.max(F.when(F.col("model") == added, F.abs(F.col("prediction") - F.col("truth")))).alias("_a"), F.max(F.when(F.col("model") == base, F.abs(F.col("prediction") - F.col("truth")))).alias("_b")
+def paired_comparison(predictions: DataFrame, keys: list[str], group: str, base: str, added: str) -> DataFrame:
+    """(keys, group, total, count): sums of |error of added| - |error of base|, the statistics of a paired bootstrap.
+
+    A sum of differences is the difference of sums, so rows need not be paired up; both
+    models must have as many rows in each group.
+    """
+    e, is_a, is_b = F.abs(F.col("prediction") - F.col("truth")), F.col("model") == added, F.col("model") == base
+    out = predictions.filter(F.col("model").isin(base, added)).groupBy(*keys, group).agg(
+        (F.sum(F.when(is_a, e)) - F.sum(F.when(is_b, e))).alias("total"), F.count_if(is_a).alias("count"), F.count_if(is_b).alias("_base")
     )
-    return e.groupBy(*keys, group).agg(F.sum(F.col("_a") - F.col("_b")).alias("total"), F.count("*").alias("count"))
+    return require(out, F.col("count") == F.col("_base"), "the models cover different rows").drop("_base")

@@ -19,7 +19,7 @@ def _cohort(spark, d):
 
 
 _LOEO = """z AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, l_suppkey % 8 AS g, l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem),
-  lam AS (SELECT unnest([0.0001, 0.001, 0.01, 0.1, 1.0, 10.0]) AS strength), gs AS (SELECT DISTINCT g FROM z),
+  lam AS (SELECT unnest(CAST([0.0001, 0.001, 0.01, 0.1, 1.0, 10.0] AS DOUBLE[])) AS strength), gs AS (SELECT DISTINCT g FROM z),
   inn AS (SELECT o.g AS og, i.g AS ig, avg(z.x) AS mx, avg(z.y) AS my, covar_pop(z.x, z.y) / var_pop(z.x) AS b FROM gs o JOIN gs i ON o.g <> i.g JOIN z ON z.g <> o.g AND z.g <> i.g GROUP BY 1, 2),
   sc AS (SELECT og, ig, strength, avg(abs(z.y - (my + (z.x - mx) * b / (1 + strength)))) AS mae FROM inn JOIN z ON z.g = ig CROSS JOIN lam GROUP BY 1, 2, 3),
   s2 AS (SELECT og, strength, avg(mae) AS score FROM sc GROUP BY 1, 2), ch AS (SELECT og, max(strength) AS strength FROM (SELECT *, min(score) OVER (PARTITION BY og) AS best FROM s2) WHERE score <= best + 1e-12 GROUP BY 1),
@@ -47,7 +47,7 @@ def paired_comparison_ci(spark, d):
     constant = sums.crossJoin(F.broadcast(whole)).select("grp", ((F.col("ts") - F.col("s")) / (F.col("tn") - F.col("n"))).alias("constant"))
     flat = base.join(F.broadcast(constant), "grp").select("row_id", "grp", "truth", F.col("constant").alias("prediction"))
     both = base.withColumn("model", F.lit("added")).unionByName(flat.withColumn("model", F.lit("base")))
-    stats = ridge.paired_comparison(both, [], "row_id", "grp", "base", "added").withColumnRenamed("grp", "group_idx").withColumn("cohort", F.lit(1))
+    stats = ridge.paired_comparison(both, [], "grp", "base", "added").withColumnRenamed("grp", "group_idx").withColumn("cohort", F.lit(1))
     i, j = F.col("draw"), F.col("slot")
     draws = spark.range(500).withColumnRenamed("id", "draw").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("group_idx", (i * 7919 + j * 104729 + (i * j) % 101) % 8)
     ci = O.bootstrap_interval(stats, draws, ["cohort"])
