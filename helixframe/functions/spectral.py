@@ -5,13 +5,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def fft_convolution(taps: list[float], chunk: int = 128):
     """A pandas UDF for causal convolution of array columns; ``chunk`` rows are transformed together."""
     h = np.asarray(taps, np.float64)
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(values: pd.Series) -> pd.Series:
         out: list = [None] * len(values)
         by_size: dict[int, list[int]] = {}
@@ -39,6 +40,6 @@ def to_bfloat16(x: np.ndarray) -> np.ndarray:
     return bits.astype(np.uint32).view(np.float32)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def bfloat16(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else to_bfloat16(np.asarray(v, np.float32)))
