@@ -73,5 +73,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+_ANY_CASE = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+#: kind, order, pattern, group of the value, its least length
+_SECRET_KINDS = (
+    ("assign", 0, rf"""({_ANY_CASE})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", 1, secrets.ACCESS, 0, 0), ("hex", 2, secrets.HEX, 0, 0), ("token", 3, secrets.TOKEN, 0, 0),
+)
+
+
+def _secrets_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    kinds = " UNION ALL ".join(
+        f"SELECT doc_id, source, '{kind}' AS kind, {order} AS ord, {least} AS least, regexp_extract_all(t, {quoted(pattern)}) AS ms, regexp_extract_all(t, {quoted(pattern)}, {group}) AS vs, regexp_split_to_array(t, {quoted(pattern)}) AS gaps FROM d"
+        for kind, order, pattern, group, least in _SECRET_KINDS
+    )
+    return f"""WITH d AS (SELECT doc_id, coalesce(source, chr(1)) AS source, coalesce(text, '') AS t FROM documents), m AS ({kinds}),
+      s AS (SELECT doc_id, source, kind, ord, vs[i] AS v, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS st, length(ms[i]) AS n
+        FROM (SELECT *, unnest(generate_series(1, len(ms))) AS i FROM m) WHERE length(vs[i]) >= least),
+      own AS (SELECT v, count(DISTINCT source) <= {secrets.MAX_OWNERS} AND count(DISTINCT doc_id) <= {secrets.MAX_REPOS} AS live FROM s GROUP BY v),
+      f AS (SELECT s.*, live, kind || ':' || st || ':' || (st + n) AS span FROM s JOIN own USING (v) WHERE kind <> 'token' OR live)
+      SELECT d.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+        sha256(coalesce(string_agg(span, ',' ORDER BY st, ord) FILTER (WHERE kind <> 'token'), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY st, ord), '') AS spans, count(*) FILTER (WHERE live) AS n_live
+      FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id"""
+
+
+_SUBSTRING_SQL = r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+  win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 12)) AS i FROM w)),
+  first AS (SELECT k, min(doc_id) AS f FROM win GROUP BY k), hit AS (SELECT doc_id, i FROM win JOIN first USING (k) WHERE f < doc_id),
+  gone AS (SELECT DISTINCT doc_id, i + j AS p FROM hit, (SELECT unnest(generate_series(0, 12)) AS j)),
+  word AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS p FROM w),
+  kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+  SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that it can express in whole."""
+    return {"op7_secret_scans": _secrets_sql(), "op9_substring_dedup": _SUBSTRING_SQL}
