@@ -151,3 +151,14 @@ def valid_series(v: Column, length: int, low: float = 0.0, high: float | None =
     """The array has ``length`` finite values in range."""
     ok = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")) & (x >= low) & (F.lit(True) if high is None else x <= high)
     return F.coalesce((F.size(v) == length) & F.forall(wide(v), ok), F.lit(False))
+
+
+def edge_slices(v: Column, centre: int, n: int = 256) -> dict[str, Column]:
+    """The first ``n`` values, and the last ``n`` before ``centre``."""
+    lo = max(0, centre - n)
+    return {"first": F.slice(v, 1, n), "before": F.slice(v, lo + 1, centre - lo)}
+
+
+def comparison(a: Column, b: Column) -> dict[str, Column]:
+    """Whether two arrays are equal, how many elements aren't, the largest gap and the relative distance."""
+    return {"equal": changed_count(a, b) == 0, "unequal": changed_count(a, b), "max_abs": max_abs_difference(a, b), "relative_l2": relative_l2(a, b)}

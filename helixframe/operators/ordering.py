@@ -128,3 +128,11 @@ def bootstrap_interval(stats: DataFrame, draw_table: DataFrame, keys: list[str],
 
 def interpretation(low: Column, high: Column) -> Column:
     return F.when(high < 0, "below zero").when(low > 0, "above zero").otherwise("includes zero")
+
+
+def capped_points(df: DataFrame, stage: list[str], channel: str, point: str, max_channels: int = 16, max_points: int = 4) -> DataFrame:
+    """Of each stage the first ``max_channels`` channels in order, and the first ``max_points`` points of all of those."""
+    channels = df.select(*stage, channel).distinct().withColumn("_c", F.row_number().over(Window.partitionBy(*stage).orderBy(channel)))
+    kept = df.join(channels.filter(F.col("_c") <= max_channels).drop("_c"), [*stage, channel], "left_semi")
+    w = Window.partitionBy(*stage).orderBy(channel, point)
+    return kept.withColumn("_p", F.row_number().over(w)).filter(F.col("_p") <= max_points).drop("_p")

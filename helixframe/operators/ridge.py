@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.functions.vectors import norm
 from helixframe.quality.checks import require
 
 #: Fixed value: the grid of regularisation strengths.
@@ -230,3 +231,15 @@ def paired_comparison(predictions: DataFrame, keys: list[str], group: str, base:
         (F.sum(F.when(is_a, e)) - F.sum(F.when(is_b, e))).alias("total"), F.count_if(is_a).alias("count"), F.count_if(is_b).alias("_base")
     )
     return require(out, F.col("count") == F.col("_base"), "the models cover different rows").drop("_base")
+
+
+def feature_frame(df: DataFrame, common: list[str], delta: str | None, reference: str | None, score: str | None) -> DataFrame:
+    """Scalars of the models: the common ones, norms of the two vectors, and an outside score where there is one."""
+    norms = {f"{v}_norm": norm(F.col(v)) for v in (delta, reference) if v}
+    return df.withColumns({**norms, **{c: F.col(c).cast("double") for c in (*common, *([score] if score else []))}})
+
+
+def point_contrasts(metrics: DataFrame, keys: list[str], side: str, added: str, base: str, names: list[str]) -> DataFrame:
+    """Differences of each metric between two values of ``side`` (two models, or purged and ordinary folds), without intervals."""
+    pick = lambda v, m: F.max(F.when(F.col(side) == v, F.col(m)))
+    return metrics.groupBy(*keys).agg(*[(pick(added, m) - pick(base, m)).alias(f"delta_{m}") for m in names])

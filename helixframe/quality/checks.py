@@ -102,3 +102,26 @@ def compatible(left: dict, right: dict, fields: list[str]) -> None:
     """Two runs' configurations agree in ``fields``."""
     if odd := [f for f in fields if left.get(f) != right.get(f)]:
         raise ValueError(f"runs differ in {odd}")
+
+
+def gate_chain(status: DataFrame, name: str, state: str, wanted: dict[str, str]) -> None:
+    """Raise unless every named step has reported exactly the state that is wanted of it."""
+    seen = {r[name]: r[state] for r in status.filter(F.col(name).isin(*wanted)).select(name, state).collect()}  # one row a step
+    if odd := {k: seen.get(k) for k, v in wanted.items() if seen.get(k) != v}:
+        raise ValueError(f"not ready: {odd}")
+
+
+def repeat_control(first: DataFrame, second: DataFrame, key: list[str], series: str) -> DataFrame:
+    """(key, equal, changed, first_position) of two runs of one reference input: any difference is the machine's."""
+    from helixframe.functions.vectors import changed_count, first_change
+
+    both = first.select(*key, F.col(series).alias("_a")).join(second.select(*key, F.col(series).alias("_b")), key)
+    out = both.select(*key, changed_count(F.col("_a"), F.col("_b")).alias("changed"), first_change(F.col("_a"), F.col("_b")).alias("first_position"))
+    return out.withColumn("equal", F.col("changed") == 0)
+
+
+def progress(done: int, planned: int, recent_seconds: list[float], window: int = 100) -> dict:
+    """A progress document: the rest at the mean of the last ``window`` timings."""
+    tail = recent_seconds[-window:]
+    mean = sum(tail) / len(tail) if tail else None
+    return {"completed": done, "planned": planned, "mean_seconds": mean, "remaining_seconds": None if mean is None else mean * max(0, planned - done)}

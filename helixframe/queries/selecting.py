@@ -118,3 +118,11 @@ def union_with_dataset_tag(spark, d):
     o = table(spark, d, "orders").filter("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
     l = table(spark, d, "lineitem").filter("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("id"), F.col("l_extendedprice").alias("price"), F.col("l_linestatus").alias("status_of_line"))
     return reshape.tagged_union({"orders": o, "lineitem": l}).select("dataset", "id", "price", "status_of_line")
+
+
+@query("""WITH s AS (SELECT doc_id, translate(upper(regexp_replace(left(text, 300), '[^A-Za-z]', '', 'g')), 'BDEFHIJKLMOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTA') AS seq FROM documents), w AS (SELECT doc_id, left(seq, 64) AS seq FROM s WHERE length(seq) >= 64)
+  SELECT doc_id, 'forward' AS view, sha256(seq) AS seq_sha256, 32 AS variant_index_0based FROM w UNION ALL SELECT doc_id, 'rc', sha256(reverse(translate(seq, 'ACGTN', 'TGCAN'))), 31 FROM w""")
+def orientation_pairs(spark, d):
+    seq = F.translate(F.upper(F.regexp_replace(F.left("text", F.lit(300)), "[^A-Za-z]", "")), "BDEFHIJKLMOPQRSUVWXYZ", "ACGTACGTACGTACGTACGTA")
+    s = table(spark, d, "documents").select("doc_id", seq.alias("seq")).filter(F.length("seq") >= 64)
+    return s.select("doc_id", F.explode(S.orientation_pair(F.left("seq", F.lit(64)), 32, 64)).alias("v")).select("doc_id", "v.view", F.sha2("v.sequence", 256).alias("seq_sha256"), "v.variant_index_0based")

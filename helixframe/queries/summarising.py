@@ -185,3 +185,27 @@ def storage_and_length_boundary(spark, d):
     return table(spark, d, "documents").agg(
         F.count("*").alias("forwards"), F.sum(n).alias("total_chars"), F.round(F.sum(n) / 1048576.0, 6).alias("mib"), F.min(F.when(n > 4000, n)).alias("min_failing"), F.max(F.when(n <= 4000, n)).alias("max_passing")
     )
+
+
+@query("""WITH c AS (SELECT DISTINCT o_orderstatus, o_custkey FROM orders), k AS (SELECT o_orderstatus, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_custkey) AS n FROM c) WHERE n <= 16)
+  SELECT o_orderstatus, o_custkey, o_orderkey FROM (SELECT o.*, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_custkey, o_orderkey) AS n FROM orders o SEMI JOIN k USING (o_orderstatus, o_custkey)) WHERE n <= 40""")
+def capped_channel_points(spark, d):
+    o = table(spark, d, "orders").select("o_orderstatus", "o_custkey", "o_orderkey")
+    return O.capped_points(o, ["o_orderstatus"], "o_custkey", "o_orderkey", 16, 40)
+
+
+@query("""SELECT l_returnflag, round(max(CASE WHEN l_linestatus = 'O' THEN m END) - max(CASE WHEN l_linestatus = 'F' THEN m END), 6) AS delta_m FROM (SELECT l_returnflag, l_linestatus, avg(l_extendedprice) AS m FROM lineitem GROUP BY 1, 2) GROUP BY 1""")
+def point_contrast(spark, d):
+    from helixframe.operators.ridge import point_contrasts
+
+    m = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.avg("l_extendedprice").alias("m"))
+    return rounded(point_contrasts(m, ["l_returnflag"], "l_linestatus", "O", "F", ["m"]), ["delta_m"])
+
+
+@query("""SELECT event_id, user_id, round(mean_100 * greatest(1000 - n, 0), 6) AS remaining FROM (SELECT event_id, user_id, row_number() OVER w AS n, avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS mean_100 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE n % 50 = 0""")
+def remaining_time(spark, d):
+    from pyspark.sql import Window
+
+    e = A.trailing_mean(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value", 100, "mean_100").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    out = e.filter("n % 50 = 0").select("event_id", "user_id", A.remaining_seconds(F.col("mean_100"), F.col("n"), F.lit(1000)).alias("remaining"))
+    return rounded(out, ["remaining"])

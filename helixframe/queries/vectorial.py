@@ -138,3 +138,11 @@ def native_versus_corrected(spark, d):
     z = joins.zipped_positions(pairs(spark, d), ["label"], {"a": F.col("a"), "r": F.col("r")})
     c = z.groupBy("label", "position").agg(safe_corr(F.col("a"), F.col("r")).alias("c"))
     return rounded(c.groupBy("label").agg(F.count("*").alias("positions"), F.avg("c").alias("mean_correlation")), ["mean_correlation"])
+
+
+@query(f"""WITH {_PAIR}, q AS (SELECT vec_id, a[17:32] AS a, r[17:32] AS r FROM p)
+  SELECT vec_id, a = r AS equal, len(list_filter({_D}, lambda x: x <> 0)) AS unequal, round(list_max(list_transform({_D}, lambda x: abs(x))), 6) AS max_abs, round({_NORM.format(_D)} / greatest({_NORM.format('r')}, 1e-30), 6) AS relative_l2 FROM q""")
+def tensor_comparison(spark, d):
+    p = pairs(spark, d).select("vec_id", V.edge_slices(F.col("a"), 32, 16)["before"].alias("a"), V.edge_slices(F.col("r"), 32, 16)["before"].alias("r"))
+    c = V.comparison(F.col("a"), F.col("r"))
+    return rounded(p.select("vec_id", *[x.alias(k) for k, x in c.items()]).withColumn("unequal", F.col("unequal").cast("long")), ["max_abs", "relative_l2"])
