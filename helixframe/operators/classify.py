@@ -29,11 +29,10 @@ def variant_class(ref: Column, alt: Column) -> Column:
     )
 
 
-def site_category(site_type: Column, offset: Column) -> Column:
-    """Where an offset in transcript direction lies; the first two intronic bases are the dinucleotide."""
-    donor = ordered_rules([(offset.isin(1, 2), "canonical_donor_dinucleotide"), (offset > 0, "donor_intronic_flank")], "donor_exonic_flank")
-    acceptor = ordered_rules([(offset.isin(-1, -2), "canonical_acceptor_dinucleotide"), (offset < 0, "acceptor_intronic_flank")], "acceptor_exonic_flank")
-    return F.when(site_type == "donor", donor).otherwise(acceptor)
+def site_category(site_type: Column, offset: Column, near: int = 20) -> Column:
+    """Where an offset in transcript direction lies: the two intronic bases at the site, its exonic base, nearby or beyond."""
+    canonical = ((site_type == "donor") & offset.isin(1, 2)) | ((site_type == "acceptor") & offset.isin(-1, -2))
+    return ordered_rules([(canonical, "canonical_intronic"), (offset == 0, "exonic_boundary"), (F.abs(offset) <= near, "nearby")], "distant")
 
 
 def in_list(delimited: Column, value: Column | str, separator: str = r"\|") -> Column:

@@ -60,18 +60,18 @@ def top_labels(df: DataFrame, key: str, metrics: list[tuple[str, str]], k: int,
 
 
 def matched_controls(chosen: DataFrame, pool: DataFrame, key: str, group: list[str], locus: str, metric: str) -> DataFrame:
-    """(key, control): for each chosen row in turn an unused row of its group nearest in metric, at another locus if any is.
+    """(key, control): for each chosen row in turn an unused row of its group, at the same locus if any is, of least metric.
 
     Sequential by nature: a control that an earlier row took is gone. Groups are
     independent, so each is one task; the chosen rows of a group are few by construction
-    (a top-k), and of the pool only the nearest candidates travel: a row can lose at most
+    (a top-k), and of the pool only the first candidates travel: a row can lose at most
     as many candidates as there are chosen rows in its group.
     """
-    c = chosen.select(*group, F.col(key).alias("chosen"), F.col(locus).alias("locus_"), F.col(metric).alias("metric_"), "ordinal")
+    c = chosen.select(*group, F.col(key).alias("chosen"), F.col(locus).alias("locus_"), "ordinal")
     p = pool.join(chosen.select(key), key, "left_anti").filter(F.col(metric).isNotNull()).select(*group, F.col(key).alias("candidate"), F.col(locus).alias("_locus"), F.col(metric).alias("_metric"))
     size = chosen.groupBy(*group).agg(F.count("*").alias("size"))
-    measured = c.join(p, group).join(size, group).withColumns({"same": (F.col("locus_") == F.col("_locus")).cast("int"), "gap": F.abs(F.col("metric_") - F.col("_metric"))})
-    w = Window.partitionBy(*group, "chosen").orderBy("same", "gap", "candidate")
+    measured = c.join(p, group).join(size, group).withColumn("elsewhere", (F.col("locus_") != F.col("_locus")).cast("int"))
+    w = Window.partitionBy(*group, "chosen").orderBy("elsewhere", "_metric", "candidate")
     near = measured.withColumn("rank", F.row_number().over(w)).filter("rank <= size").select(*group, "chosen", "ordinal", "candidate", "rank")
     schema = f"{key} {dict(chosen.dtypes)[key]}, control {dict(pool.dtypes)[key]}"
 

@@ -107,10 +107,10 @@ def scalar_kernel(values: np.ndarray, train: np.ndarray, test: np.ndarray) -> tu
     return a @ a.T / live.sum(), b @ a.T / live.sum(), True
 
 
-def averaged(blocks: list[tuple[np.ndarray, np.ndarray, bool]]) -> tuple[np.ndarray, np.ndarray]:
-    """Mean of the active kernels; zeros if none is."""
-    live = [b for b in blocks if b[2]] or blocks[:1]
-    return sum(b[0] for b in live) / len(live), sum(b[1] for b in live) / len(live)
+def averaged(blocks: list[tuple[np.ndarray, np.ndarray, bool]]) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Mean of the active kernels; zeros, and inactive, if none is."""
+    live = [b for b in blocks if b[2]] or [(np.zeros_like(blocks[0][0]), np.zeros_like(blocks[0][1]), False)]
+    return sum(b[0] for b in live) / len(live), sum(b[1] for b in live) / len(live), live[0][2]
 
 
 def directions(x: np.ndarray) -> np.ndarray:
@@ -122,22 +122,23 @@ def directions(x: np.ndarray) -> np.ndarray:
 MODELS = ("scalar", "duplicate_scalar", "signed", "reference", "unit_direction", "vector_only")
 
 
-def model_kernels(model: str, scalars: np.ndarray, vectors: np.ndarray, reference: np.ndarray | None, train: np.ndarray, test: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def model_kernels(model: str, scalars: np.ndarray, vectors: list[np.ndarray], reference: list[np.ndarray] | None, train: np.ndarray, test: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Train and test kernels of a model. Views of one vector (both strands) are averaged before they meet the scalars."""
     base = scalar_kernel(scalars, train, test)
     if model == "scalar":
-        return averaged([base])
+        return averaged([base])[:2]
     if model == "duplicate_scalar":
-        return averaged([base, base])
-    x = {"signed": vectors, "vector_only": vectors, "reference": reference, "unit_direction": directions(vectors)}[model].astype(float)
-    block = centred_gram(x @ x.T, train, test, x)
-    return averaged([block] if model == "vector_only" else [base, block])
+        return averaged([base, base])[:2]
+    views = {"signed": vectors, "vector_only": vectors, "reference": reference, "unit_direction": [directions(v) for v in vectors]}[model]
+    block = averaged([centred_gram(x @ x.T, train, test, x) for x in views])
+    return (block if model == "vector_only" else averaged([base, block]))[:2]
 
 
 def ridge_grid(ktt: np.ndarray, kxt: np.ndarray, y: np.ndarray, lambdas=LAMBDAS) -> np.ndarray:
     """Predictions (lambda, row) from one eigendecomposition; the intercept is the train mean, nothing is clipped."""
     n, mean = len(y), y.mean()
     value, vector = np.linalg.eigh((ktt + ktt.T) / 2)
-    if value.min() < -1e-8 * max(1.0, value.max()):
+    if value.min() < -1e-10 * max(1.0, np.abs(value).max()):
         raise ValueError("the kernel isn't positive semidefinite")
     value = np.maximum(value, 0.0)
     right = vector.T @ (y - mean)
@@ -181,7 +182,7 @@ def outer_fold(fold, y: np.ndarray, groups: np.ndarray, kernels: Callable[[np.nd
 
 
 def nested_loeo(
-    df: DataFrame, keys: list[str], group: str, row_id: str, y: str, scalars: list[str], vector: str | None = None, reference: str | None = None,
+    df: DataFrame, keys: list[str], group: str, row_id: str, y: str, scalars: list[str], vector: list[str] = [], reference: list[str] = [],
     models: tuple[str, ...] = ("scalar", "signed"), span: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Held-out predictions of every (keys, model, fold): (keys, model, group, row_id, truth, prediction, lambda, gap, train_n, purged_n).
@@ -191,7 +192,7 @@ def nested_loeo(
     the task of each fold; cohorts are a few hundred rows by nature, and the folds of all
     cohorts and models run side by side.
     """
-    columns = [*keys, group, row_id, y, *scalars, *([vector] if vector else []), *([reference] if reference else []), *(span or ())]
+    columns = [*keys, group, row_id, y, *scalars, *vector, *reference, *(span or ())]
     cohort = df.select(*dict.fromkeys(columns))
     folds = cohort.select(*keys, F.col(group).alias("_fold")).distinct().withColumn("model", F.explode(F.array(*map(F.lit, models))))
     types = dict(cohort.dtypes)
@@ -202,9 +203,8 @@ def nested_loeo(
         g, t = rows[group].to_numpy(), rows[y].to_numpy(float)
         fold, model = rows["_fold"].iloc[0], rows["model"].iloc[0]
         s = rows[scalars].to_numpy(float) if scalars else np.zeros((len(rows), 0))
-        v = np.stack(rows[vector].to_list()).astype(float) if vector else np.zeros((len(rows), 1))
-        r = np.stack(rows[reference].to_list()).astype(float) if reference else None
-        if not (np.isfinite(s).all() and np.isfinite(t).all() and np.isfinite(v).all()):
+        v, r = ([np.stack(rows[c].to_list()).astype(float) for c in names] for names in (vector, reference))
+        if not all(np.isfinite(x).all() for x in (s, t, *v, *r)):
             raise ValueError("features and outcomes must be finite")
         allowed = None
         if span:

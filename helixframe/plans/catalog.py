@@ -38,7 +38,7 @@ def junctions(exon_table: DataFrame, genome: DataFrame) -> DataFrame:
     start = F.when(plus, F.col("exon_end_1based")).otherwise(F.col("next_exon_end_1based")) + 1
     end = F.when(plus, F.col("next_exon_start_1based")).otherwise(F.col("exon_start_1based")) - 1
     j = pairs.select(
-        "gene", "transcript", "chromosome", "strand", F.concat(F.lit("J"), F.lpad(F.col("exon_number").cast("string"), 2, "0")).alias("junction_id"),
+        "gene", "transcript", "chromosome", "strand", F.concat(F.col("gene"), F.lit("_J"), F.lpad(F.col("exon_number").cast("string"), 2, "0")).alias("junction_id"),
         F.col("exon_number").alias("upstream_exon"), F.col("next_exon_number").alias("downstream_exon"), start.alias("intron_start_1based"), end.alias("intron_end_1based"),
     ).filter(F.coalesce(F.assert_true(end >= start, F.lit("exons out of order")).cast("boolean"), F.lit(True)))
     first, last, sign = F.col("intron_start_1based"), F.col("intron_end_1based"), F.when(plus, 1).otherwise(-1)
@@ -65,9 +65,12 @@ def signed_offset(position: Column, site: Column, strand: Column) -> Column:
     return (position - site) * F.when(strand == "+", 1).otherwise(-1)
 
 
-def annotated_variants(vcf: DataFrame, gene_table: DataFrame, junction_table: DataFrame, genome: DataFrame) -> DataFrame:
+def annotated_variants(vcf: DataFrame, gene_table: DataFrame, junction_table: DataFrame, genome: DataFrame, gene_ids: dict[str, int] | None = None) -> DataFrame:
     """Variants that overlap a gene, classified, checked against the reference, with the nearest site of SNVs.
 
+    ``gene_ids`` gives each gene's database id: GENEINFO must then hold exactly GENE:ID,
+    else an entry for the gene's symbol is enough.
+
     Every other class has NULLs for the nearest site; of sites at equal distance the
     first by junction and type counts.
     """
@@ -75,13 +78,18 @@ def annotated_variants(vcf: DataFrame, gene_table: DataFrame, junction_table: Da
     spans = gene_table.select("chromosome", "gene", "strand", "gene_start_1based", "gene_end_1based", "transcript", "transcript_start_1based", "transcript_end_1based")
     hit = joins.overlap_join(v, spans, ["chromosome"], ("position_1based", "variant_end_1based"), ("gene_start_1based", "gene_end_1based"), 1 << 17)
     g = genome.select(F.regexp_replace("name", "^chr", "").alias("chromosome"), "sequence")
-    geneinfo = F.transform(F.split(F.coalesce(F.try_element_at("info", F.lit("GENEINFO")), F.lit("")), r"\|"), lambda x: F.substring_index(x, ":", 1))
+    listed = F.coalesce(F.try_element_at("info", F.lit("GENEINFO")), F.lit(""))
+    if gene_ids:
+        entry = classify.ordered_rules([(F.col("gene") == g, f"{g}:{i}") for g, i in gene_ids.items()], None)
+        named_gene = F.coalesce(classify.in_list(listed, entry), F.lit(False))
+    else:
+        named_gene = F.array_contains(F.transform(F.split(listed, r"\|"), lambda x: F.substring_index(x, ":", 1)), F.col("gene"))
     info = lambda k: F.try_element_at("info", F.lit(k))
     named = hit.join(g, "chromosome").select(
         "gene", "chromosome", "strand", "position_1based", "id", "ref", "alt", "row", "alt_index", "transcript",
         classify.variant_class(F.col("ref"), F.col("alt")).alias("variant_class"),
         S.matches_reference(F.col("sequence"), F.col("position_1based").cast("int"), F.col("ref")).alias("ref_matches_genome"),
-        F.array_contains(geneinfo, F.col("gene")).alias("geneinfo_matches_gene"),
+        named_gene.alias("geneinfo_matches_gene"),
         F.col("position_1based").between(F.col("transcript_start_1based"), F.col("transcript_end_1based")).alias("within_transcript"),
         info("CLNSIG").alias("significance"), info("CLNREVSTAT").alias("review_status"), info("MC").alias("consequence"),
     )
@@ -118,4 +126,4 @@ def saturation(junction_table: DataFrame, genome: DataFrame, existing: DataFrame
 
 def catalog_outputs() -> dict[str, Column]:
     """What each output table of the catalog holds."""
-    return {"all": F.lit(True), "experiment_ready": eligible(), "nearby": eligible() & (F.abs("offset_in_transcript") <= 20), "dinucleotide": eligible() & F.col("site_category").contains("dinucleotide")}
+    return {"all": F.lit(True), "experiment_ready": eligible(), "nearby": eligible() & (F.abs("offset_in_transcript") <= 20), "dinucleotide": eligible() & (F.col("site_category") == "canonical_intronic")}

@@ -9,13 +9,13 @@ from helixframe.functions import sequences as S
 from helixframe.functions import vectors as V
 from helixframe.operators import aggregates, classify, joins, ordering, reshape
 
-GROUP_ORDER = ["essential", "nearby", "other_snv"]
+GROUP_ORDER = ["splice_dinucleotide", "splice_nearby_20bp", "other_snv"]
 
 
 def run_plan(variants: DataFrame, nearby: DataFrame, dinucleotide: DataFrame, key: list[str], length: int, limit: int = 0, retain: int = 0) -> DataFrame:
     """Variants in order of priority, position and allele, with run_id, window and whether raw arrays are kept."""
-    sets = [("essential", dinucleotide), ("nearby", nearby)]
-    p = classify.priority_by_membership(variants, key, sets, "other_snv", "screen_group")
+    sets = [(GROUP_ORDER[0], dinucleotide), (GROUP_ORDER[1], nearby)]
+    p = classify.priority_by_membership(variants, key, sets, GROUP_ORDER[2], "screen_group")
     order = [ordering.by_priority(F.col("screen_group"), GROUP_ORDER), F.col("position_1based"), F.col("ref"), F.col("alt")]
     first = ordering.first_rows(p, order, limit)
     start = F.col("position_1based") - length // 2
@@ -52,7 +52,7 @@ def candidates(summary: DataFrame, key: str, group: list[str], locus: str, metri
 
     chosen = chosen.withColumn("ordinal", F.row_number().over(Window.orderBy(F.desc(control_metric), key)))
     controls = ordering.matched_controls(chosen, summary, key, group, locus, control_metric)
-    marked = controls.select(F.col("control").alias(key), F.concat(F.lit("control_for:"), F.col(key)).alias("labels"))
+    marked = controls.select(F.col("control").alias(key), F.concat(F.lit("comparison_for:"), F.col(key)).alias("labels"))
     return chosen.select(key, "labels").unionByName(marked)
 
 

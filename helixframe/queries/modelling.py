@@ -61,6 +61,6 @@ def loeo_multi_feature(spark, d):
     """Scalar, duplicate and signed models over the embeddings' labels: metrics of each model and the largest solver gap."""
     v = F.col("embedding")
     e = table(spark, d, "embeddings").select("vec_id", "label", V.norm(v).alias("norm"), V.mean(v).alias("level"), V.wide(v).alias("v"), (10 * F.get(V.wide(v), F.lit(0)) + 3 * F.get(V.wide(v), F.lit(5))).alias("y"))
-    p = ridge.nested_loeo(e, [], "label", "vec_id", "y", ["norm", "level"], "v", models=("scalar", "duplicate_scalar", "signed", "unit_direction"))
+    p = ridge.nested_loeo(e, [], "label", "vec_id", "y", ["norm", "level"], ["v"], models=("scalar", "duplicate_scalar", "signed", "unit_direction"))
     m = A.metric_bundle(p, ["model"], "label", "truth", "prediction").join(p.groupBy("model").agg(F.max("gap").alias("max_gap")), "model")
     return rounded(m, ["mae", "macro_mae", "rmse"], 6).select("model", "n", "mae", "macro_mae", "rmse", (F.col("max_gap") < 1e-7).alias("solvers_agree"))

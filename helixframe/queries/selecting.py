@@ -35,11 +35,10 @@ def variant_class_rules(spark, d):
     return v.select("doc_id", classify.variant_class(F.col("ref"), F.col("alt")).alias("variant_class"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CASE WHEN off IN (1, 2) THEN 'canonical_donor_dinucleotide' WHEN off > 0 THEN 'donor_intronic_flank' ELSE 'donor_exonic_flank' END
-  ELSE CASE WHEN off IN (-1, -2) THEN 'canonical_acceptor_dinucleotide' WHEN off < 0 THEN 'acceptor_intronic_flank' ELSE 'acceptor_exonic_flank' END END AS site_category
-  FROM (SELECT event_id, CAST(event_id % 41 AS INTEGER) - 20 AS off FROM events)""")
+@query("""SELECT event_id, CASE WHEN (event_id % 2 = 0 AND off IN (1, 2)) OR (event_id % 2 = 1 AND off IN (-1, -2)) THEN 'canonical_intronic' WHEN off = 0 THEN 'exonic_boundary' WHEN abs(off) <= 20 THEN 'nearby' ELSE 'distant' END AS site_category
+  FROM (SELECT event_id, CAST(event_id % 61 AS INTEGER) - 30 AS off FROM events)""")
 def site_category_rules(spark, d):
-    e = table(spark, d, "events").select("event_id", ((F.col("event_id") % 41).cast("int") - 20).alias("off"), F.when(F.col("event_id") % 2 == 0, "donor").otherwise("acceptor").alias("kind"))
+    e = table(spark, d, "events").select("event_id", ((F.col("event_id") % 61).cast("int") - 30).alias("off"), F.when(F.col("event_id") % 2 == 0, "donor").otherwise("acceptor").alias("kind"))
     return e.select("event_id", classify.site_category(F.col("kind"), F.col("off")).alias("site_category"))
 
 

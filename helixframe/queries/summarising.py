@@ -132,7 +132,7 @@ def two_metric_topk_labels(spark, d):
   pool AS (SELECT * FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM top)),
   step AS (SELECT CAST(0 AS BIGINT) AS i, p_brand, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS p_partkey, CAST(NULL AS BIGINT) AS control FROM (SELECT DISTINCT p_brand FROM top)
     UNION ALL SELECT t.i, t.p_brand, list_append(s.used, pick.k), t.p_partkey, pick.k FROM step s JOIN top t ON t.p_brand = s.p_brand AND t.i = s.i + 1,
-    LATERAL (SELECT arg_min(p.p_partkey, (CASE WHEN p.p_size = t.p_size THEN 1 ELSE 0 END, abs(p.p_retailprice - t.p_retailprice), p.p_partkey)) AS k FROM pool p WHERE p.p_brand = t.p_brand AND NOT list_contains(s.used, p.p_partkey)) pick)
+    LATERAL (SELECT arg_min(p.p_partkey, (CASE WHEN p.p_size = t.p_size THEN 0 ELSE 1 END, p.p_retailprice, p.p_partkey)) AS k FROM pool p WHERE p.p_brand = t.p_brand AND NOT list_contains(s.used, p.p_partkey)) pick)
   SELECT p_partkey, control FROM step WHERE i > 0 AND control IS NOT NULL""")
 def greedy_matched_controls(spark, d):
     p = table(spark, d, "part")

@@ -77,8 +77,8 @@ def test_readers(spark, files):
 
 def test_junctions(built):
     j = {(r["gene"], r["junction_id"]): r for r in built[2].collect()}
-    assert set(j) == {("A", "J01"), ("A", "J02"), ("B", "J01")}
-    a, b = j["A", "J01"], j["B", "J01"]
+    assert set(j) == {("A", "A_J01"), ("A", "A_J02"), ("B", "B_J01")}
+    a, b = j["A", "A_J01"], j["B", "B_J01"]
     assert (a["intron_start_1based"], a["intron_end_1based"], a["donor_exonic_base_1based"], a["acceptor_exonic_base_1based"]) == (201, 300, 200, 301)
     assert a["donor_dinucleotide"] == SEQ[200:202] and a["acceptor_dinucleotide"] == SEQ[298:300]
     assert (b["donor_exonic_base_1based"], b["acceptor_exonic_base_1based"]) == (1501, 1400)
@@ -90,11 +90,11 @@ def test_catalog(built):
     v = {(r["id"], r["alt_index"]): r for r in built[3].collect()}
     assert set(v) == {("v1", 0), ("v1", 1), ("v2", 0), ("v3", 0), ("v4", 0), ("v5", 0), ("v7", 0)}
     one = v["v1", 0]
-    assert (one["variant_class"], one["site_type"], one["offset_in_transcript"], one["site_category"]) == ("SNV", "donor", 1, "canonical_donor_dinucleotide")
+    assert (one["variant_class"], one["site_type"], one["offset_in_transcript"], one["site_category"]) == ("SNV", "donor", 1, "canonical_intronic")
     assert v["v1", 1]["variant_class"] == "insertion" and v["v1", 1]["site_1based"] is None
     assert v["v4", 0]["variant_class"] == "MNV" and not v["v4", 0]["geneinfo_matches_gene"]
     assert v["v5", 0]["ref_matches_genome"] is False and v["v7", 0]["variant_class"] == "deletion" and v["v7", 0]["within_transcript"] is False
-    assert v["v2", 0]["junction_id"] == "J01" and v["v2", 0]["distance"] == 50 and v["v2", 0]["site_type"] == "donor"
+    assert v["v2", 0]["junction_id"] == "A_J01" and v["v2", 0]["distance"] == 50 and v["v2", 0]["site_type"] == "donor"
     assert v["v3", 0]["site_type"] == "acceptor" and v["v3", 0]["offset_in_transcript"] == 2
     near = {(r["id"], r["near_site_type"]) for r in catalog.nearby_sites(built[3], built[2]).collect()}
     assert near == {("v1", "donor"), ("v3", "acceptor")}
@@ -129,9 +129,9 @@ def test_windows_from_chunks(spark, built):
 def test_plan_score_and_summary(spark, built):
     _, _, _, v = built
     e = v.filter(catalog.eligible())
-    plan = screen.run_plan(e, e.filter("abs(offset_in_transcript) <= 20"), e.filter("site_category like '%dinucleotide%'"), ["id"], 64, retain=1)
+    plan = screen.run_plan(e, e.filter("abs(offset_in_transcript) <= 20"), e.filter("site_category = 'canonical_intronic'"), ["id"], 64, retain=1)
     rows = {r["id"]: r for r in plan.collect()}
-    assert {k: r["screen_group"] for k, r in rows.items()} == {"v1": "essential", "v2": "other_snv", "v3": "nearby"}
+    assert {k: r["screen_group"] for k, r in rows.items()} == {"v1": "splice_dinucleotide", "v2": "other_snv", "v3": "splice_nearby_20bp"}
     assert [k for k, r in rows.items() if r["retain_raw"]] == ["v1"]
     pairs = spark.createDataFrame([(1, "ACGTACGT", "ACGAACGT"), (2, "ACGTACGT", "ACGCACGT")], "k long, r string, a string")
     fx = {r["k"]: r for r in scorer.allele_effects(pairs, "r", "a", ["k"]).collect()}

@@ -57,7 +57,7 @@ def test_nulls_do_not_rank_and_controls_are_used_once(spark):
     assert {r["id"] for r in ordering.top_labels(df, "id", [("m", "top")], 9).collect()} == set("abcdf")
     top = df.filter("id in ('a', 'b')").withColumn("ordinal", F.when(F.col("id") == "a", 1).otherwise(2))
     got = {r["id"]: r["control"] for r in ordering.matched_controls(top, df, "id", ["grp"], "locus", "m").collect()}
-    assert got == {"a": "d", "b": "c"}  # c shares a's locus, and d is taken when b's turn comes
+    assert got == {"a": "c", "b": "d"}  # c shares a's locus; it is gone when b's turn comes, and e has no metric
 
 
 def test_every_kth_over_partitions(spark):
@@ -110,7 +110,7 @@ def cohort(seed=1, groups=6, per=5):
 
 def test_duplicate_is_exact_and_held_out_rows_do_not_leak():
     y, g, s, v = cohort()
-    fold = lambda m, y, v: ridge.outer_fold(2, y, g, lambda a, b: ridge.model_kernels(m, s, v, None, a, b))
+    fold = lambda m, y, v: ridge.outer_fold(2, y, g, lambda a, b: ridge.model_kernels(m, s, [v], None, a, b))
     assert (fold("scalar", y, v)["prediction"] == fold("duplicate_scalar", y, v)["prediction"]).all()
     base = fold("signed", y, v)
     moved = y.copy()
@@ -127,7 +127,7 @@ def test_purged_rows_do_not_train(spark):
     start = np.arange(len(y)) * 4
     rows = [(i, int(g[i]), float(y[i]), float(s[i, 0]), [float(z) for z in v[i]], int(start[i]), int(start[i] + 9)) for i in range(len(y))]
     schema = "id int, g int, y double, x double, v array<double>, a int, b int"
-    run = lambda r: {x["id"]: x for x in ridge.nested_loeo(spark.createDataFrame(r, schema), [], "g", "id", "y", ["x"], "v", models=("signed",), span=("a", "b")).collect()}
+    run = lambda r: {x["id"]: x for x in ridge.nested_loeo(spark.createDataFrame(r, schema), [], "g", "id", "y", ["x"], ["v"], models=("signed",), span=("a", "b")).collect()}
     base = run(rows)
     held = [r for r in rows if r[1] == 2]
     purged = {r[0] for r in rows if r[1] != 2 and any(r[5] <= h[6] and r[6] >= h[5] for h in held)}
@@ -142,7 +142,7 @@ def test_one_feature_closed_form_equals_kernel(spark):
     df = spark.createDataFrame([(i, int(g[i]), float(s[i, 0] + 50), float(y[i])) for i in range(len(y))], "id int, g int, x double, y double")
     closed = {r["id"]: (r["prediction"], r["lambda"]) for r in ridge.loeo_one_feature(df, [], "g", "x", "y").collect()}
     for fold in range(6):
-        f = ridge.outer_fold(fold, y, g, lambda a, b: ridge.model_kernels("scalar", s[:, :1] + 50, s, None, a, b))
+        f = ridge.outer_fold(fold, y, g, lambda a, b: ridge.model_kernels("scalar", s[:, :1] + 50, [s], None, a, b))
         for i, p in zip(f["rows"], f["prediction"]):
             assert closed[i][0] == pytest.approx(p, abs=1e-9) and closed[i][1] == f["lambda"]
 
