@@ -22,6 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables this process has written and not yet dropped.
+_LIVE: set[str] = set()
+
+
 class Written:
     """A table written to the shared folder; ``df`` reads it, ``drop`` deletes it."""
 
@@ -29,11 +33,25 @@ class Written:
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/helixframe-{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
+        _LIVE.add(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, self.path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    _LIVE.discard(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete every intermediate table of this process, once results that read them are written; returns how many."""
+    paths = sorted(_LIVE)
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
