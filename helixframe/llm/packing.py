@@ -13,7 +13,8 @@ plain best-fit decreasing and the one with fewer sequences is taken.
 
 The plan names, for each length, ranges of ranks and the sequences they fill. Ranks come
 from counting within (length, salt): a hot length is spread over as many salts as its
-count needs, so no window holds more than ``rank_block`` rows or so.
+count needs, so no window holds more than ``rank_block`` rows or so (by default a quarter
+of a shuffle partition's share).
 
 Null text is an empty document: one piece with only the closing id. Repeated rows are
 packed as often as they occur. Rows with a null doc_id are packed too. An empty table
@@ -230,13 +231,15 @@ def _slots(groups: list[tuple[list[tuple[int, int]], int]]) -> dict[int, np.ndar
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, rank_block: int = 50_000) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY, rank_block: int | None = None) -> DataFrame:
     """``parts`` (doc_id, piece, length, ...) with sequence_id and offset."""
     spark = parts.sparkSession
     counted = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     if not counted:
         return parts.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
     slots = _slots(plan(counted, capacity))
+    # windows of about a quarter of a shuffle partition, whatever the lengths
+    rank_block = rank_block or -(-sum(counted.values()) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     salts = {k: -(-n // rank_block) for k, n in counted.items()}
     salt_of = spark.createDataFrame([(k, n) for k, n in salts.items()], "length long, salts int")
     salted = parts.join(F.broadcast(salt_of), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("salts"))).drop("salts")

@@ -53,7 +53,7 @@ def repeated_words(words: Column, window: int = REPEAT_WINDOW) -> Column:
 def features(docs: DataFrame, carried: Column | None = None) -> DataFrame:
     """doc_id with the base counts and the shares that rules can test; one row for each row of ``docs``.
 
-    ``carried`` is a column to keep beside them, as ``carried``, with ``_once`` for filters.
+    ``carried`` is a column to keep beside them, as ``carried``.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     extra = [] if carried is None else ["carried"]
@@ -70,8 +70,6 @@ def features(docs: DataFrame, carried: Column | None = None) -> DataFrame:
         (F.length("text") - F.length(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_upper"),
         (F.length("text") - F.length(F.translate("text", "!?", ""))).cast("long").alias("n_marks"),
         (F.length("text") - F.length(F.translate("text", "0123456789", ""))).cast("long").alias("n_digits"),
-        # a filter that also tests this stays above the counts, instead of holding a copy of each
-        F.monotonically_increasing_id().alias("_once"),
     )
     per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     return counted.select(
@@ -80,7 +78,7 @@ def features(docs: DataFrame, carried: Column | None = None) -> DataFrame:
         per("n_dup_lines", "n_lines").alias("dup_line_share"), per("n_repeat_words", "n_words").alias("repeat_share"),
         per("n_upper", "word_chars").alias("upper_share"), per("n_marks", "n_words").alias("marks_per_word"),
         per("n_digits", "word_chars").alias("digit_share"), per("n_words", "n_lines").alias("words_per_line"),
-    ).drop(*([] if extra else ["_once"]))
+    )
 
 
 #: What rules may test.
@@ -207,18 +205,18 @@ def label_rows(feats: DataFrame, labels: DataFrame) -> DataFrame:
     return feats.filter(~base_failed()).join(known, "doc_id").withColumn("held", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).cast("int"))
 
 
-def judged(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DecisionList]:
+def judged(docs: DataFrame, labels: DataFrame, carried: Column | None = None) -> tuple[DataFrame, DecisionList]:
     """(features, base_failed and kept of each row; the decision list that was learned)."""
-    feats = written(features(docs), "features")
-    rules = learn(written(label_rows(feats, labels), "labelled"))
+    feats = written(features(docs, carried), "features")
+    rules = learn(written(label_rows(feats.drop("carried"), labels), "labelled"))
     return feats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & rules.keeps()), rules
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that the rules reject; rows that repeat a doc_id are judged by their own text.
 
-    The features are made again beside the text, so no text crosses a shuffle.
+    Rows are written once beside their features, so texts are counted once and cross no
+    shuffle.
     """
-    _, rules = judged(docs, labels)
-    beside = features(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    return beside.filter(~base_failed() & rules.keeps() & (F.col("_once") >= 0)).select("carried.*")
+    found, _ = judged(docs, labels, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    return found.filter("kept").select("carried.*")

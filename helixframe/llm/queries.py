@@ -54,7 +54,7 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.with_probabilities(table(spark, sf_dir, "documents"))
+    found = mixing.with_probabilities(table(spark, sf_dir, "documents"), keep=["doc_id", "source", "lang"])
     return found.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "sampled")
 
 

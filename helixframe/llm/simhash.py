@@ -228,7 +228,8 @@ def one_of_each(docs: DataFrame, words: int = 3, most: int = 3, lower: bool = Tr
     found = near_duplicates(docs.select("doc_id", "text"), words, most, lower).filter("doc_id is not null")
     kept = written(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")), "kept")
     named = kept.withColumnRenamed("doc_id", "_kept")
-    stay = docs.join(named, F.col("doc_id").cast("long") == F.col("_kept"))
+    # texts cross one shuffle at every size: the ids kept grow with the corpus, so they are never broadcast
+    stay = docs.hint("merge").join(named.hint("merge"), F.col("doc_id").cast("long") == F.col("_kept"))
     out = stay.filter("_rows = 1").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
     if kept.filter("_rows > 1").limit(1).count():
         out = out.unionByName(stay.filter("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id"]))

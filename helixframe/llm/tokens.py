@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm.batches import text_chunks
+from helixframe.llm.storage import written
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Fixed value: the tokenizer file's pre-tokenizer pattern.
@@ -129,7 +130,7 @@ def length_histogram(counts: DataFrame, column: str = "n_tokens") -> DataFrame:
     return counts.groupBy(F.col(column).alias("length")).agg(F.count("*").alias("n_docs"))
 
 
-def suffix_sums(histogram: DataFrame, block: int = 4096) -> DataFrame:
+def suffix_sums(histogram: DataFrame, block: int = 256) -> DataFrame:
     """What every context limit asks, one row for each length of the histogram.
 
     For limit = length: ``docs_at_least`` and ``tokens_at_least`` over documents of this
@@ -138,9 +139,10 @@ def suffix_sums(histogram: DataFrame, block: int = 4096) -> DataFrame:
     Sums run within blocks of ``block`` lengths; blocks add the totals of later blocks,
     so no window spans the whole histogram.
     """
+    histogram = written(histogram, "histogram")  # a row for each length; read more than once below
     h = histogram.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("tokens"), F.floor(F.col("length") / block).alias("block"))
     totals = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
-    # one row for each ``block`` lengths: a few hundred even for texts of a million tokens
+    # one row for each ``block`` lengths: a few thousand even for texts of a million tokens
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     after = totals.select("block", F.coalesce(F.sum("d").over(later), F.lit(0)).alias("d_after"), F.coalesce(F.sum("t").over(later), F.lit(0)).alias("t_after"))
     whole = totals.agg(F.sum("d").alias("all_docs"), F.sum("t").alias("all_tokens"))
