@@ -56,7 +56,7 @@ def variant_key(prefix: str, *parts: Column) -> Column:
     return F.concat_ws("_", F.lit(prefix), *[p.cast("string") for p in parts])
 
 
-def orientation_pair(sequence: Column, index: Column | int, length: int) -> Column:
+def orientation_pair(sequence: Column, index: Column | int, length: Column | int) -> Column:
     """Both views of a window as an array of (view, sequence, variant index)."""
     index = F.lit(index) if isinstance(index, int) else index
     forward = F.struct(F.lit("forward").alias("view"), sequence.alias("sequence"), index.alias("variant_index_0based"))

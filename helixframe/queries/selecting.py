@@ -25,14 +25,16 @@ def ordered_rule_classify(spark, d):
     return table(spark, d, "part").select("p_partkey", classify.ordered_rules(rules, "other").alias("part_class"))
 
 
-@query("""WITH v AS (SELECT doc_id, substr(upper(text), 1, 1 + CAST(doc_id % 3 AS INTEGER)) AS ref, substr(upper(text), 5, 1 + CAST(doc_id % 2 AS INTEGER)) AS alt FROM documents)
-  SELECT doc_id, CASE WHEN regexp_full_match(ref, '[ACGT]') AND regexp_full_match(alt, '[ACGT]') AND ref <> alt THEN 'SNV'
+@query("""WITH v AS (SELECT l_orderkey, l_linenumber, repeat(translate(l_returnflag, 'ANR', 'ACG'), CAST(1 + l_linenumber % 2 AS BIGINT)) AS ref,
+  repeat(CASE WHEN l_tax = 0 THEN '*' ELSE translate(l_linestatus, 'OF', 'TC') END, CAST(1 + l_partkey % 3 AS BIGINT)) AS alt FROM lineitem)
+  SELECT l_orderkey, l_linenumber, CASE WHEN regexp_full_match(ref, '[ACGT]') AND regexp_full_match(alt, '[ACGT]') AND ref <> alt THEN 'SNV'
   WHEN length(ref) = length(alt) AND regexp_full_match(ref, '[A-Za-z]+') AND regexp_full_match(alt, '[A-Za-z]+') THEN 'MNV'
   WHEN length(alt) > length(ref) THEN 'insertion' WHEN length(alt) < length(ref) THEN 'deletion' ELSE 'other' END AS variant_class FROM v""")
 def variant_class_rules(spark, d):
-    t = F.upper("text")
-    v = table(spark, d, "documents").select("doc_id", F.substring(t, F.lit(1), (1 + F.col("doc_id") % 3).cast("int")).alias("ref"), F.substring(t, F.lit(5), (1 + F.col("doc_id") % 2).cast("int")).alias("alt"))
-    return v.select("doc_id", classify.variant_class(F.col("ref"), F.col("alt")).alias("variant_class"))
+    ref = F.repeat(F.translate("l_returnflag", "ANR", "ACG"), (1 + F.col("l_linenumber") % 2).cast("int"))
+    alt = F.repeat(F.when(F.col("l_tax") == 0, "*").otherwise(F.translate("l_linestatus", "OF", "TC")), (1 + F.col("l_partkey") % 3).cast("int"))
+    v = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", ref.alias("ref"), alt.alias("alt"))
+    return v.select("l_orderkey", "l_linenumber", classify.variant_class(F.col("ref"), F.col("alt")).alias("variant_class"))
 
 
 @query("""SELECT event_id, CASE WHEN (event_id % 2 = 0 AND off IN (1, 2)) OR (event_id % 2 = 1 AND off IN (-1, -2)) THEN 'canonical_intronic' WHEN off = 0 THEN 'exonic_boundary' WHEN abs(off) <= 20 THEN 'nearby' ELSE 'distant' END AS site_category
@@ -56,18 +58,24 @@ def priority_class_semijoin(spark, d):
     return classify.priority_by_membership(table(spark, d, "customer").select("c_custkey"), ["c_custkey"], sets, "other")
 
 
-@query("""WITH s AS (SELECT doc_id, translate(upper(regexp_replace(left(text, 200), '[^A-Za-z]', '', 'g')), 'BDEFHIJKLMOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTA') AS seq FROM documents)
+_SEQ_SQL = "SELECT doc_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'BDEFHIJKLMOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTA') AS seq FROM documents"
+
+
+def sequences(spark, d):
+    """Every whole text as a nucleotide string: its letters, dealt to the alphabet."""
+    seq = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "BDEFHIJKLMOPQRSUVWXYZ", "ACGTACGTACGTACGTACGTA")
+    return table(spark, d, "documents").select("doc_id", seq.alias("seq"))
+
+
+@query(f"""WITH s AS ({_SEQ_SQL})
   SELECT doc_id, sha256(reverse(translate(seq, 'ACGTN', 'TGCAN'))) AS rc_sha256, sha256(translate(seq, 'ACGTN', 'TGCAN')) AS complement_sha256,
   reverse(translate(reverse(translate(seq, 'ACGTN', 'TGCAN')), 'ACGTN', 'TGCAN')) = seq AS round_trip FROM s""")
 def reverse_complement_text(spark, d):
-    seq = F.translate(F.upper(F.regexp_replace(F.left("text", F.lit(200)), "[^A-Za-z]", "")), "BDEFHIJKLMOPQRSUVWXYZ", "ACGTACGTACGTACGTACGTA")
-    s = table(spark, d, "documents").select("doc_id", seq.alias("seq"))
+    s = sequences(spark, d)
     rc = S.reverse_complement(F.col("seq"))
     return s.select("doc_id", F.sha2(rc, 256).alias("rc_sha256"), F.sha2(S.complement(F.col("seq")), 256).alias("complement_sha256"), (S.reverse_complement(rc) == F.col("seq")).alias("round_trip"))
 
 
-
-
 @query("""WITH s AS (SELECT doc_id, text, 1 + CAST(doc_id * 37 % 900 AS INTEGER) AS pos FROM documents),
   w AS (SELECT doc_id, pos, CASE WHEN pos - 32 >= 1 AND pos + 31 <= length(text) THEN substr(text, pos - 32, 64) END AS win FROM s)
   SELECT doc_id, pos, win AS window_text, left(win, 32) || '*' || substr(win, 34) AS alt_text, CASE WHEN win IS NULL THEN NULL ELSE CASE WHEN substr(win, 33, 1) = '*' THEN 0 ELSE 1 END END AS n_differences FROM w""")
@@ -112,16 +120,16 @@ def range_containment(spark, d):
     return l.groupBy("l_returnflag", "l_linestatus", F.trunc("l_shipdate", "month").alias("l_shipmonth")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'orders' AS dataset, o_orderkey AS id, o_totalprice AS price, NULL AS status_of_line FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT 'lineitem', l_orderkey, l_extendedprice, l_linestatus FROM lineitem WHERE l_orderkey % 10 = 0")
+@query("SELECT 'orders' AS dataset, o_orderkey AS id, o_totalprice AS price, NULL AS status_of_line FROM orders UNION ALL SELECT 'lineitem', l_orderkey, l_extendedprice, l_linestatus FROM lineitem")
 def union_with_dataset_tag(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
-    l = table(spark, d, "lineitem").filter("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("id"), F.col("l_extendedprice").alias("price"), F.col("l_linestatus").alias("status_of_line"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
+    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_extendedprice").alias("price"), F.col("l_linestatus").alias("status_of_line"))
     return reshape.tagged_union({"orders": o, "lineitem": l}).select("dataset", "id", "price", "status_of_line")
 
 
-@query("""WITH s AS (SELECT doc_id, translate(upper(regexp_replace(left(text, 300), '[^A-Za-z]', '', 'g')), 'BDEFHIJKLMOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTA') AS seq FROM documents), w AS (SELECT doc_id, left(seq, 64) AS seq FROM s WHERE length(seq) >= 64)
-  SELECT doc_id, 'forward' AS view, sha256(seq) AS seq_sha256, 32 AS variant_index_0based FROM w UNION ALL SELECT doc_id, 'rc', sha256(reverse(translate(seq, 'ACGTN', 'TGCAN'))), 31 FROM w""")
+@query(f"""WITH s AS ({_SEQ_SQL}), w AS (SELECT doc_id, seq, length(seq) // 2 AS i FROM s)
+  SELECT doc_id, 'forward' AS view, sha256(seq) AS seq_sha256, i AS variant_index_0based FROM w UNION ALL SELECT doc_id, 'rc', sha256(reverse(translate(seq, 'ACGTN', 'TGCAN'))), length(seq) - 1 - i FROM w""")
 def orientation_pairs(spark, d):
-    seq = F.translate(F.upper(F.regexp_replace(F.left("text", F.lit(300)), "[^A-Za-z]", "")), "BDEFHIJKLMOPQRSUVWXYZ", "ACGTACGTACGTACGTACGTA")
-    s = table(spark, d, "documents").select("doc_id", seq.alias("seq")).filter(F.length("seq") >= 64)
-    return s.select("doc_id", F.explode(S.orientation_pair(F.left("seq", F.lit(64)), 32, 64)).alias("v")).select("doc_id", "v.view", F.sha2("v.sequence", 256).alias("seq_sha256"), "v.variant_index_0based")
+    n = F.length("seq").cast("long")
+    pairs = S.orientation_pair(F.col("seq"), F.floor(n / 2), n)
+    return sequences(spark, d).select("doc_id", F.explode(pairs).alias("v")).select("doc_id", "v.view", F.sha2("v.sequence", 256).alias("seq_sha256"), "v.variant_index_0based")

@@ -117,9 +117,9 @@ def gated_skip_and_score_delta(spark, d):
     return x.select("vec_id", F.round(V.total(g), 5).alias("total"), F.round(V.mean_log_probability(F.col("a")) - V.mean_log_probability(F.col("r")), 6).alias("delta_score"))
 
 
-@query("""SELECT vec_id, i - 1 AS position, round(CAST(embedding[i] AS DOUBLE), 6) AS forward, round(CAST(embedding[65 - i] AS DOUBLE), 6) AS backward FROM embeddings, (SELECT unnest(generate_series(1, 64)) AS i) WHERE vec_id % 10 = 0""")
+@query("""SELECT vec_id, i - 1 AS position, round(CAST(embedding[i] AS DOUBLE), 6) AS forward, round(CAST(embedding[65 - i] AS DOUBLE), 6) AS backward FROM embeddings, (SELECT unnest(generate_series(1, 64)) AS i)""")
 def zipped_position_rows(spark, d):
-    e = table(spark, d, "embeddings").filter("vec_id % 10 = 0")
+    e = table(spark, d, "embeddings")
     z = joins.zipped_positions(e, ["vec_id"], {"forward": V.wide(F.col("embedding")), "backward": F.reverse(V.wide(F.col("embedding")))})
     return rounded(z.withColumn("position", F.col("position").cast("long")), ["forward", "backward"])
 
