@@ -20,7 +20,7 @@ resolved there and only the smallest holder goes to the block. So a passage that
 third of all documents share sends one entry for each chunk to its block, not one for
 each document.
 
-A window is identified by its anchor's 64-bit hash together with 40 bits of its own.
+A window is identified by its anchor's 64-bit hash together with the 64 bits of its own.
 
 Nulls, empty texts and texts shorter than a window have no factors. Rows with a null
 doc_id have no place in the order: they index nothing and lose nothing. Repeated rows
@@ -44,7 +44,7 @@ WINDOW, GRAM = 13, 4
 _MIX = 0x9E3779B97F4A7C15
 FACTORS = "doc_id long, start int, length int, ref_id long"
 #: One window as it travels to its block.
-_ENTRY = np.dtype([("anchor", "<u8"), ("own", "u1", 5), ("pos", "<u4"), ("doc", "<u4")])
+_ENTRY = np.dtype([("anchor", "<u8"), ("own", "<u8"), ("pos", "<u4"), ("doc", "<u4")])
 
 
 def word_list(text: str | None) -> list[bytes]:
@@ -150,8 +150,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], blocks: int, window: int, gram: i
         block = (_mixed(anchor) % np.uint64(blocks)).astype(np.int64)
         by = np.argsort(block, kind="stable")
         entry = np.empty(len(by), _ENTRY)
-        entry["anchor"], entry["pos"], entry["doc"] = anchor[by], pos[by], row[by]
-        entry["own"] = own[by].view(np.uint8).reshape(-1, 8)[:, :5]
+        entry["anchor"], entry["own"], entry["pos"], entry["doc"] = anchor[by], own[by], pos[by], row[by]
         yield from _rows(block[by], entry, doc_of)
 
 
@@ -173,28 +172,39 @@ def _rows(key: np.ndarray, items: np.ndarray, ids: np.ndarray) -> Iterator[pa.Re
     yield pa.record_batch([pa.array(blocks, pa.int64()), pa.array(docs, pa.binary()), pa.array(payloads, pa.binary())], names=["block", "docs", "payload"])
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Counts in the fewest bytes that hold the largest of them, after a byte that says how many."""
+    width = next(w for w in (1, 2, 4) if int(x.max()) < 1 << 8 * w)
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def _widened(payload: bytes, n: int, at: int) -> tuple[np.ndarray, int]:
+    """``n`` counts that ``_narrow`` wrote at ``at``, and where they end."""
+    width = payload[at]
+    return np.frombuffer(payload, f"<u{width}", n, at + 1).astype(np.int64), at + 1 + width * n
+
+
 def _packed(part: np.ndarray, local: np.ndarray) -> bytes:
-    """Windows in columns; consecutive windows of one anchor share its hash and place."""
+    """Windows in columns, sorted by document; consecutive windows of one anchor share its hash and place."""
     run = np.ones(len(part), bool)
     run[1:] = (part["anchor"][1:] != part["anchor"][:-1]) | (local[1:] != local[:-1]) | (part["pos"][1:] != part["pos"][:-1] + 1)
     first = np.flatnonzero(run)
-    count = np.diff(np.concatenate((first, [len(part)]))).astype("<u2")
+    count = np.diff(np.concatenate((first, [len(part)])))
     head = np.array([len(first), len(part)], "<u4")
-    return b"".join((head.tobytes(), part["anchor"][first].tobytes(), part["pos"][first].tobytes(), local[first].astype("<u4").tobytes(), count.tobytes(), np.ascontiguousarray(part["own"]).tobytes()))
+    return b"".join((head.tobytes(), part["anchor"][first].tobytes(), part["own"].tobytes(), _narrow(part["pos"][first]), _narrow(np.bincount(local[first])), _narrow(count)))
 
 
 def _unpacked(docs: bytes, payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, own bits, doc_id, position) of each window of a row."""
+    """(anchor, own hash, doc_id, position) of each window of a row."""
     n, m = np.frombuffer(payload, "<u4", 2).tolist()
-    at = 8
-    anchor = np.frombuffer(payload, "<u8", n, at)
-    pos = np.frombuffer(payload, "<u4", n, at := at + 8 * n)
-    local = np.frombuffer(payload, "<u4", n, at := at + 4 * n)
-    count = np.frombuffer(payload, "<u2", n, at := at + 4 * n).astype(np.int64)
-    own = np.zeros((m, 8), np.uint8)
-    own[:, :5] = np.frombuffer(payload, np.uint8, 5 * m, at + 2 * n).reshape(m, 5)
+    ids = np.frombuffer(docs, "<i8")
+    anchor = np.frombuffer(payload, "<u8", n, 8)
+    own = np.frombuffer(payload, "<u8", m, 8 + 8 * n)
+    pos, at = _widened(payload, n, 8 + 8 * (n + m))
+    runs_of, at = _widened(payload, len(ids), at)
+    count, _ = _widened(payload, n, at)
     step = np.arange(m) - np.repeat(np.cumsum(count) - count, count)
-    return np.repeat(anchor, count), own.view("<u8").ravel(), np.repeat(np.frombuffer(docs, "<i8")[local], count), np.repeat(pos.astype(np.int64), count) + step
+    return np.repeat(anchor, count), own, np.repeat(np.repeat(ids, runs_of), count), np.repeat(pos, count) + step
 
 
 def _parse(block: pa.Table, window: int) -> pa.Table:

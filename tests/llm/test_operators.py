@@ -346,6 +346,22 @@ def test_substring_dedup(docs, nothing, blocks, monkeypatch):
     assert got == want and substring.without_duplicates(nothing).count() == 0
 
 
+def test_substring_dedup_of_a_very_long_periodic_text(spark):
+    phrase = " ".join(f"p{i}" for i in range(10))
+    texts = {1: "head " + " ".join([phrase] * 3), 2: " ".join([phrase] * 10_000), 3: "other words " + " ".join([phrase] * 7_100) + " tail"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring.without_duplicates(df).collect()} == plain_removal(texts)
+
+
+def test_windows_travel_with_their_whole_hashes():
+    entry = np.zeros(70_003, substring._ENTRY)
+    entry["anchor"], entry["own"] = 5, np.arange(70_003, dtype=np.uint64) << np.uint64(40)
+    entry["pos"] = [*range(70_000), 0, 1, 9]
+    doc = np.repeat([0, 1], [70_000, 3])
+    anchor, own, d, pos = substring._unpacked(np.array([7, 8], "<i8").tobytes(), substring._packed(entry, doc))
+    assert (anchor == 5).all() and (own == entry["own"]).all() and (d == doc + 7).all() and (pos == entry["pos"]).all()
+
+
 # 10 -----------------------------------------------------------------------------------
 
 
