@@ -301,6 +301,27 @@ def test_raking_reaches_its_margins():
     assert sum(v * p[c] for c, v in cells.items()) == pytest.approx(0.4 * total) and max(p.values()) <= 1
 
 
+def test_raking_keeps_its_margins_where_cells_are_cut():
+    cells = {("a", "x", "t"): 10.0, ("a", "y", "t"): 30.0, ("b", "x", "t"): 30.0, ("b", "y", "t"): 30.0}
+    targets = mixing.Targets({"a": 0.5, "b": 0.5}, {"x": 0.5, "y": 0.5}, 1.0)
+    p, report = mixing.bounded(cells, targets, 0.7)
+    assert max(p.values()) == 1.0 and sum(v * p[k] for k, v in cells.items()) == pytest.approx(70)
+    assert all(reached == pytest.approx(target) for _, _, target, reached in report)
+    p, report = mixing.bounded(cells, mixing.Targets({"a": 0.9, "b": 0.1}, 1.0, 1.0), 0.8)
+    reached = {k: x for d, k, _, x in report if d == "source"}
+    assert sum(v * p[k] for k, v in cells.items()) == pytest.approx(80) and reached["a"] == pytest.approx(0.5, abs=1e-3)
+
+
+def test_mixing_has_no_cap_on_sources(spark):
+    text = F.concat_ws(" ", F.array_repeat(F.lit("w"), F.when(F.col("id") % 300 < 290, 4).otherwise(2).cast("int")))
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.format_string("s%03d", F.col("id") % 300).alias("source"))
+    p = {r["source"]: r["probability"] for r in mixing.with_probabilities(many, fraction=0.5).collect()}
+    assert len(p) == 300 and p["s295"] / p["s000"] == pytest.approx(2**0.3)
+    wanted = {"s000": 0.4, "s295": 0.6}
+    found = mixing.margins(many, mixing.Targets(source=wanted), 0.002).filter("margin = 'source' and target > 0").collect()
+    assert {r["value"]: pytest.approx(r["reached"]) for r in found} == wanted
+
+
 def test_mixing(spark, docs, nothing):
     rows = mixing.with_probabilities(docs).collect()
     assert len(rows) == len(DOCS) and all(r["n_tokens"] == len(WORD.findall(DOCS[r["doc_id"]])) for r in rows)
