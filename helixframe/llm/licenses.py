@@ -9,8 +9,8 @@ words that align is the template's coverage.
 Which texts to align is decided without loss in the JVM: a text that reaches
 ``min_coverage`` holds at least one word of any set of more than (1 - min_coverage) of
 the template's words, so texts without any of a few telling words need no alignment.
-Inside a text, windows of twice the template's length around those words are aligned,
-each on its own, and the best is taken.
+Inside a text, windows of three times the template's length around those words are
+aligned, each on its own, and the best match of up to twice its length is taken.
 
 Null, empty and short texts hold no license. Repeated rows give repeated results, rows
 with a null doc_id are scanned too. An empty table gives an empty result; other columns
@@ -24,6 +24,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,6 +75,30 @@ def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``a`` and each prefix of ``b``."""
+    row = np.zeros(len(b) + 1, np.int64)
+    for x in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))
+    return row
+
+
+def _large_common(a: list[str], b: list[str], most_cells: int) -> list[tuple[int, int]]:
+    """A longest common subsequence in linear space: halves of ``a`` against the best cut of ``b``."""
+    code = {w: i for i, w in enumerate({*a, *b})}
+    x, y = (np.array([code[w] for w in s]) for s in (a, b))
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        if a1 - a0 <= 1 or (a1 - a0) * (b1 - b0) <= most_cells:
+            out += [(a0 + i, b0 + j) for i, j in _common(a[a0:a1], b[b0:b1])]
+            continue
+        mid = (a0 + a1) // 2
+        cut = b0 + int(np.argmax(_row(x[a0:mid], y[b0:b1]) + _row(x[mid:a1][::-1], y[b0:b1][::-1])[::-1]))
+        todo += [(a0, mid, b0, cut), (mid, a1, cut, b1)]
+    return sorted(out)
+
+
 def _increasing(places: list[int]) -> list[int]:
     """Indexes of a longest increasing subsequence, by patience sorting."""
     tops, at, back = [], [], []
@@ -93,7 +118,7 @@ def _increasing(places: list[int]) -> list[int]:
 
 
 def align(a: list[str], b: list[str], most_cells: int = 50_000) -> list[tuple[int, int]]:
-    """Pairs of places (in a, in b) that align, in order."""
+    """Pairs of places (in a, in b) that align, in order; gaps of more than ``most_cells`` are aligned in linear space."""
     out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
@@ -109,8 +134,7 @@ def align(a: list[str], b: list[str], most_cells: int = 50_000) -> list[tuple[in
         place = {w: j for j, w in enumerate(b[b0:b1], b0) if cb[w] == 1 and ca[w] == 1}
         single = [(i, place[w]) for i, w in enumerate(a[a0:a1], a0) if w in place]
         if not single:
-            if (a1 - a0) * (b1 - b0) <= most_cells:
-                out += [(a0 + i, b0 + j) for i, j in _common(a[a0:a1], b[b0:b1])]
+            out += [(a0 + i, b0 + j) for i, j in _large_common(a[a0:a1], b[b0:b1], most_cells)]
             continue
         anchors = [single[k] for k in _increasing([j for _, j in single])]
         out += anchors
@@ -131,22 +155,41 @@ def probe_words(template: list[str], min_coverage: float = MIN_COVERAGE) -> list
     return out
 
 
+def _fitting(words: list[str], template: list[str], a0: int, a1: int) -> list[tuple[int, int]]:
+    """Pairs of words[a0:a1] that span at most twice the template; far strays go, and what is near is aligned again."""
+    most = 2 * len(template)
+    while True:
+        pairs = [(a0 + i, j) for i, j in align(words[a0:a1], template)]
+        if not pairs or pairs[-1][0] + 1 - pairs[0][0] <= most:
+            return pairs
+        # the densest pairs within reach of each other
+        at, lo, best = [i for i, _ in pairs], 0, (0, 0, 0)
+        for hi, i in enumerate(at):
+            while i + 1 - at[lo] > most:
+                lo += 1
+            best = max(best, (hi + 1 - lo, -lo, hi))
+        near = pairs[-best[1] : best[2] + 1]
+        b0, b1 = max(a0, near[-1][0] + 1 - most), min(a1, near[0][0] + most)
+        if b1 - b0 >= a1 - a0:
+            return near
+        a0, a1 = b0, b1
+
+
 def best_match(words: list[str], template: list[str], probes: set[str], min_coverage: float) -> tuple[float, int, int, int] | None:
     """(coverage, start, end, aligned words) of the best window, if any reaches ``min_coverage``."""
     n, best, seen = len(template), None, -1
     for p in (i for i, w in enumerate(words) if w in probes):
-        # windows step by half their length, so one of them holds any match whole
-        for k in (p // n - 1, p // n):
-            if k <= seen or k < -1:
+        # any span of 2 n words starts in the first n words of a window of 3 n
+        for k in (p // n - 2, p // n - 1, p // n):
+            if k <= seen or k < 0:
                 continue
             seen = k
-            a0 = max(0, k * n)
-            pairs = align(words[a0 : k * n + 2 * n + n // 4 + 1], template)
+            pairs = _fitting(words, template, k * n, min(len(words), (k + 3) * n))
             if len(pairs) < min_coverage * n:
                 continue
-            start, end = a0 + pairs[0][0], a0 + pairs[-1][0] + 1
+            start, end = pairs[0][0], pairs[-1][0] + 1
             found = (len(pairs) / n, -start, end)
-            if end - start <= 2 * n and (best is None or found > best[0]):
+            if best is None or found > best[0]:
                 best = (found, len(pairs))
     return best and (best[0][0], -best[0][1], best[0][2], best[1])
 

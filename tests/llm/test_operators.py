@@ -262,6 +262,24 @@ def test_licenses(spark, docs, nothing):
     assert [r["license_id"] for r in licenses.scan(docs).collect()] == ["Apache-2.0"] and licenses.scan(nothing).count() == 0
 
 
+def test_license_is_found_at_any_place_and_beside_strays():
+    template = licenses.words_of(licenses.TEMPLATES["MIT"])
+    probes = set(licenses.probe_words(template))
+    words = licenses.words_of("x Released under the MIT License a b c d e license")
+    assert licenses.best_match(words, template, probes, 0.8) == (1.0, 1, 6, 5)
+    for ahead in range(12):
+        words = ["foo"] * ahead + "released x1 x2 x3 under x4 the mit x5 license".split() + ["foo"] * 9
+        assert licenses.best_match(words, template, probes, 0.8) == (1.0, ahead, ahead + 10, 5), ahead
+
+
+def test_large_gaps_without_anchors_are_aligned():
+    r = np.random.default_rng(3)
+    a, b = (r.choice(["u", "v", "w"], n).tolist() for n in (400, 300))
+    pairs = licenses.align(a, b)
+    assert len(pairs) > 200 and all(a[i] == b[j] for i, j in pairs) and all(p < q and x < y for (p, x), (q, y) in zip(pairs, pairs[1:]))
+    assert len(licenses._large_common(a, b, 50)) == len(licenses._common(a, b))
+
+
 # 7 ------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
