@@ -4,7 +4,8 @@ Base kinds are found by pattern and always stay. Further credential formats are
 candidates: each candidate's hash is counted over the corpus by distinct repositories
 and by distinct owners. A value that many owners hold is a widely copied example; one
 that few owners hold looks live and adds its span. The same count tells live-looking
-base values from examples.
+base values from examples. Redaction counts owners only: copies of a page within one
+owner make its key no example, however many there are.
 
 Positions come from the pieces between matches: with the text split by a pattern, a
 match starts where the pieces and matches before it end. Positions count code points,
@@ -99,22 +100,22 @@ def joined_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redacted(docs: DataFrame, mark: str = "[secret]", owner: str = "source", repo: str = "doc_id", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+def redacted(docs: DataFrame, mark: str = "[secret]", owner: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
     """``docs`` with every base span and live candidate in ``text`` replaced by ``mark``, and ``n_chars`` to match.
 
-    The spans are found again row by row; only which candidate values are live comes
+    A candidate is live if at most ``max_owners`` distinct owners hold it. The spans are found again row by row; only which candidate values are live comes
     from the corpus, as a join on the value's hash for the rows that hold candidates.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = written(scan(docs, owner, repo).filter(F.size("candidates") > 0), "candidates")
+    rows = written(scan(docs, owner).filter(F.size("candidates") > 0), "candidates")
     every = rows.select("owner", "repo", F.explode("candidates").alias("s")).select("owner", "repo", F.sha2(F.col("s.value"), 256).alias("value_hash"))
     base = F.concat(spans(text, "assign", 0, ASSIGN, 2, 6), spans(text, "access", 1, ACCESS), spans(text, "hex", 2, HEX))
     marked = docs.withColumn("_spans", base)
     if rows.limit(1).count():
         judged = rows.select("doc_id", F.explode("candidates").alias("s")).withColumn("value_hash", F.sha2(F.col("s.value"), 256))
-        alive = judged.join(ownership(every).filter((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)), "value_hash")
+        alive = judged.join(ownership(every).filter(F.col("n_owners") <= max_owners), "value_hash")
         by_doc = written(alive.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("s.value").alias("_live")), "live")
-        marked = marked.join(by_doc, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+        marked = marked.join(by_doc, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left").drop("_doc")
         extra = F.when(F.col("_live").isNotNull(), F.filter(spans(text, "token", 3, TOKEN), lambda s: F.array_contains(F.col("_live"), s["value"]))).otherwise(F.array().cast(SPANS))
         marked = marked.withColumn("_spans", F.concat("_spans", extra)).drop("_live")
     ordered = F.sort_array("_spans")

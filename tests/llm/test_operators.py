@@ -305,6 +305,13 @@ def test_secrets(spark, docs, nothing):
     assert out[18]["text"] == '[secret]" and [secret] AKIASHORT [secret]' and out[18]["n_chars"] == len(out[18]["text"]) and out[0]["text"] == BASE and out[4]["text"] is None
 
 
+def test_redaction_of_copies_and_of_rows_without_id(spark):
+    key, lone = "ghp_" + "D" * 40, "ghp_" + "E" * 40
+    rows = [(i, f"page {key}", "s0") for i in range(40)] + [(None, f"mine {lone}", "s1"), (50, "nothing", "s1")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.length("text"))
+    assert Counter(r["text"] for r in secrets.redacted(d).collect()) == {"page [secret]": 40, "mine [secret]": 1, "nothing": 1}
+
+
 # 8 ------------------------------------------------------------------------------------
 
 
