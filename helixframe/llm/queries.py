@@ -41,9 +41,7 @@ def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = secrets.secret_spans(docs).groupBy("doc_id").agg(F.first("spans").alias("spans"))
-    rows = docs.select("doc_id").join(found, "doc_id", "left").withColumn("spans", F.coalesce("spans", F.array()))
+    rows = secrets.scanned(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
     count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long")
     return rows.select(
@@ -90,7 +88,7 @@ def _secrets_sql() -> str:
     return f"""WITH d AS (SELECT doc_id, coalesce(source, chr(1)) AS source, coalesce(text, '') AS t FROM documents), m AS ({kinds}),
       s AS (SELECT doc_id, source, kind, ord, vs[i] AS v, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS st, length(ms[i]) AS n
         FROM (SELECT *, unnest(generate_series(1, len(ms))) AS i FROM m) WHERE length(vs[i]) >= least),
-      own AS (SELECT v, count(DISTINCT source) <= {secrets.MAX_OWNERS} AND count(DISTINCT doc_id) <= {secrets.MAX_REPOS} AS live FROM s GROUP BY v),
+      own AS (SELECT v, count(DISTINCT source) <= {secrets.MAX_OWNERS} AS live FROM s GROUP BY v),
       f AS (SELECT s.*, live, kind || ':' || st || ':' || (st + n) AS span FROM s JOIN own USING (v) WHERE kind <> 'token' OR live)
       SELECT d.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
         sha256(coalesce(string_agg(span, ',' ORDER BY st, ord) FILTER (WHERE kind <> 'token'), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY st, ord), '') AS spans, count(*) FILTER (WHERE live) AS n_live

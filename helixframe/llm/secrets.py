@@ -4,8 +4,9 @@ Base kinds are found by pattern and always stay. Further credential formats are
 candidates: each candidate's hash is counted over the corpus by distinct repositories
 and by distinct owners. A value that many owners hold is a widely copied example; one
 that few owners hold looks live and adds its span. The same count tells live-looking
-base values from examples. Redaction counts owners only: copies of a page within one
-owner make its key no example, however many there are.
+base values from examples. The number of repositories is reported beside that of owners
+and decides nothing: copies of a page within one owner make its key no example, however
+many there are, and a growing corpus turns no verdict by copies alone.
 
 Positions come from the pieces between matches: with the text split by a pattern, a
 match starts where the pieces and matches before it end. Positions count code points,
@@ -14,8 +15,9 @@ ends are exclusive.
 Hot values: an example in a third of all documents is pre-aggregated to one row for each
 (value, owner) before it is counted, and the join back has two plain exchanges, which
 AQE splits. Null and empty texts have no spans; a null owner or repository counts as
-one more owner or repository. Repeated rows are scanned each on its own, and count
-as one repository. An empty table gives an empty result; other columns are ignored.
+one more owner or repository. Repeated rows and rows that share a doc_id or have none
+are scanned each on its own. An empty table gives an empty result; other columns,
+whatever their names, are ignored and come back from redaction as they were.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ TOKEN = (
     r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]+)?|sk-[A-Za-z0-9]{20,}"
 )
 BASE = ("assign", "access", "hex")
-#: A value is an example once it has more owners or repositories than this.
-MAX_OWNERS, MAX_REPOS = 2, 16
+#: A value is an example once it has more owners than this.
+MAX_OWNERS = 2
 
 SPANS = "array<struct<start:int,order:int,kind:string,end:int,value:string>>"
 
@@ -80,19 +82,24 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.join(repos, "value_hash")
 
 
-def secret_spans(docs: DataFrame, owner: str = "source", repo: str = "doc_id", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
-    """(row_id, doc_id, spans): all spans of each row in order, each with ``live`` (owner-specific) and ``base``.
+def scanned(docs: DataFrame, owner: str = "source", repo: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
+    """(row_id, doc_id, spans) of every row: its spans in order, each with ``live`` (owner-specific) and ``base``.
 
     ``spans`` holds every base span and the live candidates; ``row_id`` tells repeated rows apart.
     """
-    rows = written(scan(docs, owner, repo).filter((F.size("base") > 0) | (F.size("candidates") > 0)).withColumn("row_id", F.monotonically_increasing_id()), "secrets")
-    every = rows.select("row_id", "doc_id", "owner", "repo", F.explode(F.concat("base", "candidates")).alias("s")).withColumn("value_hash", F.sha2(F.col("s.value"), 256))
+    rows = written(scan(docs, owner, repo).withColumn("row_id", F.monotonically_increasing_id()), "secrets")
+    every = rows.select("row_id", "owner", "repo", F.explode(F.concat("base", "candidates")).alias("s")).withColumn("value_hash", F.sha2(F.col("s.value"), 256))
     counts = written(ownership(every), "ownership")
-    live = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
-    judged = every.select("row_id", "doc_id", "s", "value_hash").join(counts.select("value_hash", live.alias("live")), "value_hash")
+    judged = every.select("row_id", "s", "value_hash").join(counts.select("value_hash", (F.col("n_owners") <= max_owners).alias("live")), "value_hash")
     stays = judged.filter(F.col("s.kind").isin(*BASE) | F.col("live"))
     one = F.struct(F.col("s.start").alias("start"), F.col("s.order").alias("order"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), "live", F.col("s.kind").isin(*BASE).alias("base"))
-    return stays.groupBy("row_id", "doc_id").agg(F.sort_array(F.collect_list(one)).alias("spans"))
+    found = stays.groupBy("row_id").agg(F.sort_array(F.collect_list(one)).alias("spans"))
+    return rows.select("row_id", "doc_id").join(found, "row_id", "left").withColumn("spans", F.coalesce("spans", F.array()))
+
+
+def secret_spans(docs: DataFrame, owner: str = "source", repo: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
+    """The rows of ``scanned`` that have any span."""
+    return scanned(docs, owner, repo, max_owners).filter(F.size("spans") > 0)
 
 
 def joined_spans(spans: Column) -> Column:
@@ -103,32 +110,37 @@ def joined_spans(spans: Column) -> Column:
 def redacted(docs: DataFrame, mark: str = "[secret]", owner: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
     """``docs`` with every base span and live candidate in ``text`` replaced by ``mark``, and ``n_chars`` to match.
 
-    A candidate is live if at most ``max_owners`` distinct owners hold it. The spans are found again row by row; only which candidate values are live comes
-    from the corpus, as a join on the value's hash for the rows that hold candidates.
+    A candidate is live if at most ``max_owners`` distinct owners hold it. The spans are
+    found again row by row; only which candidate values are live comes from the corpus,
+    joined by the text's hash to the rows that hold candidates. No other row meets the join.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = written(scan(docs, owner).filter(F.size("candidates") > 0), "candidates")
-    every = rows.select("owner", "repo", F.explode("candidates").alias("s")).select("owner", "repo", F.sha2(F.col("s.value"), 256).alias("value_hash"))
     base = F.concat(spans(text, "assign", 0, ASSIGN, 2, 6), spans(text, "access", 1, ACCESS), spans(text, "hex", 2, HEX))
-    marked = docs.withColumn("_spans", base)
-    if rows.limit(1).count():
-        judged = rows.select("doc_id", F.explode("candidates").alias("s")).withColumn("value_hash", F.sha2(F.col("s.value"), 256))
-        alive = judged.join(ownership(every).filter(F.col("n_owners") <= max_owners), "value_hash")
-        by_doc = written(alive.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("s.value").alias("_live")), "live")
-        marked = marked.join(by_doc, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left").drop("_doc")
-        extra = F.when(F.col("_live").isNotNull(), F.filter(spans(text, "token", 3, TOKEN), lambda s: F.array_contains(F.col("_live"), s["value"]))).otherwise(F.array().cast(SPANS))
-        marked = marked.withColumn("_spans", F.concat("_spans", extra)).drop("_live")
-    ordered = F.sort_array("_spans")
+    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    held = written(
+        docs.select(F.xxhash64("text").alias("text_hash"), F.col(owner).cast("string").alias("owner"), F.lit(None).cast("string").alias("repo"), F.explode(spans(text, "token", 3, TOKEN)).alias("s"))
+        .select("text_hash", "owner", "repo", F.col("s.value").alias("value")).withColumn("value_hash", F.sha2("value", 256)), "candidates",
+    )
+    if held.limit(1).count():
+        alive = held.select("text_hash", "value", "value_hash").distinct().join(ownership(held).filter(F.col("n_owners") <= max_owners), "value_hash")
+        by_text = written(alive.groupBy("text_hash").agg(F.collect_set("value").alias("live")), "live")
+        tokens = spans(text, "token", 3, TOKEN)
+        some = rows.filter(text.rlike(TOKEN)).withColumn("text_hash", F.xxhash64("text")).join(by_text, "text_hash", "left")
+        extra = F.filter(tokens, lambda s: F.coalesce(F.array_contains(F.col("live"), s["value"]), F.lit(False)))
+        marked = rows.filter(~text.rlike(TOKEN)).select("row", "text", base.alias("spans")).unionByName(some.select("row", "text", F.concat(base, extra).alias("spans")))
+    else:
+        marked = rows.select("row", "text", base.alias("spans"))
     # overlapping spans become one: the text before each span starts where the furthest earlier span ended
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     built = F.aggregate(
-        ordered, start,
+        F.sort_array("spans"), start,
         lambda a, s: F.when(
             s["start"] >= a["at"],
             F.struct(F.concat(a["out"], F.substring("text", a["at"] + 1, s["start"] - a["at"]), F.lit(mark)).alias("out"), s["end"].alias("at")),
         ).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], s["end"]).alias("at"))),
         lambda a: F.concat(a["out"], F.substring("text", a["at"] + 1, F.length("text"))),
     )
-    changed = F.size("_spans") > 0
-    fixed = marked.withColumn("text", F.when(changed, built).otherwise(F.col("text")))
-    return fixed.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    changed = F.size("spans") > 0
+    fixed = marked.select("row", changed.alias("changed"), F.when(changed, built).otherwise(F.col("text")).alias("text"))
+    n_chars = F.when(F.col("changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return fixed.select(*[F.col("text") if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -6,6 +6,7 @@ table, never a recomputation of what led to it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The session's ``spark.checkpoint.dir``; a temporary one only where none is set and all tasks run in the driver's process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         found = tempfile.mkdtemp(prefix="helixframe-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -46,9 +49,9 @@ def _delete(spark: SparkSession, path: str) -> None:
     _LIVE.discard(path)
 
 
-def clear(spark: SparkSession) -> int:
-    """Delete every intermediate table of this process, once results that read them are written; returns how many."""
-    paths = sorted(_LIVE)
+def clear(spark: SparkSession, but: str | None = None) -> int:
+    """Delete every intermediate table of this process, once results that read them are written, but the one at ``but``; returns how many."""
+    paths = sorted(_LIVE - {but})
     for path in paths:
         _delete(spark, path)
     return len(paths)

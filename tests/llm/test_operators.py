@@ -434,3 +434,45 @@ def test_queries_over_the_table(spark):
     for name, q in queries.queries().items():
         if name in ("op6_license_scans", "op7_secret_scans", "op10_language_id"):
             assert q(spark, d).count() > 0
+
+
+# rows without an id, differing rows of one id, clashing names ---------------------------
+
+CLASH = ("_spans", "_live", "_rows", "_kept", "_slot", "_row", "row", "live", "text_hash", "value_hash", "comp", "keys", "topic", "salt", "rank", "length", "spans", "changed")
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """(row, doc_id, text): ids that are null or shared by different texts, beside columns named like the operators' own."""
+    key = "ghp_" + "F" * 40
+    rows = [(7, f"password=abcdefgh {BASE}"), (7, "nothing here"), (None, f"password=abcdefgh and {key}"), (None, BASE), (None, None), (1, BASE), (2, LONG), (2, BASE), (3, ""), (3, ""), (3, BASE + " tail")]
+    path = str(tmp_path_factory.mktemp("odd") / "odd.parquet")
+    df = spark.createDataFrame([(i, d, t, "en", "s0", None if t is None else len(t)) for i, (d, t) in enumerate(rows)], "at int, doc_id long, text string, lang string, source string, n_chars long")
+    df.withColumns({c: F.lit("mine") for c in CLASH}).repartition(3).write.parquet(path)
+    return spark.read.parquet(path), rows
+
+
+def test_secrets_of_rows_without_an_id_of_their_own(odd):
+    df, rows = odd
+    got = secrets.scanned(df).collect()
+    want = [(d, [(a, k, e) for a, _, k, e in base_spans(t or "")]) for d, t in rows]
+    assert sorted((str(r["doc_id"]), str([(s["start"], s["kind"], s["end"]) for s in r["spans"] if s["base"]])) for r in got) == sorted((str(d), str(s)) for d, s in want)
+    assert sum(s["kind"] == "token" for r in got for s in r["spans"]) == 1
+    out = {r["at"]: r for r in secrets.redacted(df).collect()}
+    assert out[2]["text"] == "[secret] and [secret]" and out[0]["text"] == f"[secret] {BASE}" and len(out) == len(rows)
+    assert secrets.redacted(df).columns == df.columns and all(r[c] == "mine" for r in out.values() for c in CLASH)
+    assert all(out[i]["text"] == t for i, (_, t) in enumerate(rows) if i not in (0, 2))
+
+
+def test_packing_of_rows_without_an_id_of_their_own(odd):
+    df, rows = odd
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter()
+    for d, x in rows:
+        body = [*t.encode(x or "", add_special_tokens=False).ids, 0]
+        for i, at in enumerate(range(0, len(body), 64)):
+            want[d, i, at, len(body[at : at + 64]), zlib.crc32(np.array(body[at : at + 64], "<u4").tobytes())] += 1
+    got = packing.packed(df, 64).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(got)
+    assert Counter({r["length"]: r["n_docs"] for r in tokens.length_histogram(tokens.token_counts(df)).collect()}) == Counter(len(t.encode(x or "", add_special_tokens=False).ids) for _, x in rows)
