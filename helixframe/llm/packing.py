@@ -8,13 +8,15 @@ driver ever sees. Lengths above a small part of the capacity are grouped into cl
 by multiplicative weights: each round prices classes, a knapsack dynamic program finds
 the dearest configuration, and the prices of what it covers fall. The fractional
 configurations are rounded down; the rest of the pieces is placed best-fit decreasing
-into what is left open, counted in groups of equal sequences. The plan is compared with
-plain best-fit decreasing and the one with fewer sequences is taken.
+into what is left open, counted in groups of equal sequences. Rounding is tried at a few
+shares of the fractional amounts, since a rest of many lengths fills gaps better; the
+share with the fewest sequences is taken.
 
 The plan names, for each length, ranges of ranks and the sequences they fill. Ranks come
 from counting within (length, salt): a hot length is spread over as many salts as its
 count needs, so no window holds more than ``rank_block`` rows or so (by default a quarter
-of a shuffle partition's share).
+of a shuffle partition's share). Salts and ranks go by a number that each written piece
+has of its own, so neither null nor repeated doc_ids make a group hot or leave a tie.
 
 Null text is an empty document: one piece with only the closing id. Repeated rows are
 packed as often as they occur. Rows with a null doc_id are packed too. An empty table
@@ -31,10 +33,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from helixframe.llm.batches import text_chunks
 from helixframe.llm.storage import written
-from helixframe.llm.tokens import TOKENIZER, encoder
+from helixframe.llm.tokens import ENCODED_BYTES, TOKENIZER, WordEncoder, spread
 
 CAPACITY = 2048
 
@@ -43,24 +46,25 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
     """(doc_id, piece, start, length, ids_crc32[, ids]) of each document's ids, the closing id included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, stop, step = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 4 * capacity
-        for chunk in text_chunks(batches):
-            doc, piece, start, length, crc, ids = [], [], [], [], [], []
-            for d, body in zip(chunk.column(0).to_pylist(), encode(chunk.column(1).to_pylist())):
-                body += stop
-                for k, at in enumerate(range(0, len(body), step)):
-                    part = body[at : at + step]
-                    doc.append(d)
-                    piece.append(k)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-                    if with_ids:
-                        ids.append(np.frombuffer(part, "<u4").astype(np.int32))
-            columns = [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+        encode = WordEncoder(tokenizer)  # what it remembers goes with the task
+        for chunk in text_chunks(batches, most=ENCODED_BYTES):
+            found = encode.ids(chunk.column(1))
+            # each document's ids and its closing id, end to end
+            size = found.count + 1
+            body = np.full(int(size.sum()), end_id, "<u4")
+            base = np.cumsum(size) - size
+            body[spread(base, found.count)] = found.ids
+            times = -(-size // capacity)
+            row = np.repeat(np.arange(len(size)), times)
+            piece = spread(np.zeros(len(size), np.int64), times)
+            length = np.minimum(capacity, size[row] - piece * capacity)
+            at = base[row] + piece * capacity
+            raw = memoryview(body).cast("B")
+            crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist())]
+            columns = [chunk.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), pa.array(crc, pa.int64())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if with_ids:
-                columns.append(pa.array(ids, pa.list_(pa.int32())))
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32)), pa.array(body.astype(np.int32))))
                 names.append("ids")
             yield pa.record_batch(columns, names=names)
 
@@ -172,17 +176,12 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY, start: _Open | No
     return state.groups()
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, classes: int = 48, smallest: float = 1 / 16, rounds: int = 600, rate: float = 0.1) -> list[tuple[list[tuple[int, int]], int]]:
-    """[(what each sequence holds, as (length, copies)), how many such sequences]."""
-    plain = best_fit(histogram, capacity)
-    left = dict(histogram)
-    groups = _classes({k: c for k, c in left.items() if k < capacity}, max(1, int(smallest * capacity)), classes)
-    if not groups:
-        return plain
-    sizes, demand = [s for s, _ in groups], np.array([sum(c for _, c in g) for _, g in groups], float)
-    state = _Open(capacity)
-    for config, amount in sorted(solve_configurations(sizes, demand, capacity, rounds, rate), key=lambda x: -x[1]):
-        times = int(amount)
+def _rounded(histogram: dict[int, int], capacity: int, smallest: int, classes: int, solved: list[tuple[dict[int, int], float]], share: float) -> list[tuple[list[tuple[int, int]], int]]:
+    """``share`` of the fractional configurations, rounded down, and the rest best-fit into what they leave open."""
+    left, state = dict(histogram), _Open(capacity)
+    groups = _classes({k: c for k, c in left.items() if k < capacity}, smallest, classes)
+    for config, amount in solved:
+        times = int(share * amount)
         while times:
             # the longest pieces of each class first, as far as all copies of the configuration have one length
             held, many = [], times
@@ -212,8 +211,21 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, classes: int = 48,
                 break
             state.add(held, many)
             times -= many
-    found = best_fit(left, capacity, state)
-    return min(found, plain, key=lambda g: sum(t for _, t in g))
+    return best_fit(left, capacity, state)
+
+
+def plan(
+    histogram: dict[int, int], capacity: int = CAPACITY, classes: int = 48, smallest: float = 1 / 16, rounds: int = 600, rate: float = 0.1, shares: tuple[float, ...] = (1.0, 0.8, 0.5, 0.2, 0.1, 0.05, 0.02)
+) -> list[tuple[list[tuple[int, int]], int]]:
+    """[(what each sequence holds, as (length, copies)), how many such sequences]."""
+    least = max(1, int(smallest * capacity))
+    groups = _classes({k: c for k, c in histogram.items() if k < capacity}, least, classes)
+    if not groups:  # nothing but small pieces: no configuration to choose
+        return best_fit(histogram, capacity)
+    sizes, demand = [s for s, _ in groups], np.array([sum(c for _, c in g) for _, g in groups], float)
+    solved = sorted(solve_configurations(sizes, demand, capacity, rounds, rate), key=lambda x: -x[1])
+    found = [_rounded(histogram, capacity, least, classes, solved, share) for share in shares]
+    return min(found, key=lambda g: sum(t for _, t in g))
 
 
 def _slots(groups: list[tuple[list[tuple[int, int]], int]]) -> dict[int, np.ndarray]:
@@ -234,20 +246,21 @@ def _slots(groups: list[tuple[list[tuple[int, int]], int]]) -> dict[int, np.ndar
 def pack(parts: DataFrame, capacity: int = CAPACITY, rank_block: int | None = None) -> DataFrame:
     """``parts`` (doc_id, piece, length, ...) with sequence_id and offset."""
     spark = parts.sparkSession
+    parts = written(parts.withColumn("_slot", F.monotonically_increasing_id()), "pieces")
     counted = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     if not counted:
-        return parts.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
+        return parts.drop("_slot").withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
     slots = _slots(plan(counted, capacity))
     # windows of about a quarter of a shuffle partition, whatever the lengths
     rank_block = rank_block or -(-sum(counted.values()) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     salts = {k: -(-n // rank_block) for k, n in counted.items()}
     salt_of = spark.createDataFrame([(k, n) for k, n in salts.items()], "length long, salts int")
-    salted = parts.join(F.broadcast(salt_of), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("salts"))).drop("salts")
+    salted = parts.join(F.broadcast(salt_of), "length").withColumn("salt", F.pmod(F.xxhash64("_slot"), F.col("salts"))).drop("salts")
     sums = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank0"))
-    inside = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
-    ranked = salted.withColumn("rank", F.row_number().over(inside) - 1).join(offsets, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("rank0")).drop("salt", "rank0")
+    inside = Window.partitionBy("length", "salt").orderBy("_slot")
+    ranked = salted.withColumn("rank", F.row_number().over(inside) - 1).join(offsets, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("rank0")).drop("salt", "rank0", "_slot")
     names = [c for c in ranked.columns if c != "rank"]
     fields = [ranked.schema[c] for c in names]
     shared = spark.sparkContext.broadcast(slots)
@@ -266,12 +279,9 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, rank_block: int | None = No
                 sequence[rows], offset[rows] = s[:, 2] + own // s[:, 1], s[:, 3] + own % s[:, 1] * k
             yield pa.record_batch([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    from pyspark.sql.types import LongType, StructField, StructType
-
     return ranked.mapInArrow(run, StructType([*fields, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all documents."""
-    parts = written(pieces(docs, capacity, tokenizer), "pieces")
-    return pack(parts, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(pieces(docs, capacity, tokenizer), capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

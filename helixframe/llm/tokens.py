@@ -1,10 +1,11 @@
 """Token ids of texts, and the exact length histogram that answers questions about context limits.
 
 Encoding follows the tokenizer file exactly. Its pre-tokenizer cuts at white space and
-never merges across it, so a text's ids are the ids of its words end to end; a task
-encodes each distinct word once and remembers it up to a bound. Words made of printable
-ASCII and Latin letters are cut by the tokenizer's own pattern and their parts encoded
-many at a time; any other word goes to the tokenizer as it is.
+never merges across it, so a text's ids are the ids of its words end to end. A chunk's
+words are split and numbered by Arrow; each distinct word is encoded once. A word of
+letters, with or without closing marks, is the ids of the lower-cased letters and of
+the marks: such parts go to the tokenizer many at a time and are remembered, as Arrow
+and numpy arrays, up to a bound. Any other word goes to the tokenizer as it is.
 
 Null and empty texts have no tokens of their own. Other columns are ignored. An empty
 table gives an empty histogram.
@@ -19,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,100 +28,135 @@ from helixframe.llm.batches import text_chunks
 from helixframe.llm.storage import written
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-#: Fixed value: the tokenizer file's pre-tokenizer pattern.
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Words whose normal form and case do not depend on their surroundings.
-PLAIN = regex.compile(r"[\x21-\x7e¡-¬®-įı-ž]+")
+#: About how many bytes of text are encoded at a time.
+ENCODED_BYTES = 8_000_000
+#: Letters whose normal form and case do not depend on their surroundings, then marks.
+PLAIN = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-įı-ž]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
 
 
-class WordEncoder:
-    """Little-endian 32-bit ids of texts, by words."""
+@lru_cache(maxsize=1)
+def _tokenizer(path: str):
+    """One tokenizer for each Python worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    ends = np.zeros(found.get_vocab_size(), bool)
+    for token, i in found.get_vocab().items():
+        ends[i] = token.endswith("</w>")
+    return found, ends
+
+
+def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... ``count[i]`` of them, for each i in turn."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
+class Pieces:
+    """Ids of strings, laid end to end: string i has ``ids[start[i] : start[i] + count[i]]``."""
 
-    def __init__(self, path: str = TOKENIZER, most: int = 300_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    def __init__(self, ids: np.ndarray, count: np.ndarray):
+        self.ids, self.count = ids, count
+        self.start = np.cumsum(count) - count
+
+    def take(self, at: np.ndarray) -> Pieces:
+        return Pieces(self.ids[spread(self.start[at], self.count[at])], self.count[at])
+
+    def join(self, other: Pieces) -> Pieces:
+        return Pieces(np.concatenate((self.ids, other.ids)), np.concatenate((self.count, other.count)))
+
+
+class WordEncoder:
+    """Ids of texts, by words; ``most`` parts or so are remembered from chunk to chunk."""
 
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, path: str = TOKENIZER, most: int = 200_000):
+        self.tokenizer, self.ends = _tokenizer(path)
         self.most = most
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
-        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-
-    def _cut(self, w: str) -> list[str] | None:
-        """The pre-tokenizer's parts of a word, or None where its surroundings or normal form could matter."""
-        if w.isascii() or PLAIN.fullmatch(w):
-            if w.isalpha():
-                return [w.lower()]
-            if w[-1] in ".,;:!?" and w[:-1].isalpha():
-                return [w[:-1].lower(), w[-1]]
-            if PLAIN.fullmatch(w) and not any(s in w for s in self.special):
-                return PIECE.findall(w.lower())
-        return None
-
-    def _learn(self, words: set[str]) -> None:
-        plain, cut, older = {}, self.pieces, self.older[1]
-        for w in words:
-            if (parts := self._cut(w)) is None:
-                self.words[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-            else:
-                plain[w] = parts
-        new = set()
-        for p in {p for ps in plain.values() for p in ps}.difference(cut):
-            if (known := older.get(p)) is None:
-                new.add(p)
-            else:
-                cut[p] = known
-        new = sorted(new)
-        for i in range(0, len(new), 1000):
-            some = new[i : i + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(some):  # a part that isn't one word to the tokenizer
-                for p in some:
-                    cut[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
-                continue
-            body, at = ids.tobytes(), 0
-            for p, stop in zip(some, (4 * stops).tolist()):
-                cut[p] = body[at:stop]
-                at = stop
-        for w, ps in plain.items():
-            self.words[w] = cut[ps[0]] if len(ps) == 1 else b"".join([cut[p] for p in ps])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.parts = pa.array([""]), Pieces(np.zeros(0, "<u4"), np.zeros(1, np.int64))
+
+    def _each(self, words: list[str]) -> Pieces:
+        """Ids of words that the tokenizer takes one by one."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)] if words else []
+        return Pieces(np.array([i for ids in found for i in ids], "<u4"), np.fromiter(map(len, found), np.int64, len(found)))
+
+    def _together(self, parts: list[str]) -> Pieces:
+        """Ids of parts of words, a thousand at a time: each ends where a word of the tokenizer does."""
+        ids, count = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for i in range(0, len(parts), 1000):
+            some = parts[i : i + 1000]
+            laid = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[laid]) + 1
+            found = Pieces(laid, np.diff(stops, prepend=0)) if len(stops) == len(some) else self._each(some)
+            ids.append(found.ids)
+            count.append(found.count)
+        return Pieces(np.concatenate(ids), np.concatenate(count))
+
+    def _part_ids(self, parts: pa.Array) -> tuple[Pieces, np.ndarray]:
+        """The ids that are known now, and where each of the distinct ``parts`` is among them."""
+        if len(self.known) > self.most:
+            self._forget()
+        new = parts.filter(pc.invert(pc.is_in(parts, value_set=self.known)))
+        if len(new):
+            self.parts = self.parts.join(self._together(new.to_pylist()))
+            self.known = pa.concat_arrays([self.known, new])
+        return self.parts, pc.index_in(parts, value_set=self.known).to_numpy(zero_copy_only=False)
+
+    def _word_ids(self, words: pa.Array) -> Pieces:
+        """Ids of distinct words."""
+        cut = pc.extract_regex(words, PLAIN)
+        plain = cut.is_valid()
+        odd = words.filter(pc.invert(plain))
+        plain = plain.to_numpy(zero_copy_only=False)
+        stem, marks = cut.drop_null().flatten()
+        both = pa.concat_arrays([pc.utf8_lower(stem), marks]).dictionary_encode()
+        known, at = self._part_ids(both.dictionary)
+        at = at[both.indices.to_numpy(zero_copy_only=False)]
+        # a plain word is its stem's ids and its marks'; any other is its own
+        pool = known.join(self._each(odd.to_pylist()))
+        first, second = np.full((2, len(words)), -1, np.int64)
+        first[plain], second[plain] = at[: len(stem)], at[len(stem) :]
+        first[~plain] = len(known.count) + np.arange(len(odd))
+        parts = np.stack((first, second), axis=1).ravel()
+        there = parts >= 0
+        laid = pool.take(parts[there])
+        count = np.zeros(len(parts), np.int64)
+        count[there] = laid.count
+        return Pieces(laid.ids, count.reshape(-1, 2).sum(axis=1))
+
+    def _cut(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The words of all texts, numbered, and where each text's words begin and end."""
+        cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        return cut.flatten().dictionary_encode(), np.asarray(cut.offsets) - cut.offsets[0].as_py()
+
+    def lengths(self, texts: pa.Array) -> np.ndarray:
+        """How many ids each text has."""
+        words, ends = self._cut(texts)
+        count = self._word_ids(words.dictionary).count[words.indices.to_numpy(zero_copy_only=False)]
+        return np.diff(np.concatenate(([0], np.cumsum(count)))[ends])
+
+    def ids(self, texts: pa.Array) -> Pieces:
+        """The ids of each text."""
+        words, ends = self._cut(texts)
+        laid = self._word_ids(words.dictionary).take(words.indices.to_numpy(zero_copy_only=False))
+        return Pieces(laid.ids, np.diff(np.concatenate(([0], np.cumsum(laid.count)))[ends]))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
-        if len(self.words) > self.most or len(self.pieces) > self.most:
-            # words not seen since the last change of generation are forgotten
-            self.older, self.words, self.pieces = (self.words, self.pieces), {"": b""}, {}
-        new, older = set(), self.older[0]
-        for w in set().union(*cut).difference(self.words):
-            if (known := older.get(w)) is None:
-                new.add(w)
-            else:
-                self.words[w] = known
-        if new:
-            self._learn(new)
-        ids = self.words
-        return [b"".join([ids[w] for w in ws]) for ws in cut]
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str = TOKENIZER) -> WordEncoder:
-    """One encoder for each Python worker."""
-    return WordEncoder(path)
+        """Little-endian 32-bit ids of each text."""
+        found = self.ids(pa.array(texts, pa.string()))
+        body = found.ids.tobytes()
+        return [body[4 * a : 4 * (a + n)] for a, n in zip(found.start.tolist(), found.count.tolist())]
 
 
 def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, n_tokens) for each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
-        for chunk in text_chunks(batches):
-            n = [len(b) // 4 for b in encode(chunk.column(1).to_pylist())]
-            yield pa.record_batch([chunk.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
+        encode = WordEncoder(tokenizer)  # what it remembers goes with the task
+        for chunk in text_chunks(batches, most=ENCODED_BYTES):
+            yield pa.record_batch([chunk.column(0), pa.array(encode.lengths(chunk.column(1)), pa.int64())], names=["doc_id", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long")
 
