@@ -379,19 +379,96 @@ def plain_removal(texts, n=13):
 
 
 @pytest.mark.parametrize("blocks", [1, 7])
-def test_substring_dedup(docs, nothing, blocks, monkeypatch):
-    monkeypatch.setattr("helixframe.llm.batches.CHUNK_BYTES", 3000)
-    want = plain_removal(DOCS)
+@pytest.mark.parametrize("kept", [0, 10_000])
+def test_substring_dedup(docs, nothing, blocks, kept, monkeypatch):
+    monkeypatch.setattr("helixframe.llm.batches.text_chunks.__defaults__", ("text", 3000))
+    monkeypatch.setattr("helixframe.llm.substring._References.__init__.__defaults__", (kept,))
+    want, words = plain_removal(DOCS), {k: WORD.findall(t) for k, t in DOCS.items()}
     spans = defaultdict(list)
     for r in substring.factors(docs.repartition(5), blocks=blocks).collect():
         assert r["ref_id"] < r["doc_id"] and r["length"] >= 13
-        spans[r["doc_id"]].append((r["start"], r["length"]))
-    for k, t in DOCS.items():
-        assert b" ".join(substring.kept_words(substring.word_list(t), spans.get(k))).decode() == want[k][2], k
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring.without_duplicates(docs).collect()}
+        # a factor stands whole at one place of one earlier document
+        assert words[r["doc_id"]][r["start"] : r["start"] + r["length"]] == words[r["ref_id"]][r["ref_start"] : r["ref_start"] + r["length"]]
+        spans[r["doc_id"]].append((r["start"], r["length"], r["ref_id"], r["ref_start"]))
+    for k, w in words.items():
+        gone = substring.covered(np.array([len(w)]), [spans.get(k, [])])
+        assert " ".join(x for x, g in zip(w, gone) if not g) == want[k][2], k
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring.without_duplicates(docs, blocks=blocks).collect()}
     assert got == want and substring.without_duplicates(nothing).count() == 0
 
 
+def plain_factors(texts, n=13):
+    """Greedy factors of numbered word lists: (doc, start, length) with the longest match in one earlier document."""
+    out = []
+    for k, w in texts.items():
+        i = 0
+        while i + n <= len(w):
+            best = 0
+            for e, v in texts.items():
+                for j in range(len(v) if e < k else 0):
+                    m = 0
+                    while i + m < len(w) and j + m < len(v) and w[i + m] == v[j + m]:
+                        m += 1
+                    best = max(best, m)
+            if best >= n:
+                out.append((k, i, best))
+                i += best - n + 1
+            else:
+                i += 1
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_parse_takes_the_longest_earlier_match(seed):
+    r = np.random.default_rng(seed)
+    base = [r.choice(["a", "b", "c", "d", "e"], 40).tolist() for _ in range(3)]
+    texts = {}
+    for k in range(8):
+        parts = [base[i][a : a + int(r.integers(5, 30))] for i, a in zip(r.integers(0, 3, 4), r.integers(0, 20, 4))]
+        texts[k] = sum(parts, []) + ["z"] * int(r.integers(0, 20))
+    n = 4
+    at = [(k, i, tuple(w[i : i + n])) for k, w in texts.items() for i in range(len(w) - n + 1)]
+    content = np.unique([" ".join(c) for *_, c in at], return_inverse=True)[1].astype(np.uint64)
+    row, pos = (np.array([x[i] for x in at]) for i in (0, 1))
+    held, number, _ = substring._held_twice(content, content, row)
+    first, length, ref = substring.parse(row[held], pos[held], row[held], number, n)
+    first, ref = held[first], held[ref]
+    assert sorted(zip(row[first].tolist(), pos[first].tolist(), length.tolist())) == plain_factors(texts, n)
+    for i, m, j in zip(first, length, ref):
+        assert row[j] < row[i] and texts[row[i]][pos[i] : pos[i] + m] == texts[row[j]][pos[j] : pos[j] + m]
+
+
+def test_factors_that_go_on_in_one_reference_are_joined():
+    assert substring.joined([(20, 15, 1, 30), (0, 25, 1, 10), (5, 14, 2, 0), (60, 13, 1, 70)]) == [(0, 35, 1, 10), (5, 14, 2, 0), (60, 13, 1, 70)]
+
+
+def test_substring_dedup_of_a_passage_in_every_document(spark):
+    r = np.random.default_rng(8)
+    passage = " ".join(r.choice(VOCAB, 30))
+    texts = {i: " ".join([*r.choice(VOCAB, 20), passage, *r.choice(VOCAB, 20)]) for i in range(400)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    assert {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept"]) for x in substring.without_duplicates(df).collect()} == plain_removal(texts)
+
+
+def test_substring_dedup_of_rows_without_an_id_of_their_own(odd):
+    df, rows = odd
+    one = {}  # a window's smallest document
+    for d, t in rows:
+        w = WORD.findall(t or "")
+        for i in range(len(w) - 12 if d is not None else 0):
+            k = tuple(w[i : i + 13])
+            one[k] = min(one.get(k, d), d)
+    want = []
+    for d, t in rows:
+        w = WORD.findall(t or "")
+        gone = [False] * len(w)
+        for i in range(len(w) - 12 if d is not None else 0):
+            if one[tuple(w[i : i + 13])] < d:
+                gone[i : i + 13] = [True] * 13
+        want.append((str(d), len(w), " ".join(x for x, g in zip(w, gone) if not g)))
+    assert sorted((str(r["doc_id"]), r["n_words"], r["kept"]) for r in substring.without_duplicates(df).collect()) == sorted(want)
+
+
 def test_substring_dedup_of_a_very_long_periodic_text(spark):
     phrase = " ".join(f"p{i}" for i in range(10))
     texts = {1: "head " + " ".join([phrase] * 3), 2: " ".join([phrase] * 10_000), 3: "other words " + " ".join([phrase] * 7_100) + " tail"}
@@ -400,12 +477,12 @@ def test_substring_dedup_of_a_very_long_periodic_text(spark):
 
 
 def test_windows_travel_with_their_whole_hashes():
-    entry = np.zeros(70_003, substring._ENTRY)
-    entry["anchor"], entry["own"] = 5, np.arange(70_003, dtype=np.uint64) << np.uint64(40)
-    entry["pos"] = [*range(70_000), 0, 1, 9]
-    doc = np.repeat([0, 1], [70_000, 3])
-    anchor, own, d, pos = substring._unpacked(np.array([7, 8], "<i8").tobytes(), substring._packed(entry, doc))
-    assert (anchor == 5).all() and (own == entry["own"]).all() and (d == doc + 7).all() and (pos == entry["pos"]).all()
+    m = 70_003
+    anchor, own = np.full(m, 5, np.uint64), np.arange(m, dtype=np.uint64) << np.uint64(40)
+    pos, text = np.array([*range(70_000), 0, 1, 9]), np.repeat([0, 1], [70_000, 3])
+    ids = np.array([[7, -1], [8, 3]], "<i8")
+    a, o, t, p, i = substring._unpacked(ids.tobytes(), substring._packed(anchor, own, pos, text))
+    assert (a == anchor).all() and (o == own).all() and (t == text).all() and (p == pos).all() and (i == ids).all()
 
 
 # 10 -----------------------------------------------------------------------------------
