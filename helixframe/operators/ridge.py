@@ -1,31 +1,49 @@
-"""Train-only kernel ridge models with nested leave-one-group-out validation.
-
-Three forms of one model. With one feature the held-out predictions follow from moments
-of groups, in plain SQL functions. With several features the same moments are small
-matrices: train moments are the total less the held-out groups', after shifting features
-by a label-free constant so that subtraction doesn't cancel. Kernels of several blocks
-(signed vectors, directions) are averaged and solved per outer fold in an Arrow task,
-one task for each (model, fold), for cohorts of a few hundred rows.
-
-Groups are whole: a fold never splits one. Features are centred and scaled on training
-rows only; a feature without range there is inactive. Ties of the tuning score within
-1e-12 go to the strongest regularisation.
+"""Train-only ridge models with nested leave-one-group-out validation, from moments of groups.
+
+A linear model's fit needs counts, sums and cross products of its features and nothing
+else of its rows. Each group of rows is reduced to one such matrix by sums that Spark
+combines map-side; what a fold trains on is the total less the matrices of the groups it
+holds out, less those of rows that a purge takes away. Fits are small solves, one for
+each fold; rows meet only the coefficients of the folds that judge them. With one feature
+the solve is a formula and everything stays in SQL functions.
+
+Models are lists of blocks that share the weight: the scalars, standardised, and blocks
+of one or more vectors, each scaled to a mean squared norm of one. Centres and scales
+come from training rows; a column or vector without spread there is inactive and its
+block's weight goes to the others. Features are shifted by their overall mean first, so
+that subtraction doesn't cancel; no label takes part in that.
+
+Vectors of more dimensions than rows are first replaced by their coordinates in the space
+that the rows of a cohort span, which changes no inner product and so no model. That step
+takes a cohort in one task and refuses one of more than ``MOST_ROWS`` rows.
+
+Groups are whole: a fold never splits one. Ties of the tuning score within 1e-12 go to
+the strongest regularisation.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.functions.vectors import norm
+from helixframe.functions.vectors import dot, norm, wide
+from helixframe.operators.joins import overlap_pairs
 from helixframe.quality.checks import require
 
 #: Fixed value: the grid of regularisation strengths.
 LAMBDAS = (1e-4, 1e-3, 0.01, 0.1, 1.0, 10.0)
+#: Feature columns beyond which vectors are replaced by coordinates, and the rows of a cohort up to which they can be.
+MOST_COLUMNS, MOST_ROWS = 512, 2000
+#: The blocks of each model; a block named twice has twice the weight.
+MODELS = {
+    "scalar": ("scalars",), "duplicate_scalar": ("scalars", "scalars"), "signed": ("scalars", "vector"), "reference": ("scalars", "reference"),
+    "unit_direction": ("scalars", "direction"), "vector_only": ("vector",),
+}
 
 
 def loeo_one_feature(df: DataFrame, keys: list[str], group: str, x: str, y: str, lambdas: tuple[float, ...] = LAMBDAS) -> DataFrame:
@@ -36,7 +54,7 @@ def loeo_one_feature(df: DataFrame, keys: list[str], group: str, x: str, y: str,
     if not keys:
         return loeo_one_feature(df.withColumn("_all", F.lit(0)), ["_all"], group, x, y, lambdas).drop("_all")
     shift = df.groupBy(*keys).agg(F.avg(x).alias("_x0"), F.avg(y).alias("_y0"))
-    z = df.join(F.broadcast(shift), keys).withColumns({"_x": F.col(x) - F.col("_x0"), "_y": F.col(y) - F.col("_y0")})
+    z = df.join(shift, keys).withColumns({"_x": F.col(x) - F.col("_x0"), "_y": F.col(y) - F.col("_y0")})
     m = z.groupBy(*keys, F.col(group).alias("_g")).agg(F.count("*").alias("n"), F.sum("_x").alias("sx"), F.sum("_y").alias("sy"), F.sum(F.col("_x") * F.col("_x")).alias("sxx"), F.sum(F.col("_x") * F.col("_y")).alias("sxy"))
     parts = ("n", "sx", "sy", "sxx", "sxy")
     whole = m.groupBy(*keys).agg(*[F.sum(c).alias(f"t_{c}") for c in parts])
@@ -57,167 +75,229 @@ def loeo_one_feature(df: DataFrame, keys: list[str], group: str, x: str, y: str,
     slope, intercept = line(F.col, F.col("lambda"))
     tuned = tuned.select(*keys, "outer_group", "inner_group", "lambda", slope.alias("slope"), intercept.alias("intercept"))
     error = F.abs(F.col("_y") - F.col("intercept") - F.col("slope") * F.col("_x"))
-    # one row of z meets (groups - 1) x lambdas lines of its group: a broadcast of groups^2 lines
-    scores = z.select(*keys, F.col(group).alias("inner_group"), "_x", "_y").join(F.broadcast(tuned), [*keys, "inner_group"]).groupBy(*keys, "outer_group", "lambda", "inner_group").agg(F.avg(error).alias("mae"))
+    # a row meets the (groups - 1) x lambdas lines of its group; the planner broadcasts the groups^2 lines where their measured size allows
+    scores = z.select(*keys, F.col(group).alias("inner_group"), "_x", "_y").join(tuned, [*keys, "inner_group"]).groupBy(*keys, "outer_group", "lambda", "inner_group").agg(F.avg(error).alias("mae"))
     score = scores.groupBy(*keys, "outer_group", "lambda").agg(F.avg("mae").alias("score"))
     listed = score.groupBy(*keys, "outer_group").agg(F.min("score").alias("best"), F.collect_list(F.struct("lambda", "score")).alias("all"))
     near = F.filter("all", lambda t: t["score"] <= F.col("best") + 1e-12)
     chosen = listed.select(*keys, "outer_group", F.array_max(F.transform(near, lambda t: t["lambda"])).alias("lambda"))
     slope, intercept = line(lambda c: F.col(f"f_{c}"), F.col("lambda"))
     lines = folds.join(chosen, [*keys, "outer_group"]).select(*keys, F.col("outer_group").alias(group), "lambda", slope.alias("_slope"), intercept.alias("_intercept"))
-    out = z.join(F.broadcast(lines), [*keys, group])
+    out = z.join(lines, [*keys, group])
     return out.select(*df.columns, "lambda", (F.col("_y0") + F.col("_intercept") + F.col("_slope") * F.col("_x")).alias("prediction"))
 
 
-# --- matrices of one cohort ---------------------------------------------------------
-
-
-def centred_gram(gram: np.ndarray, train: np.ndarray, test: np.ndarray, features: np.ndarray | None = None, guard: float = 1e-4) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Train and test blocks of a Gram matrix, centred on train and scaled by the mean squared norm there.
-
-    Where centring would cancel (what is left is no more than ``guard`` of the raw
-    energy) the blocks are made again from centred features. The flag tells whether the
-    block is active.
-    """
-    tt, xt = gram[np.ix_(train, train)], gram[np.ix_(test, train)]
-    energy, row = float(np.mean(np.diag(tt))), tt.mean(axis=0)
-    ktt = tt - row[None, :] - row[:, None] + tt.mean()
-    kxt = xt - xt.mean(axis=1, keepdims=True) - row[None, :] + tt.mean()
-    scale = float(np.mean(np.diag(ktt)))
-    if features is not None and scale <= guard * energy:
-        mean = features[train].mean(axis=0)
-        a, b = features[train] - mean, features[test] - mean
-        ktt, kxt = a @ a.T, b @ a.T
-        scale = float(np.mean(np.diag(ktt)))
-        if not np.any(np.ptp(features[train], axis=0) > 0):
-            scale = 0.0
-    if scale <= 1e-12 * max(energy, 1e-300) and (features is None or scale <= 0):
-        return np.zeros_like(ktt), np.zeros_like(kxt), False
-    return ktt / scale, kxt / scale, True
-
-
-def scalar_kernel(values: np.ndarray, train: np.ndarray, test: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Linear kernel of standardised scalars; columns without range on train drop out, the rest share unit weight."""
-    a, b = values[train], values[test]
-    live = np.ptp(a, axis=0) > 0 if a.shape[1] else np.zeros(0, bool)
-    if not live.any():
-        return np.zeros((len(train), len(train))), np.zeros((len(test), len(train))), False
-    mean, std = a[:, live].mean(axis=0), a[:, live].std(axis=0)
-    a, b = (a[:, live] - mean) / std, (b[:, live] - mean) / std
-    return a @ a.T / live.sum(), b @ a.T / live.sum(), True
-
-
-def averaged(blocks: list[tuple[np.ndarray, np.ndarray, bool]]) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Mean of the active kernels; zeros, and inactive, if none is."""
-    live = [b for b in blocks if b[2]] or [(np.zeros_like(blocks[0][0]), np.zeros_like(blocks[0][1]), False)]
-    return sum(b[0] for b in live) / len(live), sum(b[1] for b in live) / len(live), live[0][2]
-
-
-def directions(x: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, n, out=np.zeros_like(x, dtype=float), where=n > 0)
-
-
-#: What each model adds to the scalar block.
-MODELS = ("scalar", "duplicate_scalar", "signed", "reference", "unit_direction", "vector_only")
-
-
-def model_kernels(model: str, scalars: np.ndarray, vectors: list[np.ndarray], reference: list[np.ndarray] | None, train: np.ndarray, test: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Train and test kernels of a model. Views of one vector (both strands) are averaged before they meet the scalars."""
-    base = scalar_kernel(scalars, train, test)
-    if model == "scalar":
-        return averaged([base])[:2]
-    if model == "duplicate_scalar":
-        return averaged([base, base])[:2]
-    views = {"signed": vectors, "vector_only": vectors, "reference": reference, "unit_direction": [directions(v) for v in vectors]}[model]
-    block = averaged([centred_gram(x @ x.T, train, test, x) for x in views])
-    return (block if model == "vector_only" else averaged([base, block]))[:2]
-
-
-def ridge_grid(ktt: np.ndarray, kxt: np.ndarray, y: np.ndarray, lambdas=LAMBDAS) -> np.ndarray:
-    """Predictions (lambda, row) from one eigendecomposition; the intercept is the train mean, nothing is clipped."""
-    n, mean = len(y), y.mean()
-    value, vector = np.linalg.eigh((ktt + ktt.T) / 2)
-    if value.min() < -1e-10 * max(1.0, np.abs(value).max()):
-        raise ValueError("the kernel isn't positive semidefinite")
-    value = np.maximum(value, 0.0)
-    right = vector.T @ (y - mean)
-    return np.stack([mean + kxt @ (vector @ (right / (value + lam * n))) for lam in lambdas])
-
-
-def direct_solve(ktt: np.ndarray, kxt: np.ndarray, y: np.ndarray, lam: float) -> np.ndarray:
-    n, mean = len(y), y.mean()
-    return mean + kxt @ np.linalg.solve(ktt + lam * n * np.eye(n), y - mean)
-
-
-def choose(scores: np.ndarray, lambdas=LAMBDAS) -> int:
-    """Index of the best score; scores within 1e-12 of it go to the largest lambda."""
-    near = np.flatnonzero(scores <= scores.min() + 1e-12)
-    return int(max(near, key=lambda i: lambdas[i]))
-
-
-def outer_fold(fold, y: np.ndarray, groups: np.ndarray, kernels: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], allowed: np.ndarray | None = None, lambdas=LAMBDAS) -> dict:
-    """One outer fold: inner leave-one-group-out on its training rows, then a refit and held-out predictions.
-
-    ``allowed`` marks the rows that may train (a purge takes rows away); the held-out
-    group never trains.
-    """
-    test = np.flatnonzero(groups == fold)
-    train = np.flatnonzero((groups != fold) & (True if allowed is None else allowed))
-    if not len(train):
-        raise ValueError(f"fold {fold} has no training rows")
-    inner_scores = []
-    for g in np.unique(groups[train]):
-        a, b = train[groups[train] != g], train[groups[train] == g]
-        if len(a):
-            inner_scores.append(np.abs(ridge_grid(*kernels(a, b), y[a], lambdas) - y[b]).mean(axis=1))
-    score = np.mean(inner_scores, axis=0) if inner_scores else np.zeros(len(lambdas))
-    k = choose(score, lambdas)
-    ktt, kxt = kernels(train, test)
-    prediction = ridge_grid(ktt, kxt, y[train], lambdas)[k]
-    gap = float(np.max(np.abs(prediction - direct_solve(ktt, kxt, y[train], lambdas[k]))))
-    if gap > 1e-7:
-        raise ValueError(f"two solvers differ by {gap}")
-    return {"rows": test, "prediction": prediction, "lambda": lambdas[k], "scores": score, "gap": gap, "train": train}
+# --- several features -------------------------------------------------------------------
+
+
+def direction(v: Column) -> Column:
+    """The vector at length one; zero stays zero."""
+    size = norm(v)
+    return F.transform(wide(v), lambda x: F.when(size > 0, x / size).otherwise(0.0))
+
+
+def coordinates(df: DataFrame, keys: list[str], row_id: str, vectors: list[str], most_rows: int = MOST_ROWS) -> DataFrame:
+    """``df`` with each vector replaced by its coordinates in the space that its cohort's rows span."""
+    types = dict(df.dtypes)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        if len(rows) > most_rows:
+            raise ValueError(f"vectors of so many dimensions need cohorts of at most {most_rows} rows")
+        out = {c: rows[c] for c in (*keys, row_id)}
+        for c in vectors:
+            x = np.stack(rows[c].to_list()).astype(float)
+            x -= x.mean(axis=0)
+            value, axes = np.linalg.eigh(x @ x.T)
+            flat = axes * np.sqrt(np.maximum(value, 0.0))
+            out[c] = list(np.pad(flat, ((0, 0), (0, most - len(rows)))))
+        return pd.DataFrame(out)
+
+    most = (df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) if keys else df.count()
+    if most > most_rows:
+        raise ValueError(f"vectors of so many dimensions need cohorts of at most {most_rows} rows")
+    schema = ", ".join([*(f"{c} {types[c]}" for c in (*keys, row_id)), *(f"{c} array<double>" for c in vectors)])
+    flat = df.select(*keys, row_id, *vectors).groupBy(*keys).applyInPandas(run, schema)
+    return df.drop(*vectors).join(flat, [*keys, row_id])
+
+
+def moments(z: DataFrame, by: list[str], features: str = "z", y: str = "y") -> DataFrame:
+    """(by..., m): the flat matrix of sums of products of (1, features, y) over the rows of each group."""
+    types = dict(z.dtypes)
+    schema = ", ".join([*(f"{c} {types[c]}" for c in by), "m array<double>"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for rows in frames:
+            for key, some in rows.groupby(by, dropna=False, sort=False):
+                a = np.column_stack((np.ones(len(some)), np.stack(some[features].to_list()), some[y].to_numpy(float)))
+                sums[key] = sums.get(key, 0.0) + a.T @ a
+            if len(sums) * max((m.nbytes for m in sums.values()), default=0) > 64_000_000:
+                yield frame(sums)
+                sums = {}
+        if sums:
+            yield frame(sums)
+
+    def frame(sums: dict[tuple, np.ndarray]) -> pd.DataFrame:
+        return pd.DataFrame([(*k, m.ravel()) for k, m in sums.items()], columns=[*by, "m"])
+
+    return added(z.select(*by, features, y).mapInPandas(run, schema), by)
+
+
+def added(parts: DataFrame, by: list[str]) -> DataFrame:
+    """Matrices summed cell by cell, partly before the shuffle."""
+    cells = parts.select(*by, F.posexplode("m").alias("at", "v")).groupBy(*by, "at").agg(F.sum("v").alias("v"))
+    return cells.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda c: c["v"]).alias("m"))
+
+
+def _less(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x - y)
+
+
+def _weights(spread: np.ndarray, mean: np.ndarray, blocks: list[tuple[str, list[int]]], model: str) -> np.ndarray:
+    """The factor of each column: its block's share of the weight, over its scale; zero where it is inactive."""
+    live, width, at = [], [], 0
+    for name, views in blocks:
+        scales = []
+        for n in [1] * views[0] if name == "scalars" else views:
+            s, floor = spread[at : at + n].sum(), (1 + (mean[at : at + n] ** 2).sum())
+            scales.append((at, n, s if s > 1e-12 * floor else 0.0))
+            at += n
+        width.append(scales)
+        live.append(sum(s > 0 for *_, s in scales))
+    times = [MODELS[model].count(name) if k else 0 for (name, _), k in zip(blocks, live)]
+    out = np.zeros(len(spread))
+    for scales, k, t in zip(width, live, times):
+        for first, n, s in scales:
+            if s > 0 and t:
+                out[first : first + n] = np.sqrt(t / sum(times) / k / s)
+    return out
+
+
+def solve(matrix: np.ndarray, blocks: list[tuple[str, list[int]]], model: str, lambdas: tuple[float, ...], direct: bool = False) -> list[tuple[float, float, np.ndarray]]:
+    """(lambda, intercept, coefficients) of raw features, from one eigendecomposition or, ``direct``, a solve for each lambda."""
+    n = matrix[0, 0]
+    if not n > 0.5:
+        raise ValueError("a fold has no training rows")
+    mean, level = matrix[0, 1:-1] / n, matrix[0, -1] / n
+    cross = matrix[1:-1, 1:-1] / n - np.outer(mean, mean)
+    toward = matrix[1:-1, -1] / n - mean * level
+    w = _weights(np.diag(cross), mean, blocks, model)
+    a, b = cross * np.outer(w, w), toward * w
+    if direct:
+        fits = [np.linalg.solve(a + lam * np.eye(len(a)), b) for lam in lambdas]
+    else:
+        value, axes = np.linalg.eigh((a + a.T) / 2)
+        if value.min() < -1e-9 * max(1.0, value.max()):
+            raise ValueError("the moments aren't positive semidefinite")
+        fits = [axes @ ((axes.T @ b) / (np.maximum(value, 0.0) + lam)) for lam in lambdas]
+    return [(lam, float(level - (f * w) @ mean), f * w) for lam, f in zip(lambdas, fits)]
+
+
+def _fits(folds: DataFrame, by: list[str], blocks: list[tuple[str, list[int]]], model: str, lambdas: tuple[float, ...], check: bool) -> DataFrame:
+    """(by..., train_n, lambda, intercept, beta, intercept2, beta2) of each row's moments ``m``; the second pair is the direct solve's."""
+    types = dict(folds.dtypes)
+    names = [*by, "train_n", "lambda", "intercept", "beta", "intercept2", "beta2"]
+    schema = ", ".join([*(f"{c} {types[c]}" for c in by), "train_n long, lambda double, intercept double, beta array<double>, intercept2 double, beta2 array<double>"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in frames:
+            out = []
+            for key, m in zip(rows[by].itertuples(index=False, name=None), rows["m"]):
+                side = int(round(len(m) ** 0.5))
+                matrix = np.asarray(m, float).reshape(side, side)
+                found = solve(matrix, blocks, model, lambdas)
+                again = solve(matrix, blocks, model, lambdas, direct=True) if check else [(None, None, None)] * len(lambdas)
+                out += [(*key, int(round(matrix[0, 0])), lam, c, b, c2, b2) for (lam, c, b), (_, c2, b2) in zip(found, again)]
+            yield pd.DataFrame(out, columns=names)
+
+    return folds.select(*by, "m").mapInPandas(run, schema)
 
 
 def nested_loeo(
     df: DataFrame, keys: list[str], group: str, row_id: str, y: str, scalars: list[str], vector: list[str] = [], reference: list[str] = [],
-    models: tuple[str, ...] = ("scalar", "signed"), span: tuple[str, str] | None = None,
+    models: tuple[str, ...] = ("scalar", "signed"), span: tuple[str, str] | None = None, bin_size: int = 1 << 15, lambdas: tuple[float, ...] = LAMBDAS,
 ) -> DataFrame:
     """Held-out predictions of every (keys, model, fold): (keys, model, group, row_id, truth, prediction, lambda, gap, train_n, purged_n).
 
     With ``span`` (closed start and end of each row's window) rows whose window overlaps
-    any window of the held-out group are purged from training. A cohort travels whole to
-    the task of each fold; cohorts are a few hundred rows by nature, and the folds of all
-    cohorts and models run side by side.
+    any window of the held-out group are purged from training. ``vector`` and
+    ``reference`` name array columns, one for each view. ``gap`` is how far two solvers'
+    predictions lie apart; a run fails where that is more than 1e-7. Raises where a
+    feature or an outcome isn't finite or a fold has nothing to train on.
     """
-    columns = [*keys, group, row_id, y, *scalars, *vector, *reference, *(span or ())]
-    cohort = df.select(*dict.fromkeys(columns))
-    folds = cohort.select(*keys, F.col(group).alias("_fold")).distinct().withColumn("model", F.explode(F.array(*map(F.lit, models))))
-    types = dict(cohort.dtypes)
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "model string", f"{group} {types[group]}", f"{row_id} {types[row_id]}", "truth double, prediction double, lambda double, gap double, train_n long, purged_n long"])
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(row_id, kind="stable").reset_index(drop=True)
-        g, t = rows[group].to_numpy(), rows[y].to_numpy(float)
-        fold, model = rows["_fold"].iloc[0], rows["model"].iloc[0]
-        s = rows[scalars].to_numpy(float) if scalars else np.zeros((len(rows), 0))
-        v, r = ([np.stack(rows[c].to_list()).astype(float) for c in names] for names in (vector, reference))
-        if not all(np.isfinite(x).all() for x in (s, t, *v, *r)):
-            raise ValueError("features and outcomes must be finite")
-        allowed = None
-        if span:
-            a, b = rows[span[0]].to_numpy(), rows[span[1]].to_numpy()
-            held = g == fold
-            allowed = ~((a[:, None] <= b[held][None, :]) & (b[:, None] >= a[held][None, :])).any(axis=1)
-        found = outer_fold(fold, t, g, lambda i, j: model_kernels(model, s, v, r, i, j), allowed)
-        out = rows.iloc[found["rows"]]
-        return pd.DataFrame({**{k: out[k] for k in keys}, "model": model, group: out[group], row_id: out[row_id], "truth": out[y].astype(float), "prediction": found["prediction"], "lambda": found["lambda"], "gap": found["gap"], "train_n": len(found["train"]), "purged_n": int((g != fold).sum() - len(found["train"]))})
-
-    on = keys or None
-    joined = cohort.join(F.broadcast(folds), keys) if on else cohort.crossJoin(F.broadcast(folds))
-    return joined.groupBy(*keys, "model", "_fold").applyInPandas(solve, schema)
+    if not keys:
+        return nested_loeo(df.withColumn("_all", F.lit(0)), ["_all"], group, row_id, y, scalars, vector, reference, models, span, bin_size, lambdas).drop("_all")
+    views = {"vector": vector, "reference": reference, "direction": vector}
+    columns = {f"{name}{i}": direction(F.col(c)) if name == "direction" else wide(F.col(c)) for name, cs in views.items() if any(name in MODELS[m] for m in models) for i, c in enumerate(cs)}
+    rows = df.select(*keys, F.col(group).alias("grp"), F.col(row_id).alias("row"), F.col(y).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in scalars], *[v.alias(c) for c, v in columns.items()], *(span or ()))
+    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    bad = reduce(lambda a, b: a | b, [odd(F.col(c)) for c in ("y", *scalars)] + [F.exists(c, odd) for c in columns])
+    rows = require(rows, ~bad, "features and outcomes must be finite")
+    sizes = rows.agg(*[F.max(F.size(c)).alias(c) for c in columns]).first().asDict() if columns else {}
+    if sum(n or 0 for n in sizes.values()) > MOST_COLUMNS:
+        rows = coordinates(rows, keys, "row", list(columns))
+        sizes = rows.agg(*[F.max(F.size(c)).alias(c) for c in columns]).first().asDict()
+    # the centre of each cohort, by column, without a look at outcomes
+    flat = F.concat(*([F.array(*scalars)] if scalars else []), *columns)
+    rows = rows.select(*keys, "grp", "row", "y", *(span or ()), flat.alias("all"))
+    centre = rows.select(*keys, F.posexplode("all").alias("at", "v")).groupBy(*keys, "at").agg(F.avg("v").alias("v")).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda c: c["v"]).alias("centre"))
+    rows = rows.join(centre, keys).withColumn("all", _less(F.col("all"), F.col("centre"))).drop("centre")
+    purged = None
+    if span:
+        held = rows.select(*keys, F.col("grp").alias("outer"), F.col(span[0]).alias("_from"), F.col(span[1]).alias("_to"))
+        purged = overlap_pairs(rows.select(*keys, "grp", "row", *span), held, keys, span, ("_from", "_to"), bin_size).filter("grp <> outer").select(*keys, "outer", "row").distinct()
+    out = []
+    for model in models:
+        blocks, slices = [], []
+        for name in dict.fromkeys(MODELS[model]):
+            widths = [len(scalars)] if name == "scalars" else [sizes[f"{name}{i}"] for i in range(len(views[name]))]
+            first = 1 if name == "scalars" else 1 + len(scalars) + sum(n for c, n in sizes.items() if list(sizes).index(c) < list(sizes).index(f"{name}0"))
+            blocks.append((name, widths))
+            slices.append(F.slice("all", first, sum(widths)))
+        z = rows.select(*keys, "grp", "row", "y", F.concat(*slices).alias("z"))
+        out.append(_held_out(z, keys, model, blocks, purged, lambdas))
+    done = reduce(DataFrame.unionByName, out)
+    done = require(done, F.col("gap") <= 1e-7, "two solvers differ")
+    return done.select(*keys, "model", F.col("grp").alias(group), F.col("row").alias(row_id), "truth", "prediction", "lambda", "gap", "train_n", "purged_n")
+
+
+def _held_out(z: DataFrame, keys: list[str], model: str, blocks: list[tuple[str, list[int]]], purged: DataFrame | None, lambdas: tuple[float, ...]) -> DataFrame:
+    """One model's held-out predictions of all folds."""
+    each = moments(z, [*keys, "grp"])
+    whole = added(each, keys).withColumnRenamed("m", "whole")
+    outer = each.select(*keys, F.col("grp").alias("outer"), "m").join(whole, keys).select(*keys, "outer", _less(F.col("whole"), F.col("m")).alias("m"))
+    groups = each.select(*keys, F.col("grp").alias("inner"), F.col("m").alias("own"))
+    gone = None
+    if purged is not None:
+        lost = moments(z.join(purged, [*keys, "row"]), [*keys, "outer", "grp"])
+        gone = lost.select(*keys, "outer", F.col("grp").alias("inner"), F.col("m").alias("gone"))
+        all_lost = added(lost, [*keys, "outer"]).withColumnRenamed("m", "lost")
+        outer = outer.join(all_lost, [*keys, "outer"], "left").select(*keys, "outer", F.when(F.col("lost").isNull(), F.col("m")).otherwise(_less(F.col("m"), F.col("lost"))).alias("m"), F.coalesce(F.round(F.col("lost")[0]).cast("long"), F.lit(0)).alias("purged_n"))
+    else:
+        outer = outer.withColumn("purged_n", F.lit(0).cast("long"))
+    inner = outer.join(groups, keys).filter("inner <> outer")
+    if gone is not None:
+        inner = inner.join(gone, [*keys, "outer", "inner"], "left").withColumn("own", F.when(F.col("gone").isNull(), F.col("own")).otherwise(_less(F.col("own"), F.col("gone"))))
+    # a group that is purged whole tunes nothing; one that is all there is to train on can't be held out of it
+    inner = inner.filter((F.col("own")[0] > 0.5) & (F.col("m")[0] - F.col("own")[0] > 0.5)).select(*keys, "outer", "inner", _less(F.col("m"), F.col("own")).alias("m"))
+    tuned = _fits(inner, [*keys, "outer", "inner"], blocks, model, lambdas, False).select(*keys, "outer", F.col("inner").alias("grp"), "lambda", "intercept", "beta")
+    judged = z.join(tuned, [*keys, "grp"])
+    if purged is not None:
+        judged = judged.join(purged, [*keys, "outer", "row"], "left_anti")
+    error = F.abs(F.col("y") - F.col("intercept") - dot(F.col("z"), F.col("beta")))
+    by_group = judged.groupBy(*keys, "outer", "lambda", "grp").agg(F.avg(error).alias("mae"))
+    score = by_group.groupBy(*keys, "outer", "lambda").agg(F.avg("mae").alias("score"))
+    listed = score.groupBy(*keys, "outer").agg(F.min("score").alias("best"), F.collect_list(F.struct("lambda", "score")).alias("all"))
+    near = F.filter("all", lambda t: t["score"] <= F.col("best") + 1e-12)
+    chosen = listed.select(*keys, "outer", F.array_max(F.transform(near, lambda t: t["lambda"])).alias("chosen"))
+    refit = _fits(outer, [*keys, "outer"], blocks, model, lambdas, True)
+    # without any inner fold to judge by, the strongest regularisation
+    best = refit.join(chosen, [*keys, "outer"], "left").filter(F.col("lambda") == F.coalesce("chosen", F.lit(max(lambdas)))).drop("chosen").join(outer.select(*keys, "outer", "purged_n"), [*keys, "outer"]).withColumnRenamed("outer", "grp")
+    at = lambda c, b: F.col(c) + dot(F.col("z"), F.col(b))
+    return z.join(best, [*keys, "grp"]).select(
+        *keys, F.lit(model).alias("model"), "grp", "row", F.col("y").alias("truth"), at("intercept", "beta").alias("prediction"), "lambda",
+        F.abs(at("intercept", "beta") - at("intercept2", "beta2")).alias("gap"), "train_n", "purged_n",
+    )
 
 
 def paired_comparison(predictions: DataFrame, keys: list[str], group: str, base: str, added: str) -> DataFrame:

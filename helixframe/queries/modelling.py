@@ -56,11 +56,47 @@ def paired_comparison_ci(spark, d):
     return rounded(out, ["macro_low", "macro_high", "weighted_low", "weighted_high", "delta_macro"], 5)
 
 
+def _embedded(spark, d):
+    v = V.wide(F.col("embedding"))
+    return table(spark, d, "embeddings").select("vec_id", "label", V.norm(F.slice(v, 1, 32)).alias("norm"), V.mean(v).alias("level"), v.alias("v"), (10 * F.get(v, F.lit(0)) + 3 * F.get(v, F.lit(5))).alias("y"), (F.col("vec_id") * 3).alias("a"), (F.col("vec_id") * 3 + 4).alias("b"))
+
+
 @query()
 def loeo_multi_feature(spark, d):
     """Scalar, duplicate and signed models over the embeddings' labels: metrics of each model and the largest solver gap."""
-    v = F.col("embedding")
-    e = table(spark, d, "embeddings").select("vec_id", "label", V.norm(v).alias("norm"), V.mean(v).alias("level"), V.wide(v).alias("v"), (10 * F.get(V.wide(v), F.lit(0)) + 3 * F.get(V.wide(v), F.lit(5))).alias("y"))
-    p = ridge.nested_loeo(e, [], "label", "vec_id", "y", ["norm", "level"], ["v"], models=("scalar", "duplicate_scalar", "signed", "unit_direction"))
+    p = ridge.nested_loeo(_embedded(spark, d), [], "label", "vec_id", "y", ["norm", "level"], ["v"], models=("scalar", "duplicate_scalar", "signed", "unit_direction"))
     m = A.metric_bundle(p, ["model"], "label", "truth", "prediction").join(p.groupBy("model").agg(F.max("gap").alias("max_gap")), "model")
     return rounded(m, ["mae", "macro_mae", "rmse"], 6).select("model", "n", "mae", "macro_mae", "rmse", (F.col("max_gap") < 1e-7).alias("solvers_agree"))
+
+
+def _two_scalars(purged: bool) -> str:
+    """The scalar model of two standardised features in closed form: (R + 2 strength I) u = c for correlations R and slopes c."""
+    far = "AND NOT EXISTS (SELECT 1 FROM z h WHERE h.g = {o} AND z.a <= h.b AND z.b >= h.a)" if purged else ""
+    stats = "avg(p) AS mp, avg(q) AS mq, avg(y) AS my, stddev_pop(p) AS sp, stddev_pop(q) AS sq, corr(p, q) AS r, covar_pop(p, y) / stddev_pop(p) AS cp, covar_pop(q, y) / stddev_pop(q) AS cq, count(*) AS n"
+    line = "my + (p - mp) / sp * ((1 + 2 * strength) * cp - r * cq) / ((1 + 2 * strength) ** 2 - r * r) + (q - mq) / sq * ((1 + 2 * strength) * cq - r * cp) / ((1 + 2 * strength) ** 2 - r * r)"
+    return f"""WITH e AS (SELECT vec_id, label AS g, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+      z AS (SELECT vec_id, g, sqrt(list_sum(list_transform(v[1:32], lambda x: x * x))) AS p, list_avg(v) AS q, 10 * v[1] + 3 * v[6] AS y, vec_id * 3 AS a, vec_id * 3 + 4 AS b FROM e),
+      lam AS (SELECT unnest(CAST([0.0001, 0.001, 0.01, 0.1, 1.0, 10.0] AS DOUBLE[])) AS strength), gs AS (SELECT DISTINCT g FROM z),
+      t AS (SELECT o.g AS og, z.* FROM gs o JOIN z ON z.g <> o.g {far.format(o="o.g")}),
+      inn AS (SELECT og, i.g AS ig, {stats} FROM t JOIN gs i ON i.g <> t.og AND i.g <> t.g GROUP BY 1, 2),
+      sc AS (SELECT og, ig, strength, avg(abs(t.y - ({line}))) AS mae FROM inn JOIN t USING (og) CROSS JOIN lam WHERE t.g = ig GROUP BY 1, 2, 3),
+      s2 AS (SELECT og, strength, avg(mae) AS score FROM sc GROUP BY 1, 2), ch AS (SELECT og, max(strength) AS strength FROM (SELECT *, min(score) OVER (PARTITION BY og) AS best FROM s2) WHERE score <= best + 1e-12 GROUP BY 1),
+      fit AS (SELECT og, {stats} FROM t GROUP BY 1), al AS (SELECT o.g AS og, count(*) AS every FROM gs o JOIN z ON z.g <> o.g GROUP BY 1)
+      SELECT z.vec_id, z.g AS label, strength, round({line}, 5) AS prediction, n AS train_n, every - n AS purged_n FROM z JOIN fit ON fit.og = z.g JOIN ch ON ch.og = z.g JOIN al ON al.og = z.g"""
+
+
+def _scalar_model(spark, d, **more):
+    p = ridge.nested_loeo(_embedded(spark, d), [], "label", "vec_id", "y", ["norm", "level"], models=("scalar",), **more)
+    return rounded(p, ["prediction"], 5).select("vec_id", "label", F.col("lambda").alias("strength"), "prediction", "train_n", "purged_n")
+
+
+@query(_two_scalars(False))
+def loeo_scalar_model(spark, d):
+    """Held-out predictions of the scalar model of two features, and the strength each fold chose."""
+    return _scalar_model(spark, d)
+
+
+@query(_two_scalars(True))
+def context_purged_folds(spark, d):
+    """The same with rows purged from training whose window overlaps one of the held-out label."""
+    return _scalar_model(spark, d, span=("a", "b"), bin_size=1 << 10)

@@ -82,69 +82,119 @@ def test_impulse_response(spark):
 # --- models -------------------------------------------------------------------------
 
 
-def explicit(x, train, test):
-    a, b = x[train] - x[train].mean(0), x[test] - x[train].mean(0)
-    s = (a * a).sum(1).mean()
-    return a @ a.T / s, b @ a.T / s
-
-
-def test_centred_gram_and_guard():
-    rng = np.random.default_rng(20260916)
-    train, test = np.arange(14), np.arange(14, 19)
-    for offset, tol in ((0, 1e-12), (100, 1e-10), (1e8, 1e-6)):
-        x = rng.normal(size=(19, 37)) + offset
-        k = ridge.centred_gram(x @ x.T, train, test, x)
-        e = explicit(x, train, test)
-        assert k[2] and np.abs(k[0] - e[0]).max() < tol and np.abs(k[1] - e[1]).max() < tol
-    x = np.ones((19, 37))
-    assert not ridge.centred_gram(x @ x.T, train, test, x)[2]
-    assert not ridge.scalar_kernel(np.ones((19, 2)), train, test)[2]
-    assert (ridge.directions(np.zeros((2, 3))) == 0).all()
-
-
 def cohort(seed=1, groups=6, per=5):
     rng = np.random.default_rng(seed)
     n = groups * per
     return rng.normal(size=n), np.repeat(np.arange(groups), per), rng.normal(size=(n, 3)), rng.normal(size=(n, 16))
 
 
-def test_duplicate_is_exact_and_held_out_rows_do_not_leak():
+def features(blocks, train):
+    """Centred, scaled and weighted features of all rows, written out from the definition; blocks are lists of matrices."""
+    parts = []
+    for block in blocks:
+        views = []
+        for x in block:
+            x = x - x[train].mean(axis=0)
+            size = np.sqrt((x[train] ** 2).sum(axis=1).mean())
+            if size > 1e-9:
+                views.append(x / size)
+        if views:
+            parts.append(np.hstack(views) / np.sqrt(len(views)))
+    return np.hstack(parts) / np.sqrt(len(parts)) if parts else np.zeros((len(train), 0))
+
+
+def dual(blocks, y, train, test, lam):
+    f = features(blocks, train)
+    a, b, mean = f[train], f[test], y[train].mean()
+    return mean + b @ a.T @ np.linalg.solve(a @ a.T + lam * train.sum() * np.eye(train.sum()), y[train] - mean)
+
+
+def plain_loeo(blocks, y, g, allowed=lambda fold: True):
+    out, lams = np.zeros(len(y)), np.zeros(len(y))
+    for fold in np.unique(g):
+        train = (g != fold) & allowed(fold)
+        scores = [np.mean([np.abs(dual(blocks, y, train & (g != i), train & (g == i), lam) - y[train & (g == i)]).mean() for i in np.unique(g[train])]) for lam in ridge.LAMBDAS]
+        lam = max(v for v, s in zip(ridge.LAMBDAS, scores) if s <= min(scores) + 1e-12)
+        out[g == fold], lams[g == fold] = dual(blocks, y, train, g == fold, lam), lam
+    return out, lams
+
+
+COHORT = "id int, g int, y double, x0 double, x1 double, x2 double, v array<double>, w array<double>, r array<double>, a int, b int"
+
+
+def loeo(spark, y, g, s, v, models, w=None, r=None, vector=("v",), **more):
+    start = np.arange(len(y)) * 4
+    rows = [(i, int(g[i]), float(y[i]), *map(float, s[i]), v[i].tolist(), (v if w is None else w)[i].tolist(), (v if r is None else r)[i].tolist(), int(start[i]), int(start[i] + 9)) for i in range(len(y))]
+    found = ridge.nested_loeo(spark.createDataFrame(rows, COHORT), [], "g", "id", "y", ["x0", "x1", "x2"], list(vector), ["r"], models=models, **more)
+    return {(x["model"], x["id"]): x for x in found.collect()}
+
+
+@pytest.mark.parametrize("most", [512, 4])
+def test_models_equal_their_definition(spark, most, monkeypatch):
+    monkeypatch.setattr(ridge, "MOST_COLUMNS", most)  # 4: by way of coordinates
+    y, g, s, v = cohort()
+    w, r = np.random.default_rng(3).normal(size=(2, *v.shape))
+    v, s = v + 1e4, s * [1, 1, 0] + [1e6, 0, 5]  # far from zero; a column without range
+    y = y + 3 * s[:, 1] + v[:, 0] - 1e4
+    cols, unit = [s[:, [i]] for i in range(3)], lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {"scalar": [cols], "signed": [cols, [v, w]], "reference": [cols, [r]], "unit_direction": [cols, [unit(v), unit(w)]], "vector_only": [[v, w]]}
+    got = loeo(spark, y, g, s, v, tuple(want), w, r, ("v", "w"))
+    for model, blocks in want.items():
+        p, lam = plain_loeo(blocks, y, g)
+        for i in range(len(y)):
+            row = got[model, i]
+            assert row["prediction"] == pytest.approx(p[i], abs=2e-5 if model == "unit_direction" else 1e-6) and row["lambda"] == lam[i] and row["gap"] <= 1e-7 and row["train_n"] == (g != g[i]).sum(), (model, i)
+
+
+def test_duplicate_is_exact_and_held_out_rows_do_not_leak(spark):
     y, g, s, v = cohort()
-    fold = lambda m, y, v: ridge.outer_fold(2, y, g, lambda a, b: ridge.model_kernels(m, s, [v], None, a, b))
-    assert (fold("scalar", y, v)["prediction"] == fold("duplicate_scalar", y, v)["prediction"]).all()
-    base = fold("signed", y, v)
+    base = loeo(spark, y, g, s, v, ("scalar", "duplicate_scalar", "signed"))
+    n = len(y)
+    assert all(base["scalar", i]["prediction"] == base["duplicate_scalar", i]["prediction"] for i in range(n))
     moved = y.copy()
     moved[g == 2] += 100
-    again = fold("signed", moved, v)
-    assert (base["prediction"] == again["prediction"]).all() and base["lambda"] == again["lambda"] and (base["scores"] == again["scores"]).all()
-    assert ridge.choose(np.array([0.5, 0.5 + 1e-13, 0.7, 0.5, 1, 1])) == 3
-    with pytest.raises(ValueError):
-        ridge.outer_fold(2, y, g, lambda a, b: None, allowed=np.zeros(len(y), bool))
+    again = loeo(spark, moved, g, s, v, ("signed",))
+    assert all(base["signed", i]["prediction"] == pytest.approx(again["signed", i]["prediction"], abs=1e-9) and base["signed", i]["lambda"] == again["signed", i]["lambda"] for i in np.flatnonzero(g == 2))
+    with pytest.raises(Exception, match="finite"):
+        loeo(spark, np.where(g == 1, np.nan, y), g, s, v, ("scalar",))
+    with pytest.raises(Exception, match="no training rows"):
+        loeo(spark, y, g * 0, s, v, ("scalar",))
+    with pytest.raises(ValueError, match="at most 10 rows"):
+        ridge.coordinates(spark.range(11).select(F.lit(1).alias("k"), "id", F.array(F.lit(1.0)).alias("v")), ["k"], "id", ["v"], 10)
+
+
+def test_constant_features_are_inactive(spark):
+    y, g, s, v = cohort(4)
+    got = loeo(spark, y, g, np.ones_like(s), v * 0 + 2.0, ("signed",))
+    for i in range(len(y)):
+        assert got["signed", i]["prediction"] == pytest.approx(y[g != g[i]].mean(), abs=1e-9)
 
 
 def test_purged_rows_do_not_train(spark):
     y, g, s, v = cohort(5)
     start = np.arange(len(y)) * 4
-    rows = [(i, int(g[i]), float(y[i]), float(s[i, 0]), [float(z) for z in v[i]], int(start[i]), int(start[i] + 9)) for i in range(len(y))]
-    schema = "id int, g int, y double, x double, v array<double>, a int, b int"
-    run = lambda r: {x["id"]: x for x in ridge.nested_loeo(spark.createDataFrame(r, schema), [], "g", "id", "y", ["x"], ["v"], models=("signed",), span=("a", "b")).collect()}
-    base = run(rows)
-    held = [r for r in rows if r[1] == 2]
-    purged = {r[0] for r in rows if r[1] != 2 and any(r[5] <= h[6] and r[6] >= h[5] for h in held)}
-    assert purged and base[held[0][0]]["purged_n"] == len(purged)
-    changed = [(*r[:2], 50.0, -9.0, [7.0] * 16, *r[5:]) if r[0] in purged else r for r in rows]
-    again = run(changed)
-    assert all(base[h[0]]["prediction"] == again[h[0]]["prediction"] for h in held)
-
-
-def test_one_feature_closed_form_equals_kernel(spark):
+
+    def allowed(fold):
+        held = g == fold
+        return ~((start[:, None] <= start[held] + 9) & (start[:, None] + 9 >= start[held])).any(axis=1)
+
+    run = lambda y, s, v: loeo(spark, y, g, s, v, ("signed",), span=("a", "b"), bin_size=16)
+    base = run(y, s, v)
+    p, lam = plain_loeo([[s[:, [i]] for i in range(3)], [v]], y, g, allowed)
+    for i in range(len(y)):
+        row = base["signed", i]
+        assert row["prediction"] == pytest.approx(p[i], abs=1e-8) and row["lambda"] == lam[i] and row["purged_n"] == ((g != g[i]) & ~allowed(g[i])).sum() > 0
+    lost = (g != 2) & ~allowed(2)
+    again = run(np.where(lost, 50.0, y), np.where(lost[:, None], -9.0, s), np.where(lost[:, None], 7.0, v))
+    assert all(base["signed", i]["prediction"] == pytest.approx(again["signed", i]["prediction"], abs=1e-6) for i in np.flatnonzero(g == 2))
+
+
+def test_one_feature_closed_form_equals_the_definition(spark):
     y, g, s, _ = cohort(9)
     df = spark.createDataFrame([(i, int(g[i]), float(s[i, 0] + 50), float(y[i])) for i in range(len(y))], "id int, g int, x double, y double")
     closed = {r["id"]: (r["prediction"], r["lambda"]) for r in ridge.loeo_one_feature(df, [], "g", "x", "y").collect()}
-    for fold in range(6):
-        f = ridge.outer_fold(fold, y, g, lambda a, b: ridge.model_kernels("scalar", s[:, :1] + 50, [s], None, a, b))
-        for i, p in zip(f["rows"], f["prediction"]):
-            assert closed[i][0] == pytest.approx(p, abs=1e-9) and closed[i][1] == f["lambda"]
+    p, lam = plain_loeo([[s[:, :1] + 50]], y, g)
+    assert all(closed[i][0] == pytest.approx(p[i], abs=1e-9) and closed[i][1] == lam[i] for i in range(len(y)))
 
 
 def test_bootstrap_matches_a_plain_loop(spark):
