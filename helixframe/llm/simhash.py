@@ -15,10 +15,20 @@ and not to its square. Components over all fingerprints follow by min-label hook
 with pointer jumping, in joins whose two sides are plain exchanges (AQE splits hot
 ones).
 
+``near_copies`` links by likeness instead: texts of which the Jaccard likeness of their
+sets of five-word shingles is at least 0.8. At that likeness 64-bit fingerprints differ
+in about 10 bits, where no covering is selective, so anchors alone can't find such pairs.
+Candidates are what the anchors link and, beside them, pairs that share one of their
+``KEYS`` smallest shingle hashes: a pair at 0.8 shares none of them with a chance of
+10^-7. Candidates are compared by fingerprint first and then, exactly, by their shingles.
+Texts with equal sets are one form, so copies cost one row. A group of many forms under
+one hash is compared in blocks, each form with its nearest and with the block's first.
+
 Nulls and empty texts: a text without words has fingerprint zero and links like any
 other. Rows with a null ``doc_id`` take part; ``component_id`` ignores null ids.
-Repeated rows are equal fingerprints and thus one component. An empty table gives an
-empty result. Other columns are ignored, whatever their names.
+Repeated rows are equal fingerprints and thus one component; rows that share a doc_id
+are told apart by their texts. An empty table gives an empty result. Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +46,12 @@ from helixframe.llm.batches import text_chunks
 from helixframe.llm.storage import Written, written
 
 SEED = 42
-HALF_THRESHOLD = 1
+#: What near copies are: shingles of so many words, a Jaccard likeness of at least so much.
+WORDS, LIKENESS = 5, 0.8
+#: Smallest shingle hashes of a text that name it as a candidate, and fingerprint bits in which candidates may differ: at a likeness of 0.8 bits differ in 9.7 of 64 with a deviation of 2.9.
+KEYS, NEAR_BITS = 10, 22
+#: Groups of so many forms are compared pair by pair, larger ones in blocks.
+SMALL_GROUP, BLOCK = 64, 4096
 
 
 def simhash64(text: str | None, words: int = 3, lower: bool = True) -> int:
@@ -62,14 +78,14 @@ def simhash64(text: str | None, words: int = 3, lower: bool = True) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, lower: bool = True) -> DataFrame:
-    """(doc_id, fp): one row for each row of ``docs``; fp is the fingerprint as a signed long."""
+    """(doc_id, text_hash, fp): one row for each row of ``docs``; fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches):
             fps = np.array([simhash64(t, words, lower) for t in chunk.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.record_batch([chunk.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.record_batch([chunk.column(0), chunk.column(2), pa.array(fps)], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,7 +216,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3, lower: bool = True) -> DataFrame:
-    """(doc_id, fp, component_id): each row's fingerprint, and the smallest doc_id reachable over links.
+    """(doc_id, text_hash, fp, class_id, component_id): each row's fingerprint, its component's smallest, and the smallest doc_id reachable over links.
 
     ``most`` is the largest Hamming distance of a link; the covering handles up to 3.
     """
@@ -211,8 +227,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3, lower: bool
     label = components(written(links(cover(first), most), "links"))
     linked = first.join(label.select(F.col("node").alias("fp"), "comp"), "fp", "left").select("fp", "first_id", F.coalesce("comp", "fp").alias("comp"))
     smallest = written(linked.groupBy("comp").agg(F.min("first_id").alias("component_id")), "components")
-    classes = written(linked.join(smallest, "comp").select("fp", "component_id"), "classes")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = written(linked.join(smallest, "comp").select("fp", F.col("comp").alias("class_id"), "component_id"), "classes")
+    return rows.join(classes, "fp").select("doc_id", "text_hash", "fp", "class_id", "component_id")
 
 
 def hex_fingerprint(fp: str = "fp"):
@@ -220,17 +236,195 @@ def hex_fingerprint(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, words: int = 3, most: int = 3, lower: bool = True) -> DataFrame:
-    """``docs`` with one document of each component: the smallest doc_id's first row.
+# --- near copies by likeness --------------------------------------------------------
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each text, ascending, end to end, and how many each has.
+
+    A text of fewer words has its whole sequence as one shingle, a text without words the shingle 0.
+    """
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = cut.flatten()
+    there = pc.greater(pc.binary_length(flat), 0)
+    ends = np.concatenate(([0], np.cumsum(there.to_numpy(zero_copy_only=False))))[np.asarray(cut.offsets) - cut.offsets[0].as_py()]
+    coded = flat.filter(there).dictionary_encode()
+    known = np.array([xxhash.xxh64_intdigest(w, SEED) for w in coded.dictionary.to_pylist()], np.uint64)
+    h = known[coded.indices.to_numpy(zero_copy_only=False)] if len(known) else np.zeros(0, np.uint64)
+    size = np.diff(ends)
+    long_ = size >= words
+    rows, hashes = [np.flatnonzero(size == 0)], [np.zeros(int((size == 0).sum()), np.uint64)]
+    rolled = np.zeros(max(0, len(h) - words + 1), np.uint64)
+    for j in range(words if len(rolled) else 0):
+        rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + h[j : j + len(rolled)]
+    row = np.repeat(np.arange(len(size)), size)
+    inside = np.arange(len(row)) - ends[:-1][row] <= size[row] - words
+    at = np.flatnonzero(inside & long_[row])
+    rows.append(row[at])
+    hashes.append(_mixed(rolled[at]))
+    for i in np.flatnonzero((size > 0) & ~long_).tolist():  # fewer than ``words`` words each
+        v = np.uint64(size[i])
+        for x in h[ends[i] : ends[i + 1]]:
+            v = _mixed(np.array([v]))[0] ^ x
+        rows.append(np.array([i]))
+        hashes.append(_mixed(np.array([v])))
+    row, hash_ = np.concatenate(rows), np.concatenate(hashes)
+    order = np.lexsort((hash_, row))
+    row, hash_ = row[order], hash_[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (hash_[1:] != hash_[:-1])
+    return hash_[new], np.bincount(row[new], minlength=len(size))
+
+
+def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, text_hash, fp, n, keys, shingles) of each row: fingerprint, size, smallest hashes and all hashes of its shingle set.
+
+    ``shingles`` holds 32 bits of each hash, ascending.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in text_chunks(batches):
+            h, n = shingle_sets(chunk.column(1), words)
+            start = np.cumsum(n) - n
+            votes = np.zeros((len(n), 64), np.int64)
+            for i in range(0, len(h), 500_000):
+                part = h[i : i + 500_000]
+                bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                first = np.searchsorted(start, i, side="right") - 1
+                last = np.searchsorted(start, i + len(part), side="left")
+                votes[first:last] += np.add.reduceat(bits, np.maximum(start[first:last] - i, 0), axis=0, dtype=np.int64)
+            fp = np.packbits(2 * votes > n[:, None], axis=1, bitorder="little").view("<u8").ravel().view(np.int64)
+            few = np.minimum(n, KEYS)
+            keys = h[np.repeat(start - (np.cumsum(few) - few), few) + np.arange(int(few.sum()))].view(np.int64)
+            short = (h >> np.uint64(32)).astype("<u4")
+            blobs = [short[a : a + k].tobytes() for a, k in zip(start.tolist(), n.tolist())]
+            yield pa.record_batch(
+                [chunk.column(0), chunk.column(2), pa.array(fp), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(few))).astype(np.int32)), pa.array(keys)), pa.array(blobs, pa.binary())],
+                names=["doc_id", "text_hash", "fp", "n", "keys", "shingles"],
+            )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, n int, keys array<long>, shingles binary")
+
+
+def _pairs(form: np.ndarray, fp: np.ndarray, n: np.ndarray, turn: int, likeness: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one group that could be alike: all in a small group, nearest and first ones by blocks in a large one."""
+
+    def may(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (np.bitwise_count(fp[i] ^ fp[j]) <= NEAR_BITS) & (np.minimum(n[i], n[j]) >= likeness * np.maximum(n[i], n[j]))
+
+    if len(form) <= SMALL_GROUP:
+        i, j = np.triu_indices(len(form), 1)
+    else:
+        turned = (fp << np.uint64(turn)) | (fp >> np.uint64(64 - turn)) if turn else fp
+        order = np.argsort(turned, kind="stable")
+        left, right = [order[BLOCK::BLOCK]], [order[: -BLOCK or None : BLOCK][: len(order[BLOCK::BLOCK])]]
+        for a in range(0, len(order), BLOCK):
+            some = order[a : a + BLOCK]
+            left.append(some[1:])
+            right.append(np.full(len(some) - 1, some[0]))
+            for b in range(1, len(some), 512):
+                rows = some[b : b + 512]
+                apart = np.bitwise_count(fp[rows][:, None] ^ fp[some[: b + len(rows)]][None, :]).astype(np.int16)
+                apart[np.arange(len(rows))[:, None] + b <= np.arange(b + len(rows))[None, :]] = 99
+                left.append(rows)
+                right.append(some[apart.argmin(axis=1)])
+        i, j = np.concatenate(left), np.concatenate(right)
+    ok = may(i, j)
+    return form[i[ok]], form[j[ok]]
+
+
+def candidates(forms: DataFrame, likeness: float = LIKENESS) -> DataFrame:
+    """(u, v), u < v: forms (form, fp, n, keys) that share a key and could be alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(key: np.ndarray, form: np.ndarray, fp: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            cut = np.flatnonzero(np.diff(key)) + 1
+            starts, sizes = np.concatenate(([0], cut)), np.diff(np.concatenate(([0], cut, [len(key)])))
+            u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for s, k in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
+                a, b = _pairs(form[s : s + k], fp[s : s + k], n[s : s + k], int(key[s]) & 63, likeness)
+                u.append(np.minimum(a, b))
+                v.append(np.maximum(a, b))
+            both = np.unique(np.stack((np.concatenate(u), np.concatenate(v)), axis=1), axis=0)
+            return pa.record_batch([pa.array(np.ascontiguousarray(both[:, c])) for c in (0, 1)], names=["u", "v"])
+
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)]
+            columns[2] = columns[2].view(np.uint64)
+            # the last key may go on in the next batch
+            last = int(np.searchsorted(columns[0], columns[0][-1], side="left"))
+            if last or (held and held[0][0][0] != columns[0][0]):
+                held.append([c[:last] for c in columns])
+                yield found(*(np.concatenate(x) for x in zip(*held)))
+                held = []
+            held.append([c[last:] for c in columns])
+        if held:
+            yield found(*(np.concatenate(x) for x in zip(*held)))
+
+    keyed = forms.select(F.explode("keys").alias("key"), "form", "fp", "n").repartition("key").sortWithinPartitions("key")
+    return keyed.mapInArrow(run, "u long, v long").filter("u <> v").distinct()
+
 
-    Rows with a null doc_id cannot be told apart and all stay.
+def alike(pairs: DataFrame, sets: DataFrame, likeness: float = LIKENESS) -> DataFrame:
+    """The ``pairs`` (u, v) of which the shingle sets ``sets`` (form, shingles) have a Jaccard likeness of at least ``likeness``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(a.as_buffer(), "<u4"), np.frombuffer(b.as_buffer(), "<u4")
+                both = np.sort(np.concatenate((x, y)), kind="stable")
+                shared = int((both[1:] == both[:-1]).sum())
+                keep.append(shared >= likeness * (len(x) + len(y) - shared))
+            yield pa.record_batch([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("form")).distinct()
+    some = sets.join(wanted, "form", "left_semi")
+    left, right = (some.select(F.col("form").alias(c), F.col("shingles").alias(f"shingles_{c}")) for c in ("u", "v"))
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "shingles_u", "shingles_v").mapInArrow(run, "u long, v long")
+
+
+def near_copies(docs: DataFrame, words: int = WORDS, likeness: float = LIKENESS) -> DataFrame:
+    """(doc_id, text_hash, class_id) of each row: rows of one class are alike, or linked by rows that are."""
+    rows = written(sketches(docs, words).withColumn("set", F.md5("shingles")), "sketches")
+    one = rows.groupBy("set").agg(*[F.any_value(c).alias(c) for c in ("fp", "n", "keys")])
+    forms = written(one.withColumn("form", F.monotonically_increasing_id()), "forms")
+    # forms of one fingerprint are candidates too, and stand for it where anchors link it
+    by_fp = forms.groupBy("fp").agg(F.min("form").alias("first"))
+    same = forms.join(by_fp, "fp").filter("form <> first").select(F.col("first").alias("u"), F.col("form").alias("v"))
+    near = links(cover(by_fp)).join(by_fp.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(by_fp.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
+    anchored = near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    pairs = written(candidates(forms, likeness).unionByName(same).unionByName(anchored).distinct(), "candidates")
+    sets = rows.select("set", "shingles").join(forms.select("set", "form"), "set").select("form", "shingles").dropDuplicates(["form"])
+    label = components(written(alike(pairs, sets, likeness), "alike"))
+    classes = forms.select("set", "form").join(label.select(F.col("node").alias("form"), "comp"), "form", "left").select("set", F.coalesce("comp", "form").alias("class_id"))
+    return rows.select("doc_id", "text_hash", "set").join(classes, "set").select("doc_id", "text_hash", "class_id")
+
+
+def one_of_each(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """``docs`` with one row of each class of ``found`` (doc_id, text_hash, class_id), by default its near copies.
+
+    The row of smallest doc_id stays, of rows with equal ids one; rows with a null doc_id come last.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), words, most, lower).filter("doc_id is not null")
-    kept = written(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")), "kept")
-    named = kept.withColumnRenamed("doc_id", "_kept")
+    found = near_copies(docs) if found is None else found
+    rows = found.groupBy("class_id", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    first = rows.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n")).alias("f"))
+    kept = written(first.select(F.col("f.doc_id").alias("id"), F.col("f.text_hash").alias("hash"), F.col("f.n").alias("n")), "kept")
     # texts cross one shuffle at every size: the ids kept grow with the corpus, so they are never broadcast
-    stay = docs.hint("merge").join(named.hint("merge"), F.col("doc_id").cast("long") == F.col("_kept"))
-    out = stay.filter("_rows = 1").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
-    if kept.filter("_rows > 1").limit(1).count():
-        out = out.unionByName(stay.filter("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id"]))
+    packed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = packed["id"].eqNullSafe(kept["id"]) & (packed["hash"] == kept["hash"])
+    stay = packed.hint("merge").join(kept.hint("merge"), same).select(packed["id"], packed["hash"], "row", "n")
+    out = stay.filter("n = 1").select("row.*")
+    if kept.filter("n > 1").limit(1).count():
+        out = out.unionByName(stay.filter("n > 1").dropDuplicates(["id", "hash"]).select("row.*"))
     return out

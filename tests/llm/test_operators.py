@@ -220,7 +220,8 @@ def test_simhash(spark, docs, nothing):
     got = {r["doc_id"]: (r["fp"] % 2**64, r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
     assert got == {k: (want[k], comp[k]) for k in want}
     assert simhash.near_duplicates(nothing).count() == 0
-    kept = simhash.one_of_each(docs.unionByName(docs.filter("doc_id < 3")))
+    twice = docs.unionByName(docs.filter("doc_id < 3"))
+    kept = simhash.one_of_each(twice, simhash.near_duplicates(twice))
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(comp.values()))
 
 
@@ -247,6 +248,63 @@ def test_covering_loses_no_link(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, found.values()))
 
 
+def shingle_set(t, n=5):
+    w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)}
+
+
+def alike(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def edited(t, k, r):
+    w = t.split()
+    for i in r.choice(len(w), k, replace=False):
+        w[i] = f"edit{i}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("small", [64, 4])
+def test_near_copies_are_those_of_brute_force(spark, docs, nothing, small, monkeypatch):
+    monkeypatch.setattr("helixframe.llm.batches.text_chunks.__defaults__", ("text", 3000))
+    monkeypatch.setattr(simhash, "SMALL_GROUP", small)
+    r = np.random.default_rng(2)
+    texts = dict(DOCS)
+    for b in range(12):  # groups with likenesses on either side of 0.8
+        base = prose(int(r.integers(60, 300)))
+        for _ in range(int(r.integers(2, 9))):
+            texts[len(texts)] = edited(base, int(r.integers(0, max(2, len(base.split()) // 25))), r)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    want = union([(a, b) for a in texts for b in texts if a < b and alike(texts[a], texts[b])], texts)
+    got = defaultdict(set)
+    for x in simhash.near_copies(df).collect():
+        got[x["class_id"]].add(x["doc_id"])
+    classes = defaultdict(set)
+    for k, c in want.items():
+        classes[c].add(k)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, classes.values()))
+    assert sorted(x["doc_id"] for x in simhash.one_of_each(df).collect()) == sorted(classes)
+    assert simhash.near_copies(nothing).count() == 0 and simhash.one_of_each(nothing).count() == 0
+
+
+def test_one_of_each_of_rows_without_an_id_of_their_own(odd, spark):
+    df, rows = odd
+    left = simhash.one_of_each(df)
+    assert left.columns == df.columns
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in left.collect())
+    texts = [t or "" for _, t in rows]
+    comp = union([(i, j) for i in range(len(rows)) for j in range(i) if alike(texts[i], texts[j])], range(len(rows)))
+    best = {}
+    for i, (d, _) in enumerate(rows):
+        k = (d is None, d or 0)
+        best[comp[i]] = min(best.get(comp[i], (True, 99)), k)
+    assert [x[:2] for x in got] == sorted(best.values()) and all(any(alike(x[2], t) and k == (d is None, d or 0) for (d, t), k in zip([(d, t or "") for d, t in rows], [(d is None, d or 0) for d, _ in rows])) for x in got for k in [x[:2]])
+    a, b = BASE, LONG
+    small = spark.createDataFrame([(1, a), (2, b), (2, a)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.one_of_each(small, simhash.near_duplicates(small)).collect()) == sorted([(1, a), (2, b)])
+
+
 # 6 ------------------------------------------------------------------------------------
 
 
