@@ -6,11 +6,14 @@ places keeps the anchors in order, and the gaps between anchors are aligned in t
 gap without anchors falls back to a longest common subsequence. The share of template
 words that align is the template's coverage.
 
-Which texts to align is decided without loss in the JVM: a text that reaches
-``min_coverage`` holds at least one word of any set of more than (1 - min_coverage) of
-the template's words, so texts without any of a few telling words need no alignment.
-Inside a text, windows of three times the template's length around those words are
-aligned, each on its own, and the best match of up to twice its length is taken.
+Which windows to align is decided without loss: a text that reaches ``min_coverage``
+holds at least one word of any set of more than (1 - min_coverage) of the template's
+words, so texts without any of a few telling words need no alignment. Around those words
+a text is cut into windows of three times the template's length, so that any span of
+twice its length lies whole in one; a window that doesn't share enough words with the
+template, each counted as often as the template has it, can't reach the coverage. Each
+other window is aligned on its own. The best match of up to twice the template's length
+is taken, and what is before and after it is searched in turn, so every copy is found.
 
 Null, empty and short texts hold no license. Repeated rows give repeated results, rows
 with a null doc_id are scanned too. An empty table gives an empty result; other columns
@@ -33,19 +36,95 @@ from helixframe.llm.batches import text_chunks
 
 WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
-#: Public license notices.
+#: Public license notices, and the standard headers and texts of common licenses.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "MIT": "Released under the MIT License",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "Apache-2.0-header": (
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. "
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+        "See the License for the specific language governing permissions and limitations under the License."
+    ),
     "MIT-full": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
         "(the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
-        "publish, distribute, sublicense, and/or sell copies of the Software"
+        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE "
+        "FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION "
+        "WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED "
+        "TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+        "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+        "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+        "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+        "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
     ),
     "BSD-3-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. "
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission."
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+        "above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF "
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY "
+        "DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+        "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "GPL-2.0-header": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    ),
+    "GPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    ),
+    "LGPL-2.1-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. "
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."
+    ),
+    "MPL-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+        "file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation "
+        "covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative "
+        "works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following"
+    ),
+    "Zlib": (
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely, subject to the following restrictions"
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
     ),
 }
 MIN_COVERAGE = 0.8
@@ -177,13 +256,16 @@ def _fitting(words: list[str], template: list[str], a0: int, a1: int) -> list[tu
 
 def best_match(words: list[str], template: list[str], probes: set[str], min_coverage: float) -> tuple[float, int, int, int] | None:
     """(coverage, start, end, aligned words) of the best window, if any reaches ``min_coverage``."""
-    n, best, seen = len(template), None, -1
+    n, best, seen, has = len(template), None, -1, Counter(template)
     for p in (i for i, w in enumerate(words) if w in probes):
         # any span of 2 n words starts in the first n words of a window of 3 n
         for k in (p // n - 2, p // n - 1, p // n):
             if k <= seen or k < 0:
                 continue
             seen = k
+            there = Counter(words[k * n : (k + 3) * n])
+            if sum(min(there[w], c) for w, c in has.items()) < min_coverage * n:
+                continue
             pairs = _fitting(words, template, k * n, min(len(words), (k + 3) * n))
             if len(pairs) < min_coverage * n:
                 continue
@@ -194,26 +276,51 @@ def best_match(words: list[str], template: list[str], probes: set[str], min_cove
     return best and (best[0][0], -best[0][1], best[0][2], best[1])
 
 
+def all_matches(words: list[str], template: list[str], probes: set[str], min_coverage: float) -> list[tuple[float, int, int, int]]:
+    """Every match, in order: the best one, and those of what is before and after it."""
+    out, todo = [], [(0, len(words))]
+    while todo:
+        a, b = todo.pop()
+        if b - a < min_coverage * len(template) or not (m := best_match(words[a:b], template, probes, min_coverage)):
+            continue
+        coverage, start, end, n = m
+        out.append((coverage, a + start, a + end, n))
+        todo += [(a, a + start), (a + end, b)]
+    return sorted(out, key=lambda m: m[1])
+
+
+def told_apart(found: list[tuple[str, float, int, int, int]]) -> list[tuple[str, float, int, int, int]]:
+    """Of matches (license, coverage, start, end, aligned) that overlap, the one of highest coverage, then of most words."""
+    kept: list[tuple[str, float, int, int, int]] = []
+    for m in sorted(found, key=lambda m: (-m[1], -m[4], m[0], m[2])):
+        if all(m[3] <= k[2] or k[3] <= m[2] for k in kept):
+            kept.append(m)
+    return sorted(kept, key=lambda m: m[2])
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """(doc_id, license_id, coverage, start, end, aligned): one row for each license a text holds.
+    """(doc_id, license_id, coverage, start, end, aligned): one row for each copy of a license that a text holds.
+
+    Licenses that share most of their words cover each other: where matches overlap, the
+    license of highest coverage is named.
 
     ``start`` and ``end`` count words of the text, ``end`` exclusive.
     """
     cut = {k: words_of(v) for k, v in templates.items()}
-    probes = {k: set(probe_words(v, min_coverage)) for k, v in cut.items()}
-    telling = sorted({w for p in probes.values() for w in p})
-    pattern = r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(w) for w in telling) + r")(?![a-z0-9])"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.lower("text").rlike(pattern))
+    probes = {k: frozenset(probe_words(v, min_coverage)) for k, v in cut.items()}
+    telling = frozenset().union(*probes.values())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches):
             out = []
             for d, t in zip(chunk.column(0).to_pylist(), chunk.column(1).to_pylist()):
                 words = words_of(t)
-                there = set(words)
-                for k, template in cut.items():
-                    if probes[k] & there and (m := best_match(words, template, probes[k], min_coverage)):
-                        out.append((d, k, *m))
+                if telling.isdisjoint(words):
+                    continue
+                there = telling.intersection(words)
+                found = [(k, *m) for k, template in cut.items() if probes[k] & there for m in all_matches(words, template, probes[k], min_coverage)]
+                out += [(d, *m) for m in told_apart(found)]
             columns = list(zip(*out)) or [[]] * 6
             types = [pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "license_id", "coverage", "start", "end", "aligned"])

@@ -338,6 +338,48 @@ def test_large_gaps_without_anchors_are_aligned():
     assert len(licenses._large_common(a, b, 50)) == len(licenses._common(a, b))
 
 
+def plain_coverage(words, template):
+    """The largest share of the template that any span of twice its length holds in order, by dynamic programming."""
+    n, best = len(template), 0
+    for a in range(max(1, len(words) - n)):
+        row = [0] * (n + 1)
+        for w in words[a : a + 2 * n]:
+            new = [0]
+            for j, x in enumerate(template):
+                new.append(max(row[j + 1], new[j], row[j] + (w == x)))
+            row = new
+        best = max(best, row[-1])
+    return best / n
+
+
+def test_licenses_against_brute_force_at_every_offset():
+    r = np.random.default_rng(4)
+    found = missed = wrong = 0
+    for name in ("MPL-2.0-header", "CC-BY-4.0", "GPL-3.0"):
+        template = licenses.words_of(licenses.TEMPLATES[name])
+        probes, n = set(licenses.probe_words(template)), len(template)
+        for ahead in range(0, n, max(1, n // 12)):
+            words = list(template)
+            for _ in range(int(r.integers(0, n // 3))):  # stray words, lost words, words out of place
+                i = int(r.integers(0, len(words)))
+                kind = r.integers(0, 3)
+                words[i : i + 1] = [words[i], str(r.choice(["foo", "the", "license"]))] if kind == 0 else [] if kind == 1 else [words[int(r.integers(0, len(words)))]]
+            words = ["foo"] * ahead + words + ["bar", "the"] * 9
+            want, got = plain_coverage(words, template), licenses.all_matches(words, template, probes, 0.8)
+            found += want >= 0.8 and bool(got)
+            missed += want >= 0.8 and not got
+            wrong += any(c > want + 1e-9 or e - s > 2 * n for c, s, e, _ in got)
+    assert found >= 10 and found / (found + missed) >= 0.9 and not wrong
+
+
+def test_every_copy_of_a_license_is_found(spark):
+    mit, full = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["BSD-2-Clause"]
+    text = f"{mit} " + "foo " * 7 + f"{mit} and {mit}. " + "bar " * 40 + full + " gap " + full
+    got = licenses.scan(spark.createDataFrame([(1, text), (None, mit), (1, "none")], "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["license_id"], r["coverage"]) for r in got) == {(1, "MIT", 1.0): 3, (None, "MIT", 1.0): 1, (1, "BSD-2-Clause", 1.0): 2}
+    assert sorted((r["start"], r["end"]) for r in got if r["license_id"] == "MIT" and r["doc_id"]) == [(0, 5), (12, 17), (18, 23)]
+
+
 # 7 ------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
