@@ -126,20 +126,24 @@ class WordEncoder:
         count[there] = laid.count
         return Pieces(laid.ids, count.reshape(-1, 2).sum(axis=1))
 
-    def _cut(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    @staticmethod
+    def cut(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
         """The words of all texts, numbered, and where each text's words begin and end."""
         cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         return cut.flatten().dictionary_encode(), np.asarray(cut.offsets) - cut.offsets[0].as_py()
 
     def lengths(self, texts: pa.Array) -> np.ndarray:
         """How many ids each text has."""
-        words, ends = self._cut(texts)
+        return self.lengths_of(*self.cut(texts))
+
+    def lengths_of(self, words: pa.DictionaryArray, ends: np.ndarray) -> np.ndarray:
+        """How many ids each text has that ``cut`` has cut."""
         count = self._word_ids(words.dictionary).count[words.indices.to_numpy(zero_copy_only=False)]
         return np.diff(np.concatenate(([0], np.cumsum(count)))[ends])
 
     def ids(self, texts: pa.Array) -> Pieces:
         """The ids of each text."""
-        words, ends = self._cut(texts)
+        words, ends = self.cut(texts)
         laid = self._word_ids(words.dictionary).take(words.indices.to_numpy(zero_copy_only=False))
         return Pieces(laid.ids, np.diff(np.concatenate(([0], np.cumsum(laid.count)))[ends]))
 

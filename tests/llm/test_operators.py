@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -437,20 +438,69 @@ def test_raking_keeps_its_margins_where_cells_are_cut():
     assert sum(v * p[k] for k, v in cells.items()) == pytest.approx(80) and reached["a"] == pytest.approx(0.5, abs=1e-3)
 
 
-def test_mixing_has_no_cap_on_sources(spark):
+def test_mixing_has_no_cap_on_sources(spark, monkeypatch):
     text = F.concat_ws(" ", F.array_repeat(F.lit("w"), F.when(F.col("id") % 300 < 290, 4).otherwise(2).cast("int")))
     many = spark.range(3000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.format_string("s%03d", F.col("id") % 300).alias("source"))
-    p = {r["source"]: r["probability"] for r in mixing.with_probabilities(many, fraction=0.5).collect()}
+    run = lambda: {r["source"]: r["probability"] for r in mixing.with_probabilities(many, fraction=0.5).collect()}
+    p = run()
     assert len(p) == 300 and p["s295"] / p["s000"] == pytest.approx(2**0.3)
-    wanted = {"s000": 0.4, "s295": 0.6}
-    found = mixing.margins(many, mixing.Targets(source=wanted), 0.002).filter("margin = 'source' and target > 0").collect()
-    assert {r["value"]: pytest.approx(r["reached"]) for r in found} == wanted
-
-
-def test_mixing(spark, docs, nothing):
+    wanted = {"s000": 0.4, "s295": 0.3}
+    found = mixing.margins(many, mixing.Targets(source=wanted), 0.002).filter("margin = 'source'").collect()
+    reached = {r["value"]: r["reached"] for r in found}
+    assert {k: reached[k] for k in wanted} == {k: pytest.approx(v) for k, v in wanted.items()}
+    assert min(reached.values()) > 0 and sum(v for k, v in reached.items() if k not in wanted) == pytest.approx(0.3)
+    monkeypatch.setattr(mixing, "SMALL", 10)  # fitted as a table
+    assert run() == {k: pytest.approx(v, abs=1e-5) for k, v in p.items()}
+
+
+def test_unlisted_values_keep_a_share():
+    cells = {("a", "x", "t"): 50.0, (None, "x", "t"): 30.0, ("b", "x", "t"): 20.0}
+    p, report = mixing.bounded(cells, mixing.Targets({"a": 0.6, "b": 0.4}, 1.0, 1.0), 0.3)
+    assert min(p.values()) > 0 and {k: t for d, k, t, _ in report if d == "source"} == {"a": pytest.approx(0.42), "b": pytest.approx(0.28), None: pytest.approx(0.3)}
+    p, report = mixing.bounded(cells, mixing.Targets({"a": 0.5}, 1.0, 1.0), 0.3)
+    assert {k: t for d, k, t, _ in report if d == "source"} == {"a": 0.5, "b": pytest.approx(0.2), None: pytest.approx(0.3)}
+
+
+def plain_raking(weights, fraction, exponents=(0.7, 0.7, 0.9), rounds=3000):
+    """Probabilities of cells by raking that holds cells at one, cell by cell."""
+    whole, p = fraction * sum(weights.values()), {k: fraction for k in weights}
+    goals = []
+    for d in range(3):
+        totals = Counter()
+        for k, v in weights.items():
+            totals[k[d]] += v
+        share = {k: v ** exponents[d] if v else 0.0 for k, v in totals.items()}
+        goal, full = {}, set()
+        while True:
+            free = sum(share[k] for k in totals if k not in full)
+            goal = {k: totals[k] if k in full else share[k] * (whole - sum(totals[j] for j in full)) / free for k in totals}
+            over = {k for k in totals if k not in full and goal[k] > totals[k]}
+            if not over:
+                break
+            full |= over
+        goals.append(goal)
+    for _ in range(rounds):
+        for d in range(3):
+            for value, goal in goals[d].items():
+                cells = [k for k in weights if k[d] == value]
+                fixed = sum(weights[k] for k in cells if p[k] >= 1)
+                free = sum(weights[k] * p[k] for k in cells if p[k] < 1)
+                if free > 0 and goal > fixed:
+                    for k in cells:
+                        p[k] *= (goal - fixed) / free
+                elif fixed + free > goal:
+                    for k in cells:
+                        p[k] *= goal / (fixed + free)
+    return {k: min(1.0, v) for k, v in p.items()}
+
+
+def test_mixing(spark, docs, nothing, ids):
     rows = mixing.with_probabilities(docs).collect()
-    assert len(rows) == len(DOCS) and all(r["n_tokens"] == len(WORD.findall(DOCS[r["doc_id"]])) for r in rows)
+    assert len(rows) == len(DOCS) and all(r["n_tokens"] == len(ids[r["doc_id"]]) for r in rows)
     assert sum(r["n_tokens"] * r["probability"] for r in rows) == pytest.approx(0.8 * sum(r["n_tokens"] for r in rows))
+    weights = Counter()
+    for r in rows:
+        weights[r["source"], r["lang"], r["topic"]] += r["n_tokens"]
     again = {r["doc_id"] for r in mixing.sample(docs).collect()}
     assert again == {r["doc_id"] for r in rows if r["sampled"]} and mixing.sample(docs).columns == docs.columns
     many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("some five words of text").alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
@@ -459,6 +509,32 @@ def test_mixing(spark, docs, nothing):
     assert mixing.with_probabilities(nothing).count() == 0 and mixing.sample(nothing).count() == 0
 
 
+def test_probabilities_of_documents_against_brute_force(spark):
+    r = np.random.default_rng(6)
+    words = {"en": ["harbour", "lantern", "meadow", "orchard"], "fr": ["fenêtre", "montagne", "rivière"]}
+    rows = [(i, " ".join(r.choice(words[lang], int(r.integers(5, 60)))), lang, f"s{int(r.integers(0, 3))}") for i, lang in enumerate(r.choice(["en", "en", "fr"], 200).tolist())]
+    df = spark.createDataFrame([(i, t, lang, s, f"topic{i % 2}") for i, t, lang, s in rows], "doc_id long, text string, lang string, source string, subject string")
+    got = {x["doc_id"]: x for x in mixing.with_probabilities(df, fraction=0.5, topic="subject").collect()}
+    weights = Counter()
+    for i, _, lang, s in rows:
+        weights[s, lang, f"topic{i % 2}"] += got[i]["n_tokens"]
+    want = plain_raking(weights, 0.5)
+    assert all(got[i]["probability"] == pytest.approx(want[s, lang, f"topic{i % 2}"], abs=1e-4) for i, _, lang, s in rows)
+
+
+def test_topics_follow_long_words_and_nothing_else(spark):
+    texts = pa.array(["harbour lantern lantern", "of harbour, the lantern (lantern) 12 ## |", "a b c", None, "meadow orchard"])
+    a, b, none, null, _ = mixing.topics_of(*tokens.WordEncoder.cut(texts))
+    assert a == b and none == null == "none"
+
+
+def test_mixing_of_rows_without_an_id_of_their_own(odd):
+    df, rows = odd
+    got = mixing.with_probabilities(df, fraction=0.5).collect()
+    assert len(got) == len(rows) and all(0 <= r["probability"] <= 1 for r in got)
+    assert mixing.sample(df, fraction=1.0).columns == df.columns and mixing.sample(df, fraction=1.0).count() == len(rows)
+
+
 # 9 ------------------------------------------------------------------------------------
 
 
@@ -581,7 +657,7 @@ def test_windows_travel_with_their_whole_hashes():
     anchor, own = np.full(m, 5, np.uint64), np.arange(m, dtype=np.uint64) << np.uint64(40)
     pos, text = np.array([*range(70_000), 0, 1, 9]), np.repeat([0, 1], [70_000, 3])
     ids = np.array([[7, -1], [8, 3]], "<i8")
-    a, o, t, p, i = substring._unpacked(ids.tobytes(), substring._packed(anchor, own, pos, text))
+    a, o, t, p, i = substring._unpacked(ids[:, 0].tobytes() + ids[:, 1].astype("<i4").tobytes(), substring._packed(anchor, own, pos, text))
     assert (a == anchor).all() and (o == own).all() and (t == text).all() and (p == pos).all() and (i == ids).all()
 
 
