@@ -4,8 +4,9 @@ Training counts hashed letter n-grams of labelled texts by language; the counts
 table of languages x buckets, whatever the corpus. A text's language proportions are
 found by expectation-maximisation over its n-grams' likelihoods. Which languages the
 text holds is chosen by penalised likelihood: starting from all, the language whose
-removal costs least leaves as long as the penalised score does not fall. The label is
-the language of the largest proportion, the score that proportion.
+removal costs least leaves as long as the penalised score does not fall. ``mixtures``
+returns the whole set with its proportions; the label is the language of the largest
+proportion, the score that proportion.
 
 Training may use a bounded sample: for each language at most about ``max_docs`` texts,
 taken by a hash of the id, so the rate falls as the corpus grows and the model's cost
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from helixframe.llm.batches import text_chunks
 
 BUCKETS, ORDERS, MAX_DOCS = 1 << 14, (1, 2, 3), 20_000
+#: Languages that a model can hold: 128 kB of likelihoods each.
+MOST_LANGS = 500
 UNKNOWN = "und"
 
 
@@ -84,11 +87,17 @@ class Model:
         self.p = (p / p.sum(axis=1, keepdims=True)).astype(np.float64)
 
     def predict(self, text: str | None, rounds: int = 25) -> tuple[str, float]:
+        """The language of the largest proportion, and that proportion."""
+        found = self.mixture(text, rounds)
+        return max(found, key=lambda x: x[1]) if found else (UNKNOWN, 0.0)
+
+    def mixture(self, text: str | None, rounds: int = 25) -> list[tuple[str, float]]:
+        """The chosen languages in alphabetical order, with their proportions; none for a text without a letter."""
         if not text or not self.langs:
-            return UNKNOWN, 0.0
+            return []
         at, n = ngram_buckets(text, self.p.shape[1])
         if not len(at):
-            return UNKNOWN, 0.0
+            return []
         like = self.p[:, at]
         # n-grams of several orders tell the same letters again
         n = n / len(ORDERS)
@@ -103,8 +112,7 @@ class Model:
             if less + penalty < score:
                 break
             chosen, share, score = rest, less_share, less
-        best = int(np.argmax(share))
-        return self.langs[chosen[best]], float(min(1.0, max(0.0, share[best])))
+        return [(self.langs[k], float(min(1.0, max(0.0, s)))) for k, s in zip(chosen, share)]
 
     @staticmethod
     def _fit(like: np.ndarray, n: np.ndarray, chosen: list[int], rounds: int) -> tuple[np.ndarray, float]:
@@ -123,10 +131,15 @@ class Model:
         return share, float(n @ np.log(share @ p))
 
 
-def train(labelled: DataFrame, buckets: int = BUCKETS, max_docs: int = MAX_DOCS) -> Model:
-    """A model from ``labelled`` (doc_id, text, lang), from at most about ``max_docs`` texts of each language."""
+def train(labelled: DataFrame, buckets: int = BUCKETS, max_docs: int = MAX_DOCS, most_langs: int = MOST_LANGS) -> Model:
+    """A model from ``labelled`` (doc_id, text, lang), from at most about ``max_docs`` texts of each language.
+
+    Raises if there are more than ``most_langs`` languages, since the model travels to every task.
+    """
     known = labelled.filter("doc_id is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(most_langs + 1).collect()}  # a row for each language
+    if len(sizes) > most_langs:
+        raise ValueError(f"more than {most_langs} languages")
     if not sizes:
         return Model([], np.zeros((0, buckets)))
     langs = sorted(sizes)
@@ -166,6 +179,20 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def mixtures(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, languages) for each row of ``docs``: the chosen languages, most first, as structs of lang and share."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for chunk in text_chunks(batches):
+            found = [[{"lang": k, "share": s} for k, s in sorted(m.mixture(t), key=lambda x: (-x[1], x[0]))] for t in chunk.column(1).to_pylist()]
+            yield pa.record_batch([chunk.column(0), pa.array(found, kind)], names=["doc_id", "languages"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, languages array<struct<lang:string,share:double>>")
+
+
 def held_out(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 3, is 1."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -13,7 +13,7 @@ Two sketches' likeness is the Dice share that their agreeing bins estimate, 0 to
 
 Null text counts as empty. Empty texts have equal fingerprints and likeness 1 to each
 other, 0 to any other text. Rows with a null doc_id come first in the order of
-documents. Repeated rows follow each other in any order. One document alone is its own
+documents. Rows of one doc_id follow each other by their texts' hashes. One document alone is its own
 next document. An empty table gives an empty result; other columns are ignored.
 """
 
@@ -188,7 +188,7 @@ def neighbour_fingerprints(docs: DataFrame, chunk_chars: int = 1_000_000) -> Dat
     only these two texts of each partition take a second step.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ranged = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    ranged = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     names = [f.split()[0] for f in RESULT.split(", ")]
     out_schema = f"{RESULT}, part int, edge int, text string"
 

@@ -49,9 +49,14 @@ def _delete(spark: SparkSession, path: str) -> None:
     _LIVE.discard(path)
 
 
-def clear(spark: SparkSession, but: str | None = None) -> int:
-    """Delete every intermediate table of this process, once results that read them are written, but the one at ``but``; returns how many."""
-    paths = sorted(_LIVE - {but})
+def live() -> frozenset[str]:
+    """The paths of the intermediate tables that this process has written and not dropped."""
+    return frozenset(_LIVE)
+
+
+def clear(spark: SparkSession, but: frozenset[str] = frozenset()) -> int:
+    """Delete the intermediate tables of this process, once results that read them are written, other than ``but``; returns how many."""
+    paths = sorted(_LIVE - but)
     for path in paths:
         _delete(spark, path)
     return len(paths)

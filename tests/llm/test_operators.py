@@ -682,11 +682,36 @@ def test_language(spark, docs, nothing):
     assert small.predict("bada dabo")[0] == "aa"
 
 
-def test_queries_over_the_table(spark):
+def test_mixtures_name_every_language_of_a_text(spark):
+    r = np.random.default_rng(2)
+    speech = {"aa": ["bada", "dabo", "obad"], "bb": ["kliss", "issik", "silk"], "cc": ["umuru", "rumu", "murru"]}
+    m = language.train(spark.createDataFrame([(i, " ".join(r.choice(speech[k], 30)), k) for i, k in enumerate(["aa", "bb", "cc"] * 30)], "doc_id long, text string, lang string"))
+    texts = [(1, "bada dabo obad " * 20 + "kliss silk issik " * 10), (2, "umuru rumu " * 9), (3, None), (None, "kliss silk")]
+    got = {x["doc_id"]: [(y["lang"], y["share"]) for y in x["languages"]] for x in language.mixtures(spark.createDataFrame(texts, "doc_id long, text string"), m).collect()}
+    assert [k for k, _ in got[1]] == ["aa", "bb"] and sum(v for _, v in got[1]) == pytest.approx(1) and got[1][0][1] == pytest.approx(0.6, abs=0.1)
+    assert [k for k, _ in got[2]] == ["cc"] and got[3] == [] and [k for k, _ in got[None]] == ["bb"]
+    with pytest.raises(ValueError):
+        language.train(spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "doc_id long, text string, lang string"), most_langs=1)
+
+
+def test_language_accuracy_on_held_out_documents(spark):
+    d = "/root/testdata/sf0.01"
+    truth = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "text")
+    rows = queries.queries()["op10_language_id"](spark, d).filter("held_out").join(truth, "doc_id").filter("lang is not null and lang_pred <> 'und'").collect()
+    right, seen = Counter(), Counter()
+    for r in rows:
+        seen[r["lang"]] += 1
+        right[r["lang"]] += r["lang"] == r["lang_pred"]
+    # recall of every language, and accuracy over all
+    assert len(rows) > 200 and sum(right.values()) >= 0.97 * len(rows) and all(right[k] >= 0.9 * n for k, n in seen.items()), (right, seen)
+
+
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_queries_over_the_table(spark, name):
     d = "/root/testdata/sf0.001"
-    for name, q in queries.queries().items():
-        if name in ("op6_license_scans", "op7_secret_scans", "op10_language_id"):
-            assert q(spark, d).count() > 0
+    n, rows = spark.read.parquet(f"{d}/documents.parquet").count(), queries.queries()[name](spark, d).count()
+    # one row a document, but for lengths, pieces and licenses
+    assert 0 < rows <= n if name.startswith(("op1_", "op6_")) else rows >= n if name.startswith("op4_") else rows == n
 
 
 # rows without an id, differing rows of one id, clashing names ---------------------------
@@ -729,3 +754,23 @@ def test_packing_of_rows_without_an_id_of_their_own(odd):
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
     assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(got)
     assert Counter({r["length"]: r["n_docs"] for r in tokens.length_histogram(tokens.token_counts(df)).collect()}) == Counter(len(t.encode(x or "", add_special_tokens=False).ids) for _, x in rows)
+
+
+def test_fingerprints_of_rows_without_an_id_of_their_own(odd):
+    df, rows = odd
+    got = parsing.neighbour_fingerprints(df).collect()
+    assert Counter((r["doc_id"], r["n_chars"]) for r in got) == Counter((d, len(t or "")) for d, t in rows)
+    again = parsing.neighbour_fingerprints(df.repartition(5)).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+
+
+def test_counts_and_languages_of_rows_without_an_id_of_their_own(odd, spark):
+    df, rows = odd
+    got = Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in quality.features(df).collect())
+    assert got == Counter((d, *base_counts(t or "")) for d, t in rows)
+    labels = spark.createDataFrame([(7, 1), (1, 0)], "doc_id long, quality int")
+    kept = quality.kept_documents(df, labels)
+    assert kept.columns == df.columns and kept.count() == sum(base_counts(t or "")[0] >= 20 and 100 * base_counts(t or "")[4] <= 30 * base_counts(t or "")[0] for _, t in rows)
+    m = language.train(spark.createDataFrame([(i, "the of w1 token", "en") for i in range(5)], "doc_id long, text string, lang string"))
+    assert Counter(r["doc_id"] for r in language.predict(df, m).collect()) == Counter(d for d, _ in rows)
+    assert licenses.scan(df).count() == 0

@@ -19,5 +19,6 @@ def test_names():
 
 
 def test_clear(spark):
+    before = storage.live()
     kept = storage.written(spark.range(3), "probe")
-    assert kept.count() == 3 and storage.clear(spark) >= 1 and storage.clear(spark) == 0
+    assert kept.count() == 3 and storage.clear(spark, but=before) == 1 and storage.live() == before
