@@ -22,8 +22,9 @@ stays a reference for the task's later chunks. So a passage that a third of all
 documents share sends an entry or so for each task to its block, not one for each
 document. Blocks are walked one at a time, several to a shuffle partition.
 
-A window is identified by 128 bits: its anchor's 64-bit hash and the 64 bits of its own.
-Among 10^15 different windows two would be taken for one with a chance below 10^-8.
+A window is identified by its anchor's 64-bit hash and 48 bits of its own, 112 in all.
+Two different windows can only be taken for one under one anchor: where 100,000 different
+windows share an anchor, with a chance of 2 in 100,000.
 
 Nulls, empty texts and texts shorter than a window have no factors. Rows with a null
 doc_id have no place in the order: they index nothing and lose nothing. Rows of one
@@ -46,13 +47,13 @@ from helixframe.llm.batches import text_chunks
 
 WINDOW, GRAM = 13, 4
 _MIX = 0x9E3779B97F4A7C15
-FACTORS = "doc_id long, text_hash long, start int, length int, ref_id long, ref_start int"
+FACTORS = "doc_id long, text_hash int, start int, length int, ref_id long, ref_start int"
 #: Factors as they travel inside a task.
-_FACTOR = np.dtype([("doc", "<i8"), ("hash", "<i8"), ("start", "<i4"), ("length", "<i4"), ("ref", "<i8"), ("ref_start", "<i4")])
+_FACTOR = np.dtype([("doc", "<i8"), ("hash", "<i4"), ("start", "<i4"), ("length", "<i4"), ("ref", "<i8"), ("ref_start", "<i4")])
 #: Reference windows that a task keeps from chunk to chunk, about.
 KEPT = 200_000
 #: Blocks of one shuffle partition, walked one after the other.
-BLOCKS_EACH = 8
+BLOCKS_EACH = 2
 
 
 def cut_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -301,7 +302,7 @@ def _entries(block: np.ndarray, row: np.ndarray, pos: np.ndarray, own: np.ndarra
     docs, payload = [], []
     for a, b in zip(cut, cut[1:]):
         used, local = np.unique(row[a:b], return_inverse=True)
-        docs.append(ids[used].tobytes())
+        docs.append(ids[used, 0].tobytes() + ids[used, 1].astype("<i4").tobytes())
         payload.append(_packed(anchor[a:b], own[a:b], pos[a:b], local))
     of = block[cut[:-1]] if len(block) else block
     return pa.record_batch(
@@ -330,16 +331,19 @@ def _packed(anchor: np.ndarray, own: np.ndarray, pos: np.ndarray, local: np.ndar
     first = np.flatnonzero(run)
     count = np.diff(np.concatenate((first, [len(own)])))
     head = np.array([len(first), len(own)], "<u4")
-    return b"".join((head.tobytes(), anchor[first].astype("<u8").tobytes(), own.astype("<u8").tobytes(), _narrow(pos[first]), _narrow(np.bincount(local[first])), _narrow(count)))
+    return b"".join((head.tobytes(), anchor[first].astype("<u8").tobytes(), own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes(), _narrow(pos[first]), _narrow(np.bincount(local[first])), _narrow(count)))
 
 
 def _unpacked(docs: bytes, payload: bytes) -> tuple[np.ndarray, ...]:
-    """(anchor, own hash, text among ``docs``, position) of each window of a row, and the texts' (doc_id, hash)."""
+    """(anchor, 48 bits of the own hash, text among ``docs``, position) of each window of a row, and the texts' (doc_id, hash)."""
     n, m = np.frombuffer(payload, "<u4", 2).tolist()
-    ids = np.frombuffer(docs, "<i8").reshape(-1, 2)
+    k = len(docs) // 12
+    ids = np.stack((np.frombuffer(docs, "<i8", k), np.frombuffer(docs, "<i4", k, 8 * k)), axis=1)
     anchor = np.frombuffer(payload, "<u8", n, 8)
-    own = np.frombuffer(payload, "<u8", m, 8 + 8 * n)
-    pos, at = _widened(payload, n, 8 + 8 * (n + m))
+    own = np.zeros((m, 8), np.uint8)
+    own[:, 2:] = np.frombuffer(payload, np.uint8, 6 * m, 8 + 8 * n).reshape(-1, 6)
+    own = own.view("<u8").ravel()
+    pos, at = _widened(payload, n, 8 + 8 * n + 6 * m)
     runs_of, at = _widened(payload, len(ids), at)
     count, _ = _widened(payload, n, at)
     step = np.arange(m) - np.repeat(np.cumsum(count) - count, count)
@@ -401,7 +405,7 @@ def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, blocks: int
     if not 0 < gram <= window:
         raise ValueError("gram must lie between 1 and window")
     n = blocks or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("text_hash"))
     pieces = rows.mapInArrow(lambda it: _pieces(it, n, window, gram), "part int, block int, docs binary, payload binary")
     return pieces.repartitionById(n, F.col("part")).sortWithinPartitions("block").mapInArrow(lambda it: _parse_blocks(it, window), FACTORS)
 
@@ -435,7 +439,7 @@ def covered(sizes: np.ndarray, found: list[list[tuple[int, int, int, int]]]) ->
 def without_duplicates(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, blocks: int | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): each row's words left after removal, joined by one space."""
     spans = factors(docs, window, gram, blocks).groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("start", "length", "ref_id", "ref_start")).alias("spans"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("text_hash"))
     both = rows.join(spans, (F.col("doc_id") == F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
