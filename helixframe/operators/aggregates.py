@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.ranks import below, join_same, percentiles
+
 
 def unpivot(df: DataFrame, keys: list[str], metrics: list[str], name: str = "metric", value: str = "value") -> DataFrame:
     """Long form: one row for each key and metric."""
@@ -14,15 +16,17 @@ def unpivot(df: DataFrame, keys: list[str], metrics: list[str], name: str = "met
 def distribution_summary(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """n, median, p90, p99 and maximum by keys and metric, exact with linear interpolation; NULL values don't count."""
     long = unpivot(df, keys, metrics).filter("value is not null")
-    q = F.percentile("value", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99))).alias("_q")
-    out = long.groupBy(*keys, "metric").agg(F.count("*").alias("n"), q, F.max("value").alias("maximum"))
-    return out.select(*keys, "metric", "n", F.col("_q")[0].alias("median"), F.col("_q")[1].alias("p90"), F.col("_q")[2].alias("p99"), "maximum")
+    by = [*keys, "metric"]
+    sums = long.groupBy(*by).agg(F.count("*").alias("n"), F.max("value").alias("maximum"))
+    q = percentiles(long, by, "value", [0.5, 0.9, 0.99], ["median", "p90", "p99"])
+    return join_same(sums, q, by).select(*by, "n", "median", "p90", "p99", "maximum")
 
 
 def describe(df: DataFrame, column: str, keys: list[str] = []) -> DataFrame:
     """n, mean, median, minimum and maximum; NULLs but for n when there is nothing."""
-    c = F.col(column).cast("double")
-    return df.groupBy(*keys).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.percentile(c, 0.5).alias("median"), F.min(c).alias("minimum"), F.max(c).alias("maximum"))
+    long = df.select(*keys, F.col(column).cast("double").alias("_v"))
+    sums = long.groupBy(*keys).agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.min("_v").alias("minimum"), F.max("_v").alias("maximum"))
+    return join_same(sums, percentiles(long, keys, "_v", [0.5], ["median"]), keys, "left").select(*keys, "n", "mean", "median", "minimum", "maximum")
 
 
 def counts_by_label(df: DataFrame, label: Column, conditions: dict[str, Column]) -> DataFrame:
@@ -41,10 +45,8 @@ def metric_bundle(df: DataFrame, keys: list[str], group: str, truth: str, predic
 
 def average_rank(df: DataFrame, keys: list[str], column: str, into: str) -> DataFrame:
     """Ranks from 1 within ``keys``; equal values share the mean of their ranks."""
-    counted = df.groupBy(*keys, column).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counted.withColumn(into, F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2).drop("_n")
-    return df.join(ranks, [*keys, column])
+    ranks = below(df, keys, column).select(*keys, column, (F.col("_below") + (F.col("_n") + 1) / 2).alias(into))
+    return join_same(df, ranks, [*keys, column])
 
 
 def safe_corr(x: Column, y: Column) -> Column:
@@ -64,9 +66,14 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 
 def ecdf(df: DataFrame, keys: list[str], column: str, ties: list[str]) -> DataFrame:
-    """Each value with rank / n of its group: one point for each row, equal values at different heights."""
-    w = Window.partitionBy(*keys)
-    return df.filter(F.col(column).isNotNull()).select(*keys, *ties, column, (F.row_number().over(w.orderBy(column, *ties)) / F.count("*").over(w)).alias("ecdf"))
+    """Each value with rank / n of its group: one point for each row, equal values at different heights.
+
+    Rows of one value are put in order by ``ties`` together; no window spans a group.
+    """
+    there = df.filter(F.col(column).isNotNull()).select(*keys, *ties, column)
+    at = join_same(there, below(there, keys, column), [*keys, column])
+    among = Window.partitionBy(*keys, column).orderBy(*ties)
+    return at.select(*keys, *ties, column, ((F.col("_below") + F.row_number().over(among)) / F.col("_all")).alias("ecdf"))
 
 
 def trailing_mean(df: DataFrame, keys: list[str], order: list[str], column: str, rows: int, into: str) -> DataFrame:

@@ -48,9 +48,32 @@ def overlap_exists(
     return left.join(hit, key, "left_semi" if keep else "left_anti")
 
 
+def counted_upto(df: DataFrame, marks: DataFrame, on: list[str], position: str, mark: str, bin_size: int, into: str) -> DataFrame:
+    """Each row of ``df`` with how many ``marks`` of its ``on`` group lie at or before its position.
+
+    Marks are counted by bin first; rows and marks are put in order inside their bin only.
+    """
+    held = marks.groupBy(*on, F.col(mark).alias("_at")).agg(F.count("*").alias("_n")).withColumns({"_kind": F.lit(0), "_row": F.lit(None).cast(df.select(F.struct("*")).schema[0].dataType)})
+    asked = df.select(*on, F.col(position).alias("_at"), F.lit(0).cast("long").alias("_n"), F.lit(1).alias("_kind"), F.struct("*").alias("_row"))
+    both = held.unionByName(asked).withColumn("_bin", F.floor(F.col("_at") / bin_size))
+    bins = both.groupBy(*on, "_bin").agg(F.sum("_n").alias("_m"))
+    bases = bins.select(*on, "_bin", F.coalesce(F.sum("_m").over(Window.partitionBy(*on).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*on, "_bin").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = both.withColumn("_upto", F.sum("_n").over(inside)).filter("_kind = 1").join(bases, [*on, "_bin"])
+    return counted.select("_row.*", (F.col("_base") + F.col("_upto")).alias(into))
+
+
 def overlap_count(left: DataFrame, right: DataFrame, on: list[str], left_span: tuple[str, str], right_span: tuple[str, str], bin_size: int, keys: list[str]) -> DataFrame:
-    """How many overlapping pairs each value of ``keys`` has."""
-    return overlap_join(left, right, on, left_span, right_span, bin_size).groupBy(*keys).agg(F.count("*").alias("overlap_pairs"))
+    """How many overlapping pairs each value of ``keys``, columns of ``left``, has.
+
+    A span meets those that start at or before its end, less those that end before its
+    start: two cumulative counts, and no pair is made.
+    """
+    (ls, le), (rs, re_) = left_span, right_span
+    l, r = left.filter(F.col(ls) <= F.col(le)).select(*dict.fromkeys([*on, *keys, ls, le])), right.filter(F.col(rs) <= F.col(re_))
+    begun = counted_upto(l, r, on, le, rs, bin_size, "_begun").withColumn("_before", F.col(ls) - 1)
+    met = counted_upto(begun, r, on, "_before", re_, bin_size, "_ended")
+    return met.groupBy(*keys).agg(F.sum(F.col("_begun") - F.col("_ended")).alias("overlap_pairs")).filter("overlap_pairs > 0")
 
 
 def radius_join(points: DataFrame, sites: DataFrame, on: list[str], point: str, site: str, radius: int) -> DataFrame:
@@ -60,21 +83,31 @@ def radius_join(points: DataFrame, sites: DataFrame, on: list[str], point: str,
     return p.join(s, [*on, "_bin"]).filter(F.abs(F.col(point) - F.col(site)) <= radius).drop("_bin")
 
 
-def nearest_site(points: DataFrame, sites: DataFrame, on: list[str], point: str, site: str, ties: list[str]) -> DataFrame:
+def nearest_site(points: DataFrame, sites: DataFrame, on: list[str], point: str, site: str, ties: list[str], bin_size: int = 1 << 14) -> DataFrame:
     """Each point with the nearest site of its ``on`` group, by (distance, *ties*); points of groups without sites drop out.
 
-    Both sides are walked together in order of position: the last site at or before a
-    point and the first at or after it are the only candidates, so no pair is made that
+    Both sides are walked together in order of position, bin by bin: the last site at or
+    before a point and the first at or after it are the only candidates. They stand in the
+    point's bin or are the last of an earlier and the first of a later bin, which come
+    from one row a bin; so a group's rows spread over its bins, and no pair is made that
     isn't one of the two. Sites at one position are reduced to the first in ``ties`` order.
     """
     names = [site, *ties]
     best = sites.groupBy(*on, F.col(site).alias("_at")).agg(F.min(F.struct(*[F.col(c) for c in ties])).alias("_tie"))
     s = best.select(*on, "_at", F.struct(F.col("_at").alias(site), *[F.col(f"_tie.{c}").alias(c) for c in ties]).alias("_site"), F.lit(0).alias("_kind"), F.lit(None).cast(points.select(F.struct("*")).schema[0].dataType).alias("_row"))
     p = points.select(*on, F.col(point).alias("_at"), F.lit(None).cast(s.schema["_site"].dataType).alias("_site"), F.lit(1).alias("_kind"), F.struct("*").alias("_row"))
-    both = s.unionByName(p)
-    before = Window.partitionBy(*on).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy(*on).orderBy(F.desc("_at"), "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = both.withColumn("_b", F.last("_site", ignorenulls=True).over(before)).withColumn("_a", F.last("_site", ignorenulls=True).over(after)).filter("_kind = 1")
+    both = s.unionByName(p).withColumn("_bin", F.floor(F.col("_at") / bin_size))
+    # structs compare by position first: the last and first site of each bin, then of all bins before and after
+    bins = both.groupBy(*on, "_bin").agg(F.max("_site").alias("_last"), F.min("_site").alias("_first"))
+    by_bin = Window.partitionBy(*on).orderBy("_bin")
+    around = bins.select(
+        *on, "_bin", F.last("_last", ignorenulls=True).over(by_bin.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"),
+        F.first("_first", ignorenulls=True).over(by_bin.rowsBetween(1, Window.unboundedFollowing)).alias("_later"),
+    )
+    before = Window.partitionBy(*on, "_bin").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy(*on, "_bin").orderBy(F.desc("_at"), "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = both.withColumn("_b", F.last("_site", ignorenulls=True).over(before)).withColumn("_a", F.last("_site", ignorenulls=True).over(after)).filter("_kind = 1")
+    seen = inside.join(around, [*on, "_bin"]).withColumns({"_b": F.coalesce("_b", "_earlier"), "_a": F.coalesce("_a", "_later")})
     ranked = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("_at") - F.col(f"{c}.{site}")).alias("distance"), *[F.col(f"{c}.{t}").alias(t) for t in ties], F.col(f"{c}.{site}").alias(site)))
     pick = F.least(ranked("_b"), ranked("_a"))
     return seen.withColumn("_n", pick).filter("_n is not null").select("_row.*", *[F.col(f"_n.{c}").alias(c) for c in names], F.col("_n.distance").alias("distance"))

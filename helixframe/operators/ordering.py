@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.ranks import places
+
 
 def by_priority(column: Column, order: list) -> Column:
     """A sort key: the place of the value in ``order``, others last."""
@@ -88,20 +90,8 @@ def matched_controls(chosen: DataFrame, pool: DataFrame, key: str, group: list[s
 
 
 def every_kth(df: DataFrame, group: str, k: int) -> DataFrame:
-    """Rows whose group's place in sorted order is a multiple of ``k``.
-
-    Groups are numbered over partitions of ``group`` ranges: counts of each range first,
-    then places within it, so no window holds all groups.
-    """
-    groups = df.select(group).distinct()
-    ranged = groups.repartitionByRange(group).sortWithinPartitions(group).withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
-    tagged = ranged.select(group, part.alias("_part"), (F.col("_id") - F.shiftleft(part, 33)).alias("_at"))
-    sizes = tagged.groupBy("_part").agg((F.max("_at") + 1).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    kept = tagged.join(F.broadcast(offsets), "_part").filter((F.col("_base") + F.col("_at")) % k == 0)
-    return df.join(kept.select(group), group, "left_semi")
+    """Rows whose group's place in sorted order is a multiple of ``k``; no window holds all groups."""
+    return df.join(places(df.filter(F.col(group).isNotNull()), group).filter(F.col("place") % k == 0).select(group), group, "left_semi")
 
 
 def draws(n_groups: int, n_draws: int, seed: int) -> np.ndarray:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from helixframe.functions import spectral
 from helixframe.functions import vectors as V
 from helixframe.operators import aggregates as A
-from helixframe.operators import joins, ordering, ridge
+from helixframe.operators import joins, ordering, ranks, ridge
 from helixframe.quality import checks
 
 
@@ -225,3 +225,43 @@ def test_recompute_audit(spark):
     b = spark.createDataFrame([("x", 1.0 + 1e-12, float("nan")), ("y", 2.1, None)], "k string, m double, n double")
     got = {(r["k"], r["metric"]): r["agrees"] for r in checks.recompute_audit(a, b, ["k"], ["m", "n"]).collect()}
     assert got == {("x", "m"): True, ("x", "n"): True, ("y", "m"): False, ("y", "n"): True}
+
+
+def test_percentiles_and_ranks_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    rows = [(k, None if rng.random() < 0.05 else float(x)) for k, n in (("a", 700), ("b", 3), (None, 90), ("c", 1)) for x in rng.choice(np.concatenate((rng.normal(size=40), [1.5] * 20)), n)]
+    rows += [("d", None), ("d", None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, k string, v double")
+    there = {k: [v for q, v in rows if q == k and v is not None] for k in ("a", "b", None, "c", "d")}
+    for bins in (4, 512):
+        got = {r["k"]: r for r in ranks.percentiles(df, ["k"], "v", [0.0, 0.5, 0.9, 1.0], ["lo", "mid", "p90", "hi"], bins).collect()}
+        assert set(got) == {k for k, v in there.items() if v}
+        for k, r in got.items():
+            assert np.allclose([r["lo"], r["mid"], r["p90"], r["hi"]], np.quantile(there[k], [0, 0.5, 0.9, 1]), atol=1e-12, rtol=0)
+        for r in ranks.below(df, ["k"], "v", bins).collect():
+            v = there[r["k"]]
+            assert (r["_n"], r["_below"], r["_all"]) == (v.count(r["v"]), sum(x < r["v"] for x in v), len(v))
+    d = {r["k"]: r for r in A.describe(df, "v", ["k"]).collect()}
+    assert d["d"]["n"] == 0 and d["d"]["median"] is None and d["a"]["median"] == pytest.approx(np.median(there["a"]))
+    assert A.describe(df, "v").first()["median"] == pytest.approx(np.median([v for _, v in rows if v is not None]))
+    e = {r["id"]: r["ecdf"] for r in A.ecdf(df, ["k"], "v", ["id"]).collect()}
+    for i, (k, v) in enumerate(rows):
+        if v is not None:
+            assert e[i] == pytest.approx(sum((x, j) <= (v, i) for j, (q, x) in enumerate(rows) if q == k and x is not None) / len(there[k]))
+    at = {r["k"]: r["place"] for r in ranks.places(df, "k", 2).collect()}
+    assert at == {None: 0, "a": 1, "b": 2, "c": 3, "d": 4}
+
+
+@pytest.mark.parametrize("size", [3, 1000])
+def test_counts_and_nearest_sites_over_bins(spark, size):
+    rng = np.random.default_rng(7)
+    spans = [(int(g), i, int(a), int(a + rng.integers(-2, 9))) for i, (g, a) in enumerate(zip(rng.integers(0, 3, 80), rng.integers(-40, 60, 80)))]
+    l = spark.createDataFrame(spans[:40], "g int, i int, a int, b int")
+    r = spark.createDataFrame([(g, a, b) for g, _, a, b in spans[40:]], "g int, c int, d int")
+    want = {}
+    for g, _, a, b in spans[:40]:
+        n = sum(h == g and c <= b and d >= a for h, _, c, d in spans[40:] if c <= d) if a <= b else 0
+        want[g] = want.get(g, 0) + n
+    assert {x["g"]: x["overlap_pairs"] for x in joins.overlap_count(l, r, ["g"], ("a", "b"), ("c", "d"), size, ["g"]).collect()} == {g: n for g, n in want.items() if n}
+    near = {x["i"]: (x["distance"], x["t"], x["s"]) for x in joins.nearest_site(l.select("g", "i", "a"), spark.createDataFrame([(g, a, i) for g, i, a, _ in spans[40:]], "g int, s int, t int"), ["g"], "a", "s", ["t"], size).collect()}
+    assert near == {i: min((abs(a - c), t, c) for h, t, c, _ in spans[40:] if h == g) for g, i, a, _ in spans[:40]}
