@@ -38,6 +38,7 @@ def differences(a: Column, b: Column) -> Column:
 
 
 def matches_reference(sequence: Column, position: Column, ref: Column) -> Column:
+    """The reference allele stands at a 1-based position of ``sequence``: a window or a chunk, not a chromosome."""
     return F.substring(sequence, position, F.length(ref)) == ref
 
 

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import sequences as S
 from helixframe.operators import classify, joins, reshape
+from helixframe.sources.genomics import chunked, with_bases
 
+#: Bases of a chunk of the genome.
+CHUNK = 1 << 16
 VARIANT_KEY = ["chromosome", "position_1based", "ref", "alt"]
 
 
@@ -30,8 +33,8 @@ def exons(gtf: DataFrame, gene_table: DataFrame) -> DataFrame:
 def junctions(exon_table: DataFrame, genome: DataFrame) -> DataFrame:
     """Each exon with its successor in transcript order: the intron between, its boundary bases and dinucleotides.
 
-    ``genome`` has (name, sequence) for the chromosomes. Raises where exons aren't in
-    transcript order.
+    ``genome`` has (name, sequence) for the chromosomes; bases come from its chunks. Raises
+    where exons aren't in transcript order.
     """
     pairs = joins.adjacent(exon_table, ["gene", "transcript", "chromosome", "strand"], [F.col("exon_number")], ["exon_number", "exon_start_1based", "exon_end_1based"])
     plus = F.col("strand") == "+"
@@ -46,12 +49,11 @@ def junctions(exon_table: DataFrame, genome: DataFrame) -> DataFrame:
     j = j.withColumns({"donor_exonic_base_1based": donor, "acceptor_exonic_base_1based": acceptor})
     d, a = F.col("donor_exonic_base_1based"), F.col("acceptor_exonic_base_1based")
     j = j.withColumns({"donor_plus1_1based": d + sign, "donor_plus2_1based": d + 2 * sign, "acceptor_minus2_1based": a - 2 * sign, "acceptor_minus1_1based": a - sign})
-    g = genome.select(F.regexp_replace("name", "^chr", "").alias("chromosome"), "sequence")
-    at = lambda c: F.substring("sequence", F.col(c).cast("int"), F.lit(1))
-    both = lambda x, y: F.concat(at(x), at(y))
-    oriented = lambda s: F.when(plus, s).otherwise(S.complement(s))
-    j = j.join(g, "chromosome").withColumns({"donor_dinucleotide": oriented(both("donor_plus1_1based", "donor_plus2_1based")), "acceptor_dinucleotide": oriented(both("acceptor_minus2_1based", "acceptor_minus1_1based"))})
-    return j.drop("sequence")
+    j = j.withColumns({"_d": F.least("donor_plus1_1based", "donor_plus2_1based"), "_a": F.least("acceptor_minus2_1based", "acceptor_minus1_1based")})
+    pieces = chunked(genome, CHUNK, 1)
+    for place, name in (("_d", "donor_dinucleotide"), ("_a", "acceptor_dinucleotide")):
+        j = with_bases(j, pieces, place, 2, "_two", CHUNK).withColumn(name, F.when(plus, F.col("_two")).otherwise(S.reverse_complement(F.col("_two")))).drop("_two")
+    return j.drop("_d", "_a")
 
 
 def sites(junction_table: DataFrame) -> DataFrame:
@@ -77,7 +79,8 @@ def annotated_variants(vcf: DataFrame, gene_table: DataFrame, junction_table: Da
     v = vcf.withColumn("variant_end_1based", F.col("position_1based") + F.length("ref") - 1)
     spans = gene_table.select("chromosome", "gene", "strand", "gene_start_1based", "gene_end_1based", "transcript", "transcript_start_1based", "transcript_end_1based")
     hit = joins.overlap_join(v, spans, ["chromosome"], ("position_1based", "variant_end_1based"), ("gene_start_1based", "gene_end_1based"), 1 << 17)
-    g = genome.select(F.regexp_replace("name", "^chr", "").alias("chromosome"), "sequence")
+    longest = hit.agg(F.max(F.length("ref"))).first()[0] or 1
+    hit = with_bases(hit, chunked(genome, CHUNK, longest - 1), "position_1based", F.length("ref"), "_there", CHUNK)
     listed = F.coalesce(F.try_element_at("info", F.lit("GENEINFO")), F.lit(""))
     if gene_ids:
         entry = classify.ordered_rules([(F.col("gene") == g, f"{g}:{i}") for g, i in gene_ids.items()], None)
@@ -85,10 +88,10 @@ def annotated_variants(vcf: DataFrame, gene_table: DataFrame, junction_table: Da
     else:
         named_gene = F.array_contains(F.transform(F.split(listed, r"\|"), lambda x: F.substring_index(x, ":", 1)), F.col("gene"))
     info = lambda k: F.try_element_at("info", F.lit(k))
-    named = hit.join(g, "chromosome").select(
+    named = hit.select(
         "gene", "chromosome", "strand", "position_1based", "id", "ref", "alt", "row", "alt_index", "transcript",
         classify.variant_class(F.col("ref"), F.col("alt")).alias("variant_class"),
-        S.matches_reference(F.col("sequence"), F.col("position_1based").cast("int"), F.col("ref")).alias("ref_matches_genome"),
+        F.coalesce(F.col("_there") == F.col("ref"), F.lit(False)).alias("ref_matches_genome"),
         named_gene.alias("geneinfo_matches_gene"),
         F.col("position_1based").between(F.col("transcript_start_1based"), F.col("transcript_end_1based")).alias("within_transcript"),
         info("CLNSIG").alias("significance"), info("CLNREVSTAT").alias("review_status"), info("MC").alias("consequence"),
@@ -117,8 +120,7 @@ def nearby_sites(variants: DataFrame, junction_table: DataFrame, radius: int = 2
 def saturation(junction_table: DataFrame, genome: DataFrame, existing: DataFrame, radius: int = 20) -> tuple[DataFrame, DataFrame]:
     """(every single-base change near a site, those of them that ``existing`` lacks)."""
     at = reshape.positions_around(sites(junction_table), "site_1based", radius, "position_1based").select("gene", "chromosome", "strand", "position_1based").distinct()
-    g = genome.select(F.regexp_replace("name", "^chr", "").alias("chromosome"), "sequence")
-    based = at.join(g, "chromosome").withColumn("ref", F.substring("sequence", F.col("position_1based").cast("int"), F.lit(1))).drop("sequence").filter("ref in ('A', 'C', 'G', 'T')")
+    based = with_bases(at, chunked(genome, CHUNK), "position_1based", 1, "ref", CHUNK).filter("ref in ('A', 'C', 'G', 'T')")
     every = reshape.alternative_bases(based, "ref")
     every = every.withColumn("synthetic_variant_id", S.variant_key("sat", F.col("position_1based"), F.col("ref"), F.col("alt")))
     return every, every.join(existing.select(*VARIANT_KEY).distinct(), VARIANT_KEY, "left_anti")

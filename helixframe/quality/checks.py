@@ -6,8 +6,9 @@ import hashlib
 import json
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -76,25 +77,79 @@ def fingerprint(value: object) -> str:
     return hashlib.sha256(canonical_json(value).encode()).hexdigest()
 
 
-def write_json_atomic(path: str, value: object) -> None:
-    """A JSON file that is there whole or not at all; for small documents of the driver."""
+def _store(path: str):
+    """(file system, path) of the running session's Hadoop configuration; None without a session."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return None
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def write_json_atomic(path: str, value: object, replace: bool = True) -> bool:
+    """A small JSON document that is there whole or not at all, in any store that Spark reaches.
+
+    It is written beside its place and renamed. With ``replace=False`` a document that is
+    there already stays, and False is returned. Without a running session the path is a
+    local one.
+    """
+    body = json.dumps(value, sort_keys=True, indent=2, allow_nan=False).encode()
+    if (found := _store(path)) is None:
+        return _write_local(path, body, replace)
+    fs, target = found
+    part = target.suffix(f".{uuid.uuid4().hex}.tmp")
+    out = fs.create(part, False)
+    out.write(body)
+    out.close()
+    # a rename doesn't overwrite: of two writers one finds the other's document
+    if replace and fs.exists(target):
+        fs.delete(target, False)
+    done = not fs.exists(target) and fs.rename(part, target)
+    if not done:
+        fs.delete(part, False)
+    return done
+
+
+def _write_local(path: str, body: bytes, replace: bool) -> bool:
     folder = os.path.dirname(os.path.abspath(path))
     os.makedirs(folder, exist_ok=True)
-    with tempfile.NamedTemporaryFile("w", dir=folder, suffix=".tmp", delete=False) as f:
-        f.write(json.dumps(value, sort_keys=True, indent=2, allow_nan=False))
+    with tempfile.NamedTemporaryFile("wb", dir=folder, suffix=".tmp", delete=False) as f:
+        f.write(body)
         f.flush()
         os.fsync(f.fileno())
-    os.replace(f.name, path)
+    try:
+        if replace:
+            os.replace(f.name, path)
+        else:
+            os.link(f.name, path)
+            os.unlink(f.name)
+        return True
+    except FileExistsError:
+        os.unlink(f.name)
+        return False
+
+
+def read_json(path: str) -> object | None:
+    """A document of ``write_json_atomic``, None if it isn't there."""
+    if (found := _store(path)) is None:
+        if not os.path.exists(path):
+            return None
+        with open(path) as f:
+            return json.load(f)
+    fs, at = found
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return json.loads(bytes(stream.readAllBytes()))
+    finally:
+        stream.close()
 
 
 def freeze(path: str, protocol: dict) -> dict:
     """Write a protocol once; a later run must bring the same one."""
-    if os.path.exists(path):
-        with open(path) as f:
-            if json.load(f) != json.loads(canonical_json(protocol)):
-                raise ValueError(f"{path} holds another protocol")
-    else:
-        write_json_atomic(path, protocol)
+    if not write_json_atomic(path, protocol, replace=False) and read_json(path) != json.loads(canonical_json(protocol)):
+        raise ValueError(f"{path} holds another protocol")
     return protocol
 
 

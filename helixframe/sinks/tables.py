@@ -83,16 +83,29 @@ class RunStore:
 
 
 def write_staged(df: DataFrame, path: str) -> None:
-    """Write beside the target and move into place: a reader sees the old table or the new one."""
-    spark = df.sparkSession
-    staging = f"{path.rstrip('/')}.partial"
-    df.write.mode("overwrite").parquet(staging)
+    """Write beside the target and swap by two renames; no moment leaves fewer than one whole table.
+
+    The old table waits at ``<path>.old`` until the new one is in place; a crash between
+    the renames leaves both whole, and the next call puts the old one back first. A reader
+    that opens the path between the renames finds nothing there, never half a table.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    source, target = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(path)
+    staging, target, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.partial", path, f"{path}.old"))
     fs = target.getFileSystem(conf)
-    fs.delete(target, True)
-    if not fs.rename(source, target):
-        raise OSError(f"{staging} can't be moved to {path}")
+
+    def move(a, b) -> None:
+        if not fs.rename(a, b):
+            raise OSError(f"{a} can't be moved to {b}")
+
+    if fs.exists(old) and not fs.exists(target):
+        move(old, target)
+    df.write.mode("overwrite").parquet(f"{path}.partial")
+    fs.delete(old, True)
+    if fs.exists(target):
+        move(target, old)
+    move(staging, target)
+    fs.delete(old, True)
 
 
 def write_fasta(df: DataFrame, path: str, name: str, sequence: str) -> None:

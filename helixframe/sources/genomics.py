@@ -79,10 +79,30 @@ def read_fasta(spark: SparkSession, path: str, upper: bool = True) -> DataFrame:
 
 
 def chunked(sequences: DataFrame, size: int = 1 << 16, overlap: int = 0) -> DataFrame:
-    """(name, chunk, start_1based, bases): long sequences as pieces that a join by chunk can reach."""
-    n = F.ceil(F.length("sequence") / size).cast("int")
-    rows = sequences.select("name", "sequence", F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).alias("chunk"))
-    return rows.select("name", "chunk", (F.col("chunk").cast("long") * size + 1).alias("start_1based"), F.substring("sequence", F.col("chunk") * size + 1, F.lit(size + overlap)).alias("bases"))
+    """(name, chunk, start_1based, bases): long sequences as pieces that a join by chunk can reach.
+
+    A sequence is cut in one pass; each piece goes on for ``overlap`` bases of the next ones.
+    """
+    cut = sequences.select("name", F.regexp_extract_all("sequence", F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("cut"))
+    ahead = -(-overlap // size)
+    tail = lambda i: F.substring(F.array_join(F.slice("cut", i + 2, F.lit(ahead)), ""), 1, overlap)
+    parts = F.transform("cut", lambda c, i: F.concat(c, tail(i)) if overlap else c)
+    rows = cut.select("name", F.posexplode(parts).alias("chunk", "bases"))
+    return rows.select("name", "chunk", (F.col("chunk").cast("long") * size + 1).alias("start_1based"), "bases")
+
+
+def with_bases(df: DataFrame, chunks: DataFrame, position: str, length: Column | int, into: str, size: int = 1 << 16) -> DataFrame:
+    """``df`` (chromosome, ...) with ``length`` bases from a 1-based position; NULL where they run off an end or the chromosome is unknown.
+
+    ``chunks`` of ``size`` must overlap by the greatest length less one. The join is by
+    (chromosome, chunk): no row carries a chromosome.
+    """
+    c = chunks.select(bare_chromosome(F.col("name")).alias("_chromosome"), F.col("chunk").alias("_chunk"), F.col("start_1based").alias("_from"), "bases")
+    n = F.lit(length) if isinstance(length, int) else length
+    out = df.withColumn("_at", F.floor((F.col(position) - 1) / size).cast("int"))
+    out = out.join(c, (F.col("chromosome") == F.col("_chromosome")) & (F.col("_at") == F.col("_chunk")), "left")
+    got = F.substring("bases", (F.col(position) - F.col("_from") + 1).cast("int"), n)
+    return out.withColumn(into, F.when((F.col(position) >= 1) & (F.length(got) == n), got)).drop("_at", "_chromosome", "_chunk", "_from", "bases")
 
 
 def with_windows(variants: DataFrame, chunks: DataFrame, length: int, size: int = 1 << 16) -> DataFrame:

@@ -126,6 +126,23 @@ def test_windows_from_chunks(spark, built):
         assert w == (SEQ[p - 33 : p + 31] if p - 33 >= 0 and p + 31 <= len(SEQ) else None), p
 
 
+def test_bases_across_chunks(spark, built):
+    for size, length in ((7, 20), (256, 3), (5000, 1)):
+        v = spark.createDataFrame([("7", p) for p in (0, 1, 6, 7, 8, 255, 256, 257, 2990, 2998, 3000, 3001)] + [("9", 1)], "chromosome string, p long")
+        for r in G.with_bases(v, G.chunked(built[0], size, length - 1), "p", length, "b", size).collect():
+            ok = r["chromosome"] == "7" and r["p"] >= 1 and r["p"] - 1 + length <= len(SEQ)
+            assert r["b"] == (SEQ[r["p"] - 1 : r["p"] - 1 + length] if ok else None), (size, r["p"])
+
+
+def test_catalog_on_small_chunks(spark, files, built, monkeypatch):
+    monkeypatch.setattr(catalog, "CHUNK", 64)
+    genome, genes, j, v = built
+    again = catalog.junctions(catalog.exons(G.read_gtf(spark, str(files / "a.gtf.gz")), genes), genome)
+    assert sorted(map(str, again.collect())) == sorted(map(str, j.collect()))
+    w = catalog.annotated_variants(G.read_vcf(spark, str(files / "v.vcf.gz")), genes, again, genome)
+    assert sorted(map(str, w.collect())) == sorted(map(str, v.collect()))
+
+
 def test_plan_score_and_summary(spark, built):
     _, _, _, v = built
     e = v.filter(catalog.eligible())
@@ -161,7 +178,10 @@ def test_csv_and_stores(spark, tmp_path):
     assert G.read_fasta(spark, str(tmp_path / "fa")).collect()[0]["sequence"] == "ACGT"
     K.write_staged(df, str(tmp_path / "staged"))
     K.write_staged(df.limit(3), str(tmp_path / "staged"))
-    assert spark.read.parquet(str(tmp_path / "staged")).count() == 3
+    assert spark.read.parquet(str(tmp_path / "staged")).count() == 3 and not (tmp_path / "staged.old").exists() and not (tmp_path / "staged.partial").exists()
+    (tmp_path / "staged").rename(tmp_path / "staged.old")  # as a crash between the renames leaves it
+    K.write_staged(df.limit(4), str(tmp_path / "staged"))
+    assert spark.read.parquet(str(tmp_path / "staged")).count() == 4 and not (tmp_path / "staged.old").exists()
     listed = T.list_files(spark, str(tmp_path / "fa"), "part-*", content=True).collect()
     assert listed and all(len(r["sha256"]) == 64 for r in listed)
     ticks = iter([False, False, True])

@@ -207,8 +207,13 @@ def test_bootstrap_matches_a_plain_loop(spark):
     assert np.allclose([got["macro_low"], got["macro_high"]], np.quantile(macro, [0.025, 0.975])) and np.allclose([got["weighted_low"], got["weighted_high"]], np.quantile(weighted, [0.025, 0.975]))
 
 
-def test_protocols(tmp_path):
+@pytest.mark.parametrize("local", [True, False])
+def test_protocols(spark, tmp_path, local, monkeypatch):
+    if local:
+        monkeypatch.setattr(checks, "_store", lambda path: None)
     p = str(tmp_path / "protocol.json")
+    assert checks.read_json(p) is None and checks.write_json_atomic(str(tmp_path / "x.json"), {"é": 1}) and checks.write_json_atomic(str(tmp_path / "x.json"), [2]) and checks.read_json(str(tmp_path / "x.json")) == [2]
+    assert not checks.write_json_atomic(str(tmp_path / "x.json"), 3, replace=False) and checks.read_json(str(tmp_path / "x.json")) == [2]
     checks.freeze(p, {"b": 1, "a": [1, 2]})
     checks.freeze(p, {"a": [1, 2], "b": 1})
     with pytest.raises(ValueError):
