@@ -24,4 +24,4 @@ def query(sql: str | None = None):
 
 
 def load_all() -> None:
-    from helixframe.queries import joining, modelling, selecting, summarising, vectorial  # noqa: F401
+    from helixframe.queries import joining, modelling, selecting, storing, summarising, vectorial  # noqa: F401

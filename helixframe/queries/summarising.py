@@ -60,11 +60,13 @@ def macro_metric(spark, d):
     return rounded(A.metric_bundle(l, ["l_returnflag"], "grp", "y", "p"), ["mae", "macro_mae", "rmse"], 4)
 
 
-@query("""WITH r AS (SELECT l_returnflag, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2 AS rx,
-  rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2 AS ry FROM lineitem)
-  SELECT l_returnflag, count(*) AS n, round(corr(rx, ry), 9) AS spearman, true AS spearman_defined FROM r GROUP BY 1""")
+@query("""WITH l AS (SELECT l_returnflag, CASE WHEN l_returnflag = 'N' THEN 1.0 ELSE l_quantity END AS q, l_extendedprice AS p FROM lineitem),
+  r AS (SELECT l_returnflag, rank() OVER (PARTITION BY l_returnflag ORDER BY q) + (count(*) OVER (PARTITION BY l_returnflag, q) - 1) / 2 AS rx, rank() OVER (PARTITION BY l_returnflag ORDER BY p) + (count(*) OVER (PARTITION BY l_returnflag, p) - 1) / 2 AS ry FROM l)
+  SELECT l_returnflag, count(*) AS n, CASE WHEN min(rx) < max(rx) AND min(ry) < max(ry) THEN round(corr(rx, ry), 9) END AS spearman, min(rx) < max(rx) AND min(ry) < max(ry) AS spearman_defined FROM r GROUP BY 1""")
 def spearman_avg_rank(spark, d):
-    return rounded(A.spearman(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice"), ["spearman"], 9)
+    """Rank correlation by group, undefined where a side is constant."""
+    l = table(spark, d, "lineitem").select("l_returnflag", F.when(F.col("l_returnflag") == "N", 1.0).otherwise(F.col("l_quantity")).alias("q"), "l_extendedprice")
+    return rounded(A.spearman(l, ["l_returnflag"], "q", "l_extendedprice"), ["spearman"], 9)
 
 
 @query("SELECT c_mktsegment, count(*) AS n, round(corr(c_acctbal, c_custkey), 9) AS pearson FROM customer GROUP BY 1")

@@ -124,15 +124,19 @@ def zipped_position_rows(spark, d):
     return rounded(z.withColumn("position", F.col("position").cast("long")), ["forward", "backward"])
 
 
-@query("""SELECT label, count(*) AS n, count(*) FILTER (WHERE len(embedding) = 64) AS right_length, true AS all_valid FROM embeddings GROUP BY 1""")
+@query("""WITH e AS (SELECT vec_id, label, CASE WHEN vec_id % 120 = 7 THEN embedding[1:63] WHEN vec_id % 150 = 3 THEN list_transform(embedding, lambda x: x * 1000) ELSE embedding END AS v FROM embeddings)
+  SELECT label, count(*) AS n, count(*) FILTER (WHERE len(v) = 64) AS right_length, bool_and(len(v) = 64 AND list_min(v) >= -1 AND list_max(v) <= 1) AS all_valid FROM e GROUP BY 1""")
 def array_schema_audit(spark, d):
-    ok = V.valid_series(F.col("embedding"), 64, low=-1e6)
-    return table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.size("embedding") == 64).alias("right_length"), F.bool_and(ok).alias("all_valid"))
+    v, k = F.col("embedding"), F.col("vec_id")
+    odd = F.when(k % 120 == 7, F.slice(v, 1, 63)).when(k % 150 == 3, F.transform(v, lambda x: (x * 1000).cast("float"))).otherwise(v)
+    ok = V.valid_series(F.col("v"), 64, low=-1.0, high=1.0)
+    e = table(spark, d, "embeddings").select("label", odd.alias("v"))
+    return e.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.size("v") == 64).alias("right_length"), F.bool_and(ok).alias("all_valid"))
 
 
 @query("""WITH p AS (SELECT label, i - 1 AS position, corr(CAST(a[i] AS DOUBLE), CAST(r[i] AS DOUBLE)) AS c FROM (SELECT label, embedding AS r, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS a FROM embeddings), (SELECT unnest(generate_series(1, 64)) AS i) WHERE a IS NOT NULL GROUP BY 1, 2)
   SELECT label, count(*) AS positions, round(avg(c), 6) AS mean_correlation FROM p GROUP BY 1""")
-def native_versus_corrected(spark, d):
+def position_correlations(spark, d):
     from helixframe.operators.aggregates import safe_corr
 
     z = joins.zipped_positions(pairs(spark, d), ["label"], {"a": F.col("a"), "r": F.col("r")})

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -21,3 +25,13 @@ def session(master: str | None = None, **more: str) -> SparkSession:
 
 def table(spark: SparkSession, folder: str, name: str):
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares; a temporary one only where none is set and all tasks run in the driver's process."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        found = tempfile.gettempdir()
+    return f"{found.rstrip('/')}/helixframe-{name}-{uuid.uuid4().hex}"

@@ -97,12 +97,12 @@ def with_bases(df: DataFrame, chunks: DataFrame, position: str, length: Column |
     ``chunks`` of ``size`` must overlap by the greatest length less one. The join is by
     (chromosome, chunk): no row carries a chromosome.
     """
-    c = chunks.select(bare_chromosome(F.col("name")).alias("_chromosome"), F.col("chunk").alias("_chunk"), F.col("start_1based").alias("_from"), "bases")
+    c = chunks.select(bare_chromosome(F.col("name")).alias("_chromosome"), F.col("chunk").alias("_chunk"), F.col("start_1based").alias("_from"), F.col("bases").alias("_bases"))
     n = F.lit(length) if isinstance(length, int) else length
     out = df.withColumn("_at", F.floor((F.col(position) - 1) / size).cast("int"))
     out = out.join(c, (F.col("chromosome") == F.col("_chromosome")) & (F.col("_at") == F.col("_chunk")), "left")
-    got = F.substring("bases", (F.col(position) - F.col("_from") + 1).cast("int"), n)
-    return out.withColumn(into, F.when((F.col(position) >= 1) & (F.length(got) == n), got)).drop("_at", "_chromosome", "_chunk", "_from", "bases")
+    got = F.substring("_bases", (F.col(position) - F.col("_from") + 1).cast("int"), n)
+    return out.withColumn(into, F.when((F.col(position) >= 1) & (F.length(got) == n), got)).drop("_at", "_chromosome", "_chunk", "_from", "_bases")
 
 
 def with_windows(variants: DataFrame, chunks: DataFrame, length: int, size: int = 1 << 16) -> DataFrame:
