@@ -35,10 +35,13 @@ def words_of(text: Column) -> Column:
 def repeated_words(words: Column, window: int = REPEAT_WINDOW) -> Column:
     """How many words lie in ``window``-word sequences that the text holds at least twice.
 
-    Only a text with a repeated sequence has its positions sorted: equal sequences are
-    then neighbours, and the covered words follow from the gaps between positions.
+    Words are hashed once each, sequences from their words' hashes. Only a text with a
+    repeated sequence has its positions sorted: equal sequences are then neighbours, and
+    the covered words follow from the gaps between positions.
     """
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - window + 1), lambda i: F.xxhash64(F.slice(words, i, window)))
+    starts = F.sequence(F.lit(1), F.size(words) - window + 1)
+    # bound as a lambda variable, so that the words' hashes are made once
+    hashes = F.get(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), lambda each: F.transform(starts, lambda i: F.xxhash64(F.slice(each, i, window)))), F.lit(0))
 
     def covered(h: Column) -> Column:
         placed = F.array(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
@@ -58,18 +61,17 @@ def features(docs: DataFrame, carried: Column | None = None) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     extra = [] if carried is None else ["carried"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *([] if carried is None else [carried.alias("carried")]))
-    lines = F.filter(F.split("text", "\n", -1), lambda x: F.length(F.regexp_replace(x, BLANK, "")) > 0)
+    lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    without = lambda pattern: (F.length("text") - F.length(F.regexp_replace("text", pattern, ""))).cast("long")
     counted = rows.select("doc_id", *extra, "text", words_of(F.col("text")).alias("words"), lines.alias("lines")).select(
         "doc_id", *extra,
         F.size("words").cast("long").alias("n_words"),
         F.length(F.regexp_replace("text", BLANK, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        without(f"[{SYMBOLS}]").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
-        (F.length("text") - F.length(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_upper"),
-        (F.length("text") - F.length(F.translate("text", "!?", ""))).cast("long").alias("n_marks"),
-        (F.length("text") - F.length(F.translate("text", "0123456789", ""))).cast("long").alias("n_digits"),
+        without("[A-Z]+").alias("n_upper"), without("[!?]").alias("n_marks"), without("[0-9]+").alias("n_digits"),
     )
     per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     return counted.select(

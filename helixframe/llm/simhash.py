@@ -88,10 +88,10 @@ def fingerprints(docs: DataFrame, words: int = 3, lower: bool = True) -> DataFra
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
-def _anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor key, row of fp, home) for both halves of each fingerprint."""
+def _anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor key, row of fp) for both halves of each fingerprint: its home and the anchors it is replicated to."""
     positions = np.arange(1, 32, dtype=np.uint32)
-    keys, rows, homes = [], [], []
+    keys, rows = [], []
     every = np.arange(len(fp))
     for half in (0, 1):
         h = ((fp >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -104,7 +104,6 @@ def _anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         base = np.uint64(half) << np.uint64(32)
         keys.append(home | base)
         rows.append(every)
-        homes.append(np.ones(len(h), bool))
         near = [(home ^ np.uint32(1 << 31), np.ones(len(h), bool))]
         for a in range(1, 32):
             b = syndrome ^ np.uint32(a)
@@ -114,21 +113,20 @@ def _anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             ok = ok & (word > home)
             keys.append(word[ok] | base)
             rows.append(every[ok])
-            homes.append(np.zeros(int(ok.sum()), bool))
-    return np.concatenate(keys).astype(np.int64), np.concatenate(rows), np.concatenate(homes)
+    return np.concatenate(keys).astype(np.int64), np.concatenate(rows)
 
 
 def cover(fps: DataFrame) -> DataFrame:
-    """(anchor, fp, home) for distinct fingerprints ``fps`` (fp)."""
+    """(anchor, fp) for distinct fingerprints ``fps`` (fp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 50_000):
                 fp = batch.column(0).slice(i, 50_000).to_numpy(zero_copy_only=False).view(np.uint64)
-                key, row, home = _anchors(fp)
-                yield pa.record_batch([pa.array(key), pa.array(fp[row].view(np.int64)), pa.array(home)], names=["anchor", "fp", "home"])
+                key, row = _anchors(fp)
+                yield pa.record_batch([pa.array(key), pa.array(fp[row].view(np.int64))], names=["anchor", "fp"])
 
-    return fps.select("fp").mapInArrow(run, "anchor long, fp long, home boolean")
+    return fps.select("fp").mapInArrow(run, "anchor long, fp long")
 
 
 def _star(fp: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

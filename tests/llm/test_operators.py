@@ -189,6 +189,22 @@ def test_parsing_is_local():
     assert parsing.likeness(bins[1:2], bins[2:3])[0] > 0.9
 
 
+def test_likeness_follows_the_share_that_texts_have_in_common():
+    r = np.random.default_rng(3)
+    fresh = lambda n: "".join(r.choice(list("abcdefghijklmnop qrstuvw"), n))
+    off = []
+    for share in (0.0, 0.2, 0.4, 0.6, 0.8, 1.0):
+        for _ in range(8):
+            n = int(r.integers(3000, 9000))
+            both = fresh(int(n * share))
+            # the common part stands at another offset in each
+            _, bins = parsing.sketches([fresh((n - len(both)) // 2) + both + fresh((n - len(both)) // 2), both + fresh(n - len(both))])
+            off.append((share, float(parsing.likeness(bins[:1], bins[1:])[0]) - share))
+    assert np.mean([abs(x) for _, x in off]) < 0.1 and max(abs(x) for _, x in off) < 0.3
+    means = [np.mean([x + s for s, x in off if s == share]) for share in (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)]
+    assert means == sorted(means)
+
+
 # 5 ------------------------------------------------------------------------------------
 
 
