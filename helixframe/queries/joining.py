@@ -110,7 +110,7 @@ def purged_training_set(spark, d):
     minute = F.floor(_seconds("ts") / 60)
     e = e.select("event_id", (F.col("user_id") % 12).alias("grp"), (minute - 60).alias("ws"), (minute + 59).alias("we"))
     folds = e.select(F.col("grp").alias("outer_grp")).distinct()
-    train = e.join(F.broadcast(folds), F.col("grp") != F.col("outer_grp"))
+    train = e.join(folds, F.col("grp") != F.col("outer_grp"))
     test = e.select(F.col("grp").alias("outer_grp"), F.col("ws").alias("ts_"), F.col("we").alias("te_"))
     n = train.groupBy("outer_grp").agg(F.count("*").alias("initial_train_n"))
     kept = joins.overlap_exists(train, test, ["outer_grp"], ["outer_grp", "event_id"], ("ws", "we"), ("ts_", "te_"), 120, keep=False).groupBy("outer_grp").agg(F.count("*").alias("retained_train_n"))

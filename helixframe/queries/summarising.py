@@ -46,7 +46,7 @@ def distinct_counts(spark, d):
 def gate_reductions(spark, d):
     from pyspark.sql import Window
 
-    s = table(spark, d, "supplier").join(F.broadcast(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     t = s.groupBy("n_regionkey", "n_nationkey").agg(F.sum("s_acctbal").alias("total")).withColumn("m", F.avg("total").over(Window.partitionBy("n_regionkey")))
     return t.groupBy("n_regionkey").agg(
         F.count("*").alias("n_nations"), F.bool_and(F.col("total") > 0).alias("all_positive"), F.bool_or(F.col("total") > 1000000).alias("any_large"), F.round(F.max(F.abs(F.col("total") - F.col("m"))), 3).alias("max_abs_difference")
