@@ -134,6 +134,15 @@ def assert_unique(df: DataFrame, key: list[str], name: str) -> None:
         raise CardinalityError(f"{name}: key {[twice[k] for k in key]} occurs {twice['count']} times")
 
 
+def exactly_one(df: DataFrame, **conditions) -> DataFrame:
+    """The only row with the given values; raises if there is none or more than one."""
+    for c, v in conditions.items():
+        df = df.filter(F.col(c).eqNullSafe(F.lit(v)))
+    if (n := len(df.limit(2).collect())) != 1:
+        raise CardinalityError(f"{'no' if n == 0 else 'more than one'} row has {conditions}")
+    return df
+
+
 def one_to_one(left: DataFrame, right: DataFrame, key: list[str], suffixes: tuple[str, str] = ("_left", "_right")) -> DataFrame:
     """An inner join that must pair every row of both sides exactly once; equal column names get suffixes."""
     assert_unique(left, key, "left")

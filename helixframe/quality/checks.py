@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import tempfile
 import uuid
 
@@ -166,6 +167,15 @@ def gate_chain(status: DataFrame, name: str, state: str, wanted: dict[str, str])
         raise ValueError(f"not ready: {odd}")
 
 
+def reads_only(df: DataFrame, folders: list[str]) -> DataFrame:
+    """``df``, if every file that it would read lies below one of ``folders``; raises before anything is read otherwise."""
+    bare = lambda p: re.sub("^[a-z0-9]+:/+", "/", p)
+    allowed = tuple(bare(f).rstrip("/") + "/" for f in folders)
+    if odd := sorted(p for p in map(bare, df.inputFiles()) if not p.startswith(allowed)):
+        raise ValueError(f"reads {odd[:3]}")
+    return df
+
+
 def repeat_control(first: DataFrame, second: DataFrame, key: list[str], series: str) -> DataFrame:
     """(key, equal, changed, first_position) of two runs of one reference input: any difference is the machine's."""
     from helixframe.functions.vectors import changed_count, first_change

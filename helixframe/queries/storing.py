@@ -213,3 +213,10 @@ def repeat_control(spark, d):
     second = p.select("vec_id", F.when(F.col("vec_id") % 3 == 0, F.col("r")).otherwise(F.col("a")).alias("series"))
     got = checks.repeat_control(p.select("vec_id", F.col("r").alias("series")), second, ["vec_id"], "series")
     return got.select("vec_id", "equal", F.col("changed").cast("int").alias("changed"), F.col("first_position").cast("int").alias("first_position"))
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey = 7")
+def exactly_one_row(spark, d):
+    """The only row with given values, from a table that reads nothing but its own file."""
+    c = checks.reads_only(table(spark, d, "customer"), [d])
+    return joins.exactly_one(c, c_custkey=7).select("c_custkey", "c_name", "c_mktsegment")

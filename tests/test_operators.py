@@ -270,3 +270,20 @@ def test_counts_and_nearest_sites_over_bins(spark, size):
     assert {x["g"]: x["overlap_pairs"] for x in joins.overlap_count(l, r, ["g"], ("a", "b"), ("c", "d"), size, ["g"]).collect()} == {g: n for g, n in want.items() if n}
     near = {x["i"]: (x["distance"], x["t"], x["s"]) for x in joins.nearest_site(l.select("g", "i", "a"), spark.createDataFrame([(g, a, i) for g, i, a, _ in spans[40:]], "g int, s int, t int"), ["g"], "a", "s", ["t"], size).collect()}
     assert near == {i: min((abs(a - c), t, c) for h, t, c, _ in spans[40:] if h == g) for g, i, a, _ in spans[:40]}
+
+
+def test_lookups_of_exactly_one_row(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), (None, 3)], "k string, v int")
+    assert joins.exactly_one(df, k="a", v=2).collect() == [("a", 2)] and joins.exactly_one(df, k=None).first()["v"] == 3
+    for odd in ({"k": "a"}, {"k": "b"}):
+        with pytest.raises(joins.CardinalityError):
+            joins.exactly_one(df, **odd)
+
+
+def test_forbidden_reads_are_refused(spark, tmp_path):
+    for name in ("open", "closed"):
+        spark.range(3).write.parquet(str(tmp_path / name))
+    a, b = (spark.read.parquet(str(tmp_path / name)) for name in ("open", "closed"))
+    assert checks.reads_only(a, [str(tmp_path / "open")]).count() == 3
+    with pytest.raises(ValueError, match="closed"):
+        checks.reads_only(a.join(b, "id"), [f"file://{tmp_path}/open"])
