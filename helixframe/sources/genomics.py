@@ -20,10 +20,12 @@ def bare_chromosome(c: Column) -> Column:
 
 
 def info_map(info: Column) -> Column:
-    """INFO as a map: a flag has the value 'true', a repeated key its last value (with map dedup policy LAST_WIN)."""
+    """INFO as a map: a flag has the value 'true', a repeated key its last value."""
     parts = F.filter(F.split(info, ";"), lambda p: (p != "") & (p != "."))
     entry = lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise("true").alias("value"))
-    return F.map_from_entries(F.transform(parts, entry))
+    entries = F.transform(parts, entry)
+    later = lambda e, i: F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"])
+    return F.map_from_entries(F.filter(entries, lambda e, i: ~later(e, i)))
 
 
 def read_vcf(spark: SparkSession, path: str, chromosomes: list[str] | None = None) -> DataFrame:
