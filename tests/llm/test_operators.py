@@ -284,6 +284,7 @@ def edited(t, k, r):
 
 @pytest.mark.parametrize("small", [64, 4])
 def test_near_copies_are_those_of_brute_force(spark, docs, nothing, small, monkeypatch):
+    monkeypatch.setattr(simhash, "SMALL_SIDE", 10**6 if small > 4 else 0)
     monkeypatch.setattr("helixframe.llm.batches.text_chunks.__defaults__", ("text", 3000))
     monkeypatch.setattr(simhash, "SMALL_GROUP", small)
     r = np.random.default_rng(2)

@@ -1,5 +1,7 @@
 """The llm queries that SQL can express, against their SQL; each operator has exactly one query."""
 
+from types import SimpleNamespace
+
 import pytest
 
 from helixframe.llm import queries, storage
@@ -22,3 +24,9 @@ def test_clear(spark):
     before = storage.live()
     kept = storage.written(spark.range(3), "probe")
     assert kept.count() == 3 and storage.clear(spark, but=before) == 1 and storage.live() == before
+
+
+def test_a_cluster_needs_a_shared_folder():
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(SimpleNamespace(conf={}, sparkContext=context))
