@@ -1,6 +1,7 @@
 """The domain tier on tiny hand-written files."""
 
 import gzip
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -196,3 +197,12 @@ def test_marker_stream(spark, tmp_path):
     assert not markers.when_complete(spark, str(d), str(tmp_path / "cp"), ["a", "b"], lambda df: seen.append(df.count()))
     (d / "2.json").write_text('{"run": "b", "status": "complete", "completed": 9, "planned": 9}')
     assert markers.when_complete(spark, str(d), str(tmp_path / "cp"), ["a", "b"], lambda df: seen.append(df.count())) and seen == [2]
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from helixframe.session import scratch
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="yarn")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch(SimpleNamespace(conf={}, sparkContext=context), "x")
+    assert scratch(spark, "x") != scratch(spark, "x")
