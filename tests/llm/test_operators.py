@@ -108,6 +108,8 @@ def test_packing(docs, nothing, ids):
     n = check_packing(rows, ids, 64)
     assert n <= 1.1 * sum(len(x) + 1 for x in ids.values()) / 64 + 1
     assert packing.packed(nothing).count() == 0
+    for r in packing.pieces(docs, 64, with_ids=True).collect():
+        assert list(r["ids"]) == [*ids[r["doc_id"]], 0][r["start"] : r["start"] + r["length"]]
 
 
 def test_plan_beats_best_fit_where_it_can():
@@ -242,7 +244,9 @@ def test_simhash(spark, docs, nothing):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(comp.values()))
 
 
-def test_covering_loses_no_link(spark):
+@pytest.mark.parametrize("split", [4096, 2])
+def test_covering_loses_no_link(spark, split, monkeypatch):
+    monkeypatch.setattr(simhash, "SPLIT", split)
     r = np.random.default_rng(5)
     base = r.integers(0, 2**63, 40, dtype=np.uint64)
     fps = set(base.tolist()) | {0, 2**64 - 1}
