@@ -20,9 +20,11 @@ sets of five-word shingles is at least 0.8. At that likeness 64-bit fingerprints
 in about 10 bits, where no covering is selective, so anchors alone can't find such pairs.
 Candidates are what the anchors link and, beside them, pairs that share one of their
 ``KEYS`` smallest shingle hashes: a pair at 0.8 shares none of them with a chance of
-10^-7. Candidates are compared by fingerprint first and then, exactly, by their shingles.
-Texts with equal sets are one form, so copies cost one row. A group of many forms under
-one hash is compared in blocks, each form with its nearest and with the block's first.
+10^-7. Candidates are compared by fingerprint first and then, exactly, by their shingles:
+one pair of each form first, and then those pairs that are not in one class yet. Texts
+with equal sets are one form, so copies cost one row, and only the texts of candidates
+are read again. A group of many forms under one hash is compared in blocks, each form
+with its nearest and with the block's first.
 
 Nulls and empty texts: a text without words has fingerprint zero and links like any
 other. Rows with a null ``doc_id`` take part; ``component_id`` ignores null ids.
@@ -52,6 +54,10 @@ WORDS, LIKENESS = 5, 0.8
 KEYS, NEAR_BITS = 10, 22
 #: Groups of so many forms are compared pair by pair, larger ones in blocks.
 SMALL_GROUP, BLOCK = 64, 4096
+#: Tables of ids of at most so many rows, counted first, are broadcast; larger ones meet the texts in a shuffle.
+SMALL_SIDE = 500_000
+#: Fingerprints of one anchor beyond which it is split.
+SPLIT = 4096
 
 
 def simhash64(text: str | None, words: int = 3, lower: bool = True) -> int:
@@ -146,6 +152,20 @@ def _star(fp: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield np.full(len(members), root), members
 
 
+def _split(fp: np.ndarray, half: int) -> Iterator[np.ndarray]:
+    """The fingerprints of one anchor of a half; many are split by each byte of the other half.
+
+    Of four bytes at most three hold a difference, so fingerprints that link share a split.
+    """
+    if len(fp) <= SPLIT:
+        yield fp
+        return
+    for i in range(4):
+        byte = (fp >> np.uint64(32 * (1 - half) + 8 * i)) & np.uint64(0xFF)
+        order = np.argsort(byte, kind="stable")
+        yield from np.split(fp[order], np.flatnonzero(np.diff(byte[order])) + 1)
+
+
 def links(covered: DataFrame, most: int = 3) -> DataFrame:
     """(u, v) with fingerprints that link, at least a spanning star of each anchor's components."""
 
@@ -160,9 +180,10 @@ def links(covered: DataFrame, most: int = 3) -> DataFrame:
             two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= most]
             u, v = [fp[two]], [fp[two + 1]]
             for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-                for a, b in _star(fp[s : s + n], most):
-                    u.append(a)
-                    v.append(b)
+                for some in _split(fp[s : s + n], int(key[s]) >> 32):
+                    for a, b in _star(some, most):
+                        u.append(a)
+                        v.append(b)
             return u, v
 
         keys, fps = [], []
@@ -281,18 +302,15 @@ def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, text_hash, fp, n, keys, shingles) of each row: fingerprint, size, smallest hashes and all hashes of its shingle set.
-
-    ``shingles`` holds 32 bits of each hash, ascending.
-    """
+    """(doc_id, text_hash, set, fp, n, keys) of each row: name, fingerprint, size and smallest hashes of its shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches):
             h, n = shingle_sets(chunk.column(1), words)
             start = np.cumsum(n) - n
             votes = np.zeros((len(n), 64), np.int64)
-            for i in range(0, len(h), 500_000):
-                part = h[i : i + 500_000]
+            for i in range(0, len(h), 40_000):
+                part = h[i : i + 40_000]
                 bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 first = np.searchsorted(start, i, side="right") - 1
                 last = np.searchsorted(start, i + len(part), side="left")
@@ -300,15 +318,35 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
             fp = np.packbits(2 * votes > n[:, None], axis=1, bitorder="little").view("<u8").ravel().view(np.int64)
             few = np.minimum(n, KEYS)
             keys = h[np.repeat(start - (np.cumsum(few) - few), few) + np.arange(int(few.sum()))].view(np.int64)
-            short = (h >> np.uint64(32)).astype("<u4")
-            blobs = [short[a : a + k].tobytes() for a, k in zip(start.tolist(), n.tolist())]
+            names = [xxhash.xxh128_digest(h[a : a + k].tobytes()) for a, k in zip(start.tolist(), n.tolist())]
             yield pa.record_batch(
-                [chunk.column(0), chunk.column(2), pa.array(fp), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(few))).astype(np.int32)), pa.array(keys)), pa.array(blobs, pa.binary())],
-                names=["doc_id", "text_hash", "fp", "n", "keys", "shingles"],
+                [chunk.column(0), chunk.column(2), pa.array(names, pa.binary()), pa.array(fp), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(few))).astype(np.int32)), pa.array(keys))],
+                names=["doc_id", "text_hash", "set", "fp", "n", "keys"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, n int, keys array<long>, shingles binary")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, set binary, fp long, n int, keys array<long>")
+
+
+def _side(df: DataFrame, rows: int) -> DataFrame:
+    """The side of a join with texts that has ``rows`` rows of ids."""
+    return F.broadcast(df) if rows <= SMALL_SIDE else df.hint("merge")
+
+
+def shingles_of(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
+    """(form, shingles) for ``wanted`` (form, doc_id, text_hash): 32 bits of each hash of the text's shingle set, ascending."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in text_chunks(batches):
+            h, n = shingle_sets(chunk.column(1), words)
+            short, start = (h >> np.uint64(32)).astype("<u4"), np.cumsum(n) - n
+            blobs = [short[a : a + k].tobytes() for a, k in zip(start.tolist(), n.tolist())]
+            yield pa.record_batch([chunk.column(0), pa.array(blobs, pa.binary())], names=["form", "shingles"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), "text")
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))
+    texts = rows.join(_side(wanted, wanted.count()), same).select("form", "text")
+    return texts.mapInArrow(run, "form long, shingles binary").dropDuplicates(["form"])
 
 
 def _pairs(form: np.ndarray, fp: np.ndarray, n: np.ndarray, turn: int, likeness: float) -> tuple[np.ndarray, np.ndarray]:
@@ -386,27 +424,40 @@ def alike(pairs: DataFrame, sets: DataFrame, likeness: float = LIKENESS) -> Data
                 keep.append(shared >= likeness * (len(x) + len(y) - shared))
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("form")).distinct()
-    some = sets.join(wanted, "form", "left_semi")
-    left, right = (some.select(F.col("form").alias(c), F.col("shingles").alias(f"shingles_{c}")) for c in ("u", "v"))
+    left, right = (sets.select(F.col("form").alias(c), F.col("shingles").alias(f"shingles_{c}")) for c in ("u", "v"))
     return pairs.join(left, "u").join(right, "v").select("u", "v", "shingles_u", "shingles_v").mapInArrow(run, "u long, v long")
 
 
 def near_copies(docs: DataFrame, words: int = WORDS, likeness: float = LIKENESS) -> DataFrame:
     """(doc_id, text_hash, class_id) of each row: rows of one class are alike, or linked by rows that are."""
-    rows = written(sketches(docs, words).withColumn("set", F.md5("shingles")), "sketches")
-    one = rows.groupBy("set").agg(*[F.any_value(c).alias(c) for c in ("fp", "n", "keys")])
-    forms = written(one.withColumn("form", F.monotonically_increasing_id()), "forms")
+    made = [rows := Written(sketches(docs, words), "sketches")]
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        made.append(Written(df, name))
+        return made[-1].df
+
+    one = rows.df.groupBy("set").agg(*[F.any_value(c).alias(c) for c in ("fp", "n", "keys")], F.min(F.struct("doc_id", "text_hash")).alias("at"))
+    forms = kept(one.select("*", F.monotonically_increasing_id().alias("form")), "forms")
     # forms of one fingerprint are candidates too, and stand for it where anchors link it
-    by_fp = forms.groupBy("fp").agg(F.min("form").alias("first"))
+    by_fp = kept(forms.groupBy("fp").agg(F.min("form").alias("first")), "by_fp")
     same = forms.join(by_fp, "fp").filter("form <> first").select(F.col("first").alias("u"), F.col("form").alias("v"))
     near = links(cover(by_fp)).join(by_fp.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(by_fp.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
     anchored = near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-    pairs = written(candidates(forms, likeness).unionByName(same).unionByName(anchored).distinct(), "candidates")
-    sets = rows.select("set", "shingles").join(forms.select("set", "form"), "set").select("form", "shingles").dropDuplicates(["form"])
-    label = components(written(alike(pairs, sets, likeness), "alike"))
+    pairs = kept(candidates(forms, likeness).unionByName(same).unionByName(anchored).distinct(), "candidates")
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("form")).distinct()
+    wanted = kept(forms.join(asked, "form").select("form", "at.doc_id", "at.text_hash"), "wanted")
+    sets = kept(shingles_of(docs, wanted, words), "sets")
+    first = kept(alike(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), sets, likeness), "alike")
+    label = kept(components(first), "components")
+    # pairs of one class say nothing new
+    of = lambda c, name: label.select(F.col("node").alias(c), F.col("comp").alias(name))
+    apart = pairs.join(of("u", "cu"), "u", "left").join(of("v", "cv"), "v", "left").filter(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
+    label = kept(components(kept(first.unionByName(alike(apart, sets, likeness)), "links")), "components")
     classes = forms.select("set", "form").join(label.select(F.col("node").alias("form"), "comp"), "form", "left").select("set", F.coalesce("comp", "form").alias("class_id"))
-    return rows.select("doc_id", "text_hash", "set").join(classes, "set").select("doc_id", "text_hash", "class_id")
+    found = written(rows.df.select("doc_id", "text_hash", "set").join(classes, "set").select("doc_id", "text_hash", "class_id"), "classes")
+    for x in made:
+        x.drop()
+    return found
 
 
 def one_of_each(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
@@ -415,14 +466,16 @@ def one_of_each(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     The row of smallest doc_id stays, of rows with equal ids one; rows with a null doc_id come last.
     """
     found = near_copies(docs) if found is None else found
-    rows = found.groupBy("class_id", "doc_id", "text_hash").agg(F.count("*").alias("n"))
-    first = rows.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n")).alias("f"))
-    kept = written(first.select(F.col("f.doc_id").alias("id"), F.col("f.text_hash").alias("hash"), F.col("f.n").alias("n")), "kept")
-    # texts cross one shuffle at every size: the ids kept grow with the corpus, so they are never broadcast
+    rows = written(found.groupBy("class_id", "doc_id", "text_hash").agg(F.count("*").alias("n")), "rows")
+    first = rows.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("f")).select("f.*")
+    mine = F.col("r.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("r.text_hash") == F.col("k.text_hash"))
+    here = lambda df, name: written(df.select(F.col("r.doc_id").alias("gone_id"), F.col("r.text_hash").alias("gone_hash")), name)
+    gone = here(rows.alias("r").join(first.alias("k"), mine, "left_anti"), "gone")
+    twice = here(rows.filter("n > 1").alias("r").join(first.alias("k"), mine, "left_semi"), "twice")
     packed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    same = packed["id"].eqNullSafe(kept["id"]) & (packed["hash"] == kept["hash"])
-    stay = packed.hint("merge").join(kept.hint("merge"), same).select(packed["id"], packed["hash"], "row", "n")
-    out = stay.filter("n = 1").select("row.*")
-    if kept.filter("n > 1").limit(1).count():
-        out = out.unionByName(stay.filter("n > 1").dropDuplicates(["id", "hash"]).select("row.*"))
-    return out
+    same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("hash") == F.col("gone_hash"))
+    stay = packed.join(_side(gone, gone.count()), same, "left_anti")
+    if n := twice.count():
+        side = _side(twice, n)
+        stay = stay.join(side, same, "left_anti").unionByName(stay.join(side, same, "left_semi").dropDuplicates(["id", "hash"]))
+    return stay.select("row.*")

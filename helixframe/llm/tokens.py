@@ -29,7 +29,7 @@ from helixframe.llm.storage import written
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: About how many bytes of text are encoded at a time.
-ENCODED_BYTES = 8_000_000
+ENCODED_BYTES = 4_000_000
 #: Letters whose normal form and case do not depend on their surroundings, then marks.
 PLAIN = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-įı-ž]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
 
