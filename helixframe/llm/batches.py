@@ -9,11 +9,24 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark.sql import DataFrame
 
 #: About how many bytes of text a task turns into Python objects at a time.
 CHUNK_BYTES = 4_000_000
 
 
+#: Rows of an Arrow batch of texts, where the session doesn't set a number: Spark's own 10,000 could be gigabytes of long texts.
+BATCH_ROWS = 2000
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    """``docs``, in a session whose Arrow batches are small enough for texts."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, str(BATCH_ROWS))
+    return docs
+
+
 def release() -> None:
     """Give freed memory back: a Python worker outlives its tasks, and the next stage shares the executor with it."""
     gc.collect()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.batches import text_chunks
+from helixframe.llm.batches import text_chunks, texts_of
 
 BUCKETS, ORDERS, MAX_DOCS = 1 << 14, (1, 2, 3), 20_000
 #: Languages that a model can hold: 128 kB of likelihoods each.
@@ -136,7 +136,7 @@ def train(labelled: DataFrame, buckets: int = BUCKETS, max_docs: int = MAX_DOCS,
 
     Raises if there are more than ``most_langs`` languages, since the model travels to every task.
     """
-    known = labelled.filter("doc_id is not null and lang is not null")
+    known = texts_of(labelled).filter("doc_id is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(most_langs + 1).collect()}  # a row for each language
     if len(sizes) > most_langs:
         raise ValueError(f"more than {most_langs} languages")
@@ -176,7 +176,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             found = [m.predict(t) for t in chunk.column(1).to_pylist()]
             yield pa.record_batch([chunk.column(0), pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return texts_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def mixtures(docs: DataFrame, model: Model) -> DataFrame:
@@ -190,7 +190,7 @@ def mixtures(docs: DataFrame, model: Model) -> DataFrame:
             found = [[{"lang": k, "share": s} for k, s in sorted(m.mixture(t), key=lambda x: (-x[1], x[0]))] for t in chunk.column(1).to_pylist()]
             yield pa.record_batch([chunk.column(0), pa.array(found, kind)], names=["doc_id", "languages"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, languages array<struct<lang:string,share:double>>")
+    return texts_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, languages array<struct<lang:string,share:double>>")
 
 
 def held_out(doc_id: str = "doc_id"):

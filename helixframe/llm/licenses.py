@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.batches import text_chunks
+from helixframe.llm.batches import text_chunks, texts_of
 
 WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
@@ -309,7 +309,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_coverage: f
     cut = {k: words_of(v) for k, v in templates.items()}
     probes = {k: frozenset(probe_words(v, min_coverage)) for k, v in cut.items()}
     telling = frozenset().union(*probes.values())
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
+    rows = texts_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches):

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from helixframe.llm.batches import text_chunks
+from helixframe.llm.batches import text_chunks, texts_of
 from helixframe.llm.storage import written
 from helixframe.llm.tokens import ENCODED_BYTES, TOKENIZER, WordEncoder, spread
 
@@ -69,7 +69,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
             yield pa.record_batch(columns, names=names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return texts_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def _knapsack(sizes: list[int], prices: np.ndarray, capacity: int) -> dict[int, int]:

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.batches import texts_of
 from helixframe.llm.storage import written
 
 BINS, SKETCH_LEVELS = 64, (2, 3)
@@ -187,7 +188,7 @@ def neighbour_fingerprints(docs: DataFrame, chunk_chars: int = 1_000_000) -> Dat
     order. A partition's last document needs the first of the next partition that has any:
     only these two texts of each partition take a second step.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = texts_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ranged = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     names = [f.split()[0] for f in RESULT.split(", ")]
     out_schema = f"{RESULT}, part int, edge int, text string"

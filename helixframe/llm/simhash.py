@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.batches import text_chunks
+from helixframe.llm.batches import text_chunks, texts_of
 from helixframe.llm.storage import Written, written
 
 SEED = 42
@@ -91,7 +91,7 @@ def fingerprints(docs: DataFrame, words: int = 3, lower: bool = True) -> DataFra
             fps = np.array([simhash64(t, words, lower) for t in chunk.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.record_batch([chunk.column(0), chunk.column(2), pa.array(fps)], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return texts_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -324,7 +324,7 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 names=["doc_id", "text_hash", "set", "fp", "n", "keys"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    rows = texts_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     return rows.mapInArrow(run, "doc_id long, text_hash long, set binary, fp long, n int, keys array<long>")
 
 

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.batches import text_chunks
+from helixframe.llm.batches import text_chunks, texts_of
 
 WINDOW, GRAM = 13, 4
 _MIX = 0x9E3779B97F4A7C15
@@ -405,7 +405,7 @@ def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, blocks: int
     if not 0 < gram <= window:
         raise ValueError("gram must lie between 1 and window")
     n = blocks or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("text_hash"))
+    rows = texts_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("text_hash"))
     pieces = rows.mapInArrow(lambda it: _pieces(it, n, window, gram), "part int, block int, docs binary, payload binary")
     return pieces.repartitionById(n, F.col("part")).sortWithinPartitions("block").mapInArrow(lambda it: _parse_blocks(it, window), FACTORS)
 

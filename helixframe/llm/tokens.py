@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.batches import text_chunks
+from helixframe.llm.batches import text_chunks, texts_of
 from helixframe.llm.storage import written
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -162,7 +162,7 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         for chunk in text_chunks(batches, most=ENCODED_BYTES):
             yield pa.record_batch([chunk.column(0), pa.array(encode.lengths(chunk.column(1)), pa.int64())], names=["doc_id", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long")
+    return texts_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long")
 
 
 def length_histogram(counts: DataFrame, column: str = "n_tokens") -> DataFrame:
