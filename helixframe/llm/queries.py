@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import language, licenses, mixing, packing, parsing, quality, secrets, simhash, substring, tokens
+from helixframe.llm import language, licenses, mixing, packing, parsing, quality, repeats, secrets, simhash, substring, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.periodic_runs(table(spark, sf_dir, "documents"), repeat_tails=True))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
