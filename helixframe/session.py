@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -35,3 +36,37 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         found = tempfile.gettempdir()
     return f"{found.rstrip('/')}/helixframe-{name}-{uuid.uuid4().hex}"
+
+
+#: Folders and tables in the shared folder that this process has made and not deleted.
+_LIVE: set[str] = set()
+
+
+def kept(path: str) -> str:
+    """``path``, to be deleted by ``clear`` or at the end of the process."""
+    _LIVE.add(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table in the shared folder: a lost executor costs a re-read of it, not what led to it."""
+    path = kept(scratch(df.sparkSession, name))
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete what ``scratch`` paths hold, once results that read them are written; returns how many."""
+    paths = sorted(_LIVE)
+    for path in paths:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+        _LIVE.discard(path)
+    return len(paths)
+
+
+@atexit.register
+def _clear_at_exit() -> None:
+    spark = SparkSession._instantiatedSession
+    if _LIVE and spark is not None and spark.sparkContext._jsc is not None:
+        clear(spark)
