@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import language, licenses, mixing, packing, parsing, quality, repeats, secrets, simhash, substring, tokens
+from helixframe.llm import language, licenses, merkle, mixing, packing, parsing, quality, repeats, secrets, simhash, substring, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(repeats.periodic_runs(table(spark, sf_dir, "documents"), repeat_tails=True))
 
@@ -108,6 +112,28 @@ _SUBSTRING_SQL = r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array
   SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
 
 
+_MERKLE_SQL = """WITH RECURSIVE
+  tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+  docs AS (SELECT *, coalesce(n_chars + CAST(xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 7 = 0 AS INT), n_chars) AS changed FROM documents, tab),
+  leaf AS (SELECT doc_id, lang, sha256(f1 || f2 || f3 || f4 || f5) AS leaf, sha256(f1 || f2 || f3 || f6 || f5) AS tampered FROM (SELECT doc_id, lang, FIELDS FROM docs)),
+  placed AS (SELECT *, row_number() OVER (ORDER BY lang NULLS FIRST, doc_id NULLS FIRST, leaf) AS id, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaf),
+  up AS (SELECT lang, 0 AS lev, pos, leaf AS h, n FROM placed
+    UNION ALL SELECT lang, lev + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM up WHERE n > 1 GROUP BY lang, lev, pos // 2, n),
+  sub AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+  top AS (SELECT 0 AS lev, pos, h, n FROM sub UNION ALL SELECT lev + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY lev, pos // 2, n),
+  f AS (SELECT id, lang, 0 AS lev, pos, n, tampered AS h, '' AS proof FROM placed
+    UNION ALL SELECT f.id, f.lang, f.lev + 1, f.pos // 2, (f.n + 1) // 2, sha256(CASE WHEN f.pos % 2 = 1 THEN u.h || f.h ELSE f.h || coalesce(u.h, '') END), f.proof || coalesce(u.h, '')
+      FROM f LEFT JOIN up u ON u.lang IS NOT DISTINCT FROM f.lang AND u.lev = f.lev AND u.pos = xor(f.pos, 1) WHERE f.n > 1),
+  g AS (SELECT f.id, 0 AS lev, sub.pos, sub.n, f.h, f.proof FROM f JOIN sub ON sub.lang IS NOT DISTINCT FROM f.lang WHERE f.n = 1
+    UNION ALL SELECT g.id, g.lev + 1, g.pos // 2, (g.n + 1) // 2, sha256(CASE WHEN g.pos % 2 = 1 THEN u.h || g.h ELSE g.h || coalesce(u.h, '') END), g.proof || coalesce(u.h, '')
+      FROM g LEFT JOIN top u ON u.lev = g.lev AND u.pos = xor(g.pos, 1) WHERE g.n > 1)
+  SELECT p.doc_id, p.leaf, sub.h AS subroot, top.h AS root, sha256(g.proof) AS proof_sha256, g.h AS folded_root, g.h = top.h AS verified
+  FROM placed p JOIN sub ON sub.lang IS NOT DISTINCT FROM p.lang JOIN g ON g.id = p.id AND g.n = 1, top WHERE top.n = 1""".replace(
+    "FIELDS", ", ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END AS f{i}" for i, c in enumerate(("doc_id", "source", "lang", "n_chars", "text", "changed"), 1))
+)
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express in whole."""
-    return {"op7_secret_scans": _secrets_sql(), "op9_substring_dedup": _SUBSTRING_SQL}
+    return {"op7_secret_scans": _secrets_sql(), "op9_substring_dedup": _SUBSTRING_SQL, "op12_merkle_manifest": _MERKLE_SQL}

@@ -17,7 +17,7 @@ def test_query(spark, name):
 
 def test_names():
     names = sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
 
 
 def test_clear(spark):
