@@ -29,14 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
 _LIVE: set[str] = set()
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that ``clear`` deletes."""
+    path = f"{shared_dir(spark)}/helixframe-{name}-{uuid.uuid4().hex}"
+    _LIVE.add(path)
+    return path
+
+
 class Written:
     """A table written to the shared folder; ``df`` reads it, ``drop`` deletes it."""
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/helixframe-{name}-{uuid.uuid4().hex}"
+        self.path = new_path(self.spark, name)
         df.write.parquet(self.path)
-        _LIVE.add(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
