@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import spectral
 from helixframe.functions import vectors as V
-from helixframe.operators import aggregates as A
+from helixframe.operators import aggregates as A, comoments, intervals
 from helixframe.operators import joins, ordering, ranks, ridge
 from helixframe.quality import checks
 
@@ -189,6 +189,77 @@ def test_purged_rows_do_not_train(spark):
     assert all(base["signed", i]["prediction"] == pytest.approx(again["signed", i]["prediction"], abs=1e-6) for i in np.flatnonzero(g == 2))
 
 
+def test_units_and_shifts_change_nothing(spark):
+    y, g, s, v = cohort(7)
+    base = loeo(spark, y, g, s, v, ("signed", "scalar"))
+    for scale, shift in ((1e-7, 0.0), (1e-12, 0.0), (1e9, 0.0), (1.0, 1e8)):
+        got = loeo(spark, y, g, s * scale + shift, v * scale + shift, ("signed", "scalar"))
+        for k, row in got.items():
+            assert row["prediction"] == pytest.approx(base[k]["prediction"], abs=1e-5 if shift else 1e-9) and row["lambda"] == base[k]["lambda"]
+
+
+@pytest.mark.parametrize("purge", [False, True])
+def test_a_group_that_holds_nearly_all_energy(spark, purge):
+    y, g, s, v = cohort(8)
+    s, v, y = s.copy(), v.copy(), y.copy()
+    s[g == 2] *= 1e7  # folds that hold group 2 out keep a 1e-14th
+    v[g == 2] += 1e8
+    s[g != 4, 1], v[:, 3] = 6.0, 2.0  # without range where group 4 is held out, and without any
+    start = np.arange(len(y)) * 4
+
+    def allowed(fold):
+        held = g == fold
+        return ~((start[:, None] <= start[held] + 9) & (start[:, None] + 9 >= start[held])).any(axis=1) if purge else True
+
+    got = loeo(spark, y, g, s, v, ("signed", "scalar"), **({"span": ("a", "b"), "bin_size": 16} if purge else {}))
+    cols = [s[:, [i]] for i in range(3)]
+    for model, blocks in {"signed": [cols, [v]], "scalar": [cols]}.items():
+        p, lam = plain_loeo(blocks, y, g, allowed)
+        for i in np.flatnonzero(g != 2):  # the far group's own predictions are far as well
+            assert got[model, i]["prediction"] == pytest.approx(p[i], abs=1e-5) and got[model, i]["lambda"] == lam[i], (model, i)
+
+
+def test_blocks_of_columns_and_of_rows(spark, monkeypatch):
+    y, g, s, v = cohort(11, per=9)
+    want = loeo(spark, y, g, s, v, ("signed",))
+    for name, value in (("BLOCK", 6), ("CHUNK_ROWS", 2), ("TOGETHER", 2)):
+        monkeypatch.setattr(comoments, name, value)
+    got = loeo(spark, y, g, s, v, ("signed",))
+    assert all(got[k]["prediction"] == pytest.approx(want[k]["prediction"], abs=1e-10) for k in want)
+    monkeypatch.setattr(ridge, "MOST_COLUMNS", 10)
+    monkeypatch.setattr(ridge, "CHUNK_BYTES", 8 * len(y) * 3)  # Gram matrix from blocks of three columns
+    got = loeo(spark, y, g, s, v, ("signed",))
+    assert all(got[k]["prediction"] == pytest.approx(want[k]["prediction"], abs=1e-8) for k in want)
+
+
+def test_interval_union(spark):
+    r = np.random.default_rng(2)
+    rows = [(k, int(a), int(a + n)) for k in ("a", "b", None) for a, n in zip(r.integers(0, 900, 70), r.integers(-2, 14, 70))] + [("a", None, 5), ("c", 3, 3), ("c", 3, 3), ("c", 4, 4)]
+    df = spark.createDataFrame(rows, "k string, s long, e long").repartition(5)
+    got = sorted(map(tuple, intervals.interval_union(df, ["k"], "s", "e").collect()), key=repr)
+    want = []
+    for k in ("a", "b", "c", None):
+        last = None
+        for s, e in sorted((s, e) for q, s, e in rows if q == k and s is not None and s <= e):
+            if last and s <= last[2]:
+                last[2] = max(last[2], e)
+            else:
+                want.append(last := [k, s, e])
+    assert got == sorted(map(tuple, want), key=repr)
+
+
+def test_one_feature_of_any_unit(spark):
+    y, g, s, _ = cohort(9)
+    x = s[:, 0].copy()
+    x[g == 3] *= 1e7
+    frame = lambda x: spark.createDataFrame([(i, int(g[i]), float(x[i]), float(y[i])) for i in range(len(y))], "id int, g int, x double, y double")
+    run = lambda x: {r["id"]: (r["prediction"], r["lambda"]) for r in ridge.loeo_one_feature(frame(x), [], "g", "x", "y").collect()}
+    p, lam = plain_loeo([[x[:, None]]], y, g)
+    first, small = run(x), run(x * 1e-12)
+    assert all(first[i][0] == pytest.approx(p[i], abs=1e-6 * max(1, abs(p[i]))) and first[i][1] == lam[i] == small[i][1] for i in range(len(y)))
+    assert all(small[i][0] == pytest.approx(first[i][0], rel=1e-9, abs=1e-9) for i in range(len(y)))
+
+
 def test_one_feature_closed_form_equals_the_definition(spark):
     y, g, s, _ = cohort(9)
     df = spark.createDataFrame([(i, int(g[i]), float(s[i, 0] + 50), float(y[i])) for i in range(len(y))], "id int, g int, x double, y double")
