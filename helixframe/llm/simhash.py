@@ -23,8 +23,16 @@ Candidates are what the anchors link and, beside them, pairs that share one of t
 10^-7. Candidates are compared by fingerprint first and then, exactly, by their shingles:
 one pair of each form first, and then those pairs that are not in one class yet. Texts
 with equal sets are one form, so copies cost one row, and only the texts of candidates
-are read again. A group of many forms under one hash is compared in blocks, each form
-with its nearest and with the block's first.
+are read again.
+
+Texts with a common template share hashes without being alike, so a hash of more than
+``SMALL_GROUP`` forms doesn't name pairs. Forms that have such hot hashes are compared by
+all their shingles instead: two of them are candidates if they share any shingle that at
+most ``SMALL_GROUP`` of them have, which loses no pair that has one in common. What is
+left are pairs that share nothing but hot shingles, copies of the template itself: under
+each hot hash forms are put in order of their turned fingerprints over all tasks and cut
+into blocks, and each form is a candidate with its nearest in the block and with the
+block's first, each block's first with the hash's first. Each hot hash turns otherwise.
 
 Nulls and empty texts: a text without words has fingerprint zero and links like any
 other. Rows with a null ``doc_id`` take part; ``component_id`` ignores null ids.
@@ -46,14 +54,17 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.batches import text_chunks, texts_of
 from helixframe.llm.storage import Written, written
+from helixframe.operators.ordinals import with_ordinals
 
 SEED = 42
 #: What near copies are: shingles of so many words, a Jaccard likeness of at least so much.
 WORDS, LIKENESS = 5, 0.8
 #: Smallest shingle hashes of a text that name it as a candidate, and fingerprint bits in which candidates may differ: at a likeness of 0.8 bits differ in 9.7 of 64 with a deviation of 2.9.
 KEYS, NEAR_BITS = 10, 22
-#: Groups of so many forms are compared pair by pair, larger ones in blocks.
+#: Groups of so many forms are compared pair by pair, larger ones in blocks of fingerprints and by their rare shingles.
 SMALL_GROUP, BLOCK = 64, 4096
+#: Hot shingles that a task remembers; others are sent again, and found hot where they meet.
+KNOWN_HOT = 500_000
 #: Tables of ids of at most so many rows, counted first, are broadcast; larger ones meet the texts in a shuffle.
 SMALL_SIDE = 500_000
 #: Fingerprints of one anchor beyond which it is split.
@@ -333,6 +344,13 @@ def _side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SMALL_SIDE else df.hint("merge")
 
 
+def texts_by_name(docs: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """(columns, text) of each row of ``docs`` that ``wanted`` (columns, doc_id, text_hash) names."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), "text")
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))
+    return rows.join(_side(wanted, wanted.count()), same).select(*columns, "text")
+
+
 def shingles_of(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
     """(form, shingles) for ``wanted`` (form, doc_id, text_hash): 32 bits of each hash of the text's shingle set, ascending."""
 
@@ -343,72 +361,197 @@ def shingles_of(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataF
             blobs = [short[a : a + k].tobytes() for a, k in zip(start.tolist(), n.tolist())]
             yield pa.record_batch([chunk.column(0), pa.array(blobs, pa.binary())], names=["form", "shingles"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), "text")
-    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))
-    texts = rows.join(_side(wanted, wanted.count()), same).select("form", "text")
-    return texts.mapInArrow(run, "form long, shingles binary").dropDuplicates(["form"])
+    return texts_by_name(docs, wanted, ["form"]).mapInArrow(run, "form long, shingles binary").dropDuplicates(["form"])
 
 
-def _pairs(form: np.ndarray, fp: np.ndarray, n: np.ndarray, turn: int, likeness: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one group that could be alike: all in a small group, nearest and first ones by blocks in a large one."""
+def _may(fp: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, likeness: float) -> np.ndarray:
+    """Whether pairs could be alike, by their fingerprints and sizes."""
+    return (np.bitwise_count(fp[i] ^ fp[j]) <= NEAR_BITS) & (np.minimum(n[i], n[j]) >= likeness * np.maximum(n[i], n[j]))
 
-    def may(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return (np.bitwise_count(fp[i] ^ fp[j]) <= NEAR_BITS) & (np.minimum(n[i], n[j]) >= likeness * np.maximum(n[i], n[j]))
 
-    if len(form) <= SMALL_GROUP:
-        i, j = np.triu_indices(len(form), 1)
-    else:
-        turned = (fp << np.uint64(turn)) | (fp >> np.uint64(64 - turn)) if turn else fp
-        order = np.argsort(turned, kind="stable")
-        left, right = [order[BLOCK::BLOCK]], [order[: -BLOCK or None : BLOCK][: len(order[BLOCK::BLOCK])]]
-        for a in range(0, len(order), BLOCK):
-            some = order[a : a + BLOCK]
-            left.append(some[1:])
-            right.append(np.full(len(some) - 1, some[0]))
-            for b in range(1, len(some), 512):
-                rows = some[b : b + 512]
-                apart = np.bitwise_count(fp[rows][:, None] ^ fp[some[: b + len(rows)]][None, :]).astype(np.int16)
-                apart[np.arange(len(rows))[:, None] + b <= np.arange(b + len(rows))[None, :]] = 99
-                left.append(rows)
-                right.append(some[apart.argmin(axis=1)])
-        i, j = np.concatenate(left), np.concatenate(right)
-    ok = may(i, j)
-    return form[i[ok]], form[j[ok]]
-
-
-def candidates(forms: DataFrame, likeness: float = LIKENESS) -> DataFrame:
-    """(u, v), u < v: forms (form, fp, n, keys) that share a key and could be alike."""
+def _groups(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs inside each group, of groups that stand one after the other."""
+    starts, left, right = np.cumsum(sizes) - sizes, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in np.unique(sizes[sizes > 1]).tolist():
+        i, j = np.triu_indices(k, 1)
+        at = starts[sizes == k][:, None]
+        left.append((at + i).ravel())
+        right.append((at + j).ravel())
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _pair_batch(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    both = np.unique(np.stack((np.minimum(u, v), np.maximum(u, v)), axis=1), axis=0)
+    return pa.record_batch([pa.array(np.ascontiguousarray(both[:, c])) for c in (0, 1)], names=["u", "v"])
+
+
+def _walked(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """Columns of integers, cut where the first ``keys`` columns change: each group of rows comes whole, several together."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(batch.num_columns)]
+        # the last group may go on in the next batch
+        last = len(columns[0]) - int(np.argmax(np.any([c[::-1] != c[-1] for c in columns[:keys]], axis=0)))
+        if all((c == c[-1]).all() for c in columns[:keys]):
+            last = 0
+        if last or (held and any(held[0][c][0] != columns[c][0] for c in range(keys))):
+            held.append([c[:last] for c in columns])
+            yield [np.concatenate(x) for x in zip(*held)]
+            held = []
+        held.append([c[last:] for c in columns])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _sizes(*keys: np.ndarray) -> np.ndarray:
+    """How long each run of equal keys is."""
+    cut = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1
+    return np.diff(np.concatenate(([0], cut, [len(keys[0])])))
+
+
+def cold_candidates(keyed: DataFrame, likeness: float) -> DataFrame:
+    """(u, v): all pairs of forms that share a key, of ``keyed`` (key, form, fp, n) with few forms to a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(key: np.ndarray, form: np.ndarray, fp: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            cut = np.flatnonzero(np.diff(key)) + 1
-            starts, sizes = np.concatenate(([0], cut)), np.diff(np.concatenate(([0], cut, [len(key)])))
+        for key, form, fp, n in _walked(batches, 1):
+            i, j = _groups(_sizes(key))
+            ok = _may(fp.view(np.uint64), n, i, j, likeness)
+            yield _pair_batch(form[i[ok]], form[j[ok]])
+
+    return keyed.select("key", "form", "fp", "n").repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+
+
+def hot_candidates(keyed: DataFrame, likeness: float) -> DataFrame:
+    """(u, v): of ``keyed`` (key, form, fp, n) with many forms to a key, each with its nearest and the first of its block, and blocks' firsts with the key's first."""
+    turned = F.expr("shiftleft(fp, cast(pmod(key, 64) as int)) | shiftrightunsigned(fp, 64 - cast(pmod(key, 64) as int))")
+    placed = with_ordinals(keyed.select("key", "form", "fp", "n", turned.alias("turned")), ["key"], ["turned", "form"], "place", written)
+    placed = placed.select("key", F.floor(F.col("place") / BLOCK).alias("block"), "place", "form", "fp", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, block, _, form, fp, n in _walked(batches, 2):
+            at, fp = 0, fp.view(np.uint64)
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for k in _sizes(key, block).tolist():
+                some = np.arange(at, at + k)
+                left.append(some[1:])
+                right.append(np.full(k - 1, at))
+                for b in range(1, k, 512):
+                    rows = some[b : b + 512]
+                    apart = np.bitwise_count(fp[rows][:, None] ^ fp[some[: b + len(rows)]][None, :]).astype(np.int16)
+                    apart[np.arange(len(rows))[:, None] + b <= np.arange(b + len(rows))[None, :]] = 99
+                    left.append(rows)
+                    right.append(some[apart.argmin(axis=1)])
+                at += k
+            i, j = np.concatenate(left), np.concatenate(right)
+            ok = _may(fp, n, i, j, likeness)
+            yield _pair_batch(form[i[ok]], form[j[ok]])
+
+    near = placed.repartition("key", "block").sortWithinPartitions("key", "block", "place").mapInArrow(run, "u long, v long")
+    first = placed.filter("place = 0").select("key", F.col("form").alias("u"))
+    firsts = placed.filter(f"place % {BLOCK} = 0").join(first, "key").filter("form <> u").select(F.least("u", "form").alias("u"), F.greatest("u", "form").alias("v"))
+    return near.unionByName(firsts)
+
+
+_HOT = -1
+
+
+def rare_candidates(texts: DataFrame, words: int, likeness: float, parts: int | None = None) -> DataFrame:
+    """(u, v): pairs of ``texts`` (form, fp, text) that share a shingle which at most ``SMALL_GROUP`` of them have.
+
+    A task sends each part of the shingles' hashes one blob for a chunk of texts. Once a
+    task has met a shingle more than ``SMALL_GROUP`` times it sends a mark in its place, so
+    a shingle of all texts costs each task ``SMALL_GROUP`` entries.
+    """
+    parts = parts or 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = SMALL_GROUP
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = np.zeros(0, np.uint64)  # shingles that this task knows to be hot
+        for chunk in text_chunks(batches):
+            chunk = chunk.take(pa.array(np.unique(chunk.column(0).to_numpy(zero_copy_only=False), return_index=True)[1]))  # a repeated row is one form
+            h, n = shingle_sets(chunk.column(2), words)
+            row = np.repeat(np.arange(len(n)), n)
+            stay = ~np.isin(h, often, assume_unique=False)
+            h, row = h[stay], row[stay]
+            order = np.argsort(h, kind="stable")
+            h, row = h[order], row[order]
+            if len(h):
+                size = _sizes(h)
+                hot = np.repeat(size > few, size)
+                first = np.concatenate(([True], h[1:] != h[:-1]))
+                often = np.union1d(often, h[hot & first])[-KNOWN_HOT:]
+                local = np.where(hot, _HOT, row)
+                keep = ~hot | first
+                h, local = h[keep], local[keep]
+            form, fp = (chunk.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
+            part = (h % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange(parts + 1))
+            out = []
+            for p in np.flatnonzero(np.diff(cuts)).tolist():
+                at = order[cuts[p] : cuts[p + 1]]
+                mine, place = np.unique(local[at], return_inverse=True)
+                held = np.stack([np.where(mine < 0, _HOT, x[mine]) for x in (form, fp, n)])
+                out.append((p, len(at), held.tobytes(), np.concatenate((h[at].view(np.uint8), place.astype("<u4").view(np.uint8))).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["part", "n", "forms", "shingles"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+
+        def pairs() -> pa.RecordBatch:
+            h, form, fp, n = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((form, h))
+            h, form, fp, n = h[order], form[order], fp[order], n[order]
+            once = np.concatenate(([True], (h[1:] != h[:-1]) | (form[1:] != form[:-1])))
+            h, form, fp, n = h[once], form[once], fp[once], n[once]
+            size = _sizes(h)
+            size_at, hot = np.repeat(size, size), np.repeat(np.minimum.reduceat(form, np.cumsum(size) - size) == _HOT, size)
+            ok = (size_at > 1) & (size_at <= few) & ~hot
+            h, form, fp, n = h[ok], form[ok], fp[ok], n[ok]
             u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for s, k in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
-                a, b = _pairs(form[s : s + k], fp[s : s + k], n[s : s + k], int(key[s]) & 63, likeness)
-                u.append(np.minimum(a, b))
-                v.append(np.maximum(a, b))
-            both = np.unique(np.stack((np.concatenate(u), np.concatenate(v)), axis=1), axis=0)
-            return pa.record_batch([pa.array(np.ascontiguousarray(both[:, c])) for c in (0, 1)], names=["u", "v"])
-
-        held: list[list[np.ndarray]] = []
+            if len(h):
+                size = _sizes(h)
+                # a million pairs or so at a time
+                cut = np.flatnonzero(np.diff(np.cumsum(size * (size - 1) // 2) // 1_000_000)) + 1
+                ends = np.concatenate(([0], np.cumsum(size)))
+                for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(size)]):
+                    s = slice(int(ends[a]), int(ends[b]))
+                    i, j = _groups(size[a:b])
+                    good = _may(fp[s].view(np.uint64), n[s], i, j, likeness)
+                    both = np.unique(np.stack((form[s][i[good]], form[s][j[good]]), axis=1), axis=0)
+                    u.append(both[:, 0])
+                    v.append(both[:, 1])
+            return _pair_batch(np.concatenate(u), np.concatenate(v))
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)]
-            columns[2] = columns[2].view(np.uint64)
-            # the last key may go on in the next batch
-            last = int(np.searchsorted(columns[0], columns[0][-1], side="left"))
-            if last or (held and held[0][0][0] != columns[0][0]):
-                held.append([c[:last] for c in columns])
-                yield found(*(np.concatenate(x) for x in zip(*held)))
-                held = []
-            held.append([c[last:] for c in columns])
+            for part, n, forms, shingles in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                if held and part != now:
+                    yield pairs()
+                    held = []
+                now = part
+                table, place = np.frombuffer(forms, np.int64).reshape(3, -1), np.frombuffer(shingles, "<u4", n, 8 * n)
+                held.append((np.frombuffer(shingles, "<u8", n), *table[:, place]))
         if held:
-            yield found(*(np.concatenate(x) for x in zip(*held)))
+            yield pairs()
+
+    sent = texts.select("form", "fp", "text").mapInArrow(send, "part int, n int, forms binary, shingles binary")
+    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "u long, v long")
+
 
-    keyed = forms.select(F.explode("keys").alias("key"), "form", "fp", "n").repartition("key").sortWithinPartitions("key")
-    return keyed.mapInArrow(run, "u long, v long").filter("u <> v").distinct()
+def candidates(forms: DataFrame, docs: DataFrame, words: int = WORDS, likeness: float = LIKENESS) -> DataFrame:
+    """(u, v), u < v: forms (form, at, fp, n, keys) of ``docs`` that share a key, or a shingle, and could be alike."""
+    keyed = forms.select(F.explode("keys").alias("key"), "form", "fp", "n")
+    hot = written(keyed.groupBy("key").agg(F.count("*").alias("_m")).filter(f"_m > {SMALL_GROUP}").select("key"), "hot")
+    found = cold_candidates(keyed.join(hot, "key", "left_anti"), likeness)
+    if hot.take(1):
+        many = keyed.join(hot, "key", "left_semi")
+        named = written(many.select("form").distinct().join(forms, "form").select("form", "fp", "at.doc_id", "at.text_hash"), "hot_forms")
+        texts = texts_by_name(docs, named, ["form", "fp"])
+        found = found.unionByName(hot_candidates(many, likeness)).unionByName(rare_candidates(texts, words, likeness))
+    return found.filter("u <> v").distinct()
 
 
 def alike(pairs: DataFrame, sets: DataFrame, likeness: float = LIKENESS) -> DataFrame:
@@ -443,7 +586,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, likeness: float = LIKENESS)
     same = forms.join(by_fp, "fp").filter("form <> first").select(F.col("first").alias("u"), F.col("form").alias("v"))
     near = links(cover(by_fp)).join(by_fp.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(by_fp.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
     anchored = near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-    pairs = kept(candidates(forms, likeness).unionByName(same).unionByName(anchored).distinct(), "candidates")
+    pairs = kept(candidates(forms, docs, words, likeness).unionByName(same).unionByName(anchored).distinct(), "candidates")
     asked = pairs.select(F.explode(F.array("u", "v")).alias("form")).distinct()
     wanted = kept(forms.join(asked, "form").select("form", "at.doc_id", "at.text_hash"), "wanted")
     sets = kept(shingles_of(docs, wanted, words), "sets")

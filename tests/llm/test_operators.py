@@ -310,6 +310,23 @@ def test_near_copies_are_those_of_brute_force(spark, docs, nothing, small, monke
     assert simhash.near_copies(nothing).count() == 0 and simhash.one_of_each(nothing).count() == 0
 
 
+@pytest.mark.parametrize("shared, own, copies, texts", [(300, 45, 3, 500), (300, 20, 2, 500)])
+def test_texts_with_a_shared_template(spark, shared, own, copies, texts, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 128)  # groups span several blocks
+    r = np.random.default_rng(own)
+    template, rows = prose(shared), {}
+    while len(rows) < texts:
+        base = template + " " + " ".join(f"own{x}" for x in r.integers(0, 10**6, own))
+        for _ in range(copies):
+            rows[len(rows)] = edited(base, int(r.choice([0, 3, 8])), r)
+    sets = {k: shingle_set(t) for k, t in rows.items()}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = union(pairs, rows)
+    got = {x["doc_id"]: x["class_id"] for x in simhash.near_copies(spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(4)).collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs) > 100
+    assert len(set(got.values())) <= 1.01 * len(set(want.values())) + 1 and all(want[a] == want[b] for a in got for b in (min(k for k in got if got[k] == got[a]),))
+
+
 def test_one_of_each_of_rows_without_an_id_of_their_own(odd, spark):
     df, rows = odd
     left = simhash.one_of_each(df)
