@@ -128,6 +128,8 @@ TEMPLATES = {
     ),
 }
 MIN_COVERAGE = 0.8
+#: What a word between two aligned ones counts against a copy.
+STRAY = 0.3
 
 
 def words_of(text: str) -> list[str]:
@@ -254,39 +256,74 @@ def _fitting(words: list[str], template: list[str], a0: int, a1: int) -> list[tu
         a0, a1 = b0, b1
 
 
-def best_match(words: list[str], template: list[str], probes: set[str], min_coverage: float) -> tuple[float, int, int, int] | None:
-    """(coverage, start, end, aligned words) of the best window, if any reaches ``min_coverage``."""
-    n, best, seen, has = len(template), None, -1, Counter(template)
-    for p in (i for i, w in enumerate(words) if w in probes):
-        # any span of 2 n words starts in the first n words of a window of 3 n
-        for k in (p // n - 2, p // n - 1, p // n):
-            if k <= seen or k < 0:
-                continue
-            seen = k
-            there = Counter(words[k * n : (k + 3) * n])
-            if sum(min(there[w], c) for w, c in has.items()) < min_coverage * n:
-                continue
-            pairs = _fitting(words, template, k * n, min(len(words), (k + 3) * n))
-            if len(pairs) < min_coverage * n:
-                continue
-            start, end = pairs[0][0], pairs[-1][0] + 1
-            found = (len(pairs) / n, -start, end)
-            if best is None or found > best[0]:
-                best = (found, len(pairs))
-    return best and (best[0][0], -best[0][1], best[0][2], best[1])
+def densest(words: list[str], template: list[str]) -> tuple[int, int]:
+    """(start, end) of the stretch that holds most of the template's words in order, each other word counting ``STRAY`` against it.
+
+    The first of equal ones, and the shortest. A neighbouring copy adds more strays than
+    words that the first one lacks, so a stretch ends where its copy does.
+    """
+    code = {w: i for i, w in enumerate({*template})}
+    text = np.array([code.get(w, -1) for w in words])
+    every, steps = np.arange(len(words) + 1), np.arange(len(words) + 1) * STRAY
+    # score and start of the best stretch that ends before each word
+    score, start = np.zeros(len(words) + 1), every.copy()
+    for w in template:
+        hit = text == code[w]
+        more = np.where(hit, score[:-1] + 1.0, -np.inf)
+        better = more > score[1:]
+        score[1:][better], start[1:][better] = more[better], start[:-1][better]
+        # a stray word later: the best of what ends earlier, less the way
+        level = score + steps
+        top = np.maximum.accumulate(level)
+        source = np.maximum.accumulate(np.where(level >= top, every, 0))
+        score, start = top - steps, start[source]
+        empty = score <= 1e-9
+        score[empty], start[empty] = 0.0, every[empty]
+    end = int(np.argmax(score > score.max() - 1e-9))
+    return int(start[end]), end
+
+
+def _best_in(words: list[str], template: list[str], has: Counter, a: int, b: int, min_coverage: float) -> tuple[float, int, int, int] | None:
+    """(coverage, start, end, aligned words) of the copy in words[a:b], if any reaches ``min_coverage``."""
+    least, there = min_coverage * len(template), Counter(words[a:b])
+    if b - a < least or sum(min(there[w], c) for w, c in has.items()) < least:
+        return None
+    s, e = densest(words[a:b], template)
+    pairs = [(a + s + i, j) for i, j in align(words[a + s : a + e], template)]
+    if len(pairs) < least or pairs[-1][0] + 1 - pairs[0][0] > 2 * len(template):
+        pairs = _fitting(words, template, a, b)
+    if len(pairs) < least:
+        return None
+    return len(pairs) / len(template), pairs[0][0], pairs[-1][0] + 1, len(pairs)
 
 
 def all_matches(words: list[str], template: list[str], probes: set[str], min_coverage: float) -> list[tuple[float, int, int, int]]:
-    """Every match, in order: the best one, and those of what is before and after it."""
-    out, todo = [], [(0, len(words))]
-    while todo:
-        a, b = todo.pop()
-        if b - a < min_coverage * len(template) or not (m := best_match(words[a:b], template, probes, min_coverage)):
-            continue
-        coverage, start, end, n = m
-        out.append((coverage, a + start, a + end, n))
-        todo += [(a, a + start), (a + end, b)]
-    return sorted(out, key=lambda m: m[1])
+    """Every copy, (coverage, start, end, aligned words), from left to right.
+
+    A copy spans at most twice the template and holds a telling word. Windows of three
+    templates begin at each multiple of its length; one is searched for copies that start
+    in its first third, after the end of the last copy.
+    """
+    n, has, out, done = len(template), Counter(template), [], 0
+    blocks = sorted({k for i, w in enumerate(words) if w in probes for k in (i // n - 2, i // n - 1, i // n) if k >= 0})
+    for k in blocks:
+        while (a := max(done, k * n)) < (k + 1) * n:
+            b, m = min(len(words), (k + 3) * n), None
+            # a better copy may stand further on: what is before it is searched again
+            while (found := _best_in(words, template, has, a, b, min_coverage)) is not None:
+                if found[1] < (k + 1) * n:
+                    m = found
+                b = found[1]
+            if m is None:
+                break
+            out.append(m)
+            done = m[2]
+    return out
+
+
+def best_match(words: list[str], template: list[str], probes: set[str], min_coverage: float) -> tuple[float, int, int, int] | None:
+    """(coverage, start, end, aligned words) of the copy of highest coverage; of equal ones the shortest, then the first."""
+    return max(all_matches(words, template, probes, min_coverage), key=lambda m: (m[0], m[1] - m[2], -m[1]), default=None)
 
 
 def told_apart(found: list[tuple[str, float, int, int, int]]) -> list[tuple[str, float, int, int, int]]:

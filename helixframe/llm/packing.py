@@ -4,13 +4,13 @@ Documents are encoded and cut into pieces of at most ``capacity`` tokens. How pi
 share sequences depends on their lengths alone, so the plan is made from the exact
 histogram, which has at most ``capacity`` rows whatever the corpus: the only thing the
 driver ever sees. Lengths above a small part of the capacity are grouped into classes
-(linear grouping), and the covering program over configurations of classes is solved
-by multiplicative weights: each round prices classes, a knapsack dynamic program finds
-the dearest configuration, and the prices of what it covers fall. The fractional
-configurations are rounded down; the rest of the pieces is placed best-fit decreasing
-into what is left open, counted in groups of equal sequences. Rounding is tried at a few
-shares of the fractional amounts, since a rest of many lengths fills gaps better; the
-share with the fewest sequences is taken.
+(linear grouping) that stand for lengths around their means, and the covering program over
+configurations of classes is solved by multiplicative weights: each round prices classes,
+a knapsack dynamic program finds the dearest configuration, and the prices of what it
+covers fall. The fractional amounts are rounded; each configuration's last two pieces are
+chosen so that they fill the sequence. What is left, some pieces in a hundred and the
+smallest, is placed best-fit decreasing into what is open, counted in groups of equal
+sequences.
 
 The plan names, for each length, ranges of ranks and the sequences they fill. Ranks come
 from counting within (length, salt): a hot length is spread over as many salts as its
@@ -26,7 +26,8 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,29 +108,48 @@ def _classes(counts: dict[int, int], smallest: int, n: int) -> list[tuple[int, l
     return out
 
 
-def solve_configurations(sizes: list[int], demand: np.ndarray, capacity: int, rounds: int, rate: float) -> list[tuple[dict[int, int], float]]:
-    """Fractional numbers of configurations that cover ``demand``, by multiplicative weights.
-
-    Prices start at each class's share of the capacity over its demand. A round adds the
-    configuration of highest price, as much of it as ``rate`` of its scarcest class asks,
-    and lowers the prices of the classes it covers.
-    """
-    covered, weight = np.zeros(len(sizes)), np.array(sizes, float) / capacity
-    weight = weight / weight.sum()
+def _epoch(sizes: list[int], demand: np.ndarray, capacity: int, start: np.ndarray, rate: float, sharp: float) -> tuple[dict[tuple, float], np.ndarray, float]:
+    """One covering of ``demand`` from prices ``start``: amounts of configurations, when each class was covered, and a lower bound of the program."""
+    left, weight, bound, spent = demand.copy(), start / start.sum(), 0.0, 0.0
     amount: dict[tuple, float] = defaultdict(float)
-    for _ in range(rounds):
-        config = _knapsack(sizes, weight / demand, capacity)
-        if not config:
-            break
-        step = rate * min(demand[k] / a for k, a in config.items())
+    done = np.zeros(len(sizes))
+    while len(live := np.flatnonzero(left > 1e-9 * demand)):
+        config = _knapsack([sizes[k] for k in live], weight[live], capacity)
+        config = {int(live[k]): a for k, a in config.items()}
+        bound = max(bound, float(weight[live] @ demand[live]) / sum(weight[k] * a for k, a in config.items()))
+        step = min(min(left[k], rate * demand[k]) / a for k, a in config.items())
         amount[tuple(sorted(config.items()))] += step
+        spent += step
         for k, a in config.items():
-            covered[k] += a * step
-            weight[k] *= np.exp(-rate * a * step / (rate * demand[k]))
+            left[k] -= a * step
+            weight[k] *= np.exp(-sharp * a * step / demand[k])
+            done[k] = spent
         weight /= weight.sum()
-    share = float(np.max(covered / demand)) or 1.0
-    # scaled so that no class is covered more than its demand; the rest is placed best-fit
-    return [(dict(c), x / share) for c, x in amount.items()]
+    return amount, done / spent, bound
+
+
+def solve_configurations(sizes: list[int], demand: np.ndarray, capacity: int, rate: float = 0.05, sharp: float = 6.0, epochs: int = 12) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """Fractional numbers of configurations that cover ``demand`` and no more, by multiplicative weights; and a lower bound of the program.
+
+    Prices start in proportion to size, which is what the volume bound charges. A round
+    adds the dearest configuration, at most ``rate`` of its scarcest class's demand, and
+    lowers the prices of what it covers by a factor that grows with the share covered, so
+    all classes run out together. A class that is covered leaves the program. In the next
+    of the ``epochs`` classes that were covered late start dearer; the covering of fewest
+    sequences counts. Any prices bound the program from below: the demand's price over
+    the dearest configuration's.
+    """
+    demand = np.array(demand, float)
+    start, bound, best = np.array(sizes, float) / capacity, 0.0, None
+    for i in range(epochs):
+        amount, done, low = _epoch(sizes, demand, capacity, start, rate, sharp)
+        bound = max(bound, low)
+        if best is None or sum(amount.values()) < sum(best.values()):
+            best = amount
+        if sum(best.values()) <= 1.01 * bound:
+            break
+        start = start * np.exp((done - done.mean()) / (1 + i) ** 0.5)
+    return [(dict(c), x) for c, x in best.items()], bound
 
 
 class _Open:
@@ -176,56 +196,80 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY, start: _Open | No
     return state.groups()
 
 
-def _rounded(histogram: dict[int, int], capacity: int, smallest: int, classes: int, solved: list[tuple[dict[int, int], float]], share: float) -> list[tuple[list[tuple[int, int]], int]]:
-    """``share`` of the fractional configurations, rounded down, and the rest best-fit into what they leave open."""
-    left, state = dict(histogram), _Open(capacity)
-    groups = _classes({k: c for k, c in left.items() if k < capacity}, smallest, classes)
+def _rounded(left: dict[int, int], groups: list[list[int]], solved: list[tuple[dict[int, int], float]], state: _Open, capacity: int) -> None:
+    """Whole numbers of the configurations, put into ``state`` and taken off ``left``.
+
+    A class stands for lengths around its mean. Of its classes but the last two the
+    longest pieces are taken; the last two are two lengths that fill the sequence, the
+    first of its class or near it and the other of any, or else come as close as they can.
+    All sequences that can be made of the same lengths are made at once, so a step uses up
+    a length or a configuration and their number doesn't grow with the counts.
+    """
+    every = sorted(k for k in left if k < capacity)
+
+    def longest(most: int, used: Counter, lengths: list[int] = every) -> int | None:
+        return next((k for k in reversed(lengths[: bisect_right(lengths, most)]) if left[k] > used[k]), None)
+
+    def two(first: list[int], room: int, used: Counter) -> tuple[int, int] | None:
+        best = None
+        for a in reversed(first):
+            if left[a] <= used[a] or a >= room:
+                continue
+            b = longest(room - a, used + Counter([a]))
+            if b is not None and (best is None or a + b > sum(best)):
+                best = a, b
+                if a + b == room:
+                    break
+        return best
+
     for config, amount in solved:
-        times = int(share * amount)
+        times = int(round(amount))
+        order = sorted((k for k, copies in config.items() for _ in range(copies)), key=lambda k: -groups[k][-1])
         while times:
-            # the longest pieces of each class first, as far as all copies of the configuration have one length
-            held, many = [], times
-            for k, copies in config.items():
-                run = next((r for r in groups[k][1] if r[1]), None)
-                if run is None:
-                    many = 0
-                    break
-                if run[1] < copies:  # the class's next lengths make up one sequence
-                    many = min(many, 1)
-                else:
-                    many = min(many, run[1] // copies)
-            if not many:
-                break
-            for k, copies in config.items():
-                need = copies
-                for run in groups[k][1]:
-                    take = min(need, run[1] // many)
-                    if take:
-                        held.append((run[0], take))
-                        run[1] -= take * many
-                        left[run[0]] -= take * many
-                        need -= take
-                    if not need:
-                        break
-            if not held:
-                break
-            state.add(held, many)
+            used: Counter = Counter()
+            for k in order[:-2] if len(order) > 1 else order:
+                room = capacity - sum(c * n for c, n in used.items())
+                found = longest(room, used, groups[k]) or longest(min(room, groups[k][-1]), used)
+                used[found or 0] += 1
+            if len(order) > 1:
+                room = capacity - sum(c * n for c, n in used.items())
+                pair = two(groups[order[-2]], room, used) or two(every, room, used)
+                used += Counter(pair or (0, 0))
+            if used[0] or (len(order) > 1 and capacity - sum(c * n for c, n in used.items()) > capacity // 256):
+                break  # what is left can't fill this configuration
+            many = min(times, *(left[k] // c for k, c in used.items()))
+            state.add(sorted(used.items(), reverse=True), many)
+            for k, c in used.items():
+                left[k] -= c * many
             times -= many
-    return best_fit(left, capacity, state)
 
 
-def plan(
-    histogram: dict[int, int], capacity: int = CAPACITY, classes: int = 48, smallest: float = 1 / 16, rounds: int = 600, rate: float = 0.1, shares: tuple[float, ...] = (1.0, 0.8, 0.5, 0.2, 0.1, 0.05, 0.02)
-) -> list[tuple[list[tuple[int, int]], int]]:
+def plan_with_share(
+    histogram: dict[int, int], capacity: int = CAPACITY, classes: int = 48, smallest: float = 1 / 32, share: float = 0.98
+) -> tuple[list[tuple[list[tuple[int, int]], int]], int]:
+    """The plan, and how many pieces its configurations place.
+
+    Pieces of the whole capacity are a configuration of their own. ``share`` of the
+    fractional amounts is rounded; the rest, and pieces below ``smallest`` of the
+    capacity, fill what is open and then new sequences, best-fit decreasing.
+    """
+    left, state = {k: c for k, c in histogram.items() if c}, _Open(capacity)
+    if left.get(capacity):
+        state.add([(capacity, 1)], left.pop(capacity))
+    grouped = _classes(left, max(1, int(smallest * capacity)), classes)
+    if grouped:
+        groups = [sorted(k for k, _ in g) for _, g in grouped]
+        demand = np.array([sum(c for _, c in g) for _, g in grouped], float)
+        sizes = [max(1, round(sum(k * c for k, c in g) / d)) for (_, g), d in zip(grouped, demand)]
+        solved, _ = solve_configurations(sizes, demand, capacity)
+        _rounded(left, groups, sorted(((c, share * x) for c, x in solved), key=lambda x: -x[1]), state, capacity)
+    placed = sum(histogram.values()) - sum(left.values())
+    return best_fit(left, capacity, state), placed
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, classes: int = 48, smallest: float = 1 / 32) -> list[tuple[list[tuple[int, int]], int]]:
     """[(what each sequence holds, as (length, copies)), how many such sequences]."""
-    least = max(1, int(smallest * capacity))
-    groups = _classes({k: c for k, c in histogram.items() if k < capacity}, least, classes)
-    if not groups:  # nothing but small pieces: no configuration to choose
-        return best_fit(histogram, capacity)
-    sizes, demand = [s for s, _ in groups], np.array([sum(c for _, c in g) for _, g in groups], float)
-    solved = sorted(solve_configurations(sizes, demand, capacity, rounds, rate), key=lambda x: -x[1])
-    found = [_rounded(histogram, capacity, least, classes, solved, share) for share in shares]
-    return min(found, key=lambda g: sum(t for _, t in g))
+    return plan_with_share(histogram, capacity, classes, smallest)[0]
 
 
 def _slots(groups: list[tuple[list[tuple[int, int]], int]]) -> dict[int, np.ndarray]:

@@ -1,7 +1,9 @@
 """Each operator against brute force on a small table of awkward rows."""
 
 import hashlib
+import itertools
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -112,6 +114,52 @@ def test_packing(docs, nothing, ids):
         assert list(r["ids"]) == [*ids[r["doc_id"]], 0][r["start"] : r["start"] + r["length"]]
 
 
+def test_configurations_place_most_pieces(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counts = {r["length"]: r["count"] for r in packing.pieces(docs).groupBy("length").count().collect()}
+    groups, placed = packing.plan_with_share(counts)
+    assert placed >= 0.9 * sum(counts.values())
+    assert sum(t for _, t in groups) == sum(t for _, t in packing.best_fit(counts)) == -(-sum(k * c for k, c in counts.items()) // 2048)
+
+
+def exact_program(sizes, demand, capacity):
+    """The covering program's value over all maximal configurations, by trying every set of tight ones."""
+    configs = []
+
+    def grow(k, held, room):
+        if k == len(sizes):
+            if all(s > room for s in sizes):
+                configs.append(held)
+            return
+        for a in range(room // sizes[k] + 1):
+            grow(k + 1, [*held, a], room - a * sizes[k])
+
+    grow(0, [], capacity)
+    # a class may be covered more than asked: unit columns of cost zero take what is too much
+    a = np.concatenate((np.array(configs, float).T, -np.eye(len(sizes))), axis=1)
+    cost, best = np.array([1.0] * len(configs) + [0.0] * len(sizes)), np.inf
+    for some in itertools.combinations(range(a.shape[1]), len(sizes)):
+        m = a[:, some]
+        if abs(np.linalg.det(m)) > 1e-9 and (x := np.linalg.solve(m, demand)).min() >= -1e-9:
+            best = min(best, cost[list(some)] @ x)
+    return best
+
+
+def test_program_value():
+    r = np.random.default_rng(6)
+    for _ in range(12):
+        sizes = sorted(r.choice(np.arange(25, 75), 3, replace=False).tolist(), reverse=True)
+        demand = r.integers(50, 500, 3).astype(float)
+        solved, bound = packing.solve_configurations(sizes, demand, 100)
+        value = exact_program(sizes, demand, 100)
+        for k in range(3):
+            assert sum(c.get(k, 0) * x for c, x in solved) == pytest.approx(demand[k])
+        assert bound <= value + 1e-6 and value - 1e-6 <= sum(x for _, x in solved) <= 1.02 * value
+    sizes, demand = list(range(1900, 60, -40)), r.integers(50, 100, 46).astype(float)
+    solved, bound = packing.solve_configurations(sizes, demand, 2048)
+    assert sum(x for _, x in solved) <= 1.03 * bound
+
+
 def test_plan_beats_best_fit_where_it_can():
     counts = dict(Counter(np.random.default_rng(0).integers(680, 690, 30_000).tolist()))
     found = packing.plan(counts)
@@ -359,6 +407,31 @@ def test_licenses(spark, docs, nothing):
     assert [r["license_id"] for r in licenses.scan(docs).collect()] == ["Apache-2.0"] and licenses.scan(nothing).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_neighbouring_copies_are_told_apart(name):
+    template = licenses.words_of(licenses.TEMPLATES[name])
+    probes = set(licenses.probe_words(template))
+    for between in (0, 1, 3, 10, 50, 200):
+        words = ["foo"] * 5
+        for _ in range(10):
+            words += template + ["bar"] * between
+        found = licenses.all_matches(words, template, probes, 0.8)
+        assert [m[1:3] for m in found] == [(5 + i * (len(template) + between), 5 + i * (len(template) + between) + len(template)) for i in range(10)], between
+
+
+def test_many_copies_take_linear_time():
+    template = licenses.words_of(licenses.TEMPLATES["MIT-full"])
+    probes = set(licenses.probe_words(template))
+
+    def took(n):
+        begun = time.process_time()
+        assert len(licenses.all_matches((template + ["x"] * 3) * n, template, probes, 0.8)) == n
+        return time.process_time() - begun
+
+    few = took(20)
+    assert took(160) < 12 * few
+
+
 def test_license_is_found_at_any_place_and_beside_strays():
     template = licenses.words_of(licenses.TEMPLATES["MIT"])
     probes = set(licenses.probe_words(template))
