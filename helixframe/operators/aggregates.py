@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.ordinals import in_blocks, with_ordinals
 from helixframe.operators.ranks import below, join_same, percentiles
 
 
@@ -68,18 +69,23 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 def ecdf(df: DataFrame, keys: list[str], column: str, ties: list[str]) -> DataFrame:
     """Each value with rank / n of its group: one point for each row, equal values at different heights.
 
-    Rows of one value are put in order by ``ties`` together; no window spans a group.
+    Rows of one value go by ``ties``. Neither a group nor the rows of one value are put in
+    order in one task.
     """
     there = df.filter(F.col(column).isNotNull()).select(*keys, *ties, column)
-    at = join_same(there, below(there, keys, column), [*keys, column])
-    among = Window.partitionBy(*keys, column).orderBy(*ties)
-    return at.select(*keys, *ties, column, ((F.col("_below") + F.row_number().over(among)) / F.col("_all")).alias("ecdf"))
+    placed = with_ordinals(there, keys, [column, *ties], "_place", total="_all")
+    return placed.select(*keys, *ties, column, ((F.col("_place") + 1) / F.col("_all")).alias("ecdf"))
 
 
-def trailing_mean(df: DataFrame, keys: list[str], order: list[str], column: str, rows: int, into: str) -> DataFrame:
-    """Mean of the last ``rows`` values, the present one included."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(rows - 1), Window.currentRow)
-    return df.withColumn(into, F.avg(column).over(w))
+def trailing_mean(df: DataFrame, keys: list[str], order: list[str], column: str, rows: int, into: str, number: str | None = None) -> DataFrame:
+    """Mean of the last ``rows`` values, the present one included; with ``number``, also each row's number in its group, from 1.
+
+    A group of any size is cut into blocks of rows, each with the few rows before it.
+    """
+    blocks = in_blocks(df, keys, order, rows - 1)
+    w = Window.partitionBy(*keys, "_block").orderBy("_ordinal").rowsBetween(-(rows - 1), Window.currentRow)
+    out = blocks.withColumn(into, F.avg(column).over(w)).filter("not _halo")
+    return out.select(*df.columns, into, *([(F.col("_ordinal") + 1).alias(number)] if number else []))
 
 
 def remaining_seconds(mean_seconds: Column, done: Column, planned: Column) -> Column:

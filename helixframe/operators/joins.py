@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.intervals import interval_union
+from helixframe.operators.ranks import join_same
+
 
 class CardinalityError(ValueError):
     """A key that should be unique, or a join that should keep every row, isn't or doesn't."""
@@ -76,6 +79,32 @@ def overlap_count(left: DataFrame, right: DataFrame, on: list[str], left_span: t
     return met.groupBy(*keys).agg(F.sum(F.col("_begun") - F.col("_ended")).alias("overlap_pairs")).filter("overlap_pairs > 0")
 
 
+def purge_counts(df: DataFrame, group: str, key: str, span: tuple[str, str], bin_size: int) -> DataFrame:
+    """For each group held out: (group, initial_train_n, excluded_overlap_n, retained_train_n, overlap_pairs).
+
+    Rows of other groups whose span overlaps any of the held-out group's are excluded from
+    training. A row meets a group's merged intervals, not its rows, and the table isn't
+    copied for each fold: counts of all other rows are the total less the group's own.
+    Pairs are counted from cumulative counts, over all rows less inside the group.
+    """
+    (start, end), every = span, "_every"
+    rows = df.select(F.lit(0).alias(every), group, key, *span)
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    whole = rows.agg(F.count("*").alias("_all"))
+    merged = interval_union(rows.select(every, F.col(group).alias("_outer"), F.col(start).alias("_from"), F.col(end).alias("_to")), [every, "_outer"], "_from", "_to")
+    met = overlap_join(rows, merged, [every], span, ("_from", "_to"), bin_size).filter(~F.col(group).eqNullSafe(F.col("_outer")))
+    gone = met.select(key, "_outer").distinct().groupBy(F.col("_outer").alias(group)).agg(F.count("*").alias("excluded_overlap_n"))
+    right = rows.select(every, F.col(group).alias("_g"), F.col(start).alias("_from"), F.col(end).alias("_to"))
+    pairs = overlap_count(rows, right, [every], span, ("_from", "_to"), bin_size, [group]).withColumnRenamed("overlap_pairs", "_with_all")
+    own = overlap_count(rows, right.withColumnRenamed("_g", group), [group], span, ("_from", "_to"), bin_size, [group]).withColumnRenamed("overlap_pairs", "_with_own")
+    out = sizes.crossJoin(F.broadcast(whole))  # one row
+    for side in (gone, pairs, own):
+        out = join_same(out, side, [group], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    out = out.select(group, (F.col("_all") - F.col("_n")).alias("initial_train_n"), zero("excluded_overlap_n").alias("excluded_overlap_n"), (zero("_with_all") - zero("_with_own")).alias("overlap_pairs"))
+    return out.withColumn("retained_train_n", F.col("initial_train_n") - F.col("excluded_overlap_n")).filter("initial_train_n > 0")
+
+
 def radius_join(points: DataFrame, sites: DataFrame, on: list[str], point: str, site: str, radius: int) -> DataFrame:
     """One row for each (point, site) no farther apart than ``radius``; a site is copied to three bins."""
     p = points.withColumn("_bin", F.floor(F.col(point) / radius))

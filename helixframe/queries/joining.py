@@ -109,15 +109,7 @@ def purged_training_set(spark, d):
     e = table(spark, d, "events").filter("event_type in ('purchase', 'error')")
     minute = F.floor(_seconds("ts") / 60)
     e = e.select("event_id", (F.col("user_id") % 12).alias("grp"), (minute - 60).alias("ws"), (minute + 59).alias("we"))
-    folds = e.select(F.col("grp").alias("outer_grp")).distinct()
-    train = e.join(folds, F.col("grp") != F.col("outer_grp"))
-    test = e.select(F.col("grp").alias("outer_grp"), F.col("ws").alias("ts_"), F.col("we").alias("te_"))
-    n = train.groupBy("outer_grp").agg(F.count("*").alias("initial_train_n"))
-    kept = joins.overlap_exists(train, test, ["outer_grp"], ["outer_grp", "event_id"], ("ws", "we"), ("ts_", "te_"), 120, keep=False).groupBy("outer_grp").agg(F.count("*").alias("retained_train_n"))
-    pairs = joins.overlap_count(train, test, ["outer_grp"], ("ws", "we"), ("ts_", "te_"), 120, ["outer_grp"])
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    out = n.join(kept, "outer_grp", "left").join(pairs, "outer_grp", "left").select("outer_grp", "initial_train_n", zero("retained_train_n"), zero("overlap_pairs"))
-    return out.withColumn("excluded_overlap_n", F.col("initial_train_n") - F.col("retained_train_n"))
+    return joins.purge_counts(e, "grp", "event_id", ("ws", "we"), 120).withColumnRenamed("grp", "outer_grp")
 
 
 @query("""SELECT o.o_orderkey, o.o_custkey, s.n_orders, s.total FROM orders o JOIN (SELECT o_custkey, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey) s USING (o_custkey)""")

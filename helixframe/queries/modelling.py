@@ -100,3 +100,31 @@ def loeo_scalar_model(spark, d):
 def context_purged_folds(spark, d):
     """The same with rows purged from training whose window overlaps one of the held-out label."""
     return _scalar_model(spark, d, span=("a", "b"), bin_size=1 << 10)
+
+
+def _three_features() -> str:
+    """Models of one scalar and a vector of two dimensions in closed form, by Cramer's rule on (W C W + strength I) f = W c."""
+    stats = ", ".join(["count(*) AS n", *[f"avg({x}) AS m{x}" for x in "pqry"], *[f"covar_pop({a}, {b}) AS {a}{b}" for a, b in ("pp", "pq", "pr", "qq", "qr", "rr", "py", "qy", "ry")]])
+    w1, w2 = "CASE model WHEN 'scalar' THEN 1 / sqrt(pp) WHEN 'signed' THEN sqrt(0.5 / pp) ELSE 0 END", "CASE model WHEN 'signed' THEN sqrt(0.5 / (qq + rr)) WHEN 'vector_only' THEN sqrt(1 / (qq + rr)) ELSE 0 END"
+    cells = "w1 * w1 * pp + s AS a, w1 * w2 * pq AS b, w1 * w2 * pr AS c, w2 * w2 * qq + s AS e, w2 * w2 * qr AS f, w2 * w2 * rr + s AS i, w1 * py AS u, w2 * qy AS v, w2 * ry AS w"
+    solved = "w1 * (u * (e * i - f * f) - b * (v * i - f * w) + c * (v * f - e * w)) / det AS k1, w2 * (a * (v * i - f * w) - u * (b * i - f * c) + c * (b * w - v * c)) / det AS k2, w2 * (a * (e * w - v * f) - b * (b * w - v * c) + u * (b * f - e * c)) / det AS k3"
+    fits = lambda name, of: f"{name} AS (SELECT *, {solved} FROM (SELECT *, a * (e * i - f * f) - b * (b * i - f * c) + c * (b * f - e * c) AS det FROM (SELECT *, {cells} FROM (SELECT *, {w1} AS w1, {w2} AS w2 FROM {of}, lam, models))))"
+    said = "my + k1 * (z.p - mp) + k2 * (z.q - mq) + k3 * (z.r - mr)"
+    return f"""WITH v AS (SELECT vec_id, label AS g, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+      z AS (SELECT vec_id, g, list_max(v) AS p, list_avg(v[1:len(v) // 2]) AS q, list_avg(v[len(v) // 2 + 1:]) AS r, 10 * v[1] + 3 * v[6] AS y FROM v),
+      lam AS (SELECT unnest(CAST([0.0001, 0.001, 0.01, 0.1, 1.0, 10.0] AS DOUBLE[])) AS s), models AS (SELECT unnest(['scalar', 'signed', 'vector_only']) AS model), gs AS (SELECT DISTINCT g FROM z),
+      i0 AS (SELECT o.g AS og, n.g AS ig, {stats} FROM gs o JOIN gs n ON n.g <> o.g JOIN z ON z.g <> o.g AND z.g <> n.g GROUP BY 1, 2), o0 AS (SELECT o.g AS og, {stats} FROM gs o JOIN z ON z.g <> o.g GROUP BY 1),
+      {fits("inn", "i0")}, {fits("fit", "o0")},
+      sc AS (SELECT model, og, ig, s, avg(abs(z.y - ({said}))) AS mae FROM inn JOIN z ON z.g = ig GROUP BY ALL), s2 AS (SELECT model, og, s, avg(mae) AS score FROM sc GROUP BY ALL),
+      ch AS (SELECT model, og, max(s) AS s FROM (SELECT *, min(score) OVER (PARTITION BY model, og) AS best FROM s2) WHERE score <= best + 1e-12 GROUP BY ALL)
+      SELECT model, z.vec_id, z.g AS label, s AS strength, round({said}, 5) AS prediction, n AS train_n FROM fit JOIN ch USING (model, og, s) JOIN z ON z.g = og"""
+
+
+@query(_three_features())
+def signed_models_of_any_unit(spark, d):
+    """Scalar, signed and vector models of the whole embedding's maximum and halves' means; the scalar is measured from another zero and the vector in a unit 10^-7 as large, which changes no prediction."""
+    v = V.wide(F.col("embedding"))
+    half = F.floor(F.size("embedding") / 2).cast("int")
+    e = table(spark, d, "embeddings").select("vec_id", "label", (F.array_max(v) + 1e4).alias("peak"), F.transform(F.array(V.mean(F.slice(v, F.lit(1), half)), V.mean(F.slice(v, half + 1, F.size("embedding") - half))), lambda x: x * 1e-7).alias("v"), (10 * F.get(v, F.lit(0)) + 3 * F.get(v, F.lit(5))).alias("y"))
+    p = ridge.nested_loeo(e, [], "label", "vec_id", "y", ["peak"], ["v"], models=("scalar", "signed", "vector_only"))
+    return rounded(p, ["prediction"], 5).select("model", "vec_id", "label", F.col("lambda").alias("strength"), "prediction", "train_n")

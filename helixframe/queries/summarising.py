@@ -206,8 +206,6 @@ def point_contrast(spark, d):
 
 @query("""SELECT event_id, user_id, round(mean_100 * greatest(1000 - n, 0), 6) AS remaining FROM (SELECT event_id, user_id, row_number() OVER w AS n, avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS mean_100 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))""")
 def remaining_time(spark, d):
-    from pyspark.sql import Window
-
-    e = A.trailing_mean(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value", 100, "mean_100").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    e = A.trailing_mean(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value", 100, "mean_100", "n")
     out = e.select("event_id", "user_id", A.remaining_seconds(F.col("mean_100"), F.col("n"), F.lit(1000)).alias("remaining"))
     return rounded(out, ["remaining"])
