@@ -11,16 +11,22 @@ from helixframe.plans import screen
 from helixframe.quality import checks
 from helixframe.queries import query
 from helixframe.queries.vectorial import pairs
-from helixframe.session import scratch, table
+from helixframe.session import kept, scratch, table
 from helixframe.sinks import tables as K
 from helixframe.sources import genomics as G
 from helixframe.sources import tables as T
 
 
+def kept_scratch(spark, name):
+    """A scratch path that goes with ``session.clear`` or the process."""
+    return kept(scratch(spark, name))
+
+
+
 @query("SELECT s_suppkey, s_acctbal, s_acctbal > 0 AS in_credit FROM supplier")
 def csv_whitelist(spark, d):
     """A typed CSV table of which only the listed columns leave the reader."""
-    path = scratch(spark, "csv")
+    path = kept_scratch(spark, "csv")
     s = table(spark, d, "supplier").withColumn("in_credit", F.when(F.col("s_acctbal") > 0, "True").otherwise("False"))
     K.write_csv(s, path, ["s_suppkey", "s_name", "s_acctbal", "in_credit"])
     got = T.read_csv(spark, path, "s_suppkey long, s_name string, s_acctbal double, in_credit string", ["s_suppkey", "s_acctbal", "in_credit"])
@@ -30,7 +36,7 @@ def csv_whitelist(spark, d):
 @query("SELECT r_regionkey AS key, r_name AS region, NULL AS nation FROM region UNION ALL SELECT n_nationkey, NULL, n_name FROM nation")
 def csv_union_header(spark, d):
     """Two frames of different columns under one header."""
-    path = scratch(spark, "union")
+    path = kept_scratch(spark, "union")
     a = table(spark, d, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("region"))
     header = K.write_csv_union([a, table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("nation"))], path)
     return T.read_csv(spark, path, "key int, region string, nation string", header)
@@ -40,7 +46,7 @@ def csv_union_header(spark, d):
   UNION ALL SELECT 'large', count(*), round(sum(o_totalprice), 2) FROM orders WHERE o_totalprice > 200000""")
 def multi_sink(spark, d):
     """Several filtered tables from one pass, read back one by one."""
-    path = scratch(spark, "outputs")
+    path = kept_scratch(spark, "outputs")
     names = {"all": F.lit(True), "urgent": F.col("o_orderpriority").startswith("1"), "large": F.col("o_totalprice") > 200000}
     K.write_many(table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"), {k: (c, ["o_totalprice"]) for k, c in names.items()}, path)
     one = lambda k: K.read_output(spark, path, k, ["o_totalprice"]).agg(F.lit(k).alias("output"), F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
@@ -50,7 +56,7 @@ def multi_sink(spark, d):
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS run_id, CASE WHEN o_orderkey % 3 = 0 THEN 'planned' WHEN o_totalprice > 50000 THEN 'complete' ELSE 'quarantined' END AS status FROM orders""")
 def run_store_status(spark, d):
     """A resumable run: committed rows by two commits, the second overlapping the first, rows in quarantine, and what is left to do."""
-    store = K.RunStore(spark, scratch(spark, "runs"))
+    store = K.RunStore(spark, kept_scratch(spark, "runs"))
     plan = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("run_id"), "o_totalprice", (F.col("o_orderkey") % 3).alias("third"))
     ok = F.col("o_totalprice") > 50000
     store.commit(plan.filter("third = 1"), ok, "config")
@@ -64,7 +70,7 @@ def run_store_status(spark, d):
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
 def staged_table(spark, d):
     """The second of two staged writes is what a reader finds."""
-    path, n = scratch(spark, "staged"), table(spark, d, "nation")
+    path, n = kept_scratch(spark, "staged"), table(spark, d, "nation")
     K.write_staged(n, path)
     K.write_staged(n.filter("n_regionkey = 1").select("n_nationkey", "n_name"), path)
     return spark.read.parquet(path)
@@ -73,7 +79,7 @@ def staged_table(spark, d):
 @query("SELECT 'txt' AS extension, CAST(length(t) AS BIGINT) AS bytes, sha256(t) AS sha256 FROM (SELECT string_agg(r_name, chr(10) ORDER BY r_regionkey) || chr(10) AS t FROM region)")
 def file_manifest(spark, d):
     """Name, size and content hash of the files below a folder."""
-    path = scratch(spark, "files")
+    path = kept_scratch(spark, "files")
     table(spark, d, "region").orderBy("r_regionkey").coalesce(1).select("r_name").write.text(path)
     listed = K.manifest(spark, path).filter("name like 'part-%'")
     return listed.select(F.regexp_extract("name", r"\.([^.]*)$", 1).alias("extension"), "bytes", "sha256")
@@ -85,7 +91,7 @@ _BASES = "translate(md5({}), '0123456789abcdef', 'ACGTACGTACGTACGT')"
 @query(f"SELECT 's' || p_partkey AS name, repeat({_BASES.format('p_name')}, 5) AS sequence FROM part")
 def fasta_round_trip(spark, d):
     """Records written and read again, lower case raised."""
-    path = scratch(spark, "fasta")
+    path = kept_scratch(spark, "fasta")
     K.write_fasta(table(spark, d, "part").select(F.concat(F.lit("s"), "p_partkey").alias("name"), F.lower(_bases("p_name")).alias("sequence")), path, "name", "sequence")
     return G.read_fasta(spark, path).select("name", "sequence")
 
@@ -98,7 +104,7 @@ def _bases(column: str, times: int = 5):
   FROM part, (VALUES ('C', 0), ('GT', 1)) a(alt, alt_index) WHERE p_size % 3 <> 2""")
 def vcf_alternatives(spark, d):
     """Variants of two chromosomes, one row for each alternative, with a flag and a repeated key in INFO."""
-    path, tab = scratch(spark, "vcf"), "\t"
+    path, tab = kept_scratch(spark, "vcf"), "\t"
     flag = F.when(F.col("p_size") > 25, ";LARGE").otherwise("")
     info = F.concat(F.lit("KIND=none;KIND="), F.col("p_type"), flag)
     line = F.concat_ws(tab, F.concat(F.lit("chr"), (F.col("p_size") % 3).cast("string")), (F.col("p_partkey") + 1).cast("string"), F.concat(F.lit("v"), "p_partkey"), F.lit("A"), F.lit("C,GT"), F.lit("."), F.lit("PASS"), info)
@@ -110,7 +116,7 @@ def vcf_alternatives(spark, d):
 @query("""SELECT CAST(n_regionkey AS VARCHAR) AS chromosome, 'exon' AS feature, CAST(n_nationkey * 10 + 1 AS BIGINT) AS start_1based, CAST(n_nationkey * 10 + 9 AS BIGINT) AS end_1based, n_name AS gene, n_nationkey AS exon_number, n_nationkey % 2 = 0 AS tagged FROM nation""")
 def gtf_features(spark, d):
     """Annotation lines with attributes in any order and repeated tags."""
-    path, tab = scratch(spark, "gtf"), "\t"
+    path, tab = kept_scratch(spark, "gtf"), "\t"
     tag = F.when(F.col("n_nationkey") % 2 == 0, ' tag "basic"; tag "MANE_Select";').otherwise(' tag "basic";')
     attributes = F.concat(F.lit('exon_number "'), F.col("n_nationkey").cast("string"), F.lit('";'), tag, F.lit(' gene_name "'), F.col("n_name"), F.lit('";'))
     first, last = (F.col("n_nationkey") * 10 + 1).cast("string"), (F.col("n_nationkey") * 10 + 9).cast("string")
@@ -123,7 +129,7 @@ def gtf_features(spark, d):
 @query("SELECT r_regionkey AS region, r_name AS name FROM region")
 def json_documents(spark, d):
     """One row for each file, however many lines it has."""
-    path = scratch(spark, "json")
+    path = kept_scratch(spark, "json")
     r = table(spark, d, "region")
     body = F.concat(F.lit('{\n "region": '), F.col("r_regionkey").cast("string"), F.lit(',\n "name": "'), F.col("r_name"), F.lit('"\n}'))
     r.select(F.col("r_regionkey").alias("k"), body.alias("value")).repartition("k").write.partitionBy("k").text(path)
@@ -133,7 +139,7 @@ def json_documents(spark, d):
 @query("SELECT vec_id, vec_id % 7 <> 0 AND vec_id % 11 <> 0 AS valid FROM embeddings")
 def series_validation(spark, d):
     """Rows of a table of arrays that have the right length and finite values, and those that don't."""
-    path = scratch(spark, "series")
+    path = kept_scratch(spark, "series")
     v = F.transform(F.col("embedding"), lambda x: F.abs(x))
     short = F.when(F.col("vec_id") % 7 == 0, F.slice(v, 1, 60)).otherwise(v)
     broken = F.when(F.col("vec_id") % 11 == 0, F.concat(F.slice(v, 1, 63), F.array(F.lit(float("nan")).cast("float")))).otherwise(short)
@@ -220,3 +226,14 @@ def exactly_one_row(spark, d):
     """The only row with given values, from a table that reads nothing but its own file."""
     c = checks.reads_only(table(spark, d, "customer"), [d])
     return joins.exactly_one(c, c_custkey=7).select("c_custkey", "c_name", "c_mktsegment")
+
+
+@query(f"""SELECT 's' || (p_partkey % 7) AS name, CAST(c AS INTEGER) AS chunk, c * 500 + 1 AS start_1based, substring(q, CAST(c * 500 + 1 AS BIGINT), 520) AS bases
+  FROM (SELECT p_partkey % 7 AS k, min(p_partkey) AS p_partkey, string_agg(repeat({_BASES.format("p_name")}, 5), '' ORDER BY p_partkey) AS q FROM part GROUP BY 1), unnest(generate_series(0, CAST((length(q) - 1) // 500 AS BIGINT))) u(c)""")
+def genome_chunks(spark, d):
+    """Overlapping chunks of long sequences, straight from the lines of a file: no task sees a sequence."""
+    path = kept_scratch(spark, "genome")
+    p = table(spark, d, "part").select((F.col("p_partkey") % 7).alias("k"), "p_partkey", F.lower(_bases("p_name")).alias("line"))
+    heads = p.groupBy("k").agg(F.lit(-1).cast("long").alias("p_partkey"), F.concat(F.lit(">s"), F.col("k").cast("string"), F.lit(" made")).alias("line"))
+    p.select("k", F.col("p_partkey").cast("long").alias("p_partkey"), "line").unionByName(heads.select("k", "p_partkey", "line")).orderBy("k", "p_partkey").coalesce(1).select("line").write.text(path)
+    return G.fasta_chunks(spark, path, 500, 20)

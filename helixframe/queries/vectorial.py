@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from helixframe.functions import spectral
 from helixframe.functions import vectors as V
 from helixframe.operators import joins
+from helixframe.operators import series as S
+from helixframe.operators.ordinals import with_ordinals
 from helixframe.queries import query
 from helixframe.queries.summarising import rounded
 from helixframe.session import table
@@ -150,3 +152,41 @@ def tensor_comparison(spark, d):
     p = pairs(spark, d).select("vec_id", V.edge_slices(F.col("a"), 32, 16)["before"].alias("a"), V.edge_slices(F.col("r"), 32, 16)["before"].alias("r"))
     c = V.comparison(F.col("a"), F.col("r"))
     return rounded(p.select("vec_id", *[x.alias(k) for k, x in c.items()]).withColumn("unequal", F.col("unequal").cast("long")), ["max_abs", "relative_l2"])
+
+
+_TAPS = {"click": [1.0, 0.5, -0.25], "view": [0.2 * 0.9**k for k in range(40)], "purchase": [1.0] * 25, "error": [0.0, 1.0]}
+
+
+@query(f"""WITH e AS (SELECT event_type AS channel, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS t, event_id, CAST(value AS DOUBLE) AS u FROM events),
+  f AS (SELECT channel, unnest(taps) AS h, generate_subscripts(taps, 1) - 1 AS k FROM (VALUES {", ".join(f"('{c}', CAST({t} AS DOUBLE[]))" for c, t in _TAPS.items())}) v(channel, taps))
+  SELECT a.event_id, a.channel, round(sum(h * coalesce(b.u, 0)), 6) AS filtered FROM e a JOIN f USING (channel) LEFT JOIN e b ON b.channel = a.channel AND b.t = a.t - k GROUP BY 1, 2""")
+def blocked_filter(spark, d):
+    """Causal filters of channels of events, one for each event type, over series in blocks shorter than the longest filter."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("channel"), "ts", "event_id", "value")
+    placed = with_ordinals(e, ["channel"], ["ts", "event_id"], "position")
+    filters = spark.createDataFrame(list(_TAPS.items()), "channel string, taps array<double>")
+    made = S.blocked_convolution(S.blocks_of(placed, ["channel"], "position", "value", 32), ["channel"], filters, ["channel"], 32)
+    out = S.rows_of(made, ["channel"], "filtered", 32).join(placed.select("channel", "position", "event_id"), ["channel", "position"])
+    return rounded(out.select("event_id", "channel", "filtered"), ["filtered"])
+
+
+@query("""WITH e AS (SELECT label, vec_id % 2 AS alt, row_number() OVER (PARTITION BY label, vec_id % 2 ORDER BY vec_id) - 1 AS t, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+  n AS (SELECT label, alt, count(*) AS n FROM e GROUP BY 1, 2), g AS (SELECT * FROM (VALUES ('head', 0, 3), ('middle', 1, 9), ('all', 0, 0), ('beyond', 5, 100000)) r(region, a, b)),
+  q AS (SELECT label, alt, region, view, n, CASE WHEN view = 'forward' THEN a ELSE n - e END AS s, CASE WHEN view = 'forward' THEN e ELSE n - a END AS e
+    FROM (SELECT *, CASE WHEN b = 0 THEN n ELSE b END AS e FROM n, g), (VALUES ('forward'), ('reverse')) w(view)),
+  x AS (SELECT label, alt, t, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e),
+  m AS (SELECT q.label, q.alt, region, view, i, avg(x) AS m FROM q JOIN x ON x.label = q.label AND x.alt = q.alt AND t >= s AND t < q.e WHERE s >= 0 AND q.e <= n GROUP BY ALL)
+  SELECT q.label, q.alt, q.region, q.view, round(max(CASE WHEN i = 1 THEN m END), 6) AS first_dimension, round(sqrt(sum(m * m)), 6) AS pooled_norm FROM q LEFT JOIN m ON m.label = q.label AND m.alt = q.alt AND m.region = q.region AND m.view = q.view GROUP BY ALL""")
+def pooled_regions(spark, d):
+    """Mean vectors of regions of stacked embeddings by label and side, forward and counted from the end, from prefix sums; regions past the end have none."""
+    keys = ["label", "alt"]
+    e = table(spark, d, "embeddings").select("label", (F.col("vec_id") % 2).alias("alt"), "vec_id", "embedding")
+    placed = with_ordinals(e, keys, ["vec_id"], "position", total="n")
+    sums = S.prefix_sums(placed, keys, "position", "embedding", 16)
+    named = spark.createDataFrame([("head", 0, 3), ("middle", 1, 9), ("all", 0, 0), ("beyond", 5, 100000)], "region string, a long, b long")
+    last = F.when(F.col("b") == 0, F.col("n")).otherwise(F.col("b"))
+    back = S.reversed_region(F.col("a"), last, F.col("n"))
+    sides = F.explode(F.array(F.struct(F.lit("forward").alias("view"), F.col("a").alias("start"), last.alias("end")), F.struct(F.lit("reverse").alias("view"), back[0].alias("start"), back[1].alias("end"))))
+    regions = placed.select(*keys, "n").distinct().join(F.broadcast(named)).select(*keys, "region", sides.alias("_r")).select(*keys, "region", "_r.*")
+    out = S.region_means(sums, keys, regions, size=16)
+    return rounded(out.select(*keys, "region", "view", F.get("mean", F.lit(0)).alias("first_dimension"), F.sqrt(F.aggregate("mean", F.lit(0.0), lambda a, x: a + x * x)).alias("pooled_norm")), ["first_dimension", "pooled_norm"])

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,46 +43,97 @@ def read_output(spark: SparkSession, folder: str, name: str, columns: list[str])
 
 
 class RunStore:
-    """Results by run_id that a stopped job can take up again.
-
-    A commit writes data first and the markers after it, so a marker means that its row
-    is whole. Rows that fail validation go to quarantine and get no marker of success.
+    """Results by run_id that a stopped job can take up again, behind a log of commits.
+
+    A commit writes its files first, into a folder of its own, and then one log entry
+    under the next free number. Readers list the log: files without an entry are an
+    interrupted commit and count nowhere. An entry is made by a rename that fails where
+    the number is taken, so of two writers one takes the next number. Rows that fail
+    validation go to quarantine and never count as complete. Of a run that several
+    commits hold, the earliest counts. A commit reads nothing of the store but the log's
+    names; the driver sees one line for each commit.
     """
 
     def __init__(self, spark: SparkSession, folder: str, key: str = "run_id"):
         self.spark, self.folder, self.key = spark, folder.rstrip("/"), key
 
-    def _read(self, name: str, schema: str | None = None) -> DataFrame | None:
+    def _path(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return None
-        return self.spark.read.parquet(f"{self.folder}/{name}")
-
-    def commit(self, results: DataFrame, passed: Column, fingerprint: str) -> None:
-        marked = results.withColumns({"passed": F.coalesce(passed, F.lit(False)), "config_fingerprint": F.lit(fingerprint)})
-        marked.filter("passed").drop("passed").write.mode("append").parquet(f"{self.folder}/data")
-        marked.filter(~F.col("passed")).drop("passed").write.mode("append").parquet(f"{self.folder}/quarantine")
-        done = self._read("data").filter(F.col("config_fingerprint") == fingerprint).select(self.key, "config_fingerprint").distinct()
-        old = self.completed(fingerprint)
-        fresh = done if old is None else done.join(old, self.key, "left_anti")
-        fresh.write.mode("append").parquet(f"{self.folder}/markers")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def log(self) -> list[dict]:
+        """The entries in order: number, commit, fingerprint."""
+        path, fs = self._path("log")
+        if not fs.exists(path):
+            return []
+        names = sorted(x.getPath().getName() for x in fs.listStatus(path))
+        out = []
+        for name in (n for n in names if n.endswith(".json")):
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(fs.open(self._path(f"log/{name}")[0]), "UTF-8")
+            out.append({"number": int(name.removesuffix(".json")), **json.loads(text)})
+        return out
+
+    def _append(self, entry: dict) -> int:
+        folder, fs = self._path("log")
+        fs.mkdirs(folder)
+        waiting, _ = self._path(f"log/{entry['commit']}.waiting")
+        stream = fs.create(waiting, True)
+        stream.write(bytearray(json.dumps(entry).encode()))
+        stream.close()
+        taken = [int(x.getPath().getName().removesuffix(".json")) for x in fs.listStatus(folder) if x.getPath().getName().endswith(".json")]
+        number = max(taken, default=-1) + 1
+        jvm = self.spark._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(folder.toUri() if folder.toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        while True:
+            try:
+                context.rename(waiting, self._path(f"log/{number:012d}.json")[0], options)
+                return number
+            except Py4JJavaError as taken_meanwhile:
+                if "FileAlreadyExists" not in str(taken_meanwhile.java_exception):
+                    raise
+                number += 1
+
+    def commit(self, results: DataFrame, passed: Column, fingerprint: str) -> int:
+        """Add results; returns the commit's number."""
+        commit = uuid.uuid4().hex
+        marked = results.withColumn("_state", F.when(F.coalesce(passed, F.lit(False)), "passed").otherwise("quarantine"))
+        marked.withColumn("config_fingerprint", F.lit(fingerprint)).write.partitionBy("_state").parquet(f"{self.folder}/commits/{commit}")
+        return self._append({"commit": commit, "fingerprint": fingerprint})
+
+    def _rows(self, state: str, fingerprint: str | None = None) -> DataFrame | None:
+        """Rows of all commits, with ``_number``; only the files of this state are read."""
+        out = None
+        for entry in self.log():
+            if fingerprint is not None and entry["fingerprint"] != fingerprint:
+                continue
+            path, fs = self._path(f"commits/{entry['commit']}/_state={state}")
+            if fs.exists(path):
+                rows = self.spark.read.parquet(path.toString()).withColumn("_number", F.lit(entry["number"]))
+                out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+        return out
 
     def completed(self, fingerprint: str) -> DataFrame | None:
-        found = self._read("markers")
-        return None if found is None else found.filter(F.col("config_fingerprint") == fingerprint).select(self.key).distinct()
+        found = self._rows("passed", fingerprint)
+        return None if found is None else found.select(self.key).distinct()
 
     def pending(self, plan: DataFrame, fingerprint: str) -> DataFrame:
-        """Rows of the plan without a valid marker; a config lock: markers of another fingerprint don't count."""
+        """Rows of the plan that no commit of this fingerprint completed; a config lock: those of another don't count."""
         done = self.completed(fingerprint)
         return plan if done is None else plan.join(done, self.key, "left_anti")
 
-    def results(self, fingerprint: str) -> DataFrame:
-        """Committed rows only: data without its marker is an interrupted commit."""
-        data = self._read("data").filter(F.col("config_fingerprint") == fingerprint)
-        return data.join(self.completed(fingerprint), self.key, "left_semi").dropDuplicates([self.key])
+    def results(self, fingerprint: str) -> DataFrame | None:
+        """Complete rows, one for each run: the earliest commit's; of several in one commit any."""
+        found = self._rows("passed", fingerprint)
+        if found is None:
+            return None
+        first = found.groupBy(self.key).agg(F.min_by(F.struct(*[c for c in found.columns if c != self.key]), "_number").alias("_f"))
+        return first.select(self.key, "_f.*").drop("_number")
 
     def quarantined(self) -> DataFrame | None:
-        return self._read("quarantine")
+        found = self._rows("quarantine")
+        return None if found is None else found.drop("_number")
 
 
 def write_staged(df: DataFrame, path: str) -> None:

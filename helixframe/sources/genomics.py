@@ -1,16 +1,23 @@
 """VCF, GTF and FASTA text as DataFrames.
 
-Gzip text is read by one task for each file, so rows are repartitioned after parsing
-where that helps; a file's line order is kept as ``row``.
+Plain text is read in splits. ``fasta_chunks`` puts lines of a genome together over split
+borders, so neither a file nor a sequence is one task's. Gzip text is read by one task for
+each file, unless it is in blocks (``sources.blocked``). A file's line order is kept as
+``row``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixframe.session import written
+from helixframe.sources.blocked import BLOCKED, read_blocked_lines
+
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
+    if path.endswith(BLOCKED):
+        return read_blocked_lines(spark, path).withColumn("row", F.shiftleft("part", 33) + F.col("line")).select("value", "row")
     return spark.read.text(path).withColumn("row", F.monotonically_increasing_id())
 
 
@@ -93,6 +100,45 @@ def chunked(sequences: DataFrame, size: int = 1 << 16, overlap: int = 0) -> Data
     return rows.select("name", "chunk", (F.col("chunk").cast("long") * size + 1).alias("start_1based"), "bases")
 
 
+def fasta_chunks(spark: SparkSession, path: str, size: int = 1 << 16, overlap: int = 0, upper: bool = True) -> DataFrame:
+    """(name, chunk, start_1based, bases) as ``chunked`` gives them, straight from the file's splits.
+
+    A line's sequence and offset follow from its split: what the split's own headers say,
+    or else what the nearest earlier split with a header carries on, one row for each
+    split. A task holds the lines of a split or the pieces of a chunk, never a sequence.
+    Names must be unique; a sequence without bases has no chunks.
+    """
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+    head, bare = F.col("value").startswith(">"), F.regexp_replace("value", r"\s+", "")
+    lines = text.select("file", "split", "line", head.alias("head"), F.when(head, F.substring_index(F.regexp_replace(F.substring("value", 2, 1 << 30), r"\r$", ""), " ", 1)).otherwise(F.upper(bare) if upper else bare).alias("text"))
+    lines = lines.filter("head or text <> ''")
+    here = Window.partitionBy("file", "split").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    length = F.when(F.col("head"), 0).otherwise(F.length("text")).cast("long")
+    lines = written(lines.withColumn("length", length).withColumn("record", F.count_if(F.col("head")).over(here)).withColumn("name", F.last(F.when(F.col("head"), F.col("text")), True).over(here)), "lines")
+    # one row for each split: its last name, the bases after it, and those before its first header
+    last = lines.groupBy("file", "split", "record").agg(F.first("name").alias("name"), F.sum("length").alias("n")).groupBy("file", "split").agg(
+        F.max_by("name", "record").alias("name"), F.max("record").alias("records"), F.max_by("n", "record").alias("after"), F.sum(F.when(F.col("record") == 0, F.col("n")).otherwise(0)).alias("before")
+    )
+    earlier = Window.partitionBy("file").orderBy("split")
+    named = last.withColumn("run", F.count_if(F.col("records") > 0).over(earlier))
+    inside = Window.partitionBy("file", "run").orderBy("split").rowsBetween(Window.unboundedPreceding, 0)
+    reached = named.withColumn("reached", F.sum("after").over(inside)).withColumn("carried", F.last("name", True).over(inside))
+    carry = reached.select("file", "split", F.lag("reached").over(earlier).alias("base"), F.lag("carried").over(earlier).alias("carried"))
+    at = Window.partitionBy("file", "split", "record").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    placed = lines.withColumn("offset", F.coalesce(F.sum("length").over(at), F.lit(0))).filter("not head").join(carry, ["file", "split"])
+    placed = placed.select(F.coalesce("name", "carried").alias("name"), (F.col("offset") + F.when(F.col("record") == 0, F.coalesce("base", F.lit(0))).otherwise(0)).alias("offset"), "text", "length")
+    first = F.greatest(F.floor((F.col("offset") - overlap) / size), F.lit(0))
+    chunks = F.explode(F.sequence(first, F.floor((F.col("offset") + F.col("length") - 1) / size))).alias("chunk")
+    pieces = placed.select("name", "offset", "text", "length", chunks)
+    start, end = F.col("chunk") * size, F.col("chunk") * size + size + overlap
+    cut = F.greatest(start - F.col("offset"), F.lit(0))
+    pieces = pieces.select("name", "chunk", (F.col("offset") + cut).alias("from"), F.substring("text", (cut + 1).cast("int"), (F.least(end - F.col("offset"), F.col("length")) - cut).cast("int")).alias("piece"))
+    held = pieces.filter("piece <> ''").groupBy("name", "chunk").agg(F.array_sort(F.collect_list(F.struct("from", "piece"))).alias("_s"))
+    # a piece that begins past the chunk's own bases is overlap only
+    held = held.filter(F.col("_s")[0]["from"] < (F.col("chunk") + 1) * size)
+    return held.select("name", F.col("chunk").cast("int").alias("chunk"), (F.col("chunk") * size + 1).alias("start_1based"), F.array_join("_s.piece", "").alias("bases"))
+
+
 def with_bases(df: DataFrame, chunks: DataFrame, position: str, length: Column | int, into: str, size: int = 1 << 16) -> DataFrame:
     """``df`` (chromosome, ...) with ``length`` bases from a 1-based position; NULL where they run off an end or the chromosome is unknown.
 

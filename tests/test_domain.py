@@ -1,12 +1,15 @@
 """The domain tier on tiny hand-written files."""
 
 import gzip
+import zlib
+import struct
 from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from helixframe.sources.blocked import read_blocked_lines
 from helixframe.plans import catalog, screen
 from helixframe.plugins import scorer
 from helixframe.sinks import tables as K
@@ -206,3 +209,74 @@ def test_a_cluster_needs_a_shared_folder(spark):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch(SimpleNamespace(conf={}, sparkContext=context), "x")
     assert scratch(spark, "x") != scratch(spark, "x")
+
+
+def test_fasta_chunks_over_split_borders(spark, tmp_path):
+    r = np.random.default_rng(5)
+    made = {f"s{i}": "".join(r.choice(list("ACGTn"), int(n))) for i, n in enumerate([0, 1, 59, 60, 61, 5000, 700, 100, 99])}
+    text = "".join(f">{k} about {k}\r\n" + "".join(v[i : i + 60] + ("\r\n" if i % 120 else "\n\n") for i in range(0, len(v), 60)) for k, v in made.items())
+    (tmp_path / "g.fa").write_bytes(text.encode())
+    for split in ("40b", "333b", "1g"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            for overlap in (0, 30, 150):
+                got = {(x["name"], x["chunk"]): (x["start_1based"], x["bases"]) for x in G.fasta_chunks(spark, str(tmp_path / "g.fa"), 100, overlap).collect()}
+                want = {(k, i // 100): (i + 1, v.upper()[i : i + 100 + overlap]) for k, v in made.items() for i in range(0, len(v), 100)}
+                assert got == want, (split, overlap)
+                if split != "333b":
+                    break
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def blocked_gzip(text, size):
+    out = b""
+    for i in range(0, len(text) + 1, size):
+        part = text[i : i + size]
+        c = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = c.compress(part) + c.flush()
+        out += b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHH", 6, b"BC", 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part))
+    return out
+
+
+def test_blocked_gzip_is_read_by_many_tasks(spark, tmp_path):
+    lines = ["##fileDate=2024-01-01", "#CHROM\tPOS", *(f"7\t{i}\tv{i}\tA\tC,G\t.\t.\tGENEINFO=A:{i}" + "x" * (i % 90) for i in range(1, 200)), "", "7\t900\tlast\tA\tT\t.\t.\tX"]
+    for size in (40, 1000):
+        (tmp_path / "v.vcf.bgz").write_bytes(blocked_gzip("\n".join(lines).encode(), size))
+        for part in (400, 1500, 10**9):
+            rows = read_blocked_lines(spark, str(tmp_path / "v.vcf.bgz"), part).orderBy("part", "line").collect()
+            assert [x["value"] for x in rows] == lines, (size, part)
+            assert (len({x["part"] for x in rows}) > 1) == (part < 10**9)
+    v = G.read_vcf(spark, str(tmp_path / "v.vcf.bgz")).collect()
+    assert len(v) == 199 * 2 + 1 and [x["id"] for x in sorted(v, key=lambda x: (x["row"], x["alt_index"]))][-1] == "last"
+
+
+def test_commit_log(spark, tmp_path, monkeypatch):
+    one, two = (K.RunStore(spark, str(tmp_path / "log")) for _ in range(2))
+    rows = lambda a, b, tag: spark.range(a, b).select(F.col("id").cast("string").alias("run_id"), F.lit(tag).alias("tag"))
+    assert one.results("f") is None and one.quarantined() is None
+    assert one.commit(rows(0, 5, "first"), F.col("run_id") != "3", "f") == 0
+    # a crash after the files, before the entry
+    monkeypatch.setattr(K.RunStore, "_append", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError, match="lost"):
+        two.commit(rows(0, 9, "half"), F.lit(True), "f")
+    monkeypatch.undo()
+    assert {r["run_id"] for r in one.results("f").collect()} == {"0", "1", "2", "4"} and [r["run_id"] for r in one.quarantined().collect()] == ["3"]
+    # a crash while the entry is written leaves a file that waits
+    (tmp_path / "log" / "log" / "abc.waiting").write_text("{")
+    # another writer takes the number meanwhile
+    real, seen = K.RunStore._path, []
+
+    def late(self, name):
+        if name.startswith("log/00") and not seen:
+            seen.append(two.commit(rows(3, 7, "second"), F.lit(True), "f"))
+        return real(self, name)
+
+    monkeypatch.setattr(K.RunStore, "_path", late)
+    number = one.commit(rows(2, 4, "third"), F.lit(True), "f")
+    monkeypatch.undo()
+    assert sorted([number, *seen]) == [1, 2]
+    tags = {r["run_id"]: r["tag"] for r in one.results("f").collect()}
+    third = "second" if seen[0] < number else "third"
+    assert tags == {"0": "first", "1": "first", "2": "first", "3": third, "4": "first", "5": "second", "6": "second"}
+    assert one.pending(rows(0, 9, "x"), "f").count() == 2 and one.pending(rows(0, 9, "x"), "other").count() == 9

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import spectral
 from helixframe.functions import vectors as V
-from helixframe.operators import aggregates as A, comoments, intervals
+from helixframe.operators import aggregates as A, comoments, intervals, ordinals, series
 from helixframe.operators import joins, ordering, ranks, ridge
 from helixframe.quality import checks
 
@@ -358,3 +358,41 @@ def test_forbidden_reads_are_refused(spark, tmp_path):
     assert checks.reads_only(a, [str(tmp_path / "open")]).count() == 3
     with pytest.raises(ValueError, match="closed"):
         checks.reads_only(a.join(b, "id"), [f"file://{tmp_path}/open"])
+
+
+def test_blocked_convolution_equals_the_direct_sum(spark):
+    r = np.random.default_rng(3)
+    lengths, filters = {"a": 1000, "b": 65, "c": 64, "d": 1}, {"a": r.normal(size=150), "b": r.normal(size=70), "c": r.normal(size=1), "d": r.normal(size=9)}
+    values = {k: r.normal(size=n) for k, n in lengths.items()}
+    rows = spark.createDataFrame([(k, i, float(v)) for k, x in values.items() for i, v in enumerate(x)] + [("no filter", 0, 1.0)], "channel string, position long, value double").repartition(5)
+    taps = spark.createDataFrame([(k, t.tolist()) for k, t in filters.items()], "channel string, taps array<double>")
+    made = series.blocked_convolution(series.blocks_of(rows, ["channel"], "position", "value", 64), ["channel"], taps, ["channel"], 64)
+    got = {(x["channel"], x["position"]): x["value"] for x in series.rows_of(made, ["channel"], size=64).collect()}
+    assert len(got) == sum(lengths.values())
+    for k, x in values.items():
+        want = np.convolve(x, filters[k])[: len(x)]
+        assert max(abs(got[k, i] - w) for i, w in enumerate(want)) < 1e-9
+
+
+def test_a_million_positions(spark):
+    n, taps = 1_000_000, [0.5**k for k in range(128)]
+    rows = spark.range(n).select(F.lit("s").alias("channel"), F.col("id").alias("position"), (F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000.0).alias("value"))
+    made = series.blocked_convolution(series.blocks_of(rows, ["channel"], "position", "value"), ["channel"], spark.createDataFrame([("s", taps)], "channel string, taps array<double>"), ["channel"])
+    out = series.rows_of(made, ["channel"])
+    assert out.count() == n
+    ends = [0, 1, 4095, 4096, 4097, 500_000, n - 1]
+    near = {x["position"]: x["value"] for x in rows.filter(F.col("position").isin([e - k for e in ends for k in range(128)])).collect()}
+    for x in out.filter(F.col("position").isin(ends)).collect():
+        assert x["value"] == pytest.approx(sum(h * near.get(x["position"] - k, 0.0) for k, h in enumerate(taps)), abs=1e-9)
+
+
+def test_ordinals_of_a_hot_key_and_of_ties(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 2 == 0, "b").alias("k"), (F.col("id") % 5).alias("v"), "id")
+    rows = ordinals.with_ordinals(df, ["k"], ["v", "id"], total="n").collect()
+    for k in ("hot", "b", None):
+        mine = sorted((r for r in rows if r["k"] == k), key=lambda r: r["ordinal"])
+        assert [r["ordinal"] for r in mine] == list(range(len(mine))) and [(r["v"], r["id"]) for r in mine] == sorted((r["v"], r["id"]) for r in mine) and {r["n"] for r in mine} == {len(mine)}
+    same = ordinals.with_ordinals(spark.range(500).select(F.lit(1).alias("v")), [], ["v"]).collect()
+    assert sorted(r["ordinal"] for r in same) == list(range(500)) and ordinals.with_ordinals(df.limit(0), ["k"], ["v"]).count() == 0
+    blocks = ordinals.in_blocks(df, ["k"], ["id"], 4, 10)
+    assert blocks.filter("not _halo").count() == 3000 and blocks.filter("_halo").count() == sum(4 * (n // 10) + max(0, n % 10 - 6) for n in (2000, 500, 500))
