@@ -94,14 +94,14 @@ def purge_counts(df: DataFrame, group: str, key: str, span: tuple[str, str], bin
     merged = interval_union(rows.select(every, F.col(group).alias("_outer"), F.col(start).alias("_from"), F.col(end).alias("_to")), [every, "_outer"], "_from", "_to")
     met = overlap_join(rows, merged, [every], span, ("_from", "_to"), bin_size).filter(~F.col(group).eqNullSafe(F.col("_outer")))
     gone = met.select(key, "_outer").distinct().groupBy(F.col("_outer").alias(group)).agg(F.count("*").alias("excluded_overlap_n"))
-    right = rows.select(every, F.col(group).alias("_g"), F.col(start).alias("_from"), F.col(end).alias("_to"))
-    pairs = overlap_count(rows, right, [every], span, ("_from", "_to"), bin_size, [group]).withColumnRenamed("overlap_pairs", "_with_all")
-    own = overlap_count(rows, right.withColumnRenamed("_g", group), [group], span, ("_from", "_to"), bin_size, [group]).withColumnRenamed("overlap_pairs", "_with_own")
-    out = sizes.crossJoin(F.broadcast(whole))  # one row
-    for side in (gone, pairs, own):
-        out = join_same(out, side, [group], "left")
+    # each row once under a name that all share and once under its group's
+    named = rows.select(group, *span, F.explode(F.array(F.lit("*"), F.concat(F.lit("g"), F.coalesce(F.col(group).cast("string"), F.lit(""))))).alias("_scope"))
+    right = named.select("_scope", F.col(start).alias("_from"), F.col(end).alias("_to"))
+    met_by = overlap_count(named, right, ["_scope"], span, ("_from", "_to"), bin_size, [group, "_scope"])
+    pairs = met_by.groupBy(group).agg(F.sum(F.when(F.col("_scope") == "*", F.col("overlap_pairs")).otherwise(-F.col("overlap_pairs"))).alias("_pairs"))
+    out = join_same(join_same(sizes.crossJoin(F.broadcast(whole)), gone, [group], "left"), pairs, [group], "left")  # ``whole`` is one row
     zero = lambda c: F.coalesce(c, F.lit(0))
-    out = out.select(group, (F.col("_all") - F.col("_n")).alias("initial_train_n"), zero("excluded_overlap_n").alias("excluded_overlap_n"), (zero("_with_all") - zero("_with_own")).alias("overlap_pairs"))
+    out = out.select(group, (F.col("_all") - F.col("_n")).alias("initial_train_n"), zero("excluded_overlap_n").alias("excluded_overlap_n"), zero("_pairs").alias("overlap_pairs"))
     return out.withColumn("retained_train_n", F.col("initial_train_n") - F.col("excluded_overlap_n")).filter("initial_train_n > 0")
 
 

@@ -72,7 +72,6 @@ def loeo_one_feature(df: DataFrame, keys: list[str], group: str, x: str, y: str,
     inner = outer.join(m.select(*keys, F.col("_g").alias("inner_group"), *[F.col(c).alias(f"o_{c}") for c in _LINE]), keys).filter("inner_group <> outer_group")
     inner = _less_line(inner, "o_").select(*keys, "outer_group", "inner_group", *_LINE)
     folds = _checked_lines(outer.withColumn("inner_group", F.lit(None).cast(dict(m.dtypes)["_g"])).unionByName(inner), whole, m, keys)
-    folds = written(folds.filter("n > 0.5"), "folds")
 
     def line(lam):
         """The slope of ridge on standardised x: it shrinks by 1 + lambda."""
@@ -123,10 +122,13 @@ def _checked_lines(folds: DataFrame, whole: DataFrame, m: DataFrame, keys: list[
     at = folds.join(whole.select(*keys, F.col("sxx").alias("w_sxx"), F.col("syy").alias("w_syy"), (F.col("high_x") > F.col("low_x")).alias("_varies"), (F.col("high_y") > F.col("low_y")).alias("_moves")), keys)
     risky = (F.col("_varies") & (F.col("sxx") <= GUARD * F.col("w_sxx"))) | (F.col("_moves") & (F.col("syy") <= GUARD * F.col("w_syy")))
     ids = [*keys, "outer_group", "inner_group"]
-    sure = at.filter(~risky).select(*ids, *_LINE, F.col("_varies").alias("live"))
-    stay = at.filter(risky & (F.col("n") > 0.5)).select(*ids).join(m, keys).filter((F.col("_g") != F.col("outer_group")) & (F.col("inner_group").isNull() | (F.col("_g") != F.col("inner_group"))))
+    at = written(at.filter("n > 0.5").select(*ids, *_LINE, F.col("_varies").alias("live"), risky.alias("_risky")), "folds")
+    sure = at.filter("not _risky").drop("_risky")
+    if not at.filter("_risky").take(1):
+        return sure
+    stay = at.filter("_risky").select(*ids).join(m, keys).filter((F.col("_g") != F.col("outer_group")) & (F.col("inner_group").isNull() | (F.col("_g") != F.col("inner_group"))))
     exact = _merged_lines(stay, ids)
-    return sure.unionByName(exact.select(*ids, *_LINE, (F.col("high_x") > F.col("low_x")).alias("live")))
+    return written(sure.unionByName(exact.select(*ids, *_LINE, (F.col("high_x") > F.col("low_x")).alias("live"))), "folds")
 
 
 # --- several features -------------------------------------------------------------------

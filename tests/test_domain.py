@@ -269,7 +269,8 @@ def test_commit_log(spark, tmp_path, monkeypatch):
 
     def late(self, name):
         if name.startswith("log/00") and not seen:
-            seen.append(two.commit(rows(3, 7, "second"), F.lit(True), "f"))
+            seen.append(None)
+            seen[0] = two.commit(rows(3, 7, "second"), F.lit(True), "f")
         return real(self, name)
 
     monkeypatch.setattr(K.RunStore, "_path", late)
