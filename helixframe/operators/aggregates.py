@@ -35,8 +35,14 @@ def counts_by_label(df: DataFrame, label: Column, conditions: dict[str, Column])
     return df.groupBy(label.alias("label")).agg(F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in conditions.items()])
 
 
-def metric_bundle(df: DataFrame, keys: list[str], group: str, truth: str, prediction: str) -> DataFrame:
-    """n, MAE, macro MAE (mean of the groups' MAEs), RMSE."""
+def metric_bundle(df: DataFrame, keys: list[str], group: str, truth: str, prediction: str, ranked: bool = False) -> DataFrame:
+    """n, MAE, macro MAE (mean of the groups' MAEs), RMSE; with ``ranked`` also the rank correlation, NULL where a side is constant, and whether it is defined.
+
+    Rows without a truth or a prediction count in none of the errors and no rank.
+    """
+    if ranked:
+        ranks = spearman(df, keys, prediction, truth).select(*keys, "spearman", "spearman_defined")
+        return join_same(metric_bundle(df, keys, group, truth, prediction), ranks, keys)
     e = F.col(prediction) - F.col(truth)
     per = df.groupBy(*keys, group).agg(F.count("*").alias("_n"), F.sum(F.abs(e)).alias("_a"), F.sum(e * e).alias("_s"))
     return per.groupBy(*keys).agg(

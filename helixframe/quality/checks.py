@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.session import rename
+
 
 def membership_hash(df: DataFrame, keys: list[str], member: str) -> DataFrame:
     """n and the SHA-256 of the compact JSON list of each group's sorted members.
@@ -102,10 +104,8 @@ def write_json_atomic(path: str, value: object, replace: bool = True) -> bool:
     out = fs.create(part, False)
     out.write(body)
     out.close()
-    # a rename doesn't overwrite: of two writers one finds the other's document
-    if replace and fs.exists(target):
-        fs.delete(target, False)
-    done = not fs.exists(target) and fs.rename(part, target)
+    # one step, so a crash leaves the old document or the new one; of two writers that mustn't replace, one finds the other's
+    done = rename(SparkSession.getActiveSession(), part.toString(), path, overwrite=replace)
     if not done:
         fs.delete(part, False)
     return done

@@ -209,3 +209,14 @@ def remaining_time(spark, d):
     e = A.trailing_mean(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value", 100, "mean_100", "n")
     out = e.select("event_id", "user_id", A.remaining_seconds(F.col("mean_100"), F.col("n"), F.lit(1000)).alias("remaining"))
     return rounded(out, ["remaining"])
+
+
+@query("""WITH e AS (SELECT l_returnflag, l_suppkey % 25 AS grp, l_extendedprice AS y, CASE WHEN l_returnflag = 'R' THEN 30000.0 ELSE l_quantity * 1500 END AS p FROM lineitem), g AS (SELECT l_returnflag, grp, count(*) AS n, sum(abs(p - y)) AS a, sum((p - y) * (p - y)) AS s FROM e GROUP BY 1, 2),
+  b AS (SELECT l_returnflag, CAST(sum(n) AS BIGINT) AS n, round(sum(a) / sum(n), 4) AS mae, round(avg(a / n), 4) AS macro_mae, round(sqrt(sum(s) / sum(n)), 4) AS rmse FROM g GROUP BY 1),
+  r AS (SELECT l_returnflag, rank() OVER (PARTITION BY l_returnflag ORDER BY p) + (count(*) OVER (PARTITION BY l_returnflag, p) - 1) / 2 AS rx, rank() OVER (PARTITION BY l_returnflag ORDER BY y) + (count(*) OVER (PARTITION BY l_returnflag, y) - 1) / 2 AS ry FROM e),
+  c AS (SELECT l_returnflag, CASE WHEN min(rx) < max(rx) AND min(ry) < max(ry) THEN round(corr(rx, ry), 9) END AS spearman, min(rx) < max(rx) AND min(ry) < max(ry) AS spearman_defined FROM r GROUP BY 1) SELECT * FROM b JOIN c USING (l_returnflag)""")
+def ranked_metric_bundle(spark, d):
+    """Errors and rank correlation by flag; one flag's prediction is constant, so its correlation isn't defined."""
+    p = F.when(F.col("l_returnflag") == "R", 30000.0).otherwise(F.col("l_quantity") * 1500)
+    l = table(spark, d, "lineitem").select("l_returnflag", (F.col("l_suppkey") % 25).alias("grp"), F.col("l_extendedprice").alias("y"), p.alias("p"))
+    return rounded(rounded(A.metric_bundle(l, ["l_returnflag"], "grp", "y", "p", ranked=True), ["mae", "macro_mae", "rmse"], 4), ["spearman"], 9)

@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -38,6 +39,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{found.rstrip('/')}/helixframe-{name}-{uuid.uuid4().hex}"
 
 
+def rename(spark: SparkSession, path: str, target: str, overwrite: bool) -> bool:
+    """Move a file in one step, in any store that Spark reaches: over what ``target`` holds, or else False where it holds anything."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    a, b = (jvm.org.apache.hadoop.fs.Path(x) for x in (path, target))
+    a, b = (x.makeQualified(fs.getUri(), fs.getWorkingDirectory()) for x in (a, b) for fs in (x.getFileSystem(conf),))
+    kinds = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(kinds, 1)
+    options[0] = kinds.OVERWRITE if overwrite else kinds.NONE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(b.toUri(), conf).rename(a, b, options)
+    except Py4JJavaError as failed:
+        if overwrite or "FileAlreadyExists" not in str(failed.java_exception):
+            raise
+        return False
+    return True
+
+
 #: Folders and tables in the shared folder that this process has made and not deleted.
 _LIVE: set[str] = set()
 

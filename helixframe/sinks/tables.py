@@ -6,10 +6,11 @@ import json
 import uuid
 from functools import reduce
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.session import rename
+
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     """Exactly ``columns``, in order; others don't go out."""
@@ -82,18 +83,9 @@ class RunStore:
         stream.close()
         taken = [int(x.getPath().getName().removesuffix(".json")) for x in fs.listStatus(folder) if x.getPath().getName().endswith(".json")]
         number = max(taken, default=-1) + 1
-        jvm = self.spark._jvm
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(folder.toUri() if folder.toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
-        while True:
-            try:
-                context.rename(waiting, self._path(f"log/{number:012d}.json")[0], options)
-                return number
-            except Py4JJavaError as taken_meanwhile:
-                if "FileAlreadyExists" not in str(taken_meanwhile.java_exception):
-                    raise
-                number += 1
+        while not rename(self.spark, waiting.toString(), f"{self.folder}/log/{number:012d}.json", overwrite=False):
+            number += 1  # taken meanwhile
+        return number
 
     def commit(self, results: DataFrame, passed: Column, fingerprint: str) -> int:
         """Add results; returns the commit's number."""
