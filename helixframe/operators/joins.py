@@ -32,11 +32,6 @@ def overlap_join(left: DataFrame, right: DataFrame, on: list[str], left_span: tu
     return _binned(left, ls, le, bin_size).join(_binned(right, rs, re_, bin_size), [*on, "_bin"]).filter(touch & (F.col("_bin") == first)).drop("_bin")
 
 
-def overlap_pairs(left: DataFrame, right: DataFrame, on: list[str], left_span: tuple[str, str], right_span: tuple[str, str], bin_size: int) -> DataFrame:
-    """``overlap_join`` on the distinct spans of ``right``, for callers that ask only which rows meet."""
-    return overlap_join(left, right.distinct(), on, left_span, right_span, bin_size)
-
-
 def overlap_exists(
     left: DataFrame, right: DataFrame, on: list[str], key: list[str], left_span: tuple[str, str], right_span: tuple[str, str], bin_size: int, keep: bool = True
 ) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from helixframe.operators import aggregates, joins, ordering, reshape
+from helixframe.operators import joins, reshape
 from helixframe.quality import checks
 from helixframe.queries import query
 from helixframe.session import table

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequences as S
-from helixframe.operators import classify, joins, reshape
+from helixframe.operators import classify, reshape
 from helixframe.queries import query
 from helixframe.session import table
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequences as S
-from helixframe.functions import vectors as V
 from helixframe.operators import joins
 from helixframe.plans import screen
 from helixframe.quality import checks
