@@ -1,9 +1,8 @@
-"""Sorting by priority, paging, best rows of groups, matched controls, shared-draw resampling."""
+"""Sorting by priority, paging, best rows of groups, shared-draw resampling."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,34 +60,6 @@ def top_labels(df: DataFrame, key: str, metrics: list[tuple[str, str]], k: int,
     return out.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_label"))), lambda x: x["_label"]), ";").alias("labels"))
 
 
-def matched_controls(chosen: DataFrame, pool: DataFrame, key: str, group: list[str], locus: str, metric: str) -> DataFrame:
-    """(key, control): for each chosen row in turn an unused row of its group, at the same locus if any is, of least metric.
-
-    Sequential by nature: a control that an earlier row took is gone. Groups are
-    independent, so each is one task; the chosen rows of a group are few by construction
-    (a top-k), and of the pool only the first candidates travel: a row can lose at most
-    as many candidates as there are chosen rows in its group.
-    """
-    c = chosen.select(*group, F.col(key).alias("chosen"), F.col(locus).alias("locus_"), "ordinal")
-    p = pool.join(chosen.select(key), key, "left_anti").filter(F.col(metric).isNotNull()).select(*group, F.col(key).alias("candidate"), F.col(locus).alias("_locus"), F.col(metric).alias("_metric"))
-    size = chosen.groupBy(*group).agg(F.count("*").alias("size"))
-    measured = c.join(p, group).join(size, group).withColumn("elsewhere", (F.col("locus_") != F.col("_locus")).cast("int"))
-    w = Window.partitionBy(*group, "chosen").orderBy("elsewhere", "_metric", "candidate")
-    near = measured.withColumn("rank", F.row_number().over(w)).filter("rank <= size").select(*group, "chosen", "ordinal", "candidate", "rank")
-    schema = f"{key} {dict(chosen.dtypes)[key]}, control {dict(pool.dtypes)[key]}"
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for (_, name), some in rows.sort_values("rank").groupby(["ordinal", "chosen"], sort=True):
-            free = [x for x in some["candidate"] if x not in used]
-            if free:
-                used.add(free[0])
-                out.append((name, free[0]))
-        return pd.DataFrame(out, columns=[key, "control"])
-
-    return near.groupBy(*group).applyInPandas(pick, schema)
-
-
 def every_kth(df: DataFrame, group: str, k: int) -> DataFrame:
     """Rows whose group's place in sorted order is a multiple of ``k``; no window holds all groups."""
     return df.join(places(df.filter(F.col(group).isNotNull()), group).filter(F.col("place") % k == 0).select(group), group, "left_semi")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import sequences as S
 from helixframe.functions import vectors as V
-from helixframe.operators import aggregates, classify, joins, ordering, reshape
+from helixframe.operators import aggregates, classify, joins, matching, ordering, reshape
 
 GROUP_ORDER = ["splice_dinucleotide", "splice_nearby_20bp", "other_snv"]
 
@@ -51,7 +51,7 @@ def candidates(summary: DataFrame, key: str, group: list[str], locus: str, metri
     from pyspark.sql import Window
 
     chosen = chosen.withColumn("ordinal", F.row_number().over(Window.orderBy(F.desc(control_metric), key)))
-    controls = ordering.matched_controls(chosen, summary, key, group, locus, control_metric)
+    controls = matching.matched_controls(chosen, summary, key, group, locus, control_metric)
     marked = controls.select(F.col("control").alias(key), F.concat(F.lit("comparison_for:"), F.col(key)).alias("labels"))
     return chosen.select(key, "labels").unionByName(marked)
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.operators import aggregates as A
+from helixframe.operators import matching, reshape
 from helixframe.operators import ordering as O
-from helixframe.operators import reshape
 from helixframe.quality import checks
 from helixframe.queries import query
 from helixframe.session import table
@@ -142,7 +142,7 @@ def greedy_matched_controls(spark, d):
     from pyspark.sql import Window
 
     top = top.withColumn("ordinal", F.row_number().over(Window.orderBy(F.desc("p_retailprice"), "p_partkey")))  # 40 rows
-    return O.matched_controls(top, p, "p_partkey", ["p_brand"], "p_size", "p_retailprice")
+    return matching.matched_controls(top, p, "p_partkey", ["p_brand"], "p_size", "p_retailprice")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM (SELECT o_custkey, row_number() OVER (ORDER BY o_custkey) - 1 AS n FROM (SELECT DISTINCT o_custkey FROM orders)) WHERE n % 100 = 0)")
