@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import spectral
 from helixframe.functions import vectors as V
-from helixframe.operators import joins
+from helixframe.operators import hashtrees, joins
 from helixframe.operators import series as S
 from helixframe.operators.ordinals import with_ordinals
 from helixframe.queries import query
 from helixframe.queries.summarising import rounded
-from helixframe.session import table
+from helixframe.session import kept, scratch, table
 
 _PAIR = "p AS (SELECT vec_id, label, CAST(r AS DOUBLE[]) AS r, CAST(a AS DOUBLE[]) AS a FROM (SELECT vec_id, label, embedding AS r, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS a FROM embeddings) WHERE a IS NOT NULL)"
 _D = "list_transform(list_zip(a, r), lambda z: z[1] - z[2])"
@@ -88,6 +88,21 @@ def exact_diff_first(spark, d):
     return e.select("vec_id", V.changed_count(F.col("a"), F.col("b")).alias("changed"), V.first_change(F.col("a"), F.col("b")).cast("long").alias("first_position"))
 
 
+@query("""WITH v AS (SELECT vec_id, embedding AS a, CASE WHEN vec_id % 3 = 0 THEN embedding ELSE list_concat(embedding[1:CAST(vec_id % 64 AS INTEGER)], [CAST(embedding[CAST(vec_id % 64 AS INTEGER) + 1] + 1 AS FLOAT)], embedding[CAST(vec_id % 64 AS INTEGER) + 2:]) END AS b FROM embeddings),
+  d AS (SELECT vec_id, list_transform(list_zip(a, b), lambda z: abs(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE))) AS g FROM v)
+  SELECT vec_id, CAST(len(list_filter(g, lambda x: x <> 0)) AS BIGINT) AS changed, CASE WHEN list_max(g) > 0 THEN CAST(list_position(g, list_filter(g, lambda x: x <> 0)[1]) - 1 AS BIGINT) END AS first_position,
+    CASE WHEN list_max(g) > 0 THEN round(list_max(g), 6) END AS max_abs, CAST(CASE WHEN list_max(g) > 0 THEN 1 ELSE 0 END AS BIGINT) AS blocks FROM d""")
+def hash_tree_differences(spark, d):
+    """Two runs of all vectors written with hash trees; of a vector only the block whose hash differs is read again."""
+    at, v = (F.col("vec_id") % 64).cast("int"), F.col("embedding")
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    bumped = e.select("vec_id", F.when(F.col("vec_id") % 3 == 0, v).otherwise(F.transform(v, lambda x, i: F.when(i == at, (x + 1).cast("float")).otherwise(x))).alias("embedding"))
+    left, right = (kept(scratch(spark, "hash-tree")) for _ in range(2))
+    for run, folder in ((e, left), (bumped, right)):
+        hashtrees.write_tree(run, ["vec_id"], "embedding", folder, size=8, fan=4, shards=16)
+    return rounded(hashtrees.differences(spark, left, right), ["max_abs"])
+
+
 TAPS = [0.5, 0.25, -0.125, 0.0625]
 
 

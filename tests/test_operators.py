@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import spectral
 from helixframe.functions import vectors as V
-from helixframe.operators import aggregates as A, comoments, intervals, ordinals, series
+from helixframe.operators import aggregates as A, comoments, hashtrees, intervals, matching, ordinals, series
 from helixframe.operators import joins, ordering, ranks, ridge
 from helixframe.quality import checks
 
@@ -56,10 +56,52 @@ def test_nulls_do_not_rank_and_controls_are_used_once(spark):
     df = spark.createDataFrame(rows, "id string, grp string, locus int, m double")
     assert {r["id"] for r in ordering.top_labels(df, "id", [("m", "top")], 9).collect()} == set("abcdf")
     top = df.filter("id in ('a', 'b')").withColumn("ordinal", F.when(F.col("id") == "a", 1).otherwise(2))
-    got = {r["id"]: r["control"] for r in ordering.matched_controls(top, df, "id", ["grp"], "locus", "m").collect()}
+    got = {r["id"]: r["control"] for r in matching.matched_controls(top, df, "id", ["grp"], "locus", "m").collect()}
     assert got == {"a": "c", "b": "d"}  # c shares a's locus; it is gone when b's turn comes, and e has no metric
 
 
+@pytest.mark.parametrize("seed, locus_of", [(1, 3), (3, 60)])
+def test_matching_in_rounds_is_the_walk_in_turn(spark, seed, locus_of):
+    """One hot group of two, loci that run out, rows that wander, equal metrics, null loci and metrics."""
+    r = np.random.default_rng(seed)
+    rows = [(i, "hot" if r.random() < 0.8 else "cold", None if r.random() < 0.05 else int(r.integers(0, locus_of)), None if r.random() < 0.05 else float(r.integers(0, 40))) for i in range(260)]
+    names = [int(x) for x in r.permutation(260)[:110]]
+    turn = {k: n // 2 for n, k in enumerate(names)}  # pairs of rows share an ordinal
+    df = spark.createDataFrame(rows, "id long, grp string, locus int, m double")
+    chosen = df.join(spark.createDataFrame(list(turn.items()), "id long, ordinal long"), "id")
+    by, used, want = {x[0]: x for x in rows}, set(names), {}
+    for k in sorted(names, key=lambda k: (turn[k], k)):
+        free = [x for x in rows if x[0] not in used and x[1] == by[k][1] and x[3] is not None]
+        if free:
+            best = min(free, key=lambda x: (x[2] is None or x[2] != by[k][2], x[3], x[0]))
+            want[k] = best[0]
+            used.add(best[0])
+    got = {x["id"]: x["control"] for x in matching.matched_controls(chosen, df, "id", ["grp"], "locus", "m", 8).collect()}
+    assert got == want
+
+
+def test_hash_trees_of_arrays(spark, tmp_path):
+    r = np.random.default_rng(5)
+    arrays = {k: r.normal(size=n).tolist() for k, n in enumerate((0, 1, 7, 64, 65, 300, 5000, 20))}
+    other = {k: list(v) for k, v in arrays.items()} | {9: [1.0]}
+    other[5][299] += 2.0
+    for i in (17, 18, 4000):
+        other[6][i] -= 0.5
+    other[4] = other[4][:40]
+    other[7][3], arrays[7][3] = -0.0, 0.0
+    other[3][10] = arrays[3][10] = float("nan")
+    arrays[2][1], other[2][1] = None, 1.0
+    frames = [spark.createDataFrame([*x.items(), *extra], "k long, v array<double>") for x, extra in ((arrays, [(8, None)]), (other, [(8, [])]))]
+    assert [hashtrees.write_tree(f, ["k"], "v", str(tmp_path / n), 8, 4, 16) for f, n in zip(frames, "ab")] == [6, 6]
+    got = {x["k"]: tuple(x)[1:] for x in hashtrees.differences(spark, str(tmp_path / "a"), str(tmp_path / "b")).collect()}
+    same = (0, None, None, 0)
+    assert got == {0: same, 1: same, 2: (1, 1, pytest.approx(max(abs(x - y) for x, y in zip(arrays[2], other[2]) if x is not None), abs=1), 1), 3: same, 4: (25, 40, None, 4), 5: (1, 299, pytest.approx(2.0), 1), 6: (3, 17, pytest.approx(0.5), 2), 7: same, 8: same, 9: (1, 0, None, 1)}
+    assert hashtrees.unequal_blocks(spark, str(tmp_path / "a"), str(tmp_path / "a")).count() == 0
+    hashtrees.write_tree(frames[0], ["k"], "v", str(tmp_path / "c"), 16, 4, 16)
+    with pytest.raises(ValueError):
+        hashtrees.differences(spark, str(tmp_path / "a"), str(tmp_path / "c"))
+
+
 def test_every_kth_over_partitions(spark):
     df = spark.range(1000).select((F.col("id") * 3).alias("g"))
     assert sorted(r["g"] for r in ordering.every_kth(df, "g", 100).collect()) == [300 * i for i in range(10)]
