@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import sequences as S
 from helixframe.operators import joins
+from helixframe.operators.ordinals import with_ordinals
 from helixframe.plans import screen
 from helixframe.quality import checks
 from helixframe.queries import query
@@ -14,6 +15,7 @@ from helixframe.session import kept, scratch, table
 from helixframe.sinks import tables as K
 from helixframe.sources import genomics as G
 from helixframe.sources import tables as T
+from helixframe.streaming import progress
 
 
 def kept_scratch(spark, name):
@@ -236,3 +238,20 @@ def genome_chunks(spark, d):
     heads = p.groupBy("k").agg(F.lit(-1).cast("long").alias("p_partkey"), F.concat(F.lit(">s"), F.col("k").cast("string"), F.lit(" made")).alias("line"))
     p.select("k", F.col("p_partkey").cast("long").alias("p_partkey"), "line").unionByName(heads.select("k", "p_partkey", "line")).orderBy("k", "p_partkey").coalesce(1).select("line").write.text(path)
     return G.fasta_chunks(spark, path, 500, 20)
+
+
+@query("""WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, count(*) OVER (PARTITION BY user_id) AS n, value FROM events),
+  g AS (SELECT user_id, max(n) + CASE WHEN user_id % 3 = 0 THEN 10 ELSE 0 END AS planned, count(*) AS completed FROM s GROUP BY 1),
+  m AS (SELECT user_id, avg(value) AS mean_seconds FROM s WHERE step >= n - 100 GROUP BY 1)
+  SELECT CAST(user_id AS VARCHAR) AS run, completed, planned, round(mean_seconds, 6) AS mean_seconds, round(mean_seconds * (planned - completed), 6) AS remaining_seconds, planned = completed AS complete FROM g JOIN m USING (user_id)""")
+def stateful_progress(spark, d):
+    """Events as step markers of a run for each user, streamed from shuffled files with every third marker sent again."""
+    e = with_ordinals(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "step", total="n")
+    planned = F.col("n") + F.when(F.col("user_id") % 3 == 0, 10).otherwise(0)
+    m = e.select(F.col("user_id").cast("string").alias("run"), "step", F.col("value").alias("seconds"), planned.alias("planned"), F.explode(F.when(F.col("event_id") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("again"))
+    sent, out, state = (kept_scratch(spark, x) for x in ("markers", "progress", "progress-state"))
+    m.repartition(3, F.xxhash64("step", "again")).drop("again").write.parquet(sent)
+    stream = spark.readStream.schema(progress.STEP).option("maxFilesPerTrigger", 2).parquet(sent)
+    progress.keep_progress(progress.progress_stream(stream), out, state)
+    p = progress.latest_progress(spark, out)
+    return p.select("run", "completed", "planned", *[F.round(c, 6).alias(c) for c in ("mean_seconds", "remaining_seconds")], (F.col("status") == "complete").alias("complete"))
