@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from helixframe.functions import spectral
@@ -9,6 +10,7 @@ from helixframe.functions import vectors as V
 from helixframe.operators import hashtrees, joins
 from helixframe.operators import series as S
 from helixframe.operators.ordinals import with_ordinals
+from helixframe.plugins import layers
 from helixframe.queries import query
 from helixframe.queries.summarising import rounded
 from helixframe.session import kept, scratch, table
@@ -205,3 +207,35 @@ def pooled_regions(spark, d):
     regions = placed.select(*keys, "n").distinct().join(F.broadcast(named)).select(*keys, "region", sides.alias("_r")).select(*keys, "region", "_r.*")
     out = S.region_means(sums, keys, regions, size=16)
     return rounded(out.select(*keys, "region", "view", F.get("mean", F.lit(0)).alias("first_dimension"), F.sqrt(F.aggregate("mean", F.lit(0.0), lambda a, x: a + x * x)).alias("pooled_norm")), ["first_dimension", "pooled_norm"])
+
+
+class LetterLayers:
+    """Two layers of a text: whether a position, and the one before it, is a vowel, a digit, a blank; in blocks of positions."""
+
+    def __init__(self, size: int = 512):
+        self.size, self.classes = size, np.zeros((0x110000, 3))
+        for i, letters in enumerate(("aeiou", "0123456789", " ")):
+            self.classes[[ord(c) for c in letters], i] = 1
+
+    def layers(self, sequence):
+        codes = np.frombuffer(sequence.encode("utf-32-le", "surrogatepass"), "<u4")
+        for a in range(0, len(codes), self.size):
+            yield "here", a, self.classes[codes[a : a + self.size]]
+            before = self.classes[codes[max(0, a - 1) : a + self.size - 1][: len(codes) - a]]
+            yield "before", a, before if a else np.concatenate([np.zeros((1, 3)), before])[: min(self.size, len(codes))]
+
+
+_SPANS = (("head", 0, 100), ("far", 1000, 3000), ("tail", -100, 0), ("all", 0, 0))
+
+
+@query(f"""WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL AND length(text) > 0), r AS (SELECT * FROM (VALUES {", ".join(map(str, _SPANS))}) v(region, a, b)),
+  p AS (SELECT doc_id, text, region, layer, n, CASE WHEN a < 0 THEN n + a ELSE a END AS s, CASE WHEN b <= 0 THEN n + b ELSE b END AS e FROM d, r, (VALUES ('here'), ('before')) l(layer)),
+  t AS (SELECT *, s >= 0 AND e <= n AND e > s AS ok, CASE WHEN layer = 'here' THEN substr(text, s + 1, e - s) ELSE substr(text, greatest(s, 1), e - s - CASE WHEN s = 0 THEN 1 ELSE 0 END) END AS x FROM p)
+  SELECT doc_id, layer, region, {", ".join(f"CASE WHEN ok THEN round(CAST(length(x) - length(regexp_replace(x, '[{c}]', '', 'g')) AS DOUBLE) / (e - s), 6) END AS {name}" for name, c in (("vowels", "aeiou"), ("digits", "0-9"), ("blanks", " ")))} FROM t""")
+def pooled_layer_stream(spark, d):
+    """Mean vectors of regions of two layers of every text, from layers that come block by block."""
+    docs = table(spark, d, "documents").filter(F.length("text") > 0)
+    n = F.length("text").cast("long")
+    regions = F.array(*[F.struct(F.lit(name).alias("region"), (n + a if a < 0 else F.lit(a).cast("long")).alias("start"), (n + b if b <= 0 else F.lit(b).cast("long")).alias("end")) for name, a, b in _SPANS])
+    got = layers.pooled_layers(docs.select("doc_id", "text", regions.alias("regions")), ["doc_id"], "text", "regions", LetterLayers)
+    return got.select("doc_id", "layer", "region", *[F.round(F.get("mean", F.lit(i)), 6).alias(c) for i, c in enumerate(("vowels", "digits", "blanks"))])

@@ -1,6 +1,7 @@
 """The domain tier on tiny hand-written files."""
 
 import gzip
+import json
 import zlib
 import struct
 from types import SimpleNamespace
@@ -11,11 +12,11 @@ from pyspark.sql import functions as F
 
 from helixframe.sources.blocked import read_blocked_lines
 from helixframe.plans import catalog, screen
-from helixframe.plugins import scorer
+from helixframe.plugins import layers, scorer
 from helixframe.sinks import tables as K
 from helixframe.sources import genomics as G
 from helixframe.sources import tables as T
-from helixframe.streaming import markers
+from helixframe.streaming import markers, progress
 
 rng = np.random.default_rng(3)
 SEQ = "".join(rng.choice(list("ACGT"), 3000))
@@ -202,6 +203,58 @@ def test_marker_stream(spark, tmp_path):
     assert markers.when_complete(spark, str(d), str(tmp_path / "cp"), ["a", "b"], lambda df: seen.append(df.count())) and seen == [2]
 
 
+def test_progress_survives_restarts_and_disorder(spark, tmp_path):
+    """Late, repeated and shuffled markers in files that come between restarts give what one batch gives."""
+    r = np.random.default_rng(3)
+    rows = [(run, s, float(r.integers(1, 9)), plan) for run, n, plan in (("a", 250, 250), ("b", 130, 400), ("c", 3, None)) for s in range(n)]
+    rows += [("a", 200, 50.0, 250), ("b", None, 1.0, 400), (None, 0, None, 2)] + rows[::7]
+    order = r.permutation(len(rows)).tolist()
+    d, out, cp = tmp_path / "steps", str(tmp_path / "out"), str(tmp_path / "cp")
+    d.mkdir()
+    for part in range(4):
+        lines = [json.dumps(dict(zip(("run", "step", "seconds", "planned"), rows[i]))) for i in order[part::4]]
+        (d / f"{part}.json").write_text("\n".join(lines))
+        if part % 2:  # the stream ends after two files and is taken up again
+            progress.keep_progress(progress.progress_stream(spark.readStream.schema(progress.STEP).option("maxFilesPerTrigger", 1).json(str(d)), patience=0.001), out, cp)
+    want = {x["run"]: x for x in progress.batch_progress(spark.read.schema(progress.STEP).json(str(d))).collect()}
+    got = {x["run"]: x for x in progress.latest_progress(spark, out).collect()}
+    assert set(got) == set(want) == {"a", "b", "c", None} and want["a"]["complete"]
+    for run, w in want.items():
+        assert [got[run][c] for c in ("completed", "planned", "mean_seconds", "remaining_seconds")] == [pytest.approx(w[c]) if w[c] is not None else None for c in ("completed", "planned", "mean_seconds", "remaining_seconds")]
+        assert (got[run]["status"] == "complete") == w["complete"]
+    # once only one run reports, the others' timers go off
+    for name, step in (("5.json", 130), ("6.json", 131), ("7.json", 131)):
+        (d / name).write_text(json.dumps({"run": "b", "step": step, "seconds": 1.0, "planned": 400}))
+        progress.keep_progress(progress.progress_stream(spark.readStream.schema(progress.STEP).json(str(d)), patience=0.001), out, cp)
+    status = {x["run"]: (x["status"], x["completed"]) for x in progress.latest_progress(spark, out).collect()}
+    assert status == {"a": ("complete", 250), "b": ("running", 132), "c": ("stalled", 3), None: ("stalled", 1)}
+
+
+class Counting:
+    """Two layers over a sequence's code points, in blocks of five, that remember how many vectors were alive at once."""
+
+    def layers(self, sequence):
+        codes = np.array([ord(c) for c in sequence], float)
+        for layer, power in (("low", 1), ("high", 2)):
+            for a in range(0, len(codes), 5):
+                yield layer, a, np.stack([codes[a : a + 5] ** power, np.ones(len(codes[a : a + 5]))], axis=1)
+
+
+def test_pooled_layers_equal_whole_arrays(spark):
+    texts = {1: "abcdefghijklmnopq", 2: "xy", 3: "", 4: None}
+    asked = [("head", 0, 4), ("middle", 3, 13), ("one", 1, 2), ("none", 2, 2), ("beyond", 1, 99)]
+    df = spark.createDataFrame([(k, v, asked) for k, v in texts.items()], "id long, seq string, regions array<struct<region string, start long, end long>>")
+    got = {(x["id"], x["layer"], x["region"]): x["mean"] for x in layers.pooled_layers(df, ["id"], "seq", "regions", Counting, rows=3).collect()}
+    assert {k[0] for k in got} == {1, 2} and len(got) == 20
+    whole = {}
+    for x in layers.layer_blocks(df, ["id"], "seq", Counting).collect():
+        whole.setdefault((x["id"], x["layer"]), {}).update({x["start"] + i: v for i, v in enumerate(x["vectors"])})
+    for (k, layer, region), mean in got.items():
+        _, a, b = next(x for x in asked if x[0] == region)
+        vectors = [whole[k, layer][i] for i in range(a, b) if i in whole[k, layer]]
+        assert mean is None if len(vectors) < b - a or a == b else np.allclose(mean, np.mean(vectors, axis=0))
+
+
 def test_a_cluster_needs_a_shared_folder(spark):
     from helixframe.session import scratch
 
