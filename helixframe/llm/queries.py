@@ -49,6 +49,7 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
         F.sha2(secrets.joined_spans(base), 256).alias("base_sha256"), secrets.joined_spans(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
+        *[F.coalesce(F.array_max(f"spans.{c}"), F.lit(0)).cast("long").alias(f"max_{c}") for c in ("owners", "repos")],
     )
 
 
@@ -103,10 +104,10 @@ def _secrets_sql() -> str:
     return f"""WITH d AS (SELECT doc_id, coalesce(source, chr(1)) AS source, coalesce(text, '') AS t FROM documents), m AS ({kinds}),
       s AS (SELECT doc_id, source, kind, ord, vs[i] AS v, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS st, length(ms[i]) AS n
         FROM (SELECT *, unnest(generate_series(1, len(ms))) AS i FROM m) WHERE length(vs[i]) >= least),
-      own AS (SELECT v, count(DISTINCT source) <= {secrets.MAX_OWNERS} AS live FROM s GROUP BY v),
-      f AS (SELECT s.*, live, kind || ':' || st || ':' || (st + n) AS span FROM s JOIN own USING (v) WHERE kind <> 'token' OR live)
+      own AS (SELECT v, count(DISTINCT source) <= {secrets.MAX_OWNERS} AS live, count(DISTINCT source) AS owners, count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '')) AS repos FROM s GROUP BY v),
+      f AS (SELECT s.*, live, owners, repos, kind || ':' || st || ':' || (st + n) AS span FROM s JOIN own USING (v) WHERE kind <> 'token' OR live)
       SELECT d.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
-        sha256(coalesce(string_agg(span, ',' ORDER BY st, ord) FILTER (WHERE kind <> 'token'), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY st, ord), '') AS spans, count(*) FILTER (WHERE live) AS n_live
+        sha256(coalesce(string_agg(span, ',' ORDER BY st, ord) FILTER (WHERE kind <> 'token'), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY st, ord), '') AS spans, count(*) FILTER (WHERE live) AS n_live, coalesce(max(owners), 0) AS max_owners, coalesce(max(repos), 0) AS max_repos
       FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id"""
 
 

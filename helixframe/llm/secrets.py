@@ -83,16 +83,16 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scanned(docs: DataFrame, owner: str = "source", repo: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """(row_id, doc_id, spans) of every row: its spans in order, each with ``live`` (owner-specific) and ``base``.
+    """(row_id, doc_id, spans) of every row: its spans in order, each with ``live`` (owner-specific), ``base``, and the ``owners`` and ``repos`` that hold its value.
 
     ``spans`` holds every base span and the live candidates; ``row_id`` tells repeated rows apart.
     """
     rows = written(scan(docs, owner, repo).withColumn("row_id", F.monotonically_increasing_id()), "secrets")
     every = rows.select("row_id", "owner", "repo", F.explode(F.concat("base", "candidates")).alias("s")).withColumn("value_hash", F.sha2(F.col("s.value"), 256))
     counts = written(ownership(every), "ownership")
-    judged = every.select("row_id", "s", "value_hash").join(counts.select("value_hash", (F.col("n_owners") <= max_owners).alias("live")), "value_hash")
+    judged = every.select("row_id", "s", "value_hash").join(counts.select("value_hash", (F.col("n_owners") <= max_owners).alias("live"), F.col("n_owners").alias("owners"), F.col("n_repos").alias("repos")), "value_hash")
     stays = judged.filter(F.col("s.kind").isin(*BASE) | F.col("live"))
-    one = F.struct(F.col("s.start").alias("start"), F.col("s.order").alias("order"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), "live", F.col("s.kind").isin(*BASE).alias("base"))
+    one = F.struct(F.col("s.start").alias("start"), F.col("s.order").alias("order"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), "live", F.col("s.kind").isin(*BASE).alias("base"), "owners", "repos")
     found = stays.groupBy("row_id").agg(F.sort_array(F.collect_list(one)).alias("spans"))
     return rows.select("row_id", "doc_id").join(found, "row_id", "left").withColumn("spans", F.coalesce("spans", F.array()))
 
