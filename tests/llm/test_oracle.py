@@ -18,8 +18,8 @@ def test_query(spark, name):
 def test_ownership_decides_on_a_table_that_the_sql_sees(spark, tmp_path):
     """A value of three sources is an example, one that one source repeats in 40 documents stays live."""
     key = lambda c: "ghp_" + c * 36
-    rows = [(i, f"s{i % 3}", f"see {key('a')} here") for i in range(6)] + [(10 + i, "s1", f"x {key('b')} y {key('a')}") for i in range(40)]
-    rows += [(60, None, f"{key('c')} token={key('c')}"), (61, "s2", key("c")), (62, "s9", None), (63, "s9", ""), (64, "s0", "password = hunter2hunter2")]
+    rows = [(i, f"s{i % 3}", f"see {key('x')} here") for i in range(6)] + [(10 + i, "s1", f"x {key('y')} y {key('x')}") for i in range(40)]
+    rows += [(60, None, f"{key('z')} token={key('z')}"), (61, "s2", key("z")), (62, "s9", None), (63, "s9", ""), (64, "s0", "password = hunter2hunter2")]
     folder = str(tmp_path)
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
     df.coalesce(1).write.parquet(f"{folder}/made")
