@@ -853,6 +853,18 @@ def test_secrets_of_rows_without_an_id_of_their_own(odd):
     assert all(out[i]["text"] == t for i, (_, t) in enumerate(rows) if i not in (0, 2))
 
 
+def test_fingerprint_links_of_rows_without_an_id_of_their_own(odd):
+    """Every row has its fingerprint and its component's smallest doc_id over fingerprints; null ids name none."""
+    df, rows = odd
+    fp = {t: plain_simhash(t or "") for _, t in rows}
+    forms = sorted(set(fp.values()))
+    comp = union([(a, b) for a in forms for b in forms if bin(a ^ b).count("1") <= 3], forms)
+    smallest = {c: min((d for d, t in rows if d is not None and comp[fp[t]] == c), default=None) for c in set(comp.values())}
+    got = simhash.near_duplicates(df).collect()
+    want = [(d, fp[t], smallest[comp[fp[t]]]) for d, t in rows]
+    assert sorted(map(str, ((r["doc_id"], r["fp"] % 2**64, r["component_id"]) for r in got))) == sorted(map(str, want))
+
+
 def test_packing_of_rows_without_an_id_of_their_own(odd):
     df, rows = odd
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
