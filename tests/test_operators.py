@@ -438,3 +438,20 @@ def test_ordinals_of_a_hot_key_and_of_ties(spark):
     assert sorted(r["ordinal"] for r in same) == list(range(500)) and ordinals.with_ordinals(df.limit(0), ["k"], ["v"]).count() == 0
     blocks = ordinals.in_blocks(df, ["k"], ["id"], 4, 10)
     assert blocks.filter("not _halo").count() == 3000 and blocks.filter("_halo").count() == sum(4 * (n // 10) + max(0, n % 10 - 6) for n in (2000, 500, 500))
+
+
+def test_rows_that_share_a_span_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(joins, "PACK", 7)
+    rng = np.random.default_rng(4)
+    l = [(int(k), i, int(a), int(a + n)) for i, (k, a, n) in enumerate(zip(rng.integers(0, 3, 80), rng.integers(-40, 60, 80), rng.integers(-2, 25, 80)))]
+    r = [(int(k), j, f"x{j % 5}", int(a), int(a + n)) for j, (k, a, n) in enumerate(zip(rng.integers(0, 3, 300), rng.integers(-3, 3, 300) * 9, rng.integers(-1, 3, 300) * 10))]
+    L = spark.createDataFrame([*l, (None, 900, 0, 50)], "k int, i int, a int, b int")
+    R = spark.createDataFrame([*r, (None, 900, "y", 0, 50), (1, 901, None, None, 50)], "k int, j int, t string, c int, d int").repartition(3)
+    want = sorted((*x, *y[1:]) for x in l for y in r if x[0] == y[0] and x[2] <= x[3] and y[3] <= y[4] and x[2] <= y[4] and x[3] >= y[3])
+    got = joins.overlap_join(L, R, ["k"], ("a", "b"), ("c", "d"), 8, shared=True)
+    assert got.columns == joins.overlap_join(L, R, ["k"], ("a", "b"), ("c", "d"), 8).columns
+    assert sorted(tuple(x) for x in got.collect()) == want and len(want) > 1000
+    lists = joins._packed(R, ["k"], ("c", "d"), "rows").select(F.size("rows").alias("n")).collect()
+    assert sum(x["n"] for x in lists) == len([y for y in r if y[3] <= y[4]]) + 1 and max(x["n"] for x in lists) <= 7 and len(lists) < 120
+    bare = joins.overlap_join(L.select("k", "a", "b"), R.select("k", "c", "d"), ["k"], ("a", "b"), ("c", "d"), 8, shared=True)
+    assert bare.columns == ["k", "a", "b", "c", "d"] and bare.count() == len(want)
