@@ -45,7 +45,7 @@ def paired_comparison_ci(spark, d):
     sums = base.groupBy("grp").agg(F.sum("truth").alias("s"), F.count("*").alias("n"))
     whole = sums.agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
     constant = sums.crossJoin(F.broadcast(whole)).select("grp", ((F.col("ts") - F.col("s")) / (F.col("tn") - F.col("n"))).alias("constant"))
-    flat = base.join(constant, "grp").select("row_id", "grp", "truth", F.col("constant").alias("prediction"))
+    flat = base.join(F.broadcast(constant), "grp").select("row_id", "grp", "truth", F.col("constant").alias("prediction"))  # eight groups
     both = base.withColumn("model", F.lit("added")).unionByName(flat.withColumn("model", F.lit("base")))
     stats = ridge.paired_comparison(both, [], "grp", "base", "added").withColumnRenamed("grp", "group_idx").withColumn("cohort", F.lit(1))
     i, j = F.col("draw"), F.col("slot")

@@ -455,3 +455,18 @@ def test_rows_that_share_a_span_meet_once(spark, monkeypatch):
     assert sum(x["n"] for x in lists) == len([y for y in r if y[3] <= y[4]]) + 1 and max(x["n"] for x in lists) <= 7 and len(lists) < 120
     bare = joins.overlap_join(L.select("k", "a", "b"), R.select("k", "c", "d"), ["k"], ("a", "b"), ("c", "d"), 8, shared=True)
     assert bare.columns == ["k", "a", "b", "c", "d"] and bare.count() == len(want)
+
+
+def test_rows_of_few_groups_are_not_dealt_by_group(spark):
+    df = spark.range(4000).select("id", (F.col("id") % 4).alias("g"), (F.col("id") % 17).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("y"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = ridge.loeo_one_feature(df, [], "g", "x", "y")
+        assert out.count() == 4000
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("BroadcastHashJoin") < plan.index("Range (0, 4000")
+        # the last join: rows against the lines of their groups
+        assert "SortMergeJoin" not in plan[: plan.index("BroadcastHashJoin")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
