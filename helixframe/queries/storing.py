@@ -18,6 +18,10 @@ from helixframe.sources import tables as T
 from helixframe.streaming import progress
 
 
+#: Events for which a third of the markers goes to a file more.
+FILE_ROWS = 1_000_000
+
+
 def kept_scratch(spark, name):
     """A scratch path that goes with ``session.clear`` or the process."""
     return kept(scratch(spark, name))
@@ -250,8 +254,10 @@ def stateful_progress(spark, d):
     planned = F.col("n") + F.when(F.col("user_id") % 3 == 0, 10).otherwise(0)
     m = e.select(F.col("user_id").cast("string").alias("run"), "step", F.col("value").alias("seconds"), planned.alias("planned"), F.explode(F.when(F.col("event_id") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("again"))
     sent, out, state = (kept_scratch(spark, x) for x in ("markers", "progress", "progress-state"))
-    m.repartition(3, F.xxhash64("step", "again")).drop("again").write.parquet(sent)
-    stream = spark.readStream.schema(progress.STEP).option("maxFilesPerTrigger", 2).parquet(sent)
+    # two thirds of the files come first, however many there are
+    files = 3 * max(1, -(-e.count() // FILE_ROWS))
+    m.repartition(files, F.xxhash64("step", "again", "run")).drop("again").write.parquet(sent)
+    stream = spark.readStream.schema(progress.STEP).option("maxFilesPerTrigger", files * 2 // 3).parquet(sent)
     progress.keep_progress(progress.progress_stream(stream), out, state)
     p = progress.latest_progress(spark, out)
     return p.select("run", "completed", "planned", *[F.round(c, 6).alias(c) for c in ("mean_seconds", "remaining_seconds")], (F.col("status") == "complete").alias("complete"))

@@ -23,6 +23,7 @@ from helixframe.operators.aggregates import remaining_seconds
 
 STEP = "run string, step long, seconds double, planned long"
 PROGRESS = "run string, version long, completed long, planned long, mean_seconds double, remaining_seconds double, status string"
+NAMES = [c.split()[0] for c in PROGRESS.split(", ")]
 
 
 def merged(ranges: list[list[int]], steps: np.ndarray) -> list[list[int]]:
@@ -39,10 +40,14 @@ def merged(ranges: list[list[int]], steps: np.ndarray) -> list[list[int]]:
     return out
 
 
-def slowest(tail: dict[int, float], steps: pd.Series, seconds: pd.Series, window: int) -> dict[int, float]:
+def slowest(tail: dict[int, float], steps: np.ndarray, seconds: np.ndarray, window: int) -> dict[int, float]:
     """The largest timing of each of the ``window`` highest steps of both."""
-    new = pd.concat([pd.Series(tail, dtype=float), pd.Series(seconds.to_numpy(float), index=steps)]).groupby(level=0).max()
-    return {int(k): float(v) for k, v in new.iloc[-window:].items()}
+    steps = np.concatenate((np.fromiter(tail.keys(), np.int64, len(tail)), np.asarray(steps, np.int64)))
+    seconds = np.concatenate((np.fromiter(tail.values(), float, len(tail)), np.asarray(seconds, float)))
+    order = np.lexsort((seconds, steps))
+    steps, seconds = steps[order], seconds[order]
+    last = np.flatnonzero(np.append(steps[1:] != steps[:-1], True)[: len(steps)])[-window:]
+    return dict(zip(steps[last].tolist(), seconds[last].tolist()))
 
 
 def progress_stream(markers: DataFrame, patience: float = 3600.0, window: int = 100) -> DataFrame:
@@ -55,12 +60,13 @@ def progress_stream(markers: DataFrame, patience: float = 3600.0, window: int =
         held = json.loads(state.get[0]) if state.exists else {"ranges": [], "tail": {}, "planned": None, "version": 0}
         if not state.hasTimedOut:
             tail = {int(k): v for k, v in held["tail"].items()}
-            for frame in frames:
-                held["ranges"] = merged(held["ranges"], frame["step"].to_numpy(np.int64))
-                timed = frame[frame["seconds"].notna()]
-                tail = slowest(tail, timed["step"], timed["seconds"], window)
-                if frame["planned"].notna().any():
-                    held["planned"] = max(held["planned"] or 0, int(frame["planned"].max()))
+            for frame in frames:  # a few rows as a rule, so arrays and no frames are made of them
+                steps, seconds, planned = frame["step"].to_numpy(np.int64), frame["seconds"].to_numpy(float), frame["planned"].dropna().to_numpy()
+                held["ranges"] = merged(held["ranges"], steps)
+                timed = ~np.isnan(seconds)
+                tail = slowest(tail, steps[timed], seconds[timed], window)
+                if len(planned):
+                    held["planned"] = max(held["planned"] or 0, int(planned.max()))
             held["tail"] = tail
         done = sum(b - a for a, b in held["ranges"])
         complete = held["planned"] is not None and done >= held["planned"]
@@ -73,7 +79,7 @@ def progress_stream(markers: DataFrame, patience: float = 3600.0, window: int =
         if status == "running":
             state.setTimeoutTimestamp(state.getCurrentProcessingTimeMs() + max(1, int(patience * 1000)))
         row = (key[0], held["version"], done, held["planned"], mean, rest, status)
-        yield pd.DataFrame([row], columns=[c.split()[0] for c in PROGRESS.split(", ")]).astype({"planned": "Int64"})
+        yield pd.DataFrame(np.array([row], dtype=object), columns=NAMES)
 
     arrived = markers.filter("step is not null").withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", "0 seconds")
     return arrived.groupBy("run").applyInPandasWithState(update, PROGRESS, "held string", "update", GroupStateTimeout.EventTimeTimeout)

@@ -1,5 +1,7 @@
 """Operators against brute force, and the models' invariants."""
 
+import glob
+
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
@@ -9,7 +11,11 @@ from helixframe.functions import spectral
 from helixframe.functions import vectors as V
 from helixframe.operators import aggregates as A, comoments, hashtrees, intervals, matching, ordinals, series
 from helixframe.operators import joins, ordering, ranks, ridge
+from helixframe import queries
 from helixframe.quality import checks
+from helixframe.queries import storing
+from helixframe.streaming import progress
+from tests.oracle import assert_same
 
 
 def test_overlap_against_brute_force(spark):
@@ -470,3 +476,24 @@ def test_rows_of_few_groups_are_not_dealt_by_group(spark):
         assert "SortMergeJoin" not in plan[: plan.index("BroadcastHashJoin")]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_slowest_timings_of_the_last_steps():
+    rng = np.random.default_rng(2)
+    tail, seen = {}, {}
+    for _ in range(6):
+        steps, seconds = rng.integers(0, 40, 15), rng.random(15)
+        for a, b in zip(steps.tolist(), seconds.tolist()):
+            seen[a] = max(b, seen.get(a, b))
+        tail = progress.slowest(tail, steps, seconds, 100)
+        assert tail == seen and list(progress.slowest(tail, steps[:0], seconds[:0], 9)) == sorted(seen)[-9:]
+    assert progress.slowest({}, steps[:0], seconds[:0], 9) == {}
+
+
+def test_markers_go_to_more_files_as_they_grow(spark, monkeypatch):
+    monkeypatch.setattr(storing, "FILE_ROWS", 300)
+    files = []
+    keep = progress.keep_progress
+    monkeypatch.setattr(progress, "keep_progress", lambda stream, out, state: (files.extend(glob.glob(out.replace("-progress-", "-markers-").rsplit("-", 1)[0] + "-*/*.parquet")), keep(stream, out, state)))
+    assert_same(spark, "/root/testdata/sf0.001", storing.stateful_progress, queries.SQL["stateful_progress"])
+    assert len(files) >= 9
