@@ -27,7 +27,7 @@ are read again.
 
 Texts with a common template share hashes without being alike, so a hash of more than
 ``SMALL_GROUP`` forms doesn't name pairs. Forms that have such hot hashes are compared by
-all their shingles instead: two of them are candidates if they share any shingle that at
+all their shingles instead: two of them, of different classes so far, are candidates if they share any shingle that at
 most ``SMALL_GROUP`` of them have, which loses no pair that has one in common. What is
 left are pairs that share nothing but hot shingles, copies of the template itself: under
 each hot hash forms are put in order of their turned fingerprints over all tasks and cut
@@ -455,10 +455,12 @@ def hot_candidates(keyed: DataFrame, likeness: float) -> DataFrame:
 
 
 _HOT = -1
+#: What a part gets of each form that has shingles in it; ``behind`` is how far its class's name is below its own.
+_FORM = np.dtype([("form", "<i8"), ("fp", "<i8"), ("n", "<u4"), ("behind", "<i8"), ("shingles", "<u4")])
 
 
 def rare_candidates(texts: DataFrame, words: int, likeness: float, parts: int | None = None) -> DataFrame:
-    """(u, v): pairs of ``texts`` (form, fp, text) that share a shingle which at most ``SMALL_GROUP`` of them have.
+    """(u, v): pairs of ``texts`` (form, fp, comp, text) of different ``comp`` that share a shingle which at most ``SMALL_GROUP`` of them have.
 
     A task sends each part of the shingles' hashes one blob for a chunk of texts. Once a
     task has met a shingle more than ``SMALL_GROUP`` times it sends a mark in its place, so
@@ -485,16 +487,22 @@ def rare_candidates(texts: DataFrame, words: int, likeness: float, parts: int |
                 local = np.where(hot, _HOT, row)
                 keep = ~hot | first
                 h, local = h[keep], local[keep]
-            form, fp = (chunk.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
+            form, fp, comp = (chunk.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1, 3))
             part = (h % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
+            order = np.lexsort((local, part))
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
             out = []
             for p in np.flatnonzero(np.diff(cuts)).tolist():
                 at = order[cuts[p] : cuts[p + 1]]
-                mine, place = np.unique(local[at], return_inverse=True)
-                held = np.stack([np.where(mine < 0, _HOT, x[mine]) for x in (form, fp, n)])
-                out.append((p, len(at), held.tobytes(), np.concatenate((h[at].view(np.uint8), place.astype("<u4").view(np.uint8))).tobytes()))
+                mine, shingles = np.unique(local[at], return_counts=True)
+                table = np.zeros(len(mine), _FORM)
+                for c, x in zip(_FORM.names, (form, fp, n, comp - form)):
+                    table[c] = np.where(mine < 0, _HOT if c == "form" else 0, x[mine])
+                table["shingles"] = shingles
+                # bytes of one place stand together, which compresses; a part and 32 more bits name
+                # a shingle: what they confuse is compared as a candidate, no more
+                planes = np.ascontiguousarray(table.view(np.uint8).reshape(-1, _FORM.itemsize).T)
+                out.append((p, len(mine), planes.tobytes(), (h[at] >> np.uint64(32)).astype("<u4").tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["part", "n", "forms", "shingles"])
 
@@ -502,15 +510,15 @@ def rare_candidates(texts: DataFrame, words: int, likeness: float, parts: int |
         held, now = [], None
 
         def pairs() -> pa.RecordBatch:
-            h, form, fp, n = (np.concatenate(x) for x in zip(*held))
+            h, form, fp, n, behind = (np.concatenate(x) for x in zip(*held))
             order = np.lexsort((form, h))
-            h, form, fp, n = h[order], form[order], fp[order], n[order]
+            h, form, fp, n, comp = h[order], form[order], fp[order], n[order], (form + behind)[order]
             once = np.concatenate(([True], (h[1:] != h[:-1]) | (form[1:] != form[:-1])))
-            h, form, fp, n = h[once], form[once], fp[once], n[once]
+            h, form, fp, n, comp = h[once], form[once], fp[once], n[once], comp[once]
             size = _sizes(h)
             size_at, hot = np.repeat(size, size), np.repeat(np.minimum.reduceat(form, np.cumsum(size) - size) == _HOT, size)
             ok = (size_at > 1) & (size_at <= few) & ~hot
-            h, form, fp, n = h[ok], form[ok], fp[ok], n[ok]
+            h, form, fp, n, comp = h[ok], form[ok], fp[ok], n[ok], comp[ok]
             u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             if len(h):
                 size = _sizes(h)
@@ -520,6 +528,8 @@ def rare_candidates(texts: DataFrame, words: int, likeness: float, parts: int |
                 for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(size)]):
                     s = slice(int(ends[a]), int(ends[b]))
                     i, j = _groups(size[a:b])
+                    good = comp[s][i] != comp[s][j]
+                    i, j = i[good], j[good]
                     good = _may(fp[s].view(np.uint64), n[s], i, j, likeness)
                     both = np.unique(np.stack((form[s][i[good]], form[s][j[good]]), axis=1), axis=0)
                     u.append(both[:, 0])
@@ -532,25 +542,27 @@ def rare_candidates(texts: DataFrame, words: int, likeness: float, parts: int |
                     yield pairs()
                     held = []
                 now = part
-                table, place = np.frombuffer(forms, np.int64).reshape(3, -1), np.frombuffer(shingles, "<u4", n, 8 * n)
-                held.append((np.frombuffer(shingles, "<u8", n), *table[:, place]))
+                table = np.ascontiguousarray(np.frombuffer(forms, np.uint8).reshape(-1, n).T).view(_FORM).ravel()
+                held.append((np.frombuffer(shingles, "<u4"), *[np.repeat(table[c], table["shingles"]) for c in _FORM.names[:4]]))
         if held:
             yield pairs()
 
-    sent = texts.select("form", "fp", "text").mapInArrow(send, "part int, n int, forms binary, shingles binary")
+    sent = texts.select("form", "fp", "text", "comp").mapInArrow(send, "part int, n int, forms binary, shingles binary")
     return sent.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "u long, v long")
 
 
-def candidates(forms: DataFrame, docs: DataFrame, words: int = WORDS, likeness: float = LIKENESS) -> DataFrame:
-    """(u, v), u < v: forms (form, at, fp, n, keys) of ``docs`` that share a key, or a shingle, and could be alike."""
+def hot_keys(forms: DataFrame) -> DataFrame:
+    """(key): keys of more than ``SMALL_GROUP`` forms."""
+    keys = forms.select(F.explode("keys").alias("key"))
+    return written(keys.groupBy("key").agg(F.count("*").alias("_m")).filter(f"_m > {SMALL_GROUP}").select("key"), "hot")
+
+
+def candidates(forms: DataFrame, hot: DataFrame, likeness: float = LIKENESS) -> DataFrame:
+    """(u, v), u < v: forms (form, fp, n, keys) that share a key and could be alike; of ``hot`` keys, neighbours in blocks."""
     keyed = forms.select(F.explode("keys").alias("key"), "form", "fp", "n")
-    hot = written(keyed.groupBy("key").agg(F.count("*").alias("_m")).filter(f"_m > {SMALL_GROUP}").select("key"), "hot")
     found = cold_candidates(keyed.join(hot, "key", "left_anti"), likeness)
     if hot.take(1):
-        many = keyed.join(hot, "key", "left_semi")
-        named = written(many.select("form").distinct().join(forms, "form").select("form", "fp", "at.doc_id", "at.text_hash"), "hot_forms")
-        texts = texts_by_name(docs, named, ["form", "fp"])
-        found = found.unionByName(hot_candidates(many, likeness)).unionByName(rare_candidates(texts, words, likeness))
+        found = found.unionByName(hot_candidates(keyed.join(hot, "key", "left_semi"), likeness))
     return found.filter("u <> v").distinct()
 
 
@@ -586,16 +598,35 @@ def near_copies(docs: DataFrame, words: int = WORDS, likeness: float = LIKENESS)
     same = forms.join(by_fp, "fp").filter("form <> first").select(F.col("first").alias("u"), F.col("form").alias("v"))
     near = links(cover(by_fp)).join(by_fp.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(by_fp.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
     anchored = near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-    pairs = kept(candidates(forms, docs, words, likeness).unionByName(same).unionByName(anchored).distinct(), "candidates")
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("form")).distinct()
-    wanted = kept(forms.join(asked, "form").select("form", "at.doc_id", "at.text_hash"), "wanted")
-    sets = kept(shingles_of(docs, wanted, words), "sets")
-    first = kept(alike(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), sets, likeness), "alike")
-    label = kept(components(first), "components")
-    # pairs of one class say nothing new
-    of = lambda c, name: label.select(F.col("node").alias(c), F.col("comp").alias(name))
-    apart = pairs.join(of("u", "cu"), "u", "left").join(of("v", "cv"), "v", "left").filter(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
-    label = kept(components(kept(first.unionByName(alike(apart, sets, likeness)), "links")), "components")
+    asked = lambda pairs: pairs.select(F.explode(F.array("u", "v")).alias("form")).distinct()
+
+    def named(some: DataFrame, name: str) -> DataFrame:
+        return kept(forms.join(some, "form").select("form", "fp", "at.doc_id", "at.text_hash"), name)
+
+    def settled(pairs: DataFrame, sets: DataFrame, linked: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """``linked`` with those of ``pairs`` that join classes, and the classes: one pair of each form first, then what is still apart."""
+        for again in (False, True):
+            some = pairs if again else pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+            if again:  # pairs of one class say nothing new
+                of = lambda c, name: label.select(F.col("node").alias(c), F.col("comp").alias(name))
+                some = some.join(of("u", "cu"), "u", "left").join(of("v", "cv"), "v", "left").filter(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
+            new = alike(some, sets, likeness)
+            linked = kept(new if linked is None else linked.unionByName(new), "links")
+            label = kept(components(linked), "components")
+        return linked, label
+
+    hot = hot_keys(forms)
+    pairs = kept(candidates(forms, hot, likeness).unionByName(same).unionByName(anchored).distinct(), "candidates")
+    first = named(asked(pairs), "wanted")
+    sets = kept(shingles_of(docs, first, words), "sets")
+    linked, label = settled(pairs, sets, None)
+    if hot.take(1):
+        # what the forms of hot keys share besides, between classes only
+        many = named(forms.select("form", F.explode("keys").alias("key")).join(hot, "key", "left_semi").select("form").distinct(), "hot_forms")
+        of_class = kept(many.join(label.withColumnRenamed("node", "form"), "form", "left").withColumn("comp", F.coalesce("comp", "form")), "hot_classes")
+        rare = kept(rare_candidates(texts_by_name(docs, of_class, ["form", "fp", "comp"]), words, likeness).filter("u <> v").distinct(), "rare")
+        more = kept(shingles_of(docs, named(asked(rare).join(first, "form", "left_anti"), "wanted_too"), words), "sets")
+        linked, label = settled(rare, sets.unionByName(more), linked)
     classes = forms.select("set", "form").join(label.select(F.col("node").alias("form"), "comp"), "form", "left").select("set", F.coalesce("comp", "form").alias("class_id"))
     found = written(rows.df.select("doc_id", "text_hash", "set").join(classes, "set").select("doc_id", "text_hash", "class_id"), "classes")
     for x in made:

@@ -375,6 +375,17 @@ def test_texts_with_a_shared_template(spark, shared, own, copies, texts, monkeyp
     assert len(set(got.values())) <= 1.01 * len(set(want.values())) + 1 and all(want[a] == want[b] for a in got for b in (min(k for k in got if got[k] == got[a]),))
 
 
+def test_rare_shingles_name_no_pairs_inside_a_class(spark):
+    r = np.random.default_rng(8)
+    base = prose(200)
+    texts = [edited(base, 2, r) for _ in range(6)]
+    every = {(a, b) for a in range(6) for b in range(a + 1, 6)}
+    for size in (1, 3, 6):
+        rows = [(10**10 + f, 0, 10**10 + f // size * size, t) for f, t in enumerate(texts)]
+        got = simhash.rare_candidates(spark.createDataFrame(rows, "form long, fp long, comp long, text string").repartition(3), 5, 0.5, 7).collect()
+        assert {(x["u"] - 10**10, x["v"] - 10**10) for x in got} == {(a, b) for a, b in every if a // size != b // size}
+
+
 def test_one_of_each_of_rows_without_an_id_of_their_own(odd, spark):
     df, rows = odd
     left = simhash.one_of_each(df)
