@@ -463,6 +463,20 @@ def test_rows_that_share_a_span_meet_once(spark, monkeypatch):
     assert bare.columns == ["k", "a", "b", "c", "d"] and bare.count() == len(want)
 
 
+def test_pairs_of_two_shared_spans_stand_together(spark, monkeypatch):
+    monkeypatch.setattr(joins, "PACK", 50)
+    l = [(i % 2, i, (i % 7) * 5, (i % 7) * 5 + 12) for i in range(400)]
+    r = [(j % 2, j, (j % 5) * 10, (j % 5) * 10 + 4) for j in range(300)]
+    L, R = spark.createDataFrame(l, "k int, i int, a int, b int").repartition(4), spark.createDataFrame(r, "k int, j int, c int, d int").repartition(3)
+    got = [tuple(x) for x in joins.overlap_join(L, R, ["k"], ("a", "b"), ("c", "d"), 16, shared=True).select("k", "a", "c", "i", "j").collect()]
+    assert sorted(x[3:] for x in got) == sorted((x[1], y[1]) for x in l for y in r if x[0] == y[0] and x[2] <= y[3] and x[3] >= y[2])
+    spans = len({x[:3] for x in got})
+    # a block for each two lists and not for each left row and list, and in it a run for each left row
+    assert sum(x[:3] != y[:3] for x, y in zip(got, got[1:])) < 3 * spans < 400
+    assert sum(x[3] != y[3] for x, y in zip(got, got[1:])) < len(got) / 10
+
+
+
 def test_rows_of_few_groups_are_not_dealt_by_group(spark):
     df = spark.range(4000).select("id", (F.col("id") % 4).alias("g"), (F.col("id") % 17).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("y"))
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
