@@ -26,13 +26,19 @@ with equal sets are one form, so copies cost one row, and only the texts of cand
 are read again.
 
 Texts with a common template share hashes without being alike, so a hash of more than
-``SMALL_GROUP`` forms doesn't name pairs. Forms that have such hot hashes are compared by
-all their shingles instead: two of them, of different classes so far, are candidates if they share any shingle that at
-most ``SMALL_GROUP`` of them have, which loses no pair that has one in common. What is
-left are pairs that share nothing but hot shingles, copies of the template itself: under
-each hot hash forms are put in order of their turned fingerprints over all tasks and cut
-into blocks, and each form is a candidate with its nearest in the block and with the
-block's first, each block's first with the hash's first. Each hot hash turns otherwise.
+``SMALL_GROUP`` forms doesn't name pairs. Forms that have such hot hashes are compared in
+three steps, each between the classes that the one before has left apart:
+
+1. Under each hot hash forms are put in order of their turned fingerprints over all tasks
+   and cut into blocks; each form is a candidate with its nearest in the block and with the
+   block's first, each block's first with the hash's first. Each hot hash turns otherwise.
+   This leaves pairs out; it only makes the classes that spare the next steps most pairs.
+2. Two forms that share a shingle which at most ``SMALL_GROUP`` of them have are candidates.
+3. All other pairs share nothing but hot shingles, so they can't share more of them than
+   the lesser has: of a form at least ``LIKENESS`` of all shingles must be hot, and a pair
+   whose hot ones are too few for its two sizes isn't alike. All pairs that this bound and
+   the sizes leave are compared by their shingles, in cells of two blocks of forms; a cell
+   gives the links that join classes and no others.
 
 Nulls and empty texts: a text without words has fingerprint zero and links like any
 other. Rows with a null ``doc_id`` take part; ``component_id`` ignores null ids.
@@ -43,6 +49,7 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,6 +70,8 @@ WORDS, LIKENESS = 5, 0.8
 KEYS, NEAR_BITS = 10, 22
 #: Groups of so many forms are compared pair by pair, larger ones in blocks of fingerprints and by their rare shingles.
 SMALL_GROUP, BLOCK = 64, 4096
+#: Blocks that forms of hot shingles are cut into at least, and the least and most shingles of one.
+SPREAD, CELL = 16, (1 << 14, 1 << 22)
 #: Hot shingles that a task remembers; others are sent again, and found hot where they meet.
 KNOWN_HOT = 500_000
 #: Tables of ids of at most so many rows, counted first, are broadcast; larger ones meet the texts in a shuffle.
@@ -424,7 +433,10 @@ def cold_candidates(keyed: DataFrame, likeness: float) -> DataFrame:
 
 
 def hot_candidates(keyed: DataFrame, likeness: float) -> DataFrame:
-    """(u, v): of ``keyed`` (key, form, fp, n) with many forms to a key, each with its nearest and the first of its block, and blocks' firsts with the key's first."""
+    """(u, v): of ``keyed`` (key, form, fp, n) with many forms to a key, each with its nearest and the first of its block, and blocks' firsts with the key's first.
+
+    Not all pairs that could be alike: ``rare_candidates`` and ``hot_links`` have the rest.
+    """
     turned = F.expr("shiftleft(fp, cast(pmod(key, 64) as int)) | shiftrightunsigned(fp, 64 - cast(pmod(key, 64) as int))")
     placed = with_ordinals(keyed.select("key", "form", "fp", "n", turned.alias("turned")), ["key"], ["turned", "form"], "place", written)
     placed = placed.select("key", F.floor(F.col("place") / BLOCK).alias("block"), "place", "form", "fp", "n")
@@ -460,7 +472,12 @@ _FORM = np.dtype([("form", "<i8"), ("fp", "<i8"), ("n", "<u4"), ("behind", "<i8"
 
 
 def rare_candidates(texts: DataFrame, words: int, likeness: float, parts: int | None = None) -> DataFrame:
-    """(u, v): pairs of ``texts`` (form, fp, comp, text) of different ``comp`` that share a shingle which at most ``SMALL_GROUP`` of them have.
+    """(u, v): pairs of ``texts`` (form, fp, comp, text) of different ``comp`` that share a shingle which at most ``SMALL_GROUP`` of them have."""
+    return rare_shingles(texts, words, likeness, parts).filter("rare = 0").select("u", "v")
+
+
+def rare_shingles(texts: DataFrame, words: int, likeness: float, parts: int | None = None) -> DataFrame:
+    """(u, v, rare): the pairs of ``rare_candidates`` with ``rare`` 0 and, as ``u`` = ``v``, how many such shingles a form has in a part of the hashes.
 
     A task sends each part of the shingles' hashes one blob for a chunk of texts. Once a
     task has met a shingle more than ``SMALL_GROUP`` times it sends a mark in its place, so
@@ -517,7 +534,9 @@ def rare_candidates(texts: DataFrame, words: int, likeness: float, parts: int |
             h, form, fp, n, comp = h[once], form[once], fp[once], n[once], comp[once]
             size = _sizes(h)
             size_at, hot = np.repeat(size, size), np.repeat(np.minimum.reduceat(form, np.cumsum(size) - size) == _HOT, size)
-            ok = (size_at > 1) & (size_at <= few) & ~hot
+            cold = (size_at <= few) & ~hot
+            own, rare = np.unique(form[cold], return_counts=True)
+            ok = (size_at > 1) & cold
             h, form, fp, n, comp = h[ok], form[ok], fp[ok], n[ok], comp[ok]
             u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             if len(h):
@@ -534,7 +553,10 @@ def rare_candidates(texts: DataFrame, words: int, likeness: float, parts: int |
                     both = np.unique(np.stack((form[s][i[good]], form[s][j[good]]), axis=1), axis=0)
                     u.append(both[:, 0])
                     v.append(both[:, 1])
-            return _pair_batch(np.concatenate(u), np.concatenate(v))
+            both = _pair_batch(np.concatenate(u), np.concatenate(v))
+            ends = [np.concatenate((both.column(c).to_numpy(), own)) for c in (0, 1)]
+            counts = np.concatenate((np.zeros(both.num_rows, np.int32), rare.astype(np.int32)))
+            return pa.record_batch([pa.array(x) for x in (*ends, counts)], names=["u", "v", "rare"])
 
         for batch in batches:
             for part, n, forms, shingles in zip(*(batch.column(c).to_pylist() for c in range(4))):
@@ -548,7 +570,85 @@ def rare_candidates(texts: DataFrame, words: int, likeness: float, parts: int |
             yield pairs()
 
     sent = texts.select("form", "fp", "text", "comp").mapInArrow(send, "part int, n int, forms binary, shingles binary")
-    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "u long, v long")
+    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "u long, v long, rare int")
+
+
+def _joined(form: np.ndarray, n: np.ndarray, hot: np.ndarray, comp: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndarray, likeness: float) -> Iterator[tuple[int, int]]:
+    """Links that join classes, of all pairs of ``left`` and ``right`` places; ``ids`` are the shingles of all places, end to end."""
+    ends, same = np.cumsum(n), left is right
+    label = np.unique(comp, return_inverse=True)[1]
+    there = np.zeros(int(ids.max()) + 1, bool)
+    own, to_right = ends[right] - n[right], np.cumsum(n[right]) - n[right]
+    flat = np.concatenate([ids[a : a + k] for a, k in zip(own.tolist(), n[right].tolist())])
+    for at, i in enumerate(left.tolist()):
+        may = (label[right] != label[i]) & (np.minimum(n[right], n[i]) >= likeness * np.maximum(n[right], n[i]))
+        may &= (1 + likeness) * np.minimum(hot[right], hot[i]) >= likeness * (n[right] + n[i]) - 1e-6
+        if same:
+            may[: at + 1] = False
+        if not (some := np.flatnonzero(may)).size:
+            continue
+        mine = ids[ends[i] - n[i] : ends[i]]
+        there[mine] = True
+        if 4 * len(some) > len(right):
+            shared = np.add.reduceat(there[flat], to_right, dtype=np.int64)[some]
+        else:
+            size = n[right[some]]
+            begin = np.cumsum(size) - size
+            shared = np.add.reduceat(there[flat[np.repeat(to_right[some] - begin, size) + np.arange(int(size.sum()))]], begin, dtype=np.int64)
+        there[mine] = False
+        for j in right[some[shared >= likeness * (n[i] + n[right[some]] - shared)]].tolist():
+            if label[j] != label[i]:
+                yield int(form[i]), int(form[j])
+                label[label == label[j]] = label[i]
+
+
+def hot_links(forms: DataFrame, likeness: float = LIKENESS) -> DataFrame:
+    """(u, v): links that join the classes of ``forms`` (form, n, hot, comp, shingles), of all pairs that share none but hot shingles, of which each has ``hot``.
+
+    Forms are in order of their size, cut into blocks of a bounded number of shingles. Two
+    blocks whose sizes allow a link and that are not of one class make a cell; each cell is
+    compared in one task, which holds two blocks.
+    """
+    forms = forms.filter(F.col("hot") >= likeness * F.col("n") - 1e-6).withColumn("octave", F.floor(F.log2("n")))
+    placed = with_ordinals(forms, ["octave"], ["n", "comp", "form"], "place", written)
+    room = min(max((placed.agg(F.sum("n")).first()[0] or 0) // SPREAD, CELL[0]), CELL[1])
+    block = F.floor(F.col("place") / F.greatest(F.lit(1), F.floor(F.lit(room) / F.pow(F.lit(2.0), F.col("octave") + 1))))
+    placed = placed.withColumn("at", F.col("octave") * (1 << 40) + block)
+    blocks = placed.groupBy("octave", "at").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    a, b = (blocks.select(*[F.col(c).alias(f"{x}_{c}") for c in blocks.columns]) for x in ("a", "b"))
+    reach = int(-math.log2(likeness)) + 1
+    near = a.withColumn("b_octave", F.explode(F.sequence(F.col("a_octave"), F.col("a_octave") + reach))).join(b, "b_octave")
+    near = near.filter((F.col("a_at") <= F.col("b_at")) & (F.col("b_least") * likeness <= F.col("a_most") + 1e-6))
+    near = near.filter((F.least("a_c0", "b_c0") != F.greatest("a_c1", "b_c1"))).select(F.col("a_at").alias("a"), F.col("b_at").alias("b"))
+    cells = written(near, "cells").select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            cell = pa.Table.from_batches(held).combine_chunks()
+            a, b, at, form, n, hot, comp = (cell.column(c).to_numpy() for c in range(7))
+            blobs = cell.column(7).to_pylist()
+            ids = np.unique(np.frombuffer(b"".join(blobs), "<u4"), return_inverse=True)[1]
+            left = np.flatnonzero(at == a[0])
+            right = left if a[0] == b[0] else np.flatnonzero(at == b[0])
+            found = np.array(list(_joined(form, n.astype(np.int64), hot, comp, ids, left, right, likeness)), np.int64).reshape(-1, 2)
+            return _pair_batch(found[:, 0], found[:, 1])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, at = [batch.column(c).to_numpy() for c in (0, 1)], 0
+            for size in _sizes(*keys).tolist():
+                if held and any(held[0].column(c)[0].as_py() != keys[c][at] for c in (0, 1)):
+                    yield links(held)
+                    held = []
+                held.append(batch.slice(at, size))
+                at += size
+        if held:
+            yield links(held)
+
+    dealt = placed.join(cells, "at").select("a", "b", "at", "form", "n", "hot", "comp", "shingles")
+    return dealt.repartition("a", "b").sortWithinPartitions("a", "b", "at", "form").mapInArrow(run, "u long, v long")
 
 
 def hot_keys(forms: DataFrame) -> DataFrame:
@@ -624,9 +724,18 @@ def near_copies(docs: DataFrame, words: int = WORDS, likeness: float = LIKENESS)
         # what the forms of hot keys share besides, between classes only
         many = named(forms.select("form", F.explode("keys").alias("key")).join(hot, "key", "left_semi").select("form").distinct(), "hot_forms")
         of_class = kept(many.join(label.withColumnRenamed("node", "form"), "form", "left").withColumn("comp", F.coalesce("comp", "form")), "hot_classes")
-        rare = kept(rare_candidates(texts_by_name(docs, of_class, ["form", "fp", "comp"]), words, likeness).filter("u <> v").distinct(), "rare")
+        shared = kept(rare_shingles(texts_by_name(docs, of_class, ["form", "fp", "comp"]), words, likeness), "shared")
+        rare = kept(shared.filter("rare = 0").select("u", "v").distinct(), "rare")
         more = kept(shingles_of(docs, named(asked(rare).join(first, "form", "left_anti"), "wanted_too"), words), "sets")
         linked, label = settled(rare, sets.unionByName(more), linked)
+        # and pairs that share nothing but hot shingles: of both most are hot
+        counted = shared.filter("rare > 0").groupBy(F.col("u").alias("form")).agg(F.sum("rare").alias("rare"))
+        mostly = many.select("form").join(forms.select("form", "n"), "form").join(counted, "form", "left").withColumn("hot", F.col("n") - F.coalesce("rare", F.lit(0)))
+        mostly = mostly.filter(F.col("hot") >= likeness * F.col("n") - 1e-6).join(label.withColumnRenamed("node", "form"), "form", "left")
+        mostly = kept(mostly.select("form", "n", "hot", F.coalesce("comp", "form").alias("comp")), "mostly_hot")
+        new = hot_links(mostly.join(shingles_of(docs, named(mostly.select("form"), "wanted_hot"), words), "form"), likeness)
+        linked = kept(linked.unionByName(new), "links")
+        label = kept(components(linked), "components")
     classes = forms.select("set", "form").join(label.select(F.col("node").alias("form"), "comp"), "form", "left").select("set", F.coalesce("comp", "form").alias("class_id"))
     found = written(rows.df.select("doc_id", "text_hash", "set").join(classes, "set").select("doc_id", "text_hash", "class_id"), "classes")
     for x in made:

@@ -374,6 +374,40 @@ def test_texts_with_a_shared_template(spark, shared, own, copies, texts, monkeyp
     assert sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs) > 100
     assert len(set(got.values())) <= 1.01 * len(set(want.values())) + 1 and all(want[a] == want[b] for a in got for b in (min(k for k in got if got[k] == got[a]),))
 
+@pytest.mark.parametrize("small, cell", [(64, (1 << 14, 1 << 22)), (16, (2000, 4000))])
+def test_texts_that_share_nothing_but_hot_shingles(spark, small, cell, monkeypatch):
+    monkeypatch.setattr(simhash, "SMALL_GROUP", small)
+    monkeypatch.setattr(simhash, "CELL", cell)  # a few blocks, or many
+    r = np.random.default_rng(6)
+    parts = [" ".join(f"part{i}word{k}" for k in range(int(r.integers(12, 30)))) for i in range(20)]
+    rows = {}
+    for _ in range(300):  # any parts but a few, in order: likenesses on either side of 0.8
+        gone = set(r.choice(20, int(r.integers(4, 7)), replace=False).tolist())
+        rows[len(rows)] = " ".join(p for i, p in enumerate(parts) if i not in gone) + (f" own{len(rows)}" if r.random() < 0.2 else "")
+    sets = {k: shingle_set(t) for k, t in rows.items()}
+    want = union([(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])], rows)
+    classes, found = defaultdict(set), defaultdict(set)
+    for x in simhash.near_copies(spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(4)).collect():
+        found[x["class_id"]].add(x["doc_id"])
+    for k, c in want.items():
+        classes[c].add(k)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, classes.values())) and 100 < len(classes) < 150
+
+
+def test_hot_links_join_classes_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL", (300, 600))
+    r = np.random.default_rng(3)
+    base = np.sort(r.choice(2**32, 60, replace=False)).astype("<u4")
+    sets = [np.sort(r.choice(base, int(r.integers(30, 60)), replace=False)) for _ in range(150)] + [np.arange(k, dtype="<u4") for k in (1, 4, 5, 5)]
+    comp = [i if i % 9 else 0 for i in range(len(sets))]
+    rows = [(i, len(x), len(x), comp[i], x.tobytes()) for i, x in enumerate(sets)]
+    got = [(x["u"], x["v"]) for x in simhash.hot_links(spark.createDataFrame(rows, "form long, n int, hot long, comp long, shingles binary").repartition(3)).collect()]
+    like = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(s := np.intersect1d(sets[i], sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - len(s))}
+    assert set(got) <= like and all(comp[u] != comp[v] for u, v in got)
+    known = [(0, i) for i in range(len(sets)) if comp[i] == 0]
+    assert union([*got, *known], range(len(sets))) == union([*like, *known], range(len(sets)))
+    assert simhash.hot_links(spark.createDataFrame(rows, "form long, n int, hot long, comp long, shingles binary").limit(0)).count() == 0
+
 
 def test_rare_shingles_name_no_pairs_inside_a_class(spark):
     r = np.random.default_rng(8)
